@@ -2,9 +2,10 @@
 
 `nearest` scores many query vectors against a whole table. Few queries travel to the data
 as one matrix and every task keeps its k best per query, so only k rows per query and task
-are shuffled. Too many queries for that are cut into blocks: a grid of
-(query block, item block) tiles is shuffled and each tile does the same, so no task holds
-more than a block of each side. Both ways are exact.
+are shuffled. With many queries and few items the items travel instead and nothing is
+shuffled. When both are many, a grid of (query block, item block) tiles is shuffled and each
+tile does the same, so no task holds more than a block of each side. All ways are exact and
+a task emits its k best, never all pairs it looked at.
 
 `similar_pairs` is the exact self join under a similarity threshold.
 """
@@ -15,17 +16,16 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from threadloom.functions.vectors import code_bytes
 from threadloom.operators.ranking import top_k_per_group
 from threadloom.runtime import fetch_if_small
 
 MATRIX_ROWS = 4096    # queries that may travel as one matrix
 BLOCK_ROWS = 4096     # rows per side of a tile
 CELLS = 4_000_000     # scores held at once inside a task
+PAIRS = 200_000       # candidate pairs scored at once inside a task
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -64,22 +64,33 @@ class _Best:
         self.scores = [np.empty(0) for _ in range(n)]
 
     def add(self, ids: np.ndarray, scores: np.ndarray, own: np.ndarray | None) -> None:
+        """A block of scores, one column per query."""
         for j in range(scores.shape[1]):
             s = scores[:, j]
             keep = ~np.isnan(s)
-            if len(self.scores[j]) == self.k:
-                keep &= s >= self.scores[j][-1]
             if own is not None:
                 keep &= ids != own[j]
-            if not keep.any():
-                continue
-            i, v = ids[keep], s[keep]
-            if len(v) > self.k:  # rows under the k-th value of this batch cannot win
-                floor = np.partition(v, len(v) - self.k)[len(v) - self.k]
-                i, v = i[v >= floor], v[v >= floor]
-            i, v = np.concatenate([self.ids[j], i]), np.concatenate([self.scores[j], v])
-            order = np.lexsort((i, -v))[:self.k]
-            self.ids[j], self.scores[j] = i[order], v[order]
+            self._merge(j, ids[keep], s[keep])
+
+    def add_pairs(self, ids: np.ndarray, query: np.ndarray, scores: np.ndarray) -> None:
+        """Single scored pairs."""
+        order = np.argsort(query, kind="stable")
+        found, starts = np.unique(query[order], return_index=True)
+        for j, part in zip(found, np.split(order, starts[1:])):
+            self._merge(j, ids[part], scores[part])
+
+    def _merge(self, j: int, i: np.ndarray, v: np.ndarray) -> None:
+        if len(self.scores[j]) == self.k:
+            keep = v >= self.scores[j][-1]
+            i, v = i[keep], v[keep]
+        if not len(v):
+            return
+        if len(v) > self.k:  # rows under the k-th value of this block cannot win
+            floor = np.partition(v, len(v) - self.k)[len(v) - self.k]
+            i, v = i[v >= floor], v[v >= floor]
+        i, v = np.concatenate([self.ids[j], i]), np.concatenate([self.scores[j], v])
+        order = np.lexsort((i, -v))[:self.k]
+        self.ids[j], self.scores[j] = i[order], v[order]
 
     def rows(self, qids: np.ndarray) -> pa.RecordBatch:
         counts = [len(i) for i in self.ids]
@@ -98,11 +109,43 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
-def _consume(ids, x, qids, q, metric, k, threshold, skip_self, best) -> Iterator[pa.RecordBatch]:
+def _codes(m: np.ndarray) -> np.ndarray:
+    return np.packbits(m > 0, axis=1)
+
+
+def _sharing(x: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, query) positions with a code byte in common, each pair once, in bounded pieces."""
+    for band in range(q.shape[1]):
+        order = np.argsort(q[:, band], kind="stable")
+        starts = np.searchsorted(q[order, band], np.arange(257))
+        code = x[:, band].astype("int64")
+        count = starts[code + 1] - starts[code]
+        r = np.repeat(np.arange(len(x)), count)
+        within = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+        c = order[starts[code[r]] + within]
+        new = ~(x[r, :band] == q[c, :band]).any(axis=1)
+        r, c = r[new], c[new]
+        for at in range(0, len(r), PAIRS):
+            yield r[at:at + PAIRS], c[at:at + PAIRS]
+
+
+def _consume(ids, x, qids, queries, plan, best) -> Iterator[pa.RecordBatch]:
+    """Score a block of items; keep the best, or emit the pairs above the threshold."""
+    metric, k, threshold, skip_self, coded = plan
+    q = _prepare(queries, metric, True)
+    q_codes = _codes(queries) if coded else None
     step = max(1, CELLS // max(1, len(qids)))
     for at in range(0, len(ids), step):
-        part = ids[at:at + step]
-        s = _scores(_prepare(x[at:at + step], metric, False), q, metric)
+        part, raw = ids[at:at + step], x[at:at + step]
+        m = _prepare(raw, metric, False)
+        if coded:
+            for r, c in _sharing(_codes(raw), q_codes):
+                if skip_self:
+                    other = part[r] != qids[c]
+                    r, c = r[other], c[other]
+                best.add_pairs(part[r], c, np.einsum("ij,ij->i", m[r], q[c]))
+            continue
+        s = _scores(m, q, metric)
         if best is not None:
             best.add(part, s, qids if skip_self else None)
         else:
@@ -117,41 +160,69 @@ def _consume(ids, x, qids, q, metric, k, threshold, skip_self, best) -> Iterator
 def nearest(
     items: DataFrame, queries: DataFrame, k: int | None = None, threshold: float | None = None,
     metric: str = "cosine", skip_self: bool = False, vector: str = "v", matrix_rows: int = MATRIX_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS, coded: bool = False,
 ) -> DataFrame:
     """(qid, id, score): the k best items per query, or all with score above `threshold`.
 
-    `items` has `id` and the vector column, `queries` has `qid` and `v`.
+    `items` has `id` and the vector column, `queries` has `qid` and `v`. With `coded`, only
+    items that share a byte of sign code with the query are scored.
     """
     if (k is None) == (threshold is None):
         raise ValueError("give k or a threshold")
+    if coded and (k is None or metric != "cosine"):
+        raise ValueError("the coded search gives the k best by cosine")
     items = items.select(F.col("id").cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
     queries = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("v").cast("array<double>").alias("v")).filter("v IS NOT NULL")
-    rows = fetch_if_small(queries, matrix_rows)
     schema = "qid bigint, id bigint, score double"
-    if rows is not None:
-        if not rows:
+    plan = (metric, k, threshold, skip_self, coded)
+
+    few = fetch_if_small(queries, matrix_rows)
+    if few is not None:
+        if not few:
             return items.sparkSession.createDataFrame([], schema)
-        qids = np.array([r["qid"] for r in rows], "int64")
-        q = _prepare(np.array([r["v"] for r in rows], "float64"), metric, True)
+        qids = np.array([r["qid"] for r in few], "int64")
+        matrix = np.array([r["v"] for r in few], "float64")
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = _Best(len(qids), k) if k else None
             for b in batches:
                 if b.num_rows:
-                    yield from _consume(np.asarray(b.column(0)), _matrix(b.column(1)), qids, q, metric, k, threshold, skip_self, best)
+                    yield from _consume(np.asarray(b.column(0)), _matrix(b.column(1)), qids, matrix, plan, best)
             if best is not None:
                 yield best.rows(qids)
 
         found = items.mapInArrow(scan, schema)
     else:
-        found = _tiles(items, queries, k, threshold, metric, skip_self, schema, block_rows)
+        few = fetch_if_small(items, matrix_rows)
+        if few is not None:
+            return _items_travel(few, queries, plan, schema)
+        found = _tiles(items, queries, plan, schema, block_rows)
     if k is None:
         return found
     return top_k_per_group(found, ["qid"], [F.desc("score"), F.col("id")], k).drop("rn")
 
 
-def _tiles(items, queries, k, threshold, metric, skip_self, schema, block_rows) -> DataFrame:
+def _items_travel(few: list, queries: DataFrame, plan, schema: str) -> DataFrame:
+    """Every task holds all items, so a query's result is complete where the query is."""
+    if not few:
+        return queries.sparkSession.createDataFrame([], schema)
+    ids = np.array([r["id"] for r in few], "int64")
+    x = np.array([r["v"] for r in few], "float64")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            qids = np.asarray(b.column(0))
+            best = _Best(len(qids), plan[1]) if plan[1] else None
+            yield from _consume(ids, x, qids, _matrix(b.column(1)), plan, best)
+            if best is not None:
+                yield best.rows(qids)
+
+    return queries.mapInArrow(scan, schema)
+
+
+def _tiles(items: DataFrame, queries: DataFrame, plan, schema: str, block_rows: int) -> DataFrame:
     n_q = max(1, math.ceil(queries.count() / block_rows))
     n_i = max(1, math.ceil(items.count() / block_rows))
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -160,17 +231,15 @@ def _tiles(items, queries, k, threshold, metric, skip_self, schema, block_rows)
     right = queries.withColumn("_q", block("qid", n_q)).withColumn("_i", every(n_i))
 
     def tile(x: pa.Table, q: pa.Table) -> pa.Table:
-        out = []
+        out = [_batch(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))]
         if x.num_rows and q.num_rows:
             qids = np.asarray(q.column("qid").combine_chunks())
-            qm = _prepare(_matrix(q.column("v").combine_chunks()), metric, True)
-            best = _Best(len(qids), k) if k else None
+            best = _Best(len(qids), plan[1]) if plan[1] else None
             ids = np.asarray(x.column("id").combine_chunks())
-            out = list(_consume(ids, _matrix(x.column("v").combine_chunks()), qids, qm, metric, k, threshold, skip_self, best))
+            out += _consume(ids, _matrix(x.column("v").combine_chunks()), qids, _matrix(q.column("v").combine_chunks()), plan, best)
             if best is not None:
-                out = [best.rows(qids)]
-        empty = _batch(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))
-        return pa.Table.from_batches(out or [empty])
+                out.append(best.rows(qids))
+        return pa.Table.from_batches(out)
 
     return left.groupBy("_i", "_q").cogroup(right.groupBy("_i", "_q")).applyInArrow(tile, schema)
 
@@ -247,23 +316,14 @@ def similar_pairs(
     return spread.groupBy("cell", "a", "same", "b").applyInArrow(tile, "a bigint, b bigint, score double")
 
 
-def ann_candidates(items: DataFrame, queries: DataFrame, dims: int, k: int = 5000, vector: str = "v") -> DataFrame:
+def ann_candidates(items: DataFrame, queries: DataFrame, k: int = 5000, vector: str = "v", **sizes) -> DataFrame:
     """Approximate nearest neighbours: items sharing at least one byte of sign code with a query,
     scored exactly, k best per query.
 
-    An item meets a query through its first shared band only, so a pair is scored once without
-    a distinct over all candidates.
+    Codes are matched inside the tasks that hold a block of items and the queries, so a code
+    shared by a third of all rows is no hot join key and its pairs are never emitted.
     """
-    n_bands = dims // 8
-    bands = lambda v: F.posexplode(code_bytes(v, dims))
-    q = queries.select("qid", F.col("v").alias("qv"), code_bytes(F.col("v"), dims).alias("qc"), bands(F.col("v")).alias("band", "code"))
-    x = items.select("id", F.col(vector).alias("v"), code_bytes(F.col(vector), dims).alias("c"), bands(F.col(vector)).alias("band", "code"))
-    met = x.join(q, ["band", "code"])
-    first = F.array_position(F.zip_with("c", "qc", lambda a, b: a == b), True) - 1
-    from threadloom.functions.vectors import cosine
-
-    scored = met.filter(first == F.col("band")).select("qid", "id", cosine(F.col("v"), F.col("qv")).alias("score"))
-    return top_k_per_group(scored, ["qid"], [F.desc("score"), F.col("id")], k).drop("rn")
+    return nearest(items, queries, k=k, vector=vector, coded=True, **sizes)
 
 
 def label_centroids(items: DataFrame, label: str, dims: int, vector: str = "v") -> DataFrame:

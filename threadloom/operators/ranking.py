@@ -59,13 +59,16 @@ def with_group_position(
     if size:
         everything = Window.partitionBy(*group)
         spans = spans.withColumn(size, F.sum("_n").over(everything))
+    spans = spans.select(
+        *[F.col(g).alias(f"_g_{g}") for g in group], F.col("_pid").alias("_p"), "_first", "_off", *([size] if size else [])
+    )
     # null-safe so that a null group keeps its rows
-    cond = [ranged[g].eqNullSafe(spans[g]) for g in group] + [ranged["_pid"] == spans["_pid"]]
-    extra = [spans[size]] if size else []
+    cond = F.col("_pid") == F.col("_p")
+    for g in group:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
     return ranged.join(spans, cond).select(
-        *[ranged[c] for c in df.columns],
-        (ranged["_pos"] - spans["_first"] + spans["_off"] + 1).cast("bigint").alias(name),
-        *extra,
+        *df.columns, (F.col("_pos") - F.col("_first") + F.col("_off") + 1).cast("bigint").alias(name),
+        *([size] if size else []),
     )
 
 

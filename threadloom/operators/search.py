@@ -7,6 +7,8 @@ those rows only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threadloom.constants import HYBRID_LEGS, LEG_WEIGHTS
@@ -35,8 +37,9 @@ def hits_above(hits: DataFrame, cut: float, limit: int = 200_000, nearest_first:
     return top_k(hits.filter(F.col("score") > cut), [order, F.col("id"), F.col("qid")], limit)
 
 
-def rerank_top(best: DataFrame, cut: float = 0.25, keep: int = 1000) -> DataFrame:
-    return top_k(best.filter(F.col("score") > cut), [F.desc("score"), F.col("id")], keep)
+def rerank_top(best: DataFrame, cut: float = 0.25, keep: int | None = 1000) -> DataFrame:
+    kept, order = best.filter(F.col("score") > cut), [F.desc("score"), F.col("id")]
+    return kept.orderBy(*order) if keep is None else top_k(kept, order, keep)
 
 
 def reciprocal_rank_fusion(candidates: DataFrame, scores: list[str], constant: int = 60) -> DataFrame:
@@ -49,21 +52,18 @@ def reciprocal_rank_fusion(candidates: DataFrame, scores: list[str], constant: i
     return candidates.withColumn("rrf", total).drop(*[f"_r_{s}" for s in scores])
 
 
-def two_phase(candidates: DataFrame, cheap: str, costly: Column, depth: int = RERANK_DEPTH) -> DataFrame:
+def two_phase(candidates: DataFrame, cheap: str, costly: Callable[[DataFrame], DataFrame], depth: int = RERANK_DEPTH) -> DataFrame:
     """Adds `phase` (2 for the best `depth` by `cheap` per query) and `score`.
 
-    The rest keep their cheap score and sort after all of phase 2. The cut is the depth-th
-    row per query, joined back as one small row per query, so no query's whole candidate
-    list is sorted in one task.
+    `costly` turns (qid, id) rows into (qid, id, costly) and only ever sees the best ones; the
+    rest keep their cheap score and sort after all of phase 2. No query's whole candidate list
+    is sorted in one task: the top is found by a pruned window and joined back.
     """
-    order = [F.desc(cheap), F.col("id")]
-    edge = top_k_per_group(candidates.select("qid", "id", cheap), ["qid"], order, depth, "_rn")
-    cut = edge.groupBy("qid").agg(F.max(F.struct((-F.col(cheap)).alias("s"), "id")).alias("_cut"))
-    inside = F.struct((-F.col(cheap)).alias("s"), F.col("id")) <= F.col("_cut")
-    return (
-        candidates.join(cut, "qid").withColumn("phase", F.when(inside, 2).otherwise(1))
-        .withColumn("score", F.when(F.col("phase") == 2, costly).otherwise(F.col(cheap))).drop("_cut")
-    )
+    best = top_k_per_group(candidates.select("qid", "id", cheap), ["qid"], [F.desc(cheap), F.col("id")], depth, "_rn")
+    scored = costly(best.select("qid", "id")).select("qid", "id", "costly", F.lit(2).alias("_phase"))
+    return candidates.join(scored, ["qid", "id"], "left").select(
+        *candidates.columns, F.coalesce("_phase", F.lit(1)).alias("phase"),
+        F.when(F.col("_phase") == 2, F.col("costly")).otherwise(F.col(cheap)).alias("score"))
 
 
 def minmax_fusion(vector_leg: DataFrame, text_leg: DataFrame, alpha: float) -> DataFrame:

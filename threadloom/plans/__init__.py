@@ -11,4 +11,4 @@ def load():
     return registry
 
 
-MODULES = ("etl_queries", "search_queries")
+MODULES = ("etl_queries", "search_queries", "recs_queries", "report_queries", "flow_queries")

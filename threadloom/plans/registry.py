@@ -13,15 +13,24 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def _with_views(sql: str, views: list[str]) -> str:
+    """Put the shared views before the twin's own WITH clause."""
+    if not views:
+        return sql
+    shared = ", ".join(SQL_VIEWS[v].strip() for v in views)
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if sql.startswith(head):
+            return f"{head}{shared}, {sql[len(head):]}"
+    return f"WITH {shared} {sql}"
+
+
 def query(key: str, sql: str | None = None, views: str = ""):
     """Register a query; `views` names the shared SQL views its twin uses."""
 
     def add(fn):
         QUERIES[key] = fn
         if sql is not None:
-            ctes = ", ".join(SQL_VIEWS[v].strip() for v in views.split())
-            ORACLES[key] = (f"WITH {ctes} {sql}" if ctes and not sql.lstrip().upper().startswith("WITH ")
-                            else f"WITH {ctes}, {sql.lstrip()[5:]}" if ctes else sql)
+            ORACLES[key] = _with_views(sql.strip(), views.split())
         return fn
 
     return add

@@ -127,7 +127,7 @@ def _(t):
       len(list_filter(range(8), lambda i: (V.v[b * 8 + i + 1] > 0) <> (QV.v[b * 8 + i + 1] > 0))) = 0)) AS shared FROM V, QV)
   SELECT qid, id, {R('s')} AS score FROM B WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 5000""")
 def _(t):
-    return rounded(NN.ann_candidates(t.vectors, t.query_vectors, DIMS), "score")
+    return rounded(NN.ann_candidates(t.vectors, t.query_vectors), "score")
 
 
 @query("maxsim_keywords", views="V", sql=f"""WITH {CENTROID} SELECT label, {R('max(s)')} AS best, {R('avg(s)')} AS mean, arg_max(id, s) AS closest
@@ -275,15 +275,13 @@ def _(t):
     return search.reciprocal_rank_fusion(pairs, ["t", "s"]).select("qid", "id", r6(c("rrf")).alias("score"))
 
 
-@query("two_phase_rank", views="V QV", sql=f"""WITH S AS (SELECT qid, id, s, ham, row_number() OVER (PARTITION BY qid ORDER BY ham DESC, id) AS rn FROM (SELECT qid, V.id, list_cosine_similarity(V.v, QV.v) AS s,
-      1 / (1 + CAST(list_sum(list_transform(list_zip(V.v, QV.v), lambda p: CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN 1 ELSE 0 END)) AS DOUBLE)) AS ham FROM V, QV))
-  SELECT qid, id, CASE WHEN rn <= 100 THEN 2 ELSE 1 END AS phase, {R('CASE WHEN rn <= 100 THEN s ELSE ham END')} AS score FROM S""")
+@query("two_phase_rank", views=f"{DVV} SC BMV", sql=f"""WITH S AS (SELECT qid, id, bcos, body + title AS t, row_number() OVER (PARTITION BY qid ORDER BY body + title DESC, id) AS rn FROM BW JOIN SC USING (qid, id) WHERE body + title > 0)
+  SELECT qid, id, CASE WHEN rn <= 100 THEN 2 ELSE 1 END AS phase, {R('CASE WHEN rn <= 100 THEN bcos ELSE t END')} AS score FROM S""")
 def _(t):
-    q = t.query_vectors
-    # the cheap score of every (query, item) pair is the operator's input here
-    cheap = NN.nearest(t.vectors, q, threshold=0.0, metric="hamming").withColumnRenamed("score", "cheap")
-    pairs = cheap.join(t.vectors.select("id", "v"), "id").join(q.select("qid", c("v").alias("q")), "qid")
-    out = search.two_phase(pairs, "cheap", V.cosine(c("v"), c("q")), depth=100)
+    d, q, f = dv(t), t.query_vectors, lexical.document_fields()
+    cheap = lexical.bm25(d, "id", {k: f[k] for k in ("title", "body")}, t.query_terms).withColumnRenamed("score", "cheap")
+    costly = lambda best: best.join(d.select("id", "v"), "id").join(q.select("qid", c("v").alias("q")), "qid").select("qid", "id", V.cosine(c("v"), c("q")).alias("costly"))
+    out = search.two_phase(cheap, "cheap", costly, depth=100)
     return rounded(out.select("qid", "id", "phase", "score"), "score")
 
 
@@ -320,10 +318,10 @@ def _(t):
 
 
 @query("three_way_intersect", views=f"{DVV} SC", sql=f"""SELECT qid, id, {R('(9 * bcos + 2 * k + tcos) / 12')} AS score FROM
-  (SELECT SC.*, list_cosine_similarity(DV.kv[1], QV.v) AS k FROM SC JOIN DV USING (id) JOIN QV USING (qid)) WHERE bcos > 0 AND tcos > 0 AND k > 0""")
+  (SELECT SC.*, list_cosine_similarity(DV.kv[1], QV.v) AS k FROM SC JOIN DV USING (id) JOIN QV USING (qid)) WHERE bcos > 0.05 AND tcos > 0.05 AND k > 0.05""")
 def _(t):
     d, q = dv(t).withColumn("kw", c("kv")[0]), t.query_vectors
-    legs = [NN.nearest(d, q, threshold=0.0, vector=v) for v in ("v", "kw", "tv")]
+    legs = [NN.nearest(d, q, threshold=0.05, vector=v) for v in ("v", "kw", "tv")]
     return rounded(search.three_way_intersect(*legs, ["qid", "id"]).select("qid", "id", "score"), "score")
 
 
@@ -410,4 +408,4 @@ def _(t):
     words = lambda text: F.array_join(X.tokens(text), " ")
     d = t.docs.select("id", words(X.rerank_text(c("community"), c("title"), c("body"))).alias("text"))
     best = search.rerank_best_query(d, t.benchmark.select(c("item_id").alias("qid"), words(c("text")).alias("query")), "text", overlap)
-    return rounded(search.rerank_top(best, 0.25, keep=1_000_000_000).select("id", "score", "qid"), "score")
+    return rounded(search.rerank_top(best, 0.25, keep=None).select("id", "score", "qid"), "score")
