@@ -11,7 +11,8 @@ from threadloom.constants import EMOTION_POLARITY, SITE_BASE, SQUASH_PI, UUID_NA
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order, of the whole text."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    # cutting at the gaps is several times faster than collecting regex matches
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def strip_type_prefix(link_id: Column) -> Column:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.functions.text import tokens
+from threadloom.runtime import spread
 from threadloom.operators.extract import pain_point_filter, pain_points_of, persona_filter, personas_of
 
 
@@ -47,7 +48,7 @@ def embed_column(
             yield pd.Series([np.asarray(v, dtype="float64")[:dims] for v in call(batch)])
 
     source = F.concat(F.lit(prefix), F.col(text))
-    return df.withColumn(out, embed(tokens(source) if default else source))
+    return spread(df).withColumn(out, embed(tokens(source) if default else source))
 
 
 def batch_infer(

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.functions.text import tokens
+from threadloom.runtime import spread
 
 
 def pick_phrases(words: list[str], weight: dict[str, float], top: int, diversity: float, max_n: int) -> list[str]:
@@ -22,13 +23,15 @@ def pick_phrases(words: list[str], weight: dict[str, float], top: int, diversity
     # candidates as rows of word ids, padded with an extra word of weight 0
     pad = len(vocab)
     w, doc = np.append(w, 0.0), np.append(doc, 0.0)
-    rows = []
+    base = pad + 1  # a phrase is a number in this base, so distinct phrases are distinct numbers
+    codes = []
     for n in range(1, min(max_n, len(ids)) + 1):
-        grams = np.full((len(ids) - n + 1, max_n), pad)
-        for j in range(n):
-            grams[:, j] = ids[j:len(ids) - n + 1 + j]
-        rows.append(grams)
-    cand = np.unique(np.concatenate(rows), axis=0)  # in vocabulary order, so ties are settled by text
+        code = np.zeros(len(ids) - n + 1, dtype="int64")
+        for j in range(max_n):
+            code = code * base + (ids[j:len(ids) - n + 1 + j] if j < n else pad)
+        codes.append(code)
+    code = np.unique(np.concatenate(codes))  # in vocabulary order, so ties are settled by text
+    cand = np.stack([code // base ** (max_n - 1 - j) % base for j in range(max_n)], axis=1)
     cw = w[cand]
     same = cand[:, :, None] == cand[:, None, :]
     norm = np.sqrt((same * cw[:, :, None] * cw[:, None, :]).sum(axis=(1, 2)))
@@ -57,7 +60,7 @@ def keyphrases(docs: DataFrame, key: str, text: str, top: int = 5, diversity: fl
     Document frequencies are a partial aggregate. A document's own word weights come back to
     it as one map, no larger than the document; the greedy choice then runs per document.
     """
-    toks = docs.select(key, tokens(F.col(text)).alias("words"))
+    toks = spread(docs.select(key, text)).select(key, tokens(F.col(text)).alias("words"))
     seen = toks.select(key, F.explode(F.array_distinct("words")).alias("term"))
     total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(

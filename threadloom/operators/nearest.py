@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.operators.ranking import top_k_per_group
 from threadloom.runtime import fetch_if_small
@@ -55,7 +55,7 @@ def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return x @ q.T
 
 
-class _Best:
+class Best:
     """Running k best (score desc, id asc) per query."""
 
     def __init__(self, n: int, k: int):
@@ -184,7 +184,7 @@ def nearest(
         matrix = np.array([r["v"] for r in few], "float64")
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = _Best(len(qids), k) if k else None
+            best = Best(len(qids), k) if k else None
             for b in batches:
                 if b.num_rows:
                     yield from _consume(np.asarray(b.column(0)), _matrix(b.column(1)), qids, matrix, plan, best)
@@ -214,7 +214,7 @@ def _items_travel(few: list, queries: DataFrame, plan, schema: str) -> DataFrame
             if not b.num_rows:
                 continue
             qids = np.asarray(b.column(0))
-            best = _Best(len(qids), plan[1]) if plan[1] else None
+            best = Best(len(qids), plan[1]) if plan[1] else None
             yield from _consume(ids, x, qids, _matrix(b.column(1)), plan, best)
             if best is not None:
                 yield best.rows(qids)
@@ -234,7 +234,7 @@ def _tiles(items: DataFrame, queries: DataFrame, plan, schema: str, block_rows:
         out = [_batch(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))]
         if x.num_rows and q.num_rows:
             qids = np.asarray(q.column("qid").combine_chunks())
-            best = _Best(len(qids), plan[1]) if plan[1] else None
+            best = Best(len(qids), plan[1]) if plan[1] else None
             ids = np.asarray(x.column("id").combine_chunks())
             out += _consume(ids, _matrix(x.column("v").combine_chunks()), qids, _matrix(q.column("v").combine_chunks()), plan, best)
             if best is not None:
@@ -332,29 +332,32 @@ def label_centroids(items: DataFrame, label: str, dims: int, vector: str = "v")
     return items.groupBy(label).agg(*means).select(label, F.array(*[f"_{i}" for i in range(dims)]).alias("centroid"))
 
 
-def column_stats(items: DataFrame, dims: int, vector: str = "v") -> DataFrame:
-    """One row: arrays of mean, population std, minimum and maximum per component."""
-    fns = {"mean": F.avg, "std": F.stddev_pop, "lo": F.min, "hi": F.max}
-    aggs = [fn(F.col(vector)[i]).alias(f"_{n}{i}") for n, fn in fns.items() for i in range(dims)]
-    return items.agg(*aggs).select(*[F.array(*[f"_{n}{i}" for i in range(dims)]).alias(n) for n in fns])
+STATS = {"mean": F.avg, "std": F.stddev_pop, "lo": F.min, "hi": F.max}
+
+
+def column_stats(items: DataFrame, dims: int, names: list[str], vector: str = "v") -> Column:
+    """Struct of arrays, one value per component, as a scalar subquery: one pass, one row."""
+    aggs = [STATS[n](F.col(vector)[i]).alias(f"_{n}{i}") for n in names for i in range(dims)]
+    arrays = [F.array(*[f"_{n}{i}" for i in range(dims)]).alias(n) for n in names]
+    return items.agg(*aggs).select(F.struct(*arrays)).scalar()
+
+
+def _with_stats(items: DataFrame, dims: int, names: list[str], vector: str, out: str, fn) -> DataFrame:
+    """Replace each component x by fn(row), where row has x and the component's statistics."""
+    zipped = F.arrays_zip(F.col(vector).alias("x"), *[F.col(f"_st.{n}").alias(n) for n in names])
+    return items.withColumn("_st", column_stats(items, dims, names, vector)).withColumn(out, F.transform(zipped, fn)).drop("_st")
 
 
 def standardise(items: DataFrame, dims: int, vector: str = "v", out: str = "z") -> DataFrame:
     """(x - mean) / population std per component; a constant component divides by 1."""
-    stats = column_stats(items, dims, vector)
-    mean, std = stats.select("mean").scalar(), stats.select("std").scalar()
-    return items.withColumn("_m", mean).withColumn("_s", std).withColumn(out, F.transform(
-        F.arrays_zip(F.col(vector).alias("x"), F.col("_m").alias("m"), F.col("_s").alias("s")),
-        lambda r: (r["x"] - r["m"]) / F.when(r["s"] > 0, r["s"]).otherwise(1.0),
-    )).drop("_m", "_s")
+    return _with_stats(items, dims, ["mean", "std"], vector, out,
+                       lambda r: (r["x"] - r["mean"]) / F.when(r["std"] > 0, r["std"]).otherwise(1.0))
 
 
 def scalar_quantise(items: DataFrame, dims: int, vector: str = "v", out: str = "code") -> DataFrame:
     """Components to 256 buckets between the table's minimum and maximum, as -128..127."""
-    stats = column_stats(items, dims, vector)
-    lo, hi = stats.select("lo").scalar(), stats.select("hi").scalar()
-    bucket = lambda r: F.when(r["h"] > r["l"], F.least(F.lit(255.0), F.floor((r["x"] - r["l"]) / ((r["h"] - r["l"]) / 255)))).otherwise(0.0)
-    return items.withColumn("_l", lo).withColumn("_h", hi).withColumn(out, F.transform(
-        F.arrays_zip(F.col(vector).alias("x"), F.col("_l").alias("l"), F.col("_h").alias("h")),
-        lambda r: (bucket(r) - 128).cast("int"),
-    )).drop("_l", "_h")
+    def bucket(r):
+        step = (r["hi"] - r["lo"]) / 255
+        return (F.when(step > 0, F.least(F.lit(255.0), F.floor((r["x"] - r["lo"]) / step))).otherwise(0.0) - 128).cast("int")
+
+    return _with_stats(items, dims, ["lo", "hi"], vector, out, bucket)

@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from threadloom.constants import HYBRID_LEGS, LEG_WEIGHTS
 from threadloom.functions import vectors as V
 from threadloom.functions.text import squash
-from threadloom.operators.lexical import bm25, bm25_by_field, document_fields
+from threadloom.operators.lexical import bm25_hits, bm25_pairs, document_fields
 from threadloom.operators.nearest import nearest
 from threadloom.operators.ranking import best_per_key, top_k, top_k_per_group
+from threadloom.runtime import spread
 
 RERANK_DEPTH = 1000
 ANN_HITS = 5000
 HITS = 700
+LEG_HITS = 10_000   # rows a hybrid search fetches per leg and query
 
 
 def best_query_per_doc(hits: DataFrame, ascending: bool = False) -> DataFrame:
@@ -96,8 +98,8 @@ def three_way_intersect(body: DataFrame, keywords: DataFrame, title: DataFrame,
 def hybrid_leg(docs: DataFrame, queries: DataFrame, terms: DataFrame, vector: str, fields: dict[str, Column],
                weights: dict[str, float], alpha: float, max_distance: float) -> DataFrame:
     """One field's hybrid search: vectors within a distance fused with weighted BM25."""
-    vec = nearest(docs, queries, threshold=1 - max_distance, vector=vector)
-    return minmax_fusion(vec, bm25(docs, "id", fields, terms, weights), alpha)
+    vec = nearest(docs, queries, k=LEG_HITS, vector=vector).filter(F.col("score") > 1 - max_distance)
+    return minmax_fusion(vec, bm25_hits(docs, "id", fields, terms, LEG_HITS, weights), alpha)
 
 
 def three_leg_search(docs: DataFrame, queries: DataFrame, terms: DataFrame, legs: dict = HYBRID_LEGS) -> DataFrame:
@@ -134,8 +136,7 @@ def semantic_rescoring(docs: DataFrame, queries: DataFrame, vector: str = "v", d
     return top_k_per_group(scored, ["qid"], [F.desc("score"), F.col("id")], hits).drop("rn")
 
 
-def weighted_closeness(docs: DataFrame, queries: DataFrame, terms: DataFrame, depth: int = RERANK_DEPTH, hits: int = HITS,
-                       corpus: DataFrame | None = None) -> DataFrame:
+def weighted_closeness(docs: DataFrame, queries: DataFrame, terms: DataFrame, depth: int = RERANK_DEPTH, hits: int = HITS) -> DataFrame:
     """Hits with every score part (match features).
 
     The full candidate set is text OR sign-code neighbours OR title neighbours, ranked first by
@@ -143,7 +144,7 @@ def weighted_closeness(docs: DataFrame, queries: DataFrame, terms: DataFrame, de
     neighbours are a leg of their own; so only they are fetched and scored in full.
     """
     first = nearest(docs, queries, k=depth, metric="hamming").withColumnRenamed("score", "first_phase")
-    parts = bm25_by_field(corpus if corpus is not None else docs, "id", document_fields(), terms, only=first)
+    parts = bm25_pairs(docs, "id", document_fields(), terms, first)
     pairs = (
         first.join(parts, ["qid", "id"], "left").fillna(0.0, ["title", "body", "keywords"])
         .join(docs.select("id", "v", "tv", "kv"), "id").join(queries.select("qid", F.col("v").alias("_q")), "qid")
@@ -163,7 +164,7 @@ def hybrid_rrf(docs: DataFrame, queries: DataFrame, terms: DataFrame, depth: int
     """Sign-code closeness first, then rank fusion of four-field BM25 and vector closeness."""
     first = nearest(docs, queries, k=depth, metric="hamming").withColumnRenamed("score", "first_phase")
     fields = document_fields(with_community=True)
-    text = bm25_by_field(docs, "id", fields, terms, only=first).select("qid", "id", sum(F.col(f) for f in fields).alias("bm25sum"))
+    text = bm25_pairs(docs, "id", fields, terms, first).select("qid", "id", sum(F.col(f) for f in fields).alias("bm25sum"))
     pairs = first.join(text, ["qid", "id"], "left").fillna(0.0, ["bm25sum"])
     pairs = pairs.join(docs.select("id", "v"), "id").join(queries.select("qid", F.col("v").alias("_q")), "qid")
     scored = pairs.withColumn("closeness", V.angular_closeness(F.col("v"), F.col("_q"))).drop("v", "_q")
@@ -204,4 +205,4 @@ def rerank_best_query(docs: DataFrame, queries: DataFrame, text: str, scorer, ma
             out = pd.DataFrame({"id": pdf["id"], "qid": np.array([k for k, _ in wanted], "int64")[pick], "score": best})
             yield out[out["score"] > 0]
 
-    return docs.select("id", text).mapInPandas(run, "id bigint, qid bigint, score double")
+    return spread(docs).select("id", text).mapInPandas(run, "id bigint, qid bigint, score double")

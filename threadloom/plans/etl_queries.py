@@ -10,7 +10,7 @@ from threadloom.functions import text as X
 from threadloom.operators import clean, ranking
 from threadloom.plans.registry import query
 from threadloom.plans.views import tok
-from threadloom.runtime import scratch_path
+from threadloom.runtime import scratch_path, spread
 from threadloom.sources import files
 
 KEPT = """KP AS (SELECT * REPLACE (selftext AS selftext) FROM P WHERE selftext <> '[removed]' AND selftext IS NOT NULL),
@@ -471,7 +471,7 @@ scalar("join_keywords", "conversations", lambda: ["conv_id", "turn", X.join_keyw
 def _(t):
     # word boundaries differ between engines outside ASCII, so both sides count the ASCII form
     s = X.text_stats(X.ascii_only(c("text")))
-    return t.documents.select("doc_id", s.alias("s")).filter("s IS NOT NULL").select("doc_id", *[
+    return spread(t.documents).select("doc_id", s.alias("s")).filter("s IS NOT NULL").select("doc_id", *[
         c(f"s.{a}").cast("bigint").alias(b) for a, b in (("word_count", "words"), ("sentence_count", "sentences"), ("paragraph_count", "paragraphs"))])
 
 

@@ -186,14 +186,15 @@ def _(t):
     return rounded(recs.recommend_with_ctr(users, items), "closeness", "ctr", "score")
 
 
-@query("popularity_rank", views="D QT BM I", sql=f"""WITH PO AS (SELECT item AS id, sum(label) / count(*) AS p FROM I GROUP BY 1)
-  SELECT qid, id, {R('body + title + 100 * coalesce(p, 0)')} AS score FROM BW LEFT JOIN PO USING (id) WHERE body + title > 0""")
+@query("popularity_rank", views="D QT BM I", sql=f"""WITH PO AS (SELECT item AS id, sum(label) / count(*) AS p FROM I GROUP BY 1),
+  S AS (SELECT qid, id, round(BW.body + BW.title, 12) + 100 * coalesce(p, 0) AS s FROM BW LEFT JOIN PO USING (id) WHERE BW.body + BW.title > 0)
+  SELECT qid, id, {R('s')} AS score FROM S QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 700""")
 def _(t):
     f = lexical.document_fields()
-    text = lexical.bm25(t.docs, "id", {k: f[k] for k in ("title", "body")}, t.query_terms)
-    items = t.docs.select(c("id").alias("item"))
-    pop = recs.popularity(recs.click_counts(items, t.impressions)).select(c("item").alias("id"), "popularity")
-    return text.join(pop, "id").select("qid", "id", r6(c("score") + 100 * c("popularity")).alias("score"))
+    pop = recs.popularity(recs.click_counts(t.docs.select(c("id").alias("item")), t.impressions))
+    docs = t.docs.join(pop.select(c("item").alias("id"), (100 * c("popularity")).alias("bonus")), "id")
+    hits = lexical.bm25_hits(docs, "id", {k: f[k] for k in ("title", "body")}, t.query_terms, bonus="bonus")
+    return rounded(hits, "score")
 
 
 @query("train_mf")

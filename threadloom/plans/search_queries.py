@@ -12,7 +12,7 @@ from threadloom.functions import text as X, vectors as V
 from threadloom.operators import lexical, nearest as NN, ranking, search
 from threadloom.plans.registry import query
 from threadloom.plans.views import DIMS, rotate, tok
-from threadloom.runtime import durable
+from threadloom.runtime import spread
 
 c = F.col
 
@@ -148,33 +148,30 @@ def _(t):
 
 # ---- lexical -----------------------------------------------------------------
 
-def bm_sql(expr, where="true", src="BW"):
-    return f"SELECT qid, id, {R(expr)} AS score FROM {src} WHERE {where}"
+def bm_sql(expr, k=700):
+    return f"SELECT qid, id, {R(expr)} AS score FROM BW WHERE {expr} > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round({expr}, 12) DESC, id) <= {k}"
 
 
-@query("bm25", views="D QT BM", sql=bm_sql("title + body + keywords", "title + body + keywords > 0"))
+@query("bm25", views="D QT BM", sql=bm_sql("title + body + keywords"))
 def _(t):
-    return rounded(lexical.bm25(t.docs, "id", lexical.document_fields(), t.query_terms), "score")
+    return rounded(lexical.bm25_hits(t.docs, "id", lexical.document_fields(), t.query_terms), "score")
 
 
 @query("bm25_sum4", views="D QT BM", sql=bm_sql("title + body + keywords + community"))
 def _(t):
-    return rounded(lexical.bm25(t.docs, "id", lexical.document_fields(True), t.query_terms), "score")
+    return rounded(lexical.bm25_hits(t.docs, "id", lexical.document_fields(True), t.query_terms), "score")
 
 
-@query("fieldset_search", views="D QT BM", sql=f"""SELECT qid, id, {R('title + body + keywords')} AS score FROM BW WHERE title + body + keywords > 0
-  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY title + body + keywords DESC, id) <= 400""")
+@query("fieldset_search", views="D QT BM", sql=bm_sql("title + body + keywords", 400))
 def _(t):
-    s = lexical.bm25(t.docs, "id", lexical.document_fields(), t.query_terms)
-    return rounded(ranking.top_k_per_group(s, ["qid"], [F.desc("score"), c("id")], 400).drop("rn"), "score")
+    return rounded(lexical.bm25_hits(t.docs, "id", lexical.document_fields(), t.query_terms, k=400), "score")
 
 
 @query("fulltext_rank", views="D QT", sql=f"""WITH T AS (SELECT id, len(toks) AS dl, unnest(toks) AS term FROM (SELECT id, {tok('body')} AS toks FROM D))
   SELECT qid, id, {R('count(*) / max(dl)')} AS score FROM T JOIN QT USING (term) GROUP BY qid, id
-  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY count(*) / max(dl) DESC, id) <= 10000""")
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(count(*) / max(dl), 12) DESC, id) <= 10000""")
 def _(t):
-    s = lexical.fulltext_rank(t.docs, "id", "body", t.query_terms)
-    return rounded(ranking.top_k_per_group(s, ["qid"], [F.desc("score"), c("id")], 10_000).drop("rn"), "score")
+    return rounded(lexical.fulltext_hits(t.docs, "id", "body", t.query_terms), "score")
 
 
 # phrases: every three consecutive words of every benchmark item
@@ -216,15 +213,15 @@ def _(t):
     UNION ALL SELECT qid, id FROM ({ALLQ}) WHERE s > 0.25 AND id IN (SELECT id FROM D))""")
 def _(t):
     f = lexical.document_fields()
-    text = lexical.bm25(t.docs, "id", {k: f[k] for k in ("title", "body")}, t.query_terms)
-    wanted = text.join(t.docs.filter(c("community") == "src7").select("id"), "id", "left_semi")
+    here = t.docs.filter(c("community") == "src7")
+    wanted = lexical.text_matches(here, "id", {k: f[k] for k in ("title", "body")}, t.query_terms)
     near = NN.nearest(t.vectors, t.query_vectors, threshold=0.25).join(t.docs.select("id"), "id", "left_semi")
     return search.union_candidates(wanted, near)
 
 
-@query("atan_scale", views="D QT BM", sql=f"SELECT qid, id, {R('2 * atan(body / 8) / 3.14159')} AS scaled FROM BW WHERE body > 0")
+@query("atan_scale", views="D QT BM", sql=f"SELECT qid, id, {R('2 * atan(body / 8) / 3.14159')} AS scaled FROM BW WHERE body > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY body DESC, id) <= 700")
 def _(t):
-    s = lexical.bm25(t.docs, "id", {"body": X.tokens(c("body"))}, t.query_terms)
+    s = lexical.bm25_hits(t.docs, "id", {"body": X.tokens(c("body"))}, t.query_terms)
     return s.select("qid", "id", r6(X.squash(c("score"))).alias("scaled"))
 
 
@@ -269,17 +266,17 @@ def _(t):
 def _(t):
     d, q = dv(t), t.query_vectors
     first = NN.nearest(d, q, k=1000, metric="hamming")
-    text = lexical.bm25_by_field(t.docs, "id", {"body": X.tokens(c("body"))}, t.query_terms, only=first).withColumnRenamed("body", "t")
+    text = lexical.bm25_pairs(t.docs, "id", {"body": X.tokens(c("body"))}, t.query_terms, first).withColumnRenamed("body", "t")
     pairs = first.join(text, ["qid", "id"], "left").fillna(0.0, ["t"]).drop("score")
     pairs = pairs.join(d.select("id", "v"), "id").join(q.select("qid", c("v").alias("q")), "qid").select("qid", "id", "t", V.cosine(c("v"), c("q")).alias("s"))
     return search.reciprocal_rank_fusion(pairs, ["t", "s"]).select("qid", "id", r6(c("rrf")).alias("score"))
 
 
-@query("two_phase_rank", views=f"{DVV} SC BMV", sql=f"""WITH S AS (SELECT qid, id, bcos, body + title AS t, row_number() OVER (PARTITION BY qid ORDER BY body + title DESC, id) AS rn FROM BW JOIN SC USING (qid, id) WHERE body + title > 0)
+@query("two_phase_rank", views=f"{DVV} SC BMV", sql=f"""WITH S AS (SELECT qid, id, bcos, body + title AS t, row_number() OVER (PARTITION BY qid ORDER BY round(body + title, 12) DESC, id) AS rn FROM BW JOIN SC USING (qid, id) WHERE body + title > 0 QUALIFY rn <= 300)
   SELECT qid, id, CASE WHEN rn <= 100 THEN 2 ELSE 1 END AS phase, {R('CASE WHEN rn <= 100 THEN bcos ELSE t END')} AS score FROM S""")
 def _(t):
     d, q, f = dv(t), t.query_vectors, lexical.document_fields()
-    cheap = lexical.bm25(d, "id", {k: f[k] for k in ("title", "body")}, t.query_terms).withColumnRenamed("score", "cheap")
+    cheap = lexical.bm25_hits(d, "id", {k: f[k] for k in ("title", "body")}, t.query_terms, k=300).withColumnRenamed("score", "cheap")
     costly = lambda best: best.join(d.select("id", "v"), "id").join(q.select("qid", c("v").alias("q")), "qid").select("qid", "id", V.cosine(c("v"), c("q")).alias("costly"))
     out = search.two_phase(cheap, "cheap", costly, depth=100)
     return rounded(out.select("qid", "id", "phase", "score"), "score")
@@ -307,8 +304,8 @@ BM_DV = f"{DVV} SC BMV"
   "SELECT qid, id, body AS s FROM BW WHERE body > 0", 0.9, "X")} SELECT qid, id, {R('s')} AS score FROM X""")
 def _(t):
     d = dv(t)
-    legs = NN.nearest(d, t.query_vectors, threshold=0.15), lexical.bm25(d, "id", {"body": X.tokens(c("body"))}, t.query_terms)
-    return rounded(search.minmax_fusion(*legs, 0.9), "score")
+    leg = search.hybrid_leg(d, t.query_vectors, t.query_terms, "v", {"body": X.tokens(c("body"))}, {}, 0.9, 0.85)
+    return rounded(leg, "score")
 
 
 @query("hybrid_leg_search", views=BM_DV, sql=f"WITH {K1}, {LEGS_SQL} SELECT qid, id, {R('(9 * LB.s + 2 * LK.s + LT.s) / 12')} AS score FROM LB JOIN LK USING (qid, id) JOIN LT USING (qid, id)")
@@ -330,14 +327,14 @@ def _(t):
   UNION ALL (SELECT qid, id FROM SC QUALIFY row_number() OVER (PARTITION BY qid ORDER BY tcos DESC, id) <= 50))""")
 def _(t):
     d, q = dv(t), t.query_vectors
-    text = lexical.bm25(d, "id", {"title": X.tokens(c("title"))}, t.query_terms)
+    text = lexical.text_matches(d, "id", {"title": X.tokens(c("title"))}, t.query_terms)
     return search.union_candidates(text, NN.nearest(d, q, k=50, metric="hamming"), NN.nearest(d, q, k=50, vector="tv"))
 
 
 @query("funnel_search", views=BM_DV, sql=f"SELECT qid, id, {R('tcos')} AS score FROM SC WHERE bcos > 0.05 AND tcos > 0 AND (qid, id) IN (SELECT (qid, id) FROM BW WHERE keywords > 0)")
 def _(t):
     d, q = dv(t), t.query_vectors
-    words = lexical.bm25(d, "id", {"keywords": c("keywords")}, t.query_terms)
+    words = lexical.text_matches(d, "id", {"keywords": c("keywords")}, t.query_terms)
     return rounded(search.funnel(NN.nearest(d, q, threshold=0.05), words, NN.nearest(d, q, threshold=0.0, vector="tv")), "score")
 
 
@@ -406,6 +403,6 @@ def _(t):
         return [[len(w & h) / len(w) for w in wanted] for h in held]
 
     words = lambda text: F.array_join(X.tokens(text), " ")
-    d = t.docs.select("id", words(X.rerank_text(c("community"), c("title"), c("body"))).alias("text"))
+    d = spread(t.docs).select("id", words(X.rerank_text(c("community"), c("title"), c("body"))).alias("text"))
     best = search.rerank_best_query(d, t.benchmark.select(c("item_id").alias("qid"), words(c("text")).alias("query")), "text", overlap)
     return rounded(search.rerank_top(best, 0.25, keep=None).select("id", "score", "qid"), "score")

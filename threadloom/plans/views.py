@@ -189,10 +189,10 @@ SQL_VIEWS = {
             * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS s
           FROM TF t JOIN DFQ USING (field, term) JOIN FL USING (field) JOIN QT q ON q.term = t.term
           GROUP BY q.qid, t.id, t.field),
-        BW AS (SELECT qid, id, round(coalesce(sum(s) FILTER (field = 'title'), 0), 9) AS title,
-            round(coalesce(sum(s) FILTER (field = 'body'), 0), 9) AS body,
-            round(coalesce(sum(s) FILTER (field = 'keywords'), 0), 9) AS keywords,
-            round(coalesce(sum(s) FILTER (field = 'community'), 0), 9) AS community
+        BW AS (SELECT qid, id, round(coalesce(sum(s) FILTER (field = 'title'), 0), 12) AS title,
+            round(coalesce(sum(s) FILTER (field = 'body'), 0), 12) AS body,
+            round(coalesce(sum(s) FILTER (field = 'keywords'), 0), 12) AS keywords,
+            round(coalesce(sum(s) FILTER (field = 'community'), 0), 12) AS community
           FROM BM GROUP BY qid, id)""",
     # sign codes and all query x document scores the hybrid twins need
     "SC": """SC AS (SELECT qid, id, 1 / (1 + CAST(list_sum(list_transform(list_zip(DV.v, QV.v),

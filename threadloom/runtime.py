@@ -63,3 +63,21 @@ def fetch_if_small(df: DataFrame, max_rows: int) -> list | None:
     """
     rows = df.limit(max_rows + 1).collect()
     return rows if len(rows) <= max_rows else None
+
+
+def _bytes(text: str) -> int:
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    text = text.lower().rstrip("b")
+    return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for heavy per-row work on an input too small to have a split per core.
+
+    A table of one small file is read by one task. Its estimated size decides: anything that
+    gives every core a split of its own is left alone, so a large table is never shuffled here.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes")) else df
