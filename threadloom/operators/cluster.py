@@ -7,10 +7,10 @@ exemplars, distances and sizes are applied to those.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from threadloom.functions import vectors as V
-from threadloom.operators.nearest import similar_pairs, standardise
+from threadloom.operators.nearest import label_centroids, similar_pairs, standardise
 from threadloom.runtime import durable
 
 MISC = -1  # cluster of items that belong nowhere
@@ -46,35 +46,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _sums(members: DataFrame, group: str, dims: int, vector: str) -> DataFrame:
-    total = members.groupBy(group).agg(*[F.sum(F.col(vector)[i]).alias(f"_{i}") for i in range(dims)], F.count(F.lit(1)).alias("_n"))
-    return total.select(group, F.array(*[f"_{i}" for i in range(dims)]).alias("_sum"), "_n")
-
-
-def exemplars(members: DataFrame, group: str, dims: int, vector: str = "v", euclid: bool = False) -> DataFrame:
+def exemplars(members: DataFrame, group: str, vector: str = "v", euclid: bool = False) -> DataFrame:
     """(group, exemplar, exemplar vector): the member nearest to all others, lowest id on a tie.
 
-    With unit vectors the mean similarity to all members is the product with their sum, so no
+    With unit vectors the mean similarity to all members is the product with their mean, so no
     pair of members is formed. `euclid` takes the member nearest to the mean instead.
     """
-    sums = _sums(members, group, dims, vector)
-    if euclid:
-        near = V.euclidean(F.col(vector), F.transform("_sum", lambda x: x / F.col("_n")))
-    else:
-        near = -V.dot(F.col(vector), F.col("_sum")) / F.col("_n")
-    ranked = members.join(sums, group).select(group, F.round(near, 9).alias("_far"), "id", vector)
+    mean = F.col("centroid")
+    far = V.euclidean(F.col(vector), mean) if euclid else -V.dot(F.col(vector), mean)
+    ranked = members.join(label_centroids(members, group, vector), group).select(group, F.round(far, 9).alias("_far"), "id", vector)
     best = ranked.groupBy(group).agg(F.min(F.struct("_far", "id", vector)).alias("_b"))
     return best.select(group, F.col("_b.id").alias("exemplar"), F.col(f"_b.{vector}").alias("_ev"))
 
 
-def assign_exemplar_distance(members: DataFrame, group: str, dims: int, vector: str = "v", euclid: bool = False) -> DataFrame:
+def assign_exemplar_distance(members: DataFrame, group: str, vector: str = "v", euclid: bool = False) -> DataFrame:
     """Members with their exemplar and the distance to it (1 - similarity, or Euclid)."""
-    joined = members.join(exemplars(members, group, dims, vector, euclid), group)
+    joined = members.join(exemplars(members, group, vector, euclid), group)
     d = V.euclidean(F.col(vector), F.col("_ev")) if euclid else 1 - V.cosine(F.col(vector), F.col("_ev"))
     return joined.withColumn("distance", F.when(F.col("id") == F.col("exemplar"), F.lit(0.0)).otherwise(d)).drop("_ev")
 
 
-def exemplar_clusters(items: DataFrame, dims: int, threshold: float = 0.85, max_distance: float | None = None, vector: str = "v") -> DataFrame:
+def exemplar_clusters(items: DataFrame, threshold: float = 0.85, max_distance: float | None = None, vector: str = "v") -> DataFrame:
     """(id, cluster, distance): groups of items at least `threshold` similar in a chain.
 
     Items further than `max_distance` (default 1 - threshold) from their exemplar go to misc, as
@@ -83,7 +75,7 @@ def exemplar_clusters(items: DataFrame, dims: int, threshold: float = 0.85, max_
     cut = (1 - threshold) if max_distance is None else max_distance
     groups = connected_components(similar_pairs(items, threshold, vector=vector))
     unit = items.select("id", V.l2_normalise(F.col(vector)).alias("v")).join(groups, "id")
-    placed = assign_exemplar_distance(unit, "component", dims).select("id", "exemplar", "distance")
+    placed = assign_exemplar_distance(unit, "component").select("id", "exemplar", "distance")
     near = placed.filter(F.col("distance") <= cut + 1e-9)
     full = near.groupBy("exemplar").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("exemplar")
     kept = near.join(full, "exemplar").select("id", F.col("exemplar").alias("cluster"), "distance")
@@ -91,7 +83,7 @@ def exemplar_clusters(items: DataFrame, dims: int, threshold: float = 0.85, max_
         "id", F.coalesce("cluster", F.lit(MISC)).alias("cluster"), "distance")
 
 
-def density_clusters(items: DataFrame, dims: int, eps: float, min_size: int | None = None, min_samples: int | None = None, vector: str = "v") -> DataFrame:
+def density_clusters(items: DataFrame, eps: float, min_size: int | None = None, min_samples: int | None = None, vector: str = "v") -> DataFrame:
     """(id, cluster, distance): components of dense items after standardising; noise is -1.
 
     An item is dense when at least `min_samples` others are within `eps`; dense items within
@@ -102,7 +94,7 @@ def density_clusters(items: DataFrame, dims: int, eps: float, min_size: int | No
         small = items.count() < 500
         min_size = min_size or (2 if small else 5)
         min_samples = min_samples or (1 if small else 3)
-    z = standardise(items.select("id", F.col(vector).alias("v")), dims).select("id", "z")
+    z = standardise(items.select("id", F.col(vector).alias("v"))).select("id", "z")
     pairs = durable(similar_pairs(z, eps, metric="euclid", vector="z"))
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
     dense = ends.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_samples).select("id")
@@ -111,7 +103,7 @@ def density_clusters(items: DataFrame, dims: int, eps: float, min_size: int | No
     groups = connected_components(edges)
     full = groups.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_size).select("component")
     members = z.join(groups.join(full, "component", "left_semi"), "id")
-    placed = assign_exemplar_distance(members, "component", dims, "z", euclid=True).select("id", F.col("component").alias("cluster"), "distance")
+    placed = assign_exemplar_distance(members, "component", "z", euclid=True).select("id", F.col("component").alias("cluster"), "distance")
     return items.select("id").join(placed, "id", "left").select("id", F.coalesce("cluster", F.lit(MISC)).alias("cluster"), "distance")
 
 

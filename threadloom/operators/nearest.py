@@ -17,7 +17,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from threadloom.operators.ranking import top_k_per_group
 from threadloom.runtime import fetch_if_small
@@ -326,38 +328,79 @@ def ann_candidates(items: DataFrame, queries: DataFrame, k: int = 5000, vector:
     return nearest(items, queries, k=k, vector=vector, coded=True, **sizes)
 
 
-def label_centroids(items: DataFrame, label: str, dims: int, vector: str = "v") -> DataFrame:
-    """Mean vector per label: one partial aggregate, no exploded components."""
-    means = [F.avg(F.col(vector)[i]).alias(f"_{i}") for i in range(dims)]
-    return items.groupBy(label).agg(*means).select(label, F.array(*[f"_{i}" for i in range(dims)]).alias("centroid"))
+def pair_scores(pairs: DataFrame, scores: dict[str, tuple[str, str]], best: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Cosines of two vector columns per row, for each `name: (left, right)`; the vectors are dropped.
+
+    `best` does the same for a left column that is a list of vectors, taking the highest cosine
+    (null for an empty list). Whole Arrow batches are multiplied at once, which beats
+    per-element lambdas when many pairs are scored. A vector without length gives null.
+    """
+    best = best or {}
+    vectors = {c for pair in scores.values() for c in pair} | {right for _, right in best.values()}
+    lists = {left for left, _ in best.values()}
+    kept = [f for f in pairs.schema.fields if f.name not in vectors | lists]
+    schema = T.StructType([*kept, *[T.StructField(n, T.DoubleType()) for n in [*scores, *best]]])
+
+    def highest(column, right: np.ndarray) -> np.ndarray:
+        count = np.asarray(column.value_lengths().fill_null(0)).astype("int64")
+        inner = column.flatten()
+        out = np.full(len(count), np.nan)
+        if len(inner):
+            row = np.repeat(np.arange(len(count)), count)
+            cos = np.einsum("ij,ij->i", _unit(_matrix(inner)), right[row])
+            filled = np.flatnonzero(count)
+            out[filled] = np.fmax.reduceat(cos, (np.cumsum(count) - count)[filled])
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            units = {c: _unit(_matrix(b.column(c))) for c in vectors}
+            out = [np.einsum("ij,ij->i", units[x], units[y]) for x, y in scores.values()]
+            out += [highest(b.column(x), units[y]) for x, y in best.values()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(f.name) for f in kept] + [pa.array(o, mask=np.isnan(o)) for o in out], [f.name for f in schema.fields])
+
+    plain = [F.col(c).cast("array<double>").alias(c) for c in vectors]
+    nested = [F.col(c).cast("array<array<double>>").alias(c) for c in lists]
+    return pairs.select(*[f.name for f in kept], *plain, *nested).mapInArrow(run, schema)
 
 
-STATS = {"mean": F.avg, "std": F.stddev_pop, "lo": F.min, "hi": F.max}
+def label_centroids(items: DataFrame, label: str, vector: str = "v") -> DataFrame:
+    """Mean vector per label: one partial aggregate over whole vectors."""
+    mean = Summarizer.mean(array_to_vector(F.col(vector)))
+    return items.groupBy(label).agg(mean.alias("_m")).select(label, vector_to_array("_m").alias("centroid"))
 
 
-def column_stats(items: DataFrame, dims: int, names: list[str], vector: str = "v") -> Column:
-    """Struct of arrays, one value per component, as a scalar subquery: one pass, one row."""
-    aggs = [STATS[n](F.col(vector)[i]).alias(f"_{n}{i}") for n in names for i in range(dims)]
-    arrays = [F.array(*[f"_{n}{i}" for i in range(dims)]).alias(n) for n in names]
-    return items.agg(*aggs).select(F.struct(*arrays)).scalar()
+def column_stats(items: DataFrame, vector: str = "v") -> Column:
+    """Struct of arrays (mean, population std, lo, hi), one value per component, as a scalar subquery."""
+    x = array_to_vector(F.col(vector))
+    metrics = Summarizer.metrics("mean", "variance", "min", "max", "count").summary(x)
+    s = items.agg(metrics.alias("s")).select("s.*")
+    n = F.col("count")
+    population = F.transform(vector_to_array("variance"), lambda v: F.sqrt(v * (n - 1) / n))
+    return s.select(F.struct(
+        vector_to_array("mean").alias("mean"), population.alias("std"), vector_to_array("min").alias("lo"), vector_to_array("max").alias("hi"),
+    )).scalar()
 
 
-def _with_stats(items: DataFrame, dims: int, names: list[str], vector: str, out: str, fn) -> DataFrame:
+def _with_stats(items: DataFrame, names: list[str], vector: str, out: str, fn) -> DataFrame:
     """Replace each component x by fn(row), where row has x and the component's statistics."""
     zipped = F.arrays_zip(F.col(vector).alias("x"), *[F.col(f"_st.{n}").alias(n) for n in names])
-    return items.withColumn("_st", column_stats(items, dims, names, vector)).withColumn(out, F.transform(zipped, fn)).drop("_st")
+    return items.withColumn("_st", column_stats(items, vector)).withColumn(out, F.transform(zipped, fn)).drop("_st")
 
 
-def standardise(items: DataFrame, dims: int, vector: str = "v", out: str = "z") -> DataFrame:
+def standardise(items: DataFrame, vector: str = "v", out: str = "z") -> DataFrame:
     """(x - mean) / population std per component; a constant component divides by 1."""
-    return _with_stats(items, dims, ["mean", "std"], vector, out,
+    return _with_stats(items, ["mean", "std"], vector, out,
                        lambda r: (r["x"] - r["mean"]) / F.when(r["std"] > 0, r["std"]).otherwise(1.0))
 
 
-def scalar_quantise(items: DataFrame, dims: int, vector: str = "v", out: str = "code") -> DataFrame:
+def scalar_quantise(items: DataFrame, vector: str = "v", out: str = "code") -> DataFrame:
     """Components to 256 buckets between the table's minimum and maximum, as -128..127."""
     def bucket(r):
         step = (r["hi"] - r["lo"]) / 255
         return (F.when(step > 0, F.least(F.lit(255.0), F.floor((r["x"] - r["lo"]) / step))).otherwise(0.0) - 128).cast("int")
 
-    return _with_stats(items, dims, ["lo", "hi"], vector, out, bucket)
+    return _with_stats(items, ["lo", "hi"], vector, out, bucket)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.functions import vectors as V
 from threadloom.functions.text import md5_number
-from threadloom.operators.nearest import nearest
+from threadloom.operators.nearest import label_centroids, nearest
 from threadloom.operators.ranking import dense_index, sample_bernoulli, top_k_per_group, with_group_position
 from threadloom.runtime import durable
 
@@ -149,20 +149,18 @@ def train_factors(impressions: DataFrame, rank: int = 50, seed: int = 1, iterati
 def content_vectors(news: DataFrame, vectors: DataFrame, dims: int, buckets: int = 32) -> DataFrame:
     """(id, v): the text vector followed by hashed one-hot category, subcategory and first entity."""
     base = lookup_vectors(news, vectors.select(F.col("id").alias("item"), "v"), "item", "v", dims)
-    slots = [md5_number(F.lit(name), F.col(name)) % buckets for name in ("category", "subcategory", "entity")]
-    one_hot = [F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), _equals(s)) for s in slots]
-    return base.select(F.col("item").alias("id"), F.concat(F.col("v"), *one_hot).alias("v"))
+    def one_hot(name: str) -> Column:
+        slot = (md5_number(F.lit(name), F.col(name)) % buckets).cast("int")
+        zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+        return F.concat(zeros(slot), F.array(F.lit(1.0)), zeros(F.lit(buckets - 1) - slot))
 
+    return base.select(F.col("item").alias("id"), F.concat("v", *[one_hot(n) for n in ("category", "subcategory", "entity")]).alias("v"))
 
-def _equals(slot: Column):
-    return lambda i: F.when(i == slot, F.lit(1.0)).otherwise(F.lit(0.0))
 
-
-def user_profiles(impressions: DataFrame, items: DataFrame, dims: int) -> DataFrame:
+def user_profiles(impressions: DataFrame, items: DataFrame) -> DataFrame:
     """(id, v): mean content vector of the items a user clicked."""
     clicked = impressions.filter("label > 0").join(items.select(F.col("id").alias("item"), "v"), "item")
-    means = clicked.groupBy("user_id").agg(*[F.avg(F.col("v")[i]).alias(f"_{i}") for i in range(dims)])
-    return means.select(F.col("user_id").alias("id"), F.array(*[f"_{i}" for i in range(dims)]).alias("v"))
+    return label_centroids(clicked, "user_id").select(F.col("user_id").alias("id"), F.col("centroid").alias("v"))
 
 
 def train_content_model(pairs: DataFrame, users: DataFrame, items: DataFrame, iterations: int = 15, reg: float = 1e-5):

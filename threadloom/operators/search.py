@@ -15,7 +15,7 @@ from threadloom.constants import HYBRID_LEGS, LEG_WEIGHTS
 from threadloom.functions import vectors as V
 from threadloom.functions.text import squash
 from threadloom.operators.lexical import bm25_hits, bm25_pairs, document_fields
-from threadloom.operators.nearest import nearest
+from threadloom.operators.nearest import nearest, pair_scores
 from threadloom.operators.ranking import best_per_key, top_k, top_k_per_group
 from threadloom.runtime import spread
 
@@ -132,7 +132,7 @@ def semantic_rescoring(docs: DataFrame, queries: DataFrame, vector: str = "v", d
     """First phase: sign code times float query. Second phase: closeness of the float vectors."""
     first = nearest(docs, queries, k=depth, metric="signs", vector=vector).withColumnRenamed("score", "first_phase")
     pairs = first.join(docs.select("id", F.col(vector).alias("_v")), "id").join(queries.select("qid", F.col("v").alias("_q")), "qid")
-    scored = pairs.withColumn("score", V.angular_closeness(F.col("_v"), F.col("_q"))).drop("_v", "_q")
+    scored = pair_scores(pairs, {"_cos": ("_v", "_q")}).withColumn("score", V.closeness(1 - F.col("_cos"))).drop("_cos")
     return top_k_per_group(scored, ["qid"], [F.desc("score"), F.col("id")], hits).drop("rn")
 
 
@@ -149,13 +149,12 @@ def weighted_closeness(docs: DataFrame, queries: DataFrame, terms: DataFrame, de
         first.join(parts, ["qid", "id"], "left").fillna(0.0, ["title", "body", "keywords"])
         .join(docs.select("id", "v", "tv", "kv"), "id").join(queries.select("qid", F.col("v").alias("_q")), "qid")
     )
-    q = F.col("_q")
-    scored = pairs.select(
+    parts = pair_scores(pairs, {"_body": ("v", "_q"), "cosine_title": ("tv", "_q")}, best={"max_keyword_similarity": ("kv", "_q")})
+    scored = parts.select(
         "qid", "id", "first_phase", F.col("title").alias("bm25_title"), F.col("body").alias("bm25_body"), F.col("keywords").alias("bm25_keywords"),
-        V.angular_closeness(F.col("v"), q).alias("closeness_body"), V.cosine(F.col("tv"), q).alias("cosine_title"),
-        F.array_max(F.transform("kv", lambda k: V.cosine(k, q))).alias("max_keyword_similarity"),
+        V.closeness(1 - F.col("_body")).alias("closeness_body"), "cosine_title", "max_keyword_similarity",
     ).withColumn("score", 0.5 * (F.col("closeness_body") + squash(F.col("bm25_body")))
-                 + 0.3 * (squash(F.col("bm25_keywords")) + F.col("max_keyword_similarity"))
+                 + 0.3 * (squash(F.col("bm25_keywords")) + F.coalesce("max_keyword_similarity", F.lit(0.0)))
                  + 0.2 * (squash(F.col("bm25_title")) + F.col("cosine_title")))
     return top_k_per_group(scored, ["qid"], [F.desc("score"), F.col("id")], hits).drop("rn")
 
@@ -167,7 +166,7 @@ def hybrid_rrf(docs: DataFrame, queries: DataFrame, terms: DataFrame, depth: int
     text = bm25_pairs(docs, "id", fields, terms, first).select("qid", "id", sum(F.col(f) for f in fields).alias("bm25sum"))
     pairs = first.join(text, ["qid", "id"], "left").fillna(0.0, ["bm25sum"])
     pairs = pairs.join(docs.select("id", "v"), "id").join(queries.select("qid", F.col("v").alias("_q")), "qid")
-    scored = pairs.withColumn("closeness", V.angular_closeness(F.col("v"), F.col("_q"))).drop("v", "_q")
+    scored = pair_scores(pairs, {"_cos": ("v", "_q")}).withColumn("closeness", V.closeness(1 - F.col("_cos"))).drop("_cos")
     fused = reciprocal_rank_fusion(scored, ["bm25sum", "closeness"]).withColumnRenamed("rrf", "score")
     return top_k_per_group(fused, ["qid"], [F.desc("score"), F.col("id")], hits).drop("rn")
 

@@ -212,7 +212,7 @@ def _(t):
 
     news = t.news.withColumn("entity", F.get(X.tokens(c("title")), F.lit(0)))
     items = recs.content_vectors(news, t.vectors, DIMS)
-    users = recs.user_profiles(t.impressions, items, DIMS + 96)
+    users = recs.user_profiles(t.impressions, items)
     pairs = recs.training_pairs(t.impressions, news.select("item"))
     model, featurise = recs.train_content_model(pairs.select("user_id", "item", "label"), users, items)
     out = model.transform(featurise(t.impressions.select("imp_id", "user_id", "item", "label")))

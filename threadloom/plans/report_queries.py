@@ -8,7 +8,6 @@ from threadloom.functions import text as X, vectors as V
 from threadloom.operators import cluster as CL, nearest as NN, report
 from threadloom.plans.registry import query
 from threadloom.plans.search_queries import CENTROID, R, r6, rounded, with_centroid
-from threadloom.plans.views import DIMS
 
 c = F.col
 
@@ -130,7 +129,7 @@ def cc(edges, start="a"):
   NR AS (SELECT *, count(*) OVER (PARTITION BY exemplar) AS n FROM DS WHERE d <= 0.6 + 1e-9)
   SELECT V.id, CASE WHEN n > 1 THEN exemplar ELSE -1 END AS cluster, CASE WHEN n > 1 THEN {R('d')} END AS distance FROM V LEFT JOIN NR USING (id)""")
 def _(t):
-    return rounded(CL.exemplar_clusters(t.vectors, DIMS, threshold=0.4), "distance")
+    return rounded(CL.exemplar_clusters(t.vectors, threshold=0.4), "distance")
 
 
 EPS = 9.3
@@ -146,13 +145,13 @@ EPS = 9.3
   EX AS (SELECT component, id AS exemplar, z AS ez FROM BIG JOIN CE USING (component) QUALIFY row_number() OVER (PARTITION BY component ORDER BY round(list_distance(z, q), 9), id) = 1)
   SELECT V.id, coalesce(component, -1) AS cluster, {R('CASE WHEN V.id = exemplar THEN 0 ELSE list_distance(z, ez) END')} AS distance FROM V LEFT JOIN (SELECT id, component, z, exemplar, ez FROM BIG JOIN EX USING (component)) b ON b.id = V.id""")
 def _(t):
-    return rounded(CL.density_clusters(t.vectors, DIMS, EPS), "distance")
+    return rounded(CL.density_clusters(t.vectors, EPS), "distance")
 
 
 @query("merge_near_clusters", views="V", sql=f"""WITH RECURSIVE {CENTROID}, PR AS (SELECT a.label AS a, b.label AS b FROM M a JOIN M b ON a.label <> b.label AND 1 - list_cosine_similarity(a.q, b.q) <= 0.85), {cc('PR')}
   SELECT CAST(label AS BIGINT) AS cluster, CAST(coalesce(component, label) AS BIGINT) AS grp FROM M LEFT JOIN CC ON id = label""")
 def _(t):
-    reps = NN.label_centroids(t.vectors, "label", DIMS).select(c("label").cast("bigint").alias("cluster"), c("centroid").alias("v"))
+    reps = NN.label_centroids(t.vectors, "label").select(c("label").cast("bigint").alias("cluster"), c("centroid").alias("v"))
     return CL.merge_near_clusters(reps, 0.85).select("cluster", c("group").alias("grp"))
 
 
@@ -161,7 +160,7 @@ EXEMPLAR = f"""{CENTROID}, EX AS (SELECT label, id AS exemplar, v AS ev FROM W Q
 
 @query("assign_exemplar_distance", views="V", sql=f"""WITH {EXEMPLAR} SELECT id, exemplar, {R('CASE WHEN id = exemplar THEN 0 ELSE 1 - list_cosine_similarity(v, ev) END')} AS distance FROM V JOIN EX USING (label)""")
 def _(t):
-    placed = CL.assign_exemplar_distance(t.vectors, "label", DIMS)
+    placed = CL.assign_exemplar_distance(t.vectors, "label")
     return rounded(placed.select("id", "exemplar", "distance"), "distance")
 
 
@@ -169,7 +168,7 @@ def _(t):
     strftime(make_timestamp(created_utc * 1000000), '%Y-%m-%d') AS day, n AS n_items, {R('100.0 * n / (SELECT count(*) FROM V)')} AS percentage
   FROM EX JOIN D ON exemplar = id JOIN (SELECT label, count(*) AS n FROM V GROUP BY 1) USING (label) WHERE label <> 3""")
 def _(t):
-    ex = CL.exemplars(t.vectors, "label", DIMS)
+    ex = CL.exemplars(t.vectors, "label")
     verdicts = ex.select(F.concat(F.lit("cluster "), c("label").cast("string")).alias("cluster"),
                          F.when(c("label") != 3, F.concat(F.lit("Theme "), c("label").cast("string"))).alias("title"), c("exemplar").alias("quote_id"))
     out = report.cluster_report(label_members(t), verdicts, t.docs)

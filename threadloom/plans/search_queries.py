@@ -37,7 +37,7 @@ CENTROID = """M AS (SELECT label, list(m ORDER BY i) AS q FROM (SELECT label, i,
 
 def with_centroid(t):
     """Each vector next to the mean vector of its label."""
-    return t.vectors.join(NN.label_centroids(t.vectors, "label", DIMS), "label")
+    return t.vectors.join(NN.label_centroids(t.vectors, "label"), "label")
 
 
 def pairwise(key, columns, sql):
@@ -78,7 +78,7 @@ pairwise("sigmoid_dot", lambda v, q: [r6(V.sigmoid_dot(v, q)).alias("probability
   S AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM E GROUP BY i)
   SELECT id, {R('sum(abs((x - m) / CASE WHEN s > 0 THEN s ELSE 1 END))')} AS total, {R('max((x - m) / s)')} AS top FROM E JOIN S USING (i) GROUP BY id""")
 def _(t):
-    z = NN.standardise(t.vectors, DIMS)
+    z = NN.standardise(t.vectors)
     return z.select("id", r6(F.aggregate("z", F.lit(0.0), lambda s, x: s + F.abs(x))).alias("total"), r6(F.array_max("z")).alias("top"))
 
 
@@ -87,7 +87,7 @@ def _(t):
   SELECT id, string_agg(CAST(CAST(CASE WHEN hi > lo THEN least(255, floor((x - lo) / ((hi - lo) / 255))) ELSE 0 END AS BIGINT) - 128 AS VARCHAR), ',' ORDER BY i) AS code
   FROM E JOIN S USING (i) GROUP BY id""")
 def _(t):
-    return NN.scalar_quantise(t.vectors, DIMS).select("id", F.concat_ws(",", c("code").cast("array<string>")).alias("code"))
+    return NN.scalar_quantise(t.vectors).select("id", F.concat_ws(",", c("code").cast("array<string>")).alias("code"))
 
 
 ALLQ = "SELECT QV.qid, V.id, list_cosine_similarity(V.v, QV.v) AS s FROM V, QV"
@@ -203,8 +203,7 @@ def _(t):
 def _(t):
     # the limit comes before the vector filter, as the order of the two changes the result
     pairs = phrase_docs(t).join(phrases(t), "phrase").select("qid", "id").distinct()
-    scored = pairs.join(t.vectors.select("id", "v"), "id").join(t.query_vectors.select("qid", c("v").alias("q")), "qid") \
-        .select("qid", "id", V.cosine(c("v"), c("q")).alias("score"))
+    scored = NN.pair_scores(pairs.join(t.vectors.select("id", "v"), "id").join(t.query_vectors.select("qid", c("v").alias("q")), "qid"), {"score": ("v", "q")})
     return rounded(search.hits_above(scored, 0.1), "score")
 
 
@@ -268,7 +267,8 @@ def _(t):
     first = NN.nearest(d, q, k=1000, metric="hamming")
     text = lexical.bm25_pairs(t.docs, "id", {"body": X.tokens(c("body"))}, t.query_terms, first).withColumnRenamed("body", "t")
     pairs = first.join(text, ["qid", "id"], "left").fillna(0.0, ["t"]).drop("score")
-    pairs = pairs.join(d.select("id", "v"), "id").join(q.select("qid", c("v").alias("q")), "qid").select("qid", "id", "t", V.cosine(c("v"), c("q")).alias("s"))
+    pairs = pairs.join(d.select("id", "v"), "id").join(q.select("qid", c("v").alias("q")), "qid")
+    pairs = NN.pair_scores(pairs, {"s": ("v", "q")})
     return search.reciprocal_rank_fusion(pairs, ["t", "s"]).select("qid", "id", r6(c("rrf")).alias("score"))
 
 
@@ -277,7 +277,7 @@ def _(t):
 def _(t):
     d, q, f = dv(t), t.query_vectors, lexical.document_fields()
     cheap = lexical.bm25_hits(d, "id", {k: f[k] for k in ("title", "body")}, t.query_terms, k=300).withColumnRenamed("score", "cheap")
-    costly = lambda best: best.join(d.select("id", "v"), "id").join(q.select("qid", c("v").alias("q")), "qid").select("qid", "id", V.cosine(c("v"), c("q")).alias("costly"))
+    costly = lambda best: NN.pair_scores(best.join(d.select("id", "v"), "id").join(q.select("qid", c("v").alias("q")), "qid"), {"costly": ("v", "q")})
     out = search.two_phase(cheap, "cheap", costly, depth=100)
     return rounded(out.select("qid", "id", "phase", "score"), "score")
 
