@@ -48,13 +48,17 @@ def _prepare(m: np.ndarray, metric: str, query: bool) -> np.ndarray:
 
 
 def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
-    """Higher is nearer: cosine, dot, sign-code dot, 1/(1+Hamming) or minus Euclid."""
+    """Higher is nearer: cosine, dot, sign-code dot, 1/(1+Hamming) or minus Euclid.
+
+    Rounded to twelve places: a matrix product may differ in the last bits between copies of a
+    vector, and copies must tie.
+    """
     if metric == "hamming":
         return 1.0 / (1.0 + (x.shape[1] - x @ q.T) / 2.0)
     if metric == "euclid":
         sq = (x * x).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2.0 * (x @ q.T)
-        return -np.sqrt(np.maximum(sq, 0.0))
-    return x @ q.T
+        return np.round(-np.sqrt(np.maximum(sq, 0.0)), 12)
+    return np.round(x @ q.T, 12)
 
 
 class Best:
@@ -145,7 +149,7 @@ def _consume(ids, x, qids, queries, plan, best) -> Iterator[pa.RecordBatch]:
                 if skip_self:
                     other = part[r] != qids[c]
                     r, c = r[other], c[other]
-                best.add_pairs(part[r], c, np.einsum("ij,ij->i", m[r], q[c]))
+                best.add_pairs(part[r], c, np.round(np.einsum("ij,ij->i", m[r], q[c]), 12))
             continue
         s = _scores(m, q, metric)
         if best is not None:

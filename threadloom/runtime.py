@@ -13,9 +13,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str = "threadloom", cores: str = "8") -> SparkSession:
+_LOCAL_DIRS: dict[str, str] = {}  # temp folder per local session that names none
+
+
+def local_session(app: str = "threadloom", cores: str = "8", checkpoint_dir: str | None = None) -> SparkSession:
     """A session for tests and the local benchmark."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
@@ -24,8 +27,10 @@ def local_session(app: str = "threadloom", cores: str = "8") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -37,9 +42,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage")
-    configured = tempfile.mkdtemp(prefix="threadloom-")
-    spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="threadloom-")
+    return _LOCAL_DIRS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
