@@ -18,7 +18,8 @@ c = F.col
 
 
 def r6(col):
-    return F.round(col, 6) + F.lit(0.0)
+    """Six places, after twelve: kernels round to twelve, and both sides must round alike."""
+    return F.round(F.round(col, 12), 6) + F.lit(0.0)
 
 
 def rounded(df, *names):
@@ -27,7 +28,7 @@ def rounded(df, *names):
 
 
 def R(x: str) -> str:
-    return f"round({x}, 6) + 0.0"
+    return f"round(round({x}, 12), 6) + 0.0"
 
 
 CENTROID = """M AS (SELECT label, list(m ORDER BY i) AS q FROM (SELECT label, i, avg(x) AS m
