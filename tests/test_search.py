@@ -32,6 +32,18 @@ def test_nearest_is_exact_on_all_paths(spark, sizes):
     assert {(r["qid"], r["id"]) for r in above} == {(q, i) for q in range(40) for i in range(25) if sim[q, i] > 0.2}
 
 
+@pytest.mark.parametrize("sizes", [{}, {"matrix_rows": 30}, {"matrix_rows": 5, "block_rows": 7}])
+def test_skipped_pairs_are_never_found_even_for_a_hot_query(spark, sizes):
+    items, idf = vectors(spark, 25, seed=1)
+    qs, qdf = vectors(spark, 40, seed=2)
+    sim = cosines(qs, items)
+    read = {(0, i) for i in range(23)} | {(q, q % 25) for q in range(40)} | {(7, 999)}
+    skip = spark.createDataFrame(sorted(read), "qid bigint, id bigint")
+    got = NN.nearest(idf, qdf.withColumnRenamed("id", "qid"), k=3, skip=skip, **sizes).collect()
+    want = {(q, i) for q in range(40) for i in sorted((i for i in range(25) if (q, i) not in read), key=lambda i: -sim[q, i])[:3]}
+    assert {(r["qid"], r["id"]) for r in got} == want
+
+
 @pytest.mark.parametrize("sizes", [{}, {"matrix_rows": 5, "block_rows": 16}])
 def test_coded_search_finds_exactly_the_items_sharing_a_byte(spark, sizes):
     items, idf = vectors(spark, 120, seed=4, copies=40)
@@ -62,6 +74,31 @@ def test_similar_pairs_equal_brute_force_with_a_hot_group(spark, metric, cut):
     assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == want
 
 
+@pytest.mark.parametrize("metric,cut", [("cosine", 0.6), ("euclid", 4.0)])
+def test_forest_and_counts_agree_with_all_pairs(spark, metric, cut):
+    m, df = vectors(spark, 150, dims=12, seed=3, copies=60)
+    pairs = [(r["a"], r["b"]) for r in NN.similar_pairs(df, cut, metric=metric).collect()]
+    forest = [(r["a"], r["b"]) for r in NN.similar_forest(df, cut, metric=metric, block_rows=16).collect()]
+    labels = {}
+    for name, edges in (("pairs", pairs), ("forest", forest)):
+        lab = np.arange(150)
+        labels[name] = NN._union(lab, np.array([a for a, _ in edges]), np.array([b for _, b in edges])).tolist()
+    assert labels["pairs"] == labels["forest"] and len(forest) < len(pairs)
+    counts = {r["id"]: r["n"] for r in NN.neighbour_counts(df, cut, metric=metric, block_rows=16).collect()}
+    assert counts == {i: n for i in range(150) if (n := sum(i in p for p in pairs))}
+
+
+def test_copies_are_handled_once_and_all_get_their_cluster(spark):
+    m = np.vstack([np.tile([1.0, 0, 0], (300, 1)), np.tile([0, 1.0, 0], (2, 1)), [[0, 0, 1.0]]])
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(m)], "id bigint, v array<double>")
+    reps, links = NN.collapse_copies(df)
+    assert sorted((r["id"], r["weight"]) for r in reps.collect()) == [(0, 300), (300, 2), (302, 1)] and links.count() == 303
+    got = {r["id"]: r["cluster"] for r in CL.exemplar_clusters(df).collect()}
+    assert [got[i] for i in range(303)] == [0] * 300 + [300] * 2 + [CL.MISC]
+    dense = {r["id"]: r["cluster"] for r in CL.density_clusters(df, eps=0.1, min_size=2, min_samples=1).collect()}
+    assert [dense[i] for i in range(303)] == [0] * 300 + [300] * 2 + [CL.MISC]
+
+
 def test_components_of_a_chain_a_hub_and_pairs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5001, 5000), (5000, 5000)]
     got = {r["id"]: r["component"] for r in CL.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

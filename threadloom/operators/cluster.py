@@ -2,7 +2,8 @@
 
 Affinity propagation, density hierarchies and average linkage are replaced by definitions
 that scale: groups are connected components of the similarity graph, and the rules about
-exemplars, distances and sizes are applied to those.
+exemplars, distances and sizes are applied to those. Equal vectors are handled once, and only
+as many edges are written as connectivity needs.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.functions import vectors as V
-from threadloom.operators.nearest import label_centroids, similar_pairs, standardise
+from threadloom.operators.nearest import collapse_copies, label_centroids, neighbour_counts, similar_forest, standardise
 from threadloom.runtime import durable
 
 MISC = -1  # cluster of items that belong nowhere
@@ -46,6 +47,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def _groups_of(links: DataFrame, components: DataFrame) -> DataFrame:
+    """(id, component) for all items from the components of their representatives; a
+    representative without neighbours is a group when it stands for several copies."""
+    return links.join(components.withColumnRenamed("id", "rep"), "rep", "left").filter(
+        "component IS NOT NULL OR weight > 1").select("id", F.coalesce("component", "rep").alias("component"))
+
+
 def exemplars(members: DataFrame, group: str, vector: str = "v", euclid: bool = False) -> DataFrame:
     """(group, exemplar, exemplar vector): the member nearest to all others, lowest id on a tie.
 
@@ -73,7 +81,8 @@ def exemplar_clusters(items: DataFrame, threshold: float = 0.85, max_distance: f
     do clusters that are left with one member.
     """
     cut = (1 - threshold) if max_distance is None else max_distance
-    groups = connected_components(similar_pairs(items, threshold, vector=vector))
+    reps, links = collapse_copies(items.select("id", F.col(vector).alias("v")))
+    groups = _groups_of(links, connected_components(similar_forest(reps, threshold)))
     unit = items.select("id", V.l2_normalise(F.col(vector)).alias("v")).join(groups, "id")
     placed = assign_exemplar_distance(unit, "component").select("id", "exemplar", "distance")
     near = placed.filter(F.col("distance") <= cut + 1e-9)
@@ -94,15 +103,15 @@ def density_clusters(items: DataFrame, eps: float, min_size: int | None = None,
         small = items.count() < 500
         min_size = min_size or (2 if small else 5)
         min_samples = min_samples or (1 if small else 3)
-    z = standardise(items.select("id", F.col(vector).alias("v"))).select("id", "z")
-    pairs = durable(similar_pairs(z, eps, metric="euclid", vector="z"))
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    dense = ends.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_samples).select("id")
-    edges = pairs.join(dense.select(F.col("id").alias("a")), "a", "left_semi").join(
-        dense.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
-    groups = connected_components(edges)
-    full = groups.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_size).select("component")
-    members = z.join(groups.join(full, "component", "left_semi"), "id")
+    z = durable(standardise(items.select("id", F.col(vector).alias("v"))).select("id", "z"))
+    reps, links = collapse_copies(z, "z")
+    seen = neighbour_counts(reps, eps, "euclid", "z")
+    near = F.coalesce("n", F.lit(0)) + F.col("weight") - 1  # other items, copies included
+    dense = reps.join(seen, "id", "left").filter(near >= min_samples).select("id", "z", "weight")
+    found = _groups_of(links.join(dense.select(F.col("id").alias("rep")), "rep", "left_semi"),
+                       connected_components(similar_forest(dense, eps, "euclid", "z")))
+    full = found.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_size).select("component")
+    members = z.join(found.join(full, "component", "left_semi"), "id")
     placed = assign_exemplar_distance(members, "component", "z", euclid=True).select("id", F.col("component").alias("cluster"), "distance")
     return items.select("id").join(placed, "id", "left").select("id", F.coalesce("cluster", F.lit(MISC)).alias("cluster"), "distance")
 
@@ -110,6 +119,6 @@ def density_clusters(items: DataFrame, eps: float, min_size: int | None = None,
 def merge_near_clusters(clusters: DataFrame, max_distance: float, key: str = "cluster", vector: str = "v") -> DataFrame:
     """(key, group): representatives within `max_distance` (1 - cosine) in a chain share a group."""
     reps = clusters.select(F.col(key).alias("id"), vector)
-    groups = connected_components(similar_pairs(reps, 1 - max_distance, vector=vector))
+    groups = connected_components(similar_forest(reps, 1 - max_distance, vector=vector))
     return clusters.select(key).join(groups.withColumnRenamed("id", key), key, "left").select(
         key, F.coalesce("component", F.col(key)).alias("group"))

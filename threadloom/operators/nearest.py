@@ -7,7 +7,8 @@ shuffled. When both are many, a grid of (query block, item block) tiles is shuff
 tile does the same, so no task holds more than a block of each side. All ways are exact and
 a task emits its k best, never all pairs it looked at.
 
-`similar_pairs` is the exact self join under a similarity threshold.
+`similar_pairs`, `similar_forest` and `neighbour_counts` are exact self joins under a
+similarity threshold, for the pairs themselves, for connectivity and for density.
 """
 
 from __future__ import annotations
@@ -135,8 +136,21 @@ def _sharing(x: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
             yield r[at:at + PAIRS], c[at:at + PAIRS]
 
 
-def _consume(ids, x, qids, queries, plan, best) -> Iterator[pa.RecordBatch]:
-    """Score a block of items; keep the best, or emit the pairs above the threshold."""
+def _skip_pairs(owners: int, column, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner row, place in `keys`) of an Arrow list column of keys to leave out."""
+    count = np.asarray(column.value_lengths().fill_null(0)).astype("int64")
+    order = np.argsort(keys, kind="stable")
+    value = np.asarray(column.flatten()).astype("int64")
+    at = np.minimum(np.searchsorted(keys[order], value), len(keys) - 1)
+    known = keys[order[at]] == value
+    return np.repeat(np.arange(owners), count)[known], order[at[known]]
+
+
+def _consume(ids, x, qids, queries, plan, best, skip=None) -> Iterator[pa.RecordBatch]:
+    """Score a block of items; keep the best, or emit the pairs above the threshold.
+
+    `skip` has (item row, query row) pairs that must not be found.
+    """
     metric, k, threshold, skip_self, coded = plan
     q = _prepare(queries, metric, True)
     q_codes = _codes(queries) if coded else None
@@ -152,6 +166,9 @@ def _consume(ids, x, qids, queries, plan, best) -> Iterator[pa.RecordBatch]:
                 best.add_pairs(part[r], c, np.round(np.einsum("ij,ij->i", m[r], q[c]), 12))
             continue
         s = _scores(m, q, metric)
+        if skip is not None:
+            here = (skip[0] >= at) & (skip[0] < at + step)
+            s[skip[0][here] - at, skip[1][here]] = np.nan
         if best is not None:
             best.add(part, s, qids if skip_self else None)
         else:
@@ -166,17 +183,20 @@ def _consume(ids, x, qids, queries, plan, best) -> Iterator[pa.RecordBatch]:
 def nearest(
     items: DataFrame, queries: DataFrame, k: int | None = None, threshold: float | None = None,
     metric: str = "cosine", skip_self: bool = False, vector: str = "v", matrix_rows: int = MATRIX_ROWS,
-    block_rows: int = BLOCK_ROWS, coded: bool = False,
+    block_rows: int = BLOCK_ROWS, coded: bool = False, skip: DataFrame | None = None,
 ) -> DataFrame:
     """(qid, id, score): the k best items per query, or all with score above `threshold`.
 
+    `skip` has (qid, id) pairs that must not be found. They travel with the side that is not
+    held whole, so a list is never longer than the side that is.
+
     `items` has `id` and the vector column, `queries` has `qid` and `v`. With `coded`, only
     items that share a byte of sign code with the query are scored.
     """
     if (k is None) == (threshold is None):
         raise ValueError("give k or a threshold")
-    if coded and (k is None or metric != "cosine"):
-        raise ValueError("the coded search gives the k best by cosine")
+    if coded and (k is None or metric != "cosine" or skip is not None):
+        raise ValueError("the coded search gives the k best by cosine and skips nothing")
     items = items.select(F.col("id").cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
     queries = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("v").cast("array<double>").alias("v")).filter("v IS NOT NULL")
     schema = "qid bigint, id bigint, score double"
@@ -189,11 +209,16 @@ def nearest(
         qids = np.array([r["qid"] for r in few], "int64")
         matrix = np.array([r["v"] for r in few], "float64")
 
+        if skip is not None:
+            lists = skip.join(queries.select("qid"), "qid", "left_semi").groupBy("id").agg(F.collect_set("qid").alias("_skip"))
+            items = items.join(lists, "id", "left").select("id", "v", "_skip")
+
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = Best(len(qids), k) if k else None
             for b in batches:
                 if b.num_rows:
-                    yield from _consume(np.asarray(b.column(0)), _matrix(b.column(1)), qids, matrix, plan, best)
+                    out = _skip_pairs(b.num_rows, b.column(2), qids) if b.num_columns > 2 else None
+                    yield from _consume(np.asarray(b.column(0)), _matrix(b.column(1)), qids, matrix, plan, best, out)
             if best is not None:
                 yield best.rows(qids)
 
@@ -201,19 +226,22 @@ def nearest(
     else:
         few = fetch_if_small(items, matrix_rows)
         if few is not None:
-            return _items_travel(few, queries, plan, schema)
-        found = _tiles(items, queries, plan, schema, block_rows)
+            return _items_travel(few, items, queries, plan, schema, skip)
+        found = _tiles(items, queries, plan, schema, block_rows, skip)
     if k is None:
         return found
     return top_k_per_group(found, ["qid"], [F.desc("score"), F.col("id")], k).drop("rn")
 
 
-def _items_travel(few: list, queries: DataFrame, plan, schema: str) -> DataFrame:
+def _items_travel(few: list, items: DataFrame, queries: DataFrame, plan, schema: str, skip: DataFrame | None) -> DataFrame:
     """Every task holds all items, so a query's result is complete where the query is."""
     if not few:
         return queries.sparkSession.createDataFrame([], schema)
     ids = np.array([r["id"] for r in few], "int64")
     x = np.array([r["v"] for r in few], "float64")
+    if skip is not None:
+        lists = skip.join(items.select("id"), "id", "left_semi").groupBy("qid").agg(F.collect_set("id").alias("_skip"))
+        queries = queries.join(lists, "qid", "left").select("qid", "v", "_skip")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,49 +249,93 @@ def _items_travel(few: list, queries: DataFrame, plan, schema: str) -> DataFrame
                 continue
             qids = np.asarray(b.column(0))
             best = Best(len(qids), plan[1]) if plan[1] else None
-            yield from _consume(ids, x, qids, _matrix(b.column(1)), plan, best)
+            out = _skip_pairs(b.num_rows, b.column(2), ids)[::-1] if b.num_columns > 2 else None
+            yield from _consume(ids, x, qids, _matrix(b.column(1)), plan, best, out)
             if best is not None:
                 yield best.rows(qids)
 
     return queries.mapInArrow(scan, schema)
 
 
-def _tiles(items: DataFrame, queries: DataFrame, plan, schema: str, block_rows: int) -> DataFrame:
+def _tiles(items: DataFrame, queries: DataFrame, plan, schema: str, block_rows: int, skip: DataFrame | None) -> DataFrame:
     n_q = max(1, math.ceil(queries.count() / block_rows))
     n_i = max(1, math.ceil(items.count() / block_rows))
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = items.withColumn("_i", block("id", n_i)).withColumn("_q", every(n_q))
     right = queries.withColumn("_q", block("qid", n_q)).withColumn("_i", every(n_i))
+    if skip is not None:
+        lists = skip.withColumn("_q", block("qid", n_q)).groupBy("id", "_q").agg(F.collect_set("qid").alias("_skip"))
+        left = left.join(lists, ["id", "_q"], "left")
 
     def tile(x: pa.Table, q: pa.Table) -> pa.Table:
-        out = [_batch(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))]
+        found = [_batch(np.empty(0, "int64"), np.empty(0, "int64"), np.empty(0))]
         if x.num_rows and q.num_rows:
             qids = np.asarray(q.column("qid").combine_chunks())
             best = Best(len(qids), plan[1]) if plan[1] else None
             ids = np.asarray(x.column("id").combine_chunks())
-            out += _consume(ids, _matrix(x.column("v").combine_chunks()), qids, _matrix(q.column("v").combine_chunks()), plan, best)
+            out = _skip_pairs(len(ids), x.column("_skip").combine_chunks(), qids) if "_skip" in x.column_names else None
+            found += _consume(ids, _matrix(x.column("v").combine_chunks()), qids, _matrix(q.column("v").combine_chunks()), plan, best, out)
             if best is not None:
-                out.append(best.rows(qids))
-        return pa.Table.from_batches(out)
+                found.append(best.rows(qids))
+        return pa.Table.from_batches(found)
 
     return left.groupBy("_i", "_q").cogroup(right.groupBy("_i", "_q")).applyInArrow(tile, schema)
 
 
-def similar_pairs(
-    items: DataFrame, threshold: float, metric: str = "cosine", vector: str = "v", block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """(a, b, score) with a < b: all pairs with cosine >= threshold, or Euclid distance <= threshold.
+def similar_pairs(items: DataFrame, threshold: float, metric: str = "cosine", vector: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b, score) with a < b: all pairs with cosine >= threshold, or Euclid distance <= threshold."""
+    return _self_join(items, threshold, metric, vector, block_rows, "pairs")
+
+
+def similar_forest(items: DataFrame, threshold: float, metric: str = "cosine", vector: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b): edges that connect the same items as all similar pairs would, but no more than
+    one per item and tile, so a crowd of near copies is not written out pair by pair."""
+    return _self_join(items, threshold, metric, vector, block_rows, "forest")
+
+
+def neighbour_counts(items: DataFrame, threshold: float, metric: str = "cosine", vector: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, n): how many others are similar, each counted with its `weight` column."""
+    parts = _self_join(items, threshold, metric, vector, block_rows, "counts")
+    return parts.groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("n"))
+
+
+def collapse_copies(items: DataFrame, vector: str = "v") -> tuple[DataFrame, DataFrame]:
+    """Equal vectors become one row: (id, vector, weight) with the lowest id, and (id, rep) links.
+
+    Copies are counted by a partial aggregate. The links come from a join in which every key is
+    once on the right, so a vector held by a third of all rows is split by the skew join.
+    """
+    reps = items.filter(F.col(vector).isNotNull()).groupBy(vector).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("weight"))
+    links = items.select(F.col("id"), vector).join(reps.select(F.col("id").alias("rep"), vector, "weight"), vector)
+    return reps.select("id", vector, "weight"), links.select("id", "rep", "weight")
+
+
+def _union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Merge the sets of a[i] and b[i]; a label is the lowest place of its set."""
+    while True:
+        x, y = labels[a], labels[b]
+        apart = x != y
+        if not apart.any():
+            return labels
+        np.minimum.at(labels, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(labels[labels], labels):
+            labels = labels[labels]
+
+
+def _self_join(items: DataFrame, threshold: float, metric: str, vector: str, block_rows: int, emit: str) -> DataFrame:
+    """Exact self join under a similarity threshold, in tiles of bounded size.
 
     Rows closer than r differ by at most r along any unit direction. So rows are put in cells
     of width r along one direction and only a cell and its right neighbour are compared. A
-    crowded cell (say, a third of all rows being copies) is cut into hashed blocks, and every
-    pair of blocks is a tile of its own: no task ever holds more than two blocks. Only pairs
-    that pass leave a tile.
+    crowded cell is cut into hashed blocks, and every pair of blocks is a tile of its own: no
+    task ever holds more than two blocks.
     """
     radius = math.sqrt(max(0.0, 2 - 2 * threshold)) if metric == "cosine" else threshold
     radius = max(radius, 1e-6) * (1 + 1e-9)
-    base = items.select(F.col("id").cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    weight = F.col("weight") if "weight" in items.columns else F.lit(1)
+    base = items.select(F.col("id").cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"),
+                        weight.cast("bigint").alias("weight")).filter("v IS NOT NULL")
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -272,14 +344,14 @@ def similar_pairs(
             m = _matrix(b.column(1))
             m = _unit(m) if metric == "cosine" else m
             fine = ~np.isnan(m).any(axis=1)
-            m, ids = m[fine], np.asarray(b.column(0))[fine]
+            m, ids, w = m[fine], np.asarray(b.column(0))[fine], np.asarray(b.column(2))[fine]
             side = np.random.default_rng(7).standard_normal(m.shape[1])
             cell = np.floor(m @ (side / np.linalg.norm(side)) / radius).astype("int64")
             offsets = np.arange(0, m.size + 1, max(1, m.shape[1]), dtype="int32")
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(m.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), lists, pa.array(cell)], ["id", "v", "cell"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), lists, pa.array(w), pa.array(cell)], ["id", "v", "weight", "cell"])
 
-    placed = base.mapInArrow(project, "id bigint, v array<double>, cell bigint")
+    placed = base.mapInArrow(project, "id bigint, v array<double>, weight bigint, cell bigint")
     # block counts per cell: at most 2/r cells for unit vectors
     sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("n"))
     around = (
@@ -296,30 +368,45 @@ def similar_pairs(
     from_prev = F.when(F.col("n_prev").isNotNull(), F.transform(upto(F.coalesce("n_prev", F.lit(1))), lambda j: spot(cell - 1, j, False, s, F.lit(True))))
     blank = F.slice(own, 1, 0)
     spots = F.explode(F.concat(own, F.coalesce(to_next, blank), F.coalesce(from_prev, blank)))
-    spread = rows.select("id", "v", spots.alias("t")).select("id", "v", "t.*")
+    spread = rows.select("id", "v", "weight", spots.alias("t")).select("id", "v", "weight", "t.*")
 
     def tile(table: pa.Table) -> pa.Table:
-        ids = np.asarray(table.column("id").combine_chunks())
-        m = _matrix(table.column("v").combine_chunks())
-        right = np.asarray(table.column("right").combine_chunks().cast(pa.int8())).astype(bool)
+        column = lambda name: table.column(name).combine_chunks()
+        ids, m, w = np.asarray(column("id")), _matrix(column("v")), np.asarray(column("weight"))
+        right = np.asarray(column("right").cast(pa.int8())).astype(bool)
         whole = bool(table.column("same")[0].as_py()) and table.column("a")[0].as_py() == table.column("b")[0].as_py()
-        li, lm = (ids, m) if whole else (ids[~right], m[~right])
-        ri, rm = (ids, m) if whole else (ids[right], m[right])
+        every = np.arange(len(ids))
+        left, other = (every, every) if whole else (every[~right], every[right])
+        labels, counts = every.copy(), np.zeros(len(ids), "int64")
         a, b, v = [], [], []
-        if len(li) and len(ri):
-            for at in range(0, len(li), max(1, CELLS // len(ri))):
-                part = slice(at, at + max(1, CELLS // len(ri)))
-                s_ = _scores(lm[part], rm, "dot" if metric == "cosine" else "euclid")
-                hit = s_ >= threshold if metric == "cosine" else -s_ <= threshold
-                if whole:
-                    hit &= li[part][:, None] < ri[None, :]
-                r, c = np.nonzero(hit)
-                x, y = li[part][r], ri[c]
-                a.append(np.minimum(x, y)), b.append(np.maximum(x, y)), v.append(np.abs(s_[r, c]) if metric == "euclid" else s_[r, c])
-        cat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0, kind))
-        return pa.table({"a": cat(a, "int64"), "b": cat(b, "int64"), "score": cat(v, "float64")})
-
-    return spread.groupBy("cell", "a", "same", "b").applyInArrow(tile, "a bigint, b bigint, score double")
+        step = max(1, CELLS // max(1, len(other)))
+        for at in range(0, len(left) if len(other) else 0, step):
+            part = left[at:at + step]
+            s_ = _scores(m[part], m[other], "dot" if metric == "cosine" else "euclid")
+            hit = s_ >= threshold if metric == "cosine" else -s_ <= threshold
+            if whole:
+                hit &= ids[part][:, None] < ids[other][None, :]
+            r, c = np.nonzero(hit)
+            x, y = part[r], other[c]
+            if emit == "forest":
+                labels = _union(labels, x, y)
+            elif emit == "counts":
+                np.add.at(counts, x, w[y])
+                np.add.at(counts, y, w[x])
+            else:
+                a.append(np.minimum(ids[x], ids[y])), b.append(np.maximum(ids[x], ids[y])), v.append(np.abs(s_[r, c]) if metric == "euclid" else s_[r, c])
+        if emit == "forest":
+            hung = np.flatnonzero(labels != every)
+            a, b = [ids[hung]], [ids[labels[hung]]]
+        elif emit == "counts":
+            some = np.flatnonzero(counts)
+            a, b = [ids[some]], [counts[some]]
+        cat = lambda parts, kind: pa.array(np.concatenate(parts).astype(kind) if parts else np.empty(0, kind))
+        out = {"a": cat(a, "int64"), "b": cat(b, "int64")}
+        return pa.table({**out, "score": cat(v, "float64")} if emit == "pairs" else out)
+
+    schema = "a bigint, b bigint, score double" if emit == "pairs" else "a bigint, b bigint"
+    return spread.groupBy("cell", "a", "same", "b").applyInArrow(tile, schema)
 
 
 def ann_candidates(items: DataFrame, queries: DataFrame, k: int = 5000, vector: str = "v", **sizes) -> DataFrame:

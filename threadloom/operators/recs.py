@@ -183,19 +183,8 @@ def train_content_model(pairs: DataFrame, users: DataFrame, items: DataFrame, it
 
 
 def top_n_for_user(users: DataFrame, items: DataFrame, n: int = 10, read: DataFrame | None = None) -> DataFrame:
-    """(qid, id, score): n best items per user by dot product, without items already `read` (qid, id).
-
-    To stay exact, each user's search is widened by the longest history before the read items
-    are taken out.
-    """
-    extra = 0
-    if read is not None:
-        extra = read.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    found = nearest(items, users, k=n + extra, metric="dot")
-    if read is None:
-        return found
-    fresh = found.join(read.select("qid", "id"), ["qid", "id"], "left_anti")
-    return top_k_per_group(fresh, ["qid"], [F.desc("score"), F.col("id")], n).drop("rn")
+    """(qid, id, score): n best items per user by dot product, without items already `read` (qid, id)."""
+    return nearest(items, users, k=n, metric="dot", skip=read)
 
 
 def recommend_with_ctr(users: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
