@@ -78,6 +78,12 @@ def test_no_input_is_an_error(spark, tmp_path):
         files.scan_threads(spark, str(tmp_path))
 
 
+def test_a_missing_kind_is_empty(spark, tmp_path):
+    comments(spark, [("1", "t", "t3_1")]).write.parquet(f"{tmp_path}/a-comments.parquet")
+    p, c = files.scan_threads(spark, str(tmp_path))
+    assert (p.count(), c.count()) == (0, 1)
+
+
 def one(spark, expr, **cols):
     names = list(cols)
     df = spark.createDataFrame([tuple(cols.values())], ", ".join(f"{n} string" for n in names))

@@ -158,7 +158,7 @@ def test_in_task_bm25_equals_the_relational_form(spark, corpus, monkeypatch):
     parts = {(r["qid"], r["id"]): sum(r[f] for f in fields) for r in lexical.bm25_pairs(docs, "id", fields, terms, pairs).collect()}
     assert abs(parts[1, 1] - joined[1, 1]) < 1e-9 and parts[1, 3] == 0
     # a query set too large to travel is joined instead, with the same result
-    monkeypatch.setattr(lexical.QuerySet, "of", classmethod(lambda cls, terms, max_rows=0: None))
+    monkeypatch.setattr(lexical.QuerySet, "of", classmethod(lambda cls, terms, k=1, max_rows=0: None))
     slow = {(r["qid"], r["id"]): r["score"] for r in lexical.bm25_hits(docs, "id", fields, terms, k=10).collect()}
     assert all(abs(hits[k] - slow[k]) < 1e-9 for k in hits) and slow.keys() == hits.keys()
     one = lexical.bm25_hits(docs, "id", fields, terms, k=1).collect()

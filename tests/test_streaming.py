@@ -24,6 +24,8 @@ def test_stream_upsert_equals_batch_and_survives_replay(spark, tmp_path, rows):
     assert current() == want
     events(spark, [(2, 59, "new")]).write.mode("append").parquet(f"{tmp_path}/in")
     inc.run_to_end(stream, write, f"{tmp_path}/cp2")
+    inc.compact_log(spark, f"{tmp_path}/log", f"{tmp_path}/log2", "id", ["ts"])
+    assert rows(inc.current_rows(spark, f"{tmp_path}/log2", "id", ["ts"]).select("id", "value")) == current()
     assert current() == sorted([w for w in want if w[0] != 2] + [(2, "new")])
 
 

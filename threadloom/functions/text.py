@@ -46,6 +46,7 @@ def ascii_only(text: Column) -> Column:
 
 def rerank_text(community: Column, title: Column, body: Column) -> Column:
     """What a relevance scorer reads: the whole body."""
+    # fixed values: the labels
     return F.concat(F.lit("Subreddit:"), community, F.lit(" Title:"), title, F.lit(" Post: "), body)
 
 
@@ -56,6 +57,7 @@ def rerank_value(community: Column, title: Column, body: Column, keep: int = 200
 
 def post_block(fields: list[tuple[str, Column]]) -> Column:
     """A block of labelled lines, one per field."""
+    # fixed value: the head line
     lines = [F.concat(F.lit(f"- {label}: "), value.cast("string")) for label, value in fields]
     return F.concat_ws("\n", F.lit("- POST:"), *lines)
 

@@ -53,13 +53,15 @@ def embed_column(
 
 def batch_infer(
     df: DataFrame, key: str, text: str, fn: Callable[[list[str]], list[str]], key_type: str = "bigint",
-    batch_rows: int = 32, attempts: int = 3, pause: float = 0.0,
+    batch_rows: int = 32, attempts: int = 3, pause: float = 0.0, concurrency: int | None = None,
 ) -> DataFrame:
     """Run `fn` on lists of texts; rows of a list that still fails after `attempts` get an error.
 
     A failing list is then tried row by row, so one bad row does not cost its neighbours.
-    Concurrency is the number of partitions.
+    At most `concurrency` calls run at once when given; otherwise one per core.
     """
+    if concurrency:
+        df = df.select(key, text).repartition(concurrency)
 
     def attempt(texts: list[str]):
         last = ""

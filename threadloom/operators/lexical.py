@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from threadloom.constants import BM25_B, BM25_K1
 from threadloom.functions.text import bold_matches, tokens
-from threadloom.operators.nearest import Best
+from threadloom.operators.nearest import KEPT, Best
 from threadloom.operators.ranking import top_k_per_group
 from threadloom.runtime import fetch_if_small, spread
 
@@ -77,9 +77,10 @@ class QuerySet:
     query: np.ndarray
 
     @classmethod
-    def of(cls, terms: DataFrame, max_rows: int = QUERY_TERMS) -> QuerySet | None:
+    def of(cls, terms: DataFrame, k: int = 1, max_rows: int = QUERY_TERMS) -> QuerySet | None:
+        """The query set, or None when it is too large to travel or to keep k hits per query."""
         rows = fetch_if_small(terms.select("qid", "term").distinct(), max_rows)
-        if rows is None:
+        if rows is None or len({r["qid"] for r in rows}) * k > KEPT:
             return None
         vocabulary, t = np.unique([r["term"] for r in rows] or np.empty(0, "U1"), return_inverse=True)
         qids, q = np.unique(np.array([r["qid"] for r in rows], "int64"), return_inverse=True)
@@ -194,7 +195,7 @@ def bm25_hits(docs: DataFrame, key: str, fields: dict[str, Column], terms: DataF
     emits its k best per query. The corpus is read twice (statistics, scores) and never
     shuffled. `bonus` names a column added to the score of matching documents. Keys are bigint.
     """
-    queries = QuerySet.of(terms)
+    queries = QuerySet.of(terms, k)
     if queries is None:
         scored = bm25(docs, key, fields, terms, weights)
         if bonus:
@@ -260,7 +261,7 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, Column], terms: DataFrame,
 def fulltext_hits(docs: DataFrame, key: str, text: str, terms: DataFrame, k: int = 10_000) -> DataFrame:
     """(qid, key, score): occurrences of any query term per token of the document, k best."""
     fields = {"text": tokens(F.col(text))}
-    queries = QuerySet.of(terms)
+    queries = QuerySet.of(terms, k)
     if queries is None:
         scored = query_counts(docs, key, fields, terms).join(terms, "term").groupBy("qid", key).agg(
             F.round(F.sum("tf") / F.max("dl"), 12).alias("score"))
@@ -268,14 +269,14 @@ def fulltext_hits(docs: DataFrame, key: str, text: str, terms: DataFrame, k: int
     return _search(docs, key, fields, queries, k, _share_weight, {}, {}, None)
 
 
-def phrase_hits(docs: DataFrame, key: str, text: str, phrases: DataFrame, lengths: list[int]) -> DataFrame:
-    """(phrase, key): documents that hold the phrase's tokens next to each other, in order.
+def phrase_hits(docs: DataFrame, key: str, text: str, phrases: DataFrame, lengths: list[int], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(phrase, key, *keep): documents that hold the phrase's tokens next to each other, in order.
 
     `phrases` has a `phrase` column of space-joined tokens, whose token counts are `lengths`.
     Every run of that many tokens is looked up by equality, so there is no document x phrase
     product; runs no phrase asks for never leave their task.
     """
-    toks = spread(docs.select(key, text)).select(F.col(key), tokens(F.col(text)).alias("_t"))
+    toks = spread(docs.select(key, text, *keep)).select(key, *keep, tokens(F.col(text)).alias("_t"))
 
     def runs(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size("_t") - (n - 1), F.lit(1)))
@@ -283,7 +284,7 @@ def phrase_hits(docs: DataFrame, key: str, text: str, phrases: DataFrame, length
         return F.when(F.size("_t") >= n, found).otherwise(F.array().cast("array<string>"))
 
     guarded = [runs(n) for n in lengths]
-    grams = toks.select(key, F.explode(F.array_distinct(F.concat(*guarded))).alias("phrase"))
+    grams = toks.select(key, *keep, F.explode(F.array_distinct(F.concat(*guarded))).alias("phrase"))
     return grams.join(phrases.select("phrase").distinct(), "phrase", "left_semi")
 
 

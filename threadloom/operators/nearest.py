@@ -29,6 +29,7 @@ MATRIX_ROWS = 4096    # queries that may travel as one matrix
 BLOCK_ROWS = 4096     # rows per side of a tile
 CELLS = 4_000_000     # scores held at once inside a task
 PAIRS = 200_000       # candidate pairs scored at once inside a task
+KEPT = 20_000_000     # best rows a task may hold for all its queries together
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -202,7 +203,7 @@ def nearest(
     schema = "qid bigint, id bigint, score double"
     plan = (metric, k, threshold, skip_self, coded)
 
-    few = fetch_if_small(queries, matrix_rows)
+    few = fetch_if_small(queries, min(matrix_rows, max(1, KEPT // (k or 1))))
     if few is not None:
         if not few:
             return items.sparkSession.createDataFrame([], schema)
@@ -239,14 +240,13 @@ def _items_travel(few: list, items: DataFrame, queries: DataFrame, plan, schema:
         return queries.sparkSession.createDataFrame([], schema)
     ids = np.array([r["id"] for r in few], "int64")
     x = np.array([r["v"] for r in few], "float64")
+    some = max(1, KEPT // len(few))
     if skip is not None:
         lists = skip.join(items.select("id"), "id", "left_semi").groupBy("qid").agg(F.collect_set("id").alias("_skip"))
         queries = queries.join(lists, "qid", "left").select("qid", "v", "_skip")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(at, some) for whole in batches for at in range(0, whole.num_rows, some)):
             qids = np.asarray(b.column(0))
             best = Best(len(qids), plan[1]) if plan[1] else None
             out = _skip_pairs(b.num_rows, b.column(2), ids)[::-1] if b.num_columns > 2 else None

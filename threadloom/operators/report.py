@@ -88,6 +88,7 @@ def persona_report(items: DataFrame, personas: DataFrame | None = None, n_cluste
     kept = items.join(tops.select("persona", "cluster"), ["persona", "cluster"], "left_semi")
     best = top_items(kept, n_items).groupBy("persona", "cluster").agg(
         F.array_sort(F.collect_list(F.struct("item_place", "item", "score"))).alias("items"))
+    # fixed value: wording of the description
     text = F.concat(F.lit("Common issue found in "), F.col("n").cast("string"), F.lit(" out of "),
                     F.col("persona_total").cast("string"), F.lit(" pain points for "), "persona")
     rows = tops.join(best, ["persona", "cluster"]).withColumn("description", text)

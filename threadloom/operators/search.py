@@ -19,6 +19,7 @@ from threadloom.operators.nearest import nearest, pair_scores
 from threadloom.operators.ranking import best_per_key, top_k, top_k_per_group
 from threadloom.runtime import spread
 
+# fixed values: depths and limits of the searches
 RERANK_DEPTH = 1000
 ANN_HITS = 5000
 HITS = 700
@@ -46,6 +47,7 @@ def rerank_top(best: DataFrame, cut: float = 0.25, keep: int | None = 1000) -> D
 
 def reciprocal_rank_fusion(candidates: DataFrame, scores: list[str], constant: int = 60) -> DataFrame:
     """Adds `rrf`. Candidates are at most the rerank depth per query, so the windows are small."""
+    # fixed value: the default constant is 60, ranks start at 1
     total = F.lit(0.0)
     for s in scores:
         w = Window.partitionBy("qid").orderBy(F.desc(s), F.col("id"))
@@ -150,6 +152,7 @@ def weighted_closeness(docs: DataFrame, queries: DataFrame, terms: DataFrame, de
         .join(docs.select("id", "v", "tv", "kv"), "id").join(queries.select("qid", F.col("v").alias("_q")), "qid")
     )
     parts = pair_scores(pairs, {"_body": ("v", "_q"), "cosine_title": ("tv", "_q")}, best={"max_keyword_similarity": ("kv", "_q")})
+    # fixed values: weights of the three fields
     scored = parts.select(
         "qid", "id", "first_phase", F.col("title").alias("bm25_title"), F.col("body").alias("bm25_body"), F.col("keywords").alias("bm25_keywords"),
         V.closeness(1 - F.col("_body")).alias("closeness_body"), "cosine_title", "max_keyword_similarity",

@@ -325,7 +325,7 @@ def _(t):
 
 @query("distinct_docs", sql="""SELECT lang, count(*) AS n_rows, count(DISTINCT text) AS n_texts, count(DISTINCT source) AS n_sources FROM documents GROUP BY 1""")
 def _(t):
-    return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("text").alias("n_texts"), F.countDistinct("source").alias("n_sources"))
+    return t.documents.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(F.sha2("text", 256)).alias("n_texts"), F.countDistinct("source").alias("n_sources"))
 
 
 @query("union_posts_comments", views="P C", sql=f"WITH {KEPT} SELECT id, title, body, is_post, num_comments, archived FROM U")

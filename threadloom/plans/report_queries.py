@@ -40,12 +40,12 @@ def _(t):
     return rounded(report.renormalise_share(brand_share(t)[0]), "percentage")
 
 
-@query("merge_groups", views="PI", sql=f"""WITH {SHARE}, G AS (SELECT *, substr(cluster, 1, 7) AS grp FROM SH)
+@query("merge_groups", views="PI", sql=f"""WITH {SHARE}, G AS (SELECT *, right(cluster, 1) AS grp FROM SH)
   SELECT grp, arg_min(cluster, (-percentage, cluster)) AS cluster, arg_min(n_items, (-percentage, cluster)) AS n_items, {R('sum(percentage)')} AS percentage, any_value(moved) AS n_moved
-  FROM G JOIN (SELECT substr(cluster, 1, 7) AS grp, count(*) AS moved FROM PI WHERE cluster <> 'Brand#1' GROUP BY 1) USING (grp) GROUP BY grp""")
+  FROM G JOIN (SELECT right(cluster, 1) AS grp, count(*) AS moved FROM PI WHERE cluster <> 'Brand#1' GROUP BY 1) USING (grp) GROUP BY grp""")
 def _(t):
     shares, members = brand_share(t)
-    merged, moved = report.merge_groups(shares.withColumn("grp", F.substring("cluster", 1, 7)), members, "grp")
+    merged, moved = report.merge_groups(shares.withColumn("grp", F.right("cluster", F.lit(1))), members, "grp")
     sizes = report.cluster_sizes(moved).select("cluster", c("n_items").alias("n_moved"))
     return rounded(merged.join(sizes, "cluster").select("grp", "cluster", "n_items", "percentage", "n_moved"), "percentage")
 
@@ -175,14 +175,14 @@ def _(t):
     return rounded(out.select("cluster", "title", "quote_id", "link", "score", "day", "n_items", "percentage"), "percentage")
 
 
-INS = """INS AS (SELECT id AS insight_id, CASE WHEN quality = 1 THEN 'attitudinal' ELSE 'behavioral' END AS kind, title AS insight, lang || '/' || community || '/' || length(author) AS source, substr(lower(title), 1, 4) AS quote FROM D JOIN labels ON id = doc_id),
+INS = """INS AS (SELECT id AS insight_id, CASE WHEN quality = 1 THEN 'attitudinal' ELSE 'behavioral' END AS kind, title AS insight, lang || '/' || community || '/' || length(author) AS source, split_part(lower(title), ' ', 1) AS quote FROM D JOIN labels ON id = doc_id),
   I1 AS (SELECT * FROM INS QUALIFY row_number() OVER (PARTITION BY source ORDER BY insight_id) = 1), I2 AS (SELECT * FROM I1 QUALIFY row_number() OVER (PARTITION BY quote ORDER BY insight_id) = 1)"""
 
 
 def insights(t):
     d = t.docs.join(t.labels.select(c("doc_id").alias("id"), "quality"), "id")
     return d.select(c("id").alias("insight_id"), F.when(c("quality") == 1, "attitudinal").otherwise("behavioral").alias("kind"), c("title").alias("insight"),
-                    F.concat_ws("/", "lang", "community", F.length("author").cast("string")).alias("source"), F.substring(F.lower("title"), 1, 4).alias("quote"))
+                    F.concat_ws("/", "lang", "community", F.length("author").cast("string")).alias("source"), F.split_part(F.lower("title"), F.lit(" "), F.lit(1)).alias("quote"))
 
 
 @query("insight_report", views="D", sql=f"WITH {INS} SELECT insight_id, kind, insight, source, quote FROM I2")

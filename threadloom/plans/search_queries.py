@@ -189,7 +189,7 @@ def phrases(t):
 
 
 def phrase_docs(t, limit=200_000):
-    found = lexical.phrase_hits(t.docs, "id", "body", phrases(t), [3]).join(t.docs.select("id", "created_utc"), "id")
+    found = lexical.phrase_hits(t.docs, "id", "body", phrases(t), [3], keep=("created_utc",))
     return ranking.top_k(found, [F.desc("created_utc"), c("id"), c("phrase")], limit)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from threadloom import schemas
@@ -13,8 +14,13 @@ from threadloom.operators.ranking import with_row_index
 
 
 def scan_by_suffix(spark: SparkSession, directory: str, suffix: str, schema: T.StructType) -> DataFrame:
-    """All `*<suffix>.parquet` of a directory as one table, read with a fixed schema."""
-    return spark.read.schema(schema).parquet(f"{directory}/*{suffix}.parquet")
+    """All `*<suffix>.parquet` of a directory as one table, read with a fixed schema; none is empty."""
+    try:
+        return spark.read.schema(schema).parquet(f"{directory}/*{suffix}.parquet")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def scan_threads(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
@@ -43,6 +49,8 @@ def audit_files(spark: SparkSession, patterns: list[str], rows: int = 10) -> Dat
     listed = spark.read.format("binaryFile").load(patterns).select("path", "length")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import re
+
         import pyarrow.parquet as pq
         from pyarrow import fs
 
@@ -50,7 +58,7 @@ def audit_files(spark: SparkSession, patterns: list[str], rows: int = 10) -> Dat
             ok = []
             for path in pdf["path"]:
                 try:
-                    system, inner = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file:///") else path)
+                    system, inner = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
                     with system.open_input_file(inner) as f:
                         next(pq.ParquetFile(f).iter_batches(batch_size=rows), None)
                     ok.append(True)
@@ -100,6 +108,7 @@ def search_document(df: DataFrame) -> DataFrame:
 
 def put_lines(docs: DataFrame, namespace: str, doc_type: str, key: str) -> DataFrame:
     """One JSON line per document: `{"put": id, "fields": {...}}`; null fields are written as null."""
+    # fixed values: the shapes of the feed lines here and below
     put = F.concat(F.lit(f"id:{namespace}:{doc_type}::"), F.col(key).cast("string"))
     line = F.to_json(
         F.struct(put.alias("put"), F.struct(*docs.columns).alias("fields")), {"ignoreNullFields": "false"}

@@ -80,6 +80,11 @@ def current_rows(spark: SparkSession, path: str, key: str, order: list[str]) ->
     return last.select(key, *[F.col(f"_r.{c}").alias(c) for c in [*order, *others]])
 
 
+def compact_log(spark: SparkSession, path: str, target: str, key: str, order: list[str]) -> None:
+    """Write the current rows as the first batch of a new log, so reads stay cheap over time."""
+    current_rows(spark, path, key, order).write.parquet(f"{target}/batch={0:010d}")
+
+
 def distinct_within(stream: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
     """Drop repeated keys with bounded state; later repeats are settled by `current_rows`."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
