@@ -50,18 +50,27 @@ def union_posts_comments(posts: DataFrame, comments: DataFrame) -> DataFrame:
     return comments.unionByName(posts, allowMissingColumns=True)
 
 
-def drop_repeated_bodies(df: DataFrame, body: str = "body", num: int = 25) -> DataFrame:
+def _digest(body: str):
+    return F.unhex(F.sha2(F.col(body), 256))
+
+
+def repeated_bodies(bodies: DataFrame, body: str = "body", num: int = 25) -> DataFrame:
+    """SHA-256 digests of the texts seen more than `num` times; null texts are never repeated.
+
+    The shuffle moves digests that are already added up per task, not texts.
+    """
+    seen = bodies.select(_digest(body).alias("_h")).groupBy("_h").agg(F.count("_h").alias("_n"))
+    return seen.filter(F.col("_n") > num).select("_h")
+
+
+def drop_repeated_bodies(df: DataFrame, body: str = "body", num: int = 25, repeated: DataFrame | None = None) -> DataFrame:
     """Remove every row of a body seen more than `num` times.
 
-    Copies are counted by a SHA-256 of the text, so the shuffle moves digests that are
-    already added up per task. Only repeated digests come back, and the anti join finds
-    them without gathering a hot body in one place. Null bodies are never repeated.
+    Only repeated digests come back, and the anti join finds their rows without gathering a
+    hot body in one place. `repeated` passes digests that were counted elsewhere.
     """
-    hashed = df.withColumn("_h", F.unhex(F.sha2(F.col(body), 256)))
-    repeated = (
-        hashed.groupBy("_h").agg(F.count("_h").alias("_n")).filter(F.col("_n") > num).select("_h")
-    )
-    return hashed.join(repeated, "_h", "left_anti").drop("_h")
+    found = repeated_bodies(df, body, num) if repeated is None else repeated
+    return df.withColumn("_h", _digest(body)).join(found, "_h", "left_anti").drop("_h")
 
 
 def fill_defaults(df: DataFrame, archived_compat: bool = True) -> DataFrame:
@@ -74,11 +83,18 @@ def fill_defaults(df: DataFrame, archived_compat: bool = True) -> DataFrame:
 def clean_threads(
     posts: DataFrame, comments: DataFrame, num: int = 25, archived_compat: bool = True
 ) -> DataFrame:
-    """The whole cleaning job as one lazy plan."""
-    kept_posts = tag_posts(drop_removed_posts(posts))
-    kept_comments = join_parent_post(tag_comments(drop_empty_comments(comments)), kept_posts)
-    both = union_posts_comments(kept_posts, kept_comments)
-    return fill_defaults(drop_repeated_bodies(both, num=num), archived_compat)
+    """The whole cleaning job as one lazy plan.
+
+    Repeats are counted on the bare bodies and dropped before the parents are joined: the join
+    does not change a body, so it runs once and on fewer rows. A repeated post is still the
+    parent of its comments.
+    """
+    all_posts = tag_posts(drop_removed_posts(posts))
+    all_comments = tag_comments(drop_empty_comments(comments))
+    repeated = repeated_bodies(all_comments.select("body").unionByName(all_posts.select("body")), num=num)
+    kept_posts, kept_comments = (drop_repeated_bodies(df, repeated=repeated) for df in (all_posts, all_comments))
+    both = union_posts_comments(kept_posts, join_parent_post(kept_comments, all_posts))
+    return fill_defaults(both, archived_compat)
 
 
 def count_by_community(df: DataFrame, community: str = "subreddit") -> DataFrame:

@@ -186,22 +186,29 @@ def _search(docs: DataFrame, key: str, fields: dict[str, Column], queries: Query
     return top_k_per_group(found, ["qid"], [F.desc("score"), F.col("id")], k).drop("rn").withColumnRenamed("id", key)
 
 
+def prepare(docs: DataFrame, fields: dict[str, Column], terms: DataFrame, k: int) -> tuple[QuerySet | None, dict[str, FieldStats]]:
+    """The query set and the corpus statistics of its terms; (None, {}) when it cannot travel."""
+    queries = QuerySet.of(terms, k)
+    return queries, {} if queries is None else corpus_stats(docs, fields, queries)
+
+
 def bm25_hits(docs: DataFrame, key: str, fields: dict[str, Column], terms: DataFrame, k: int = 700,
-              weights: dict[str, float] | None = None, bonus: str | None = None) -> DataFrame:
+              weights: dict[str, float] | None = None, bonus: str | None = None, prepared=None) -> DataFrame:
     """(qid, key, score): the k best documents per query by weighted BM25 over the fields.
 
     A query with common words matches nearly every document, so (query, document) pairs are
     never rows: the queries travel to the tasks, a task counts and scores its own documents and
     emits its k best per query. The corpus is read twice (statistics, scores) and never
     shuffled. `bonus` names a column added to the score of matching documents. Keys are bigint.
+    `prepared` shares the result of `prepare` between searches of one corpus.
     """
-    queries = QuerySet.of(terms, k)
+    queries, stats = prepared or prepare(docs, fields, terms, k)
     if queries is None:
         scored = bm25(docs, key, fields, terms, weights)
         if bonus:
             scored = scored.join(docs.select(key, bonus), key).withColumn("score", F.col("score") + F.col(bonus)).drop(bonus)
         return top_k_per_group(scored, ["qid"], [F.desc("score"), F.col(key)], k).drop("rn")
-    return _search(docs, key, fields, queries, k, _bm25_weight, corpus_stats(docs, fields, queries), weights or {}, bonus)
+    return _search(docs, key, fields, queries, k, _bm25_weight, stats, weights or {}, bonus)
 
 
 def bm25_pairs(docs: DataFrame, key: str, fields: dict[str, Column], terms: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from threadloom.operators.ranking import top_k_per_group
 from threadloom.runtime import fetch_if_small
 
 MATRIX_ROWS = 4096    # queries that may travel as one matrix
-BLOCK_ROWS = 4096     # rows per side of a tile
+BLOCK_ROWS = 16_384   # rows per side of a tile; larger blocks mean fewer copies in the shuffle
 CELLS = 4_000_000     # scores held at once inside a task
 PAIRS = 200_000       # candidate pairs scored at once inside a task
 KEPT = 20_000_000     # best rows a task may hold for all its queries together

@@ -221,13 +221,15 @@ def auc_by_group(ranked: DataFrame, group: str = "imp_id") -> DataFrame:
     return per.filter((p > 0) & (p < n)).select(group, ((F.col("_r") - p * (p + 1) / 2) / (p * (n - p))).alias("auc"))
 
 
-def ndcg_by_group(ranked: DataFrame, k: int, group: str = "imp_id") -> DataFrame:
-    """(group, ndcg): only the k best rows by score and by label are ever needed."""
+def ndcg_by_group(ranked: DataFrame, ks: tuple[int, ...] = (5, 10), group: str = "imp_id") -> DataFrame:
+    """(group, ndcg<k> ...): only the best rows by score and by label are ever needed."""
+    top = max(ks)
     gain = F.pow(F.lit(2.0), F.col("label")) - 1
-    actual = ranked.filter(F.col("pos") <= k).groupBy(group).agg(F.sum(gain / F.log2(F.col("pos") + 1.0)).alias("_a"))
-    ideal = top_k_per_group(ranked.select(group, "item", "label"), [group], [F.desc("label"), F.col("item")], k, "_i")
-    best = ideal.groupBy(group).agg(F.sum(gain / F.log2(F.col("_i") + 1.0)).alias("_b")).filter("_b > 0")
-    return best.join(actual, group).select(group, (F.col("_a") / F.col("_b")).alias("ndcg"))
+    dcg = lambda pos, k: F.sum(F.when(F.col(pos) <= k, gain / F.log2(F.col(pos) + 1.0)).otherwise(0.0))
+    actual = ranked.filter(F.col("pos") <= top).groupBy(group).agg(*[dcg("pos", k).alias(f"_a{k}") for k in ks])
+    ideal = top_k_per_group(ranked.select(group, "item", "label"), [group], [F.desc("label"), F.col("item")], top, "_i")
+    best = ideal.groupBy(group).agg(*[dcg("_i", k).alias(f"_b{k}") for k in ks]).filter(F.col(f"_b{ks[0]}") > 0)
+    return best.join(actual, group).select(group, *[(F.col(f"_a{k}") / F.col(f"_b{k}")).alias(f"ndcg{k}") for k in ks])
 
 
 def mrr_by_group(ranked: DataFrame, group: str = "imp_id") -> DataFrame:
@@ -245,8 +247,7 @@ def evaluate(scored: DataFrame, group: str = "imp_id", split: str | None = None)
     parts = (
         auc_by_group(ranked, group)
         .join(mrr_by_group(ranked, group), group)
-        .join(ndcg_by_group(ranked, 5, group).withColumnRenamed("ndcg", "ndcg5"), group)
-        .join(ndcg_by_group(ranked, 10, group).withColumnRenamed("ndcg", "ndcg10"), group)
+        .join(ndcg_by_group(ranked, (5, 10), group), group)
     )
     if split:
         parts = parts.join(kept.select(group, split).distinct(), group)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from threadloom.constants import HYBRID_LEGS, LEG_WEIGHTS
 from threadloom.functions import vectors as V
 from threadloom.functions.text import squash
-from threadloom.operators.lexical import bm25_hits, bm25_pairs, document_fields
+from threadloom.operators.lexical import bm25_hits, bm25_pairs, document_fields, prepare
 from threadloom.operators.nearest import nearest, pair_scores
 from threadloom.operators.ranking import best_per_key, top_k, top_k_per_group
 from threadloom.runtime import spread
@@ -73,13 +73,14 @@ def two_phase(candidates: DataFrame, cheap: str, costly: Callable[[DataFrame], D
 def minmax_fusion(vector_leg: DataFrame, text_leg: DataFrame, alpha: float) -> DataFrame:
     """(qid, id, score): alpha * scaled vector score + (1 - alpha) * scaled text score.
 
-    Each leg is scaled to 0..1 per query by an aggregate joined back, not by a window. A leg
-    whose scores are all equal scales to 1. A document in one leg only gets 0 for the other.
+    Each leg is scaled to 0..1 per query. Legs are fetched with a limit per query, so the window
+    over a query's rows is small. A leg whose scores are all equal scales to 1. A document in
+    one leg only gets 0 for the other.
     """
     def scaled(leg: DataFrame, name: str) -> DataFrame:
-        ends = leg.groupBy("qid").agg(F.min("score").alias("_lo"), F.max("score").alias("_hi"))
-        unit = F.when(F.col("_hi") > F.col("_lo"), (F.col("score") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(1.0)
-        return leg.join(ends, "qid").select("qid", "id", unit.alias(name))
+        w = Window.partitionBy("qid")
+        lo, hi = F.min("score").over(w), F.max("score").over(w)
+        return leg.select("qid", "id", F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(1.0).alias(name))
 
     both = scaled(vector_leg, "_v").join(scaled(text_leg, "_t"), ["qid", "id"], "full_outer")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -98,19 +99,20 @@ def three_way_intersect(body: DataFrame, keywords: DataFrame, title: DataFrame,
 
 
 def hybrid_leg(docs: DataFrame, queries: DataFrame, terms: DataFrame, vector: str, fields: dict[str, Column],
-               weights: dict[str, float], alpha: float, max_distance: float) -> DataFrame:
+               weights: dict[str, float], alpha: float, max_distance: float, prepared=None) -> DataFrame:
     """One field's hybrid search: vectors within a distance fused with weighted BM25."""
     vec = nearest(docs, queries, k=LEG_HITS, vector=vector).filter(F.col("score") > 1 - max_distance)
-    return minmax_fusion(vec, bm25_hits(docs, "id", fields, terms, LEG_HITS, weights), alpha)
+    return minmax_fusion(vec, bm25_hits(docs, "id", fields, terms, LEG_HITS, weights, prepared=prepared), alpha)
 
 
 def three_leg_search(docs: DataFrame, queries: DataFrame, terms: DataFrame, legs: dict = HYBRID_LEGS) -> DataFrame:
     """Body, keyword and title hybrid searches, then the intersection."""
     f = document_fields(with_community=True)
+    prepared = prepare(docs, f, terms, LEG_HITS)  # one pass for the statistics of all fields
     body = hybrid_leg(docs, queries, terms, "v", {k: f[k] for k in ("body", "title", "community")},
-                      {"body": 3.0, "title": 2.0, "community": 1.0}, *legs["body"])
-    keywords = hybrid_leg(docs, queries, terms, "kw", {"keywords": f["keywords"]}, {}, *legs["keywords"])
-    title = hybrid_leg(docs, queries, terms, "tv", {"title": f["title"]}, {}, *legs["title"])
+                      {"body": 3.0, "title": 2.0, "community": 1.0}, *legs["body"], prepared)
+    keywords = hybrid_leg(docs, queries, terms, "kw", {"keywords": f["keywords"]}, {}, *legs["keywords"], prepared)
+    title = hybrid_leg(docs, queries, terms, "tv", {"title": f["title"]}, {}, *legs["title"], prepared)
     return three_way_intersect(body, keywords, title, ["qid", "id"])
 
 

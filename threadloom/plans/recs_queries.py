@@ -154,9 +154,7 @@ def _(t):
 
 @query("ndcg_at_k", views="I V", sql=f"WITH {RK}, {NDCG} SELECT imp_id, {R('ndcg5')} AS ndcg5, {R('ndcg10')} AS ndcg10 FROM ND")
 def _(t):
-    r = ranked(t)
-    five, ten = (recs.ndcg_by_group(r, k).withColumnRenamed("ndcg", f"ndcg{k}") for k in (5, 10))
-    return rounded(five.join(ten, "imp_id"), "ndcg5", "ndcg10")
+    return rounded(recs.ndcg_by_group(ranked(t)), "ndcg5", "ndcg10")
 
 
 @query("evaluate_split", views="I V", sql=f"""WITH {RK}, {AUC}, {MRR}, {NDCG}, SP AS (SELECT DISTINCT imp_id, CASE WHEN day < DATE '2024-01-21' THEN 'train' ELSE 'validation' END AS split FROM MIX)
