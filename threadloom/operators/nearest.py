@@ -70,15 +70,16 @@ class Best:
         self.k = k
         self.ids = [np.empty(0, "int64") for _ in range(n)]
         self.scores = [np.empty(0) for _ in range(n)]
+        self.floor = np.full(n, -np.inf)  # what a row must reach; most later rows do not
 
     def add(self, ids: np.ndarray, scores: np.ndarray, own: np.ndarray | None) -> None:
-        """A block of scores, one column per query."""
-        for j in range(scores.shape[1]):
-            s = scores[:, j]
-            keep = ~np.isnan(s)
-            if own is not None:
-                keep &= ids != own[j]
-            self._merge(j, ids[keep], s[keep])
+        """A block of scores, one column per query; NaN is no score."""
+        hit = scores >= self.floor
+        if own is not None:
+            hit &= ids[:, None] != own[None, :]
+        for j in np.flatnonzero(hit.any(axis=0)):
+            keep = hit[:, j]
+            self._merge(j, ids[keep], scores[keep, j])
 
     def add_pairs(self, ids: np.ndarray, query: np.ndarray, scores: np.ndarray) -> None:
         """Single scored pairs."""
@@ -88,9 +89,8 @@ class Best:
             self._merge(j, ids[part], scores[part])
 
     def _merge(self, j: int, i: np.ndarray, v: np.ndarray) -> None:
-        if len(self.scores[j]) == self.k:
-            keep = v >= self.scores[j][-1]
-            i, v = i[keep], v[keep]
+        keep = v >= self.floor[j]
+        i, v = i[keep], v[keep]
         if not len(v):
             return
         if len(v) > self.k:  # rows under the k-th value of this block cannot win
@@ -99,6 +99,8 @@ class Best:
         i, v = np.concatenate([self.ids[j], i]), np.concatenate([self.scores[j], v])
         order = np.lexsort((i, -v))[:self.k]
         self.ids[j], self.scores[j] = i[order], v[order]
+        if len(order) == self.k:
+            self.floor[j] = self.scores[j][-1]
 
     def rows(self, qids: np.ndarray) -> pa.RecordBatch:
         counts = [len(i) for i in self.ids]
