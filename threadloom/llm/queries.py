@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import binary_tokens, packing, warc
+from threadloom.llm import binary_tokens, host_graph, packing, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token pieces of every document with their places in sequences of 2048."""
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json")).drop("text_key")
+
+
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+             ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict by rule, else by its host's place in the link graph."""
+    return host_graph.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+ORACLES["op7_url_filter"] = host_graph.judge_urls_sql(URL_RULES)
