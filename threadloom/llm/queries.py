@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import binary_tokens, host_graph, packing, warc
+from threadloom.llm import binary_tokens, host_graph, packing, topk_search, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,22 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op7_url_filter"] = host_graph.judge_urls_sql(URL_RULES)
+
+
+@query
+def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every vector whose id is divisible by 50, by integer inner product."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("long").alias("id"), topk_search.quantised(F.col("embedding")).alias("vector"))
+    return topk_search.exact_top_k(rows, F.col("id") % 50 == 0)
+
+
+ORACLES["op6_topk_search"] = """
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.n <> c.n)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
