@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import binary_tokens, host_graph, packing, topk_search, warc
+from threadloom.llm import binary_tokens, host_graph, language_id, packing, topk_search, warc
+from threadloom.llm.common import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +91,13 @@ s AS (SELECT q.n, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::
 SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document; a quarter of the ids is never learned from."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = in_fold(F.col("doc_id"), 4, 2)
+    net = language_id.train(docs.filter(~held_out))
+    return language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), net).select(
+        "doc_id", "held_out", "lang_pred", "score")
