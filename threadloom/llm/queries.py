@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import binary_tokens, host_graph, language_id, packing, topk_search, warc
+from threadloom.llm import backoff_lm, binary_tokens, host_graph, language_id, packing, topk_search, warc
 from threadloom.llm.common import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = language_id.train(docs.filter(~held_out))
     return language_id.identify(docs.select("doc_id", "text", held_out.alias("held_out")), net).select(
         "doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under a model of six sevenths of them."""
+    return backoff_lm.score_texts(table(spark, sf_dir, "documents"), in_fold(F.col("doc_id"), 7, 2))
