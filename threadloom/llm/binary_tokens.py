@@ -107,7 +107,7 @@ def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_records(spark: SparkSession, folder: str, rows_per_task: int = 20_000) -> DataFrame:
-    """(doc_id, part, row, start, ids) of every record; `start` counts the ids of all records before it.
+    """(doc_id, part, row, ids) of every record; the ids are little-endian unsigned 32-bit integers.
 
     The offset index lets a task open its own range of rows, so ranges can be read in any order.
     """
@@ -147,11 +147,11 @@ def records_between(folder: str, part: int, first: int, last: int) -> Iterator[t
             yield row, *deserialize(read_frame(f.read))
 
 
-def record_summary(spark: SparkSession, folder: str, rows_per_task: int = 20_000) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every record, read back from the files.
+def record_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, part, row) of every record, read back from the files.
 
-    `start` needs the ids before a record: files and ranges are summed first (a row each),
-    rows inside a range are summed by the task that reads it.
+    `start` needs the ids before a record: files are summed first (a row each in the manifest),
+    rows inside a file by the task that reads it, so a file must be one range.
     """
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,20 +161,14 @@ def record_summary(spark: SparkSession, folder: str, rows_per_task: int = 20_000
                 doc_id, row, n, crc = zip(*rows)
                 n = np.asarray(n, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_id, pa.int64()), pa.array([r["part"]] * len(rows), pa.int64()),
-                     pa.array([r["first"]] * len(rows), pa.int64()), pa.array(row, pa.int64()),
-                     pa.array(np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64())],
-                    ["doc_id", "part", "first", "row", "within", "n_tokens", "ids_crc32"])
+                    [pa.array(doc_id, pa.int64()), pa.array(r["base"] + np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64()),
+                     pa.array([r["part"]] * len(rows), pa.int64()), pa.array(row, pa.int64())],
+                    ["doc_id", "start", "n_tokens", "ids_crc32", "part", "row"])
 
     listed = sorted(read_manifest(spark, folder).collect())  # a row per file
-    ranges = [(r.part, a, min(a + rows_per_task, r.n_rows)) for r in listed for a in range(0, r.n_rows, rows_per_task)]
+    ranges = [(r.part, 0, r.n_rows) for r in listed]
     starts = np.cumsum([0] + [r.n_tokens for r in listed])
     base = {r.part: int(s) for r, s in zip(listed, starts)}
-    if any(r.n_rows > rows_per_task for r in listed):  # tokens before each range inside its file
-        raise ValueError("rows_per_task must cover a file; write more files")
     tasks = spark.createDataFrame([(*x, base[x[0]]) for x in ranges], "part long, first long, last long, base long")
     tasks = tasks.repartition(max(1, min(len(ranges), partitions(spark))), "part")
-    found = tasks.drop("base").mapInArrow(
-        digest, "doc_id long, part long, first long, row long, within long, n_tokens long, ids_crc32 long")
-    return found.join(tasks.select("part", "base"), "part").select(
-        "doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "part", "row")
+    return tasks.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long, part long, row long")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import backoff_lm, binary_tokens, host_graph, language_id, packing, topk_search, warc
+from threadloom.llm import backoff_lm, binary_tokens, host_graph, jaccard_join, language_id, packing, topk_search, warc
 from threadloom.llm.common import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,9 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every document under a model of six sevenths of them."""
     return backoff_lm.score_texts(table(spark, sf_dir, "documents"), in_fold(F.col("doc_id"), 7, 2))
+
+
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shingle count and the smallest document it is linked to."""
+    return jaccard_join.linked_documents(table(spark, sf_dir, "documents"))
