@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import backoff_lm, binary_tokens, host_graph, jaccard_join, language_id, packing, topk_search, warc
+from threadloom.llm import backoff_lm, binary_tokens, decontam, host_graph, jaccard_join, language_id, packing, topk_search, warc
 from threadloom.llm.common import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,10 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shingle count and the smallest document it is linked to."""
     return jaccard_join.linked_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a copy of a benchmark item, edited or not, with the alignment's score."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontam.find_leaks(docs, items).drop("passage")
