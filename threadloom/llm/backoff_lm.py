@@ -67,7 +67,7 @@ def ngrams(tokens: Tokens, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def planes(values: np.ndarray) -> bytes:
     """Byte planes of a sorted or small-valued array: Spark's block compression then does its work."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def from_planes(data: bytes, kind: str) -> np.ndarray:

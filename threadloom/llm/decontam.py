@@ -196,7 +196,7 @@ def windows(items: Items, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return table[:, 0], table[:, 1], table[:, 2]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, shortest: int = 3, longest: int = 12,
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, shortest: int = 3, longest: int = 12,
                chance: float = 1.0, block_words: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, score, alignment, words of the item, start and end word, passage), a row per
     document and item whose best alignment scores `threshold` or more.

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import backoff_lm, binary_tokens, decontam, host_graph, jaccard_join, language_id, packing, topk_search, warc
+from threadloom.llm import backoff_lm, binary_tokens, decontam, host_graph, jaccard_join, language_id, packing, suffix_dedup, topk_search, warc
 from threadloom.llm.common import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a copy of a benchmark item, edited or not, with the alignment's score."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontam.find_leaks(docs, items).drop("passage")
+
+
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that lie in a 400-byte string which also starts elsewhere."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400, with_text=False).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
