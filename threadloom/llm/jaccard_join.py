@@ -95,76 +95,94 @@ def entries(shingles: np.ndarray, band: int, m: int, spare: int) -> tuple[np.nda
     return np.concatenate([whole, fewer]), np.concatenate([probe, probe_fewer])
 
 
-def index_rows(docs: DataFrame, k: int, percent: int, ranges: int) -> DataFrame:
-    """One pass over the texts. Rows with part -1 are documents (doc_id, text_key, n, key1, key2); others
-    are sorted entries of one range of the hash space, each set of a task once."""
+def set_rows(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, text_key, n, key1, key2): size and identity of every document's set."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").to_pylist():
+                shingles = shingle_set(text, k)
+                rows.append((len(shingles), *set_key(shingles)))
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *columns],
+                                             ["doc_id", "text_key", "n", "key1", "key2"])
+
+    return docs.mapInArrow(build, "doc_id long, text_key long, n long, key1 long, key2 long")
+
+
+def index_entries(docs: DataFrame, k: int, percent: int, ranges: int, at_once: int = 1_000_000) -> DataFrame:
+    """Sorted index entries by range of the hash space, each set of a task once; `sets` lists the sets of a
+    row and `owners` numbers them."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(percent), set()
         signature, owner, probes, held = [], [], [], 0
 
         def flush():
-            sig, own, probe = np.concatenate(signature), np.repeat(*map(np.array, zip(*owner))), np.concatenate(probes)
+            sig, probe = np.concatenate(signature), np.concatenate(probes)
+            sets, sizes = map(np.array, zip(*owner))
+            own = np.repeat(np.arange(len(sets)), sizes)
             order = np.argsort(sig)
             sig, own, probe = sig[order], own[order], probe[order]
             edge = cuts(sig, ranges)
-            at = [i for i in range(ranges) if edge[i + 1] > edge[i]]
-            blob = lambda a: pa.array([planes(a[edge[i]: edge[i + 1]]) for i in at], pa.binary())
-            nothing = pa.nulls(len(at), pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(at, pa.int32()), *[nothing] * 5, blob(sig), blob(own.astype("<i8")), blob(probe.astype(np.uint8))], names)
+            rows = []
+            for i in range(ranges):
+                if edge[i + 1] > edge[i]:
+                    used, number = np.unique(own[edge[i]: edge[i + 1]], return_inverse=True)
+                    rows.append((i, planes(sig[edge[i]: edge[i + 1]]), planes((number * 2 + probe[edge[i]: edge[i + 1]]).astype("<u4")),
+                                 sets[used].astype("<i8").tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 3))],
+                                              ["part", "entries", "owners", "sets"])
 
-        names = ["part", "doc_id", "text_key", "n", "key1", "key2", "entries", "owners", "probes"]
         for batch in batches:
-            for piece in slices(batch, "text"):
-                rows = []
-                for text in piece.column("text").to_pylist():
-                    shingles = shingle_set(text, k)
-                    keys = set_key(shingles)
-                    rows.append((len(shingles), *keys))
-                    if len(shingles) and keys not in seen:
-                        seen.add(keys)
-                        band = bands.of(len(shingles))
-                        for b in {band, max(0, band - 1)}:
-                            sig, probe = entries(shingles, b, *bands.shape(b))
-                            signature.append(sig)
-                            probes.append(probe)
-                            owner.append((keys[0], len(sig)))
-                            held += len(sig)
-                n, key1, key2 = zip(*rows)
-                none = pa.nulls(len(rows), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([-1] * len(rows), pa.int32()), piece.column("doc_id"), piece.column("text_key"), pa.array(n, pa.int64()),
-                     pa.array(key1, pa.int64()), pa.array(key2, pa.int64()), none, none, none], names)
-                if held > 4_000_000:
+            for text in batch.column("text").to_pylist():
+                shingles = shingle_set(text, k)
+                key = set_key(shingles)
+                if len(shingles) and key not in seen:
+                    seen.add(key)
+                    band = bands.of(len(shingles))
+                    for b in {band, max(0, band - 1)}:
+                        sig, probe = entries(shingles, b, *bands.shape(b))
+                        signature.append(sig)
+                        probes.append(probe)
+                        owner.append((key[0], len(sig)))
+                        held += len(sig)
+                if held > at_once:
                     yield flush()
                     signature, owner, probes, held = [], [], [], 0
         if held:
             yield flush()
 
-    schema = ("part int, doc_id long, text_key long, n long, key1 long, key2 long, "
-              "entries binary, owners binary, probes binary")
-    return docs.mapInArrow(build, schema)
+    return docs.select("text").mapInArrow(build, "part int, entries binary, owners binary, sets binary")
 
 
 def entry_groups(index: DataFrame) -> DataFrame:
-    """(entry, key1, probes) of every entry that several sets share and at least one of them probes."""
+    """(entry, key1, probes) of every entry that several sets share and at least one of them probes.
+
+    Entries with the same sets are one: a group is named by its members.
+    """
 
     def group(table: pa.Table) -> pa.Table:
-        join = lambda c, kind: np.concatenate([from_planes(b, kind) for b in table.column(c).to_pylist()])
-        sig, own, probe = join("entries", "<u8"), join("owners", "<i8"), join("probes", "u1").astype(bool)
+        sig = np.concatenate([from_planes(b, "<u8") for b in table.column("entries").to_pylist()])
+        marks = [from_planes(b, "<u4") for b in table.column("owners").to_pylist()]
+        own = np.concatenate([np.frombuffer(s, "<i8")[m >> 1] for s, m in zip(table.column("sets").to_pylist(), marks)])
+        probe = np.concatenate(marks) % 2 == 1
         order = np.lexsort((~probe, own, sig))
         sig, own, probe = sig[order], own[order], probe[order]
-        first = np.ones(len(sig), bool)
-        first[1:] = (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])  # a set counts once, as probing if it does anywhere
+        first = np.append(True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1]))  # a set counts once, as probing if it does anywhere
         sig, own, probe = sig[first], own[first], probe[first]
-        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+        start = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
         size = np.diff(np.append(start, len(sig)))
-        good = np.repeat((size > 1) & (np.add.reduceat(probe.astype(np.int64), start) > 0) if len(start) else np.zeros(0, bool), size)
-        return pa.table({"entry": sig[good].view(np.int64), "key1": own[good], "probes": probe[good]})
+        name = mix(np.add.reduceat(mix(own.view(np.uint64) * np.uint64(2) + probe.astype(np.uint64)), start))
+        good = (size > 1) & (np.add.reduceat(probe.astype(np.int64), start) > 0)
+        once = np.zeros(len(start), bool)
+        once[np.unique(name, return_index=True)[1]] = True
+        good = np.repeat(good & once, size)
+        return pa.table({"entry": np.repeat(name, size)[good].view(np.int64), "key1": own[good], "probes": probe[good]})
 
-    blobs = index.filter("part >= 0").select("part", "entries", "owners", "probes")
-    return blobs.groupBy("part").applyInArrow(group, "entry long, key1 long, probes boolean")
+    groups = index.groupBy("part").applyInArrow(group, "entry long, key1 long, probes boolean")
+    return groups.groupBy("entry", "key1").agg(F.max("probes").alias("probes"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -200,9 +218,8 @@ def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    index = kept(index_rows(keyed, k, percent, partitions(spark)), "index")
-    rows = index.filter("part = -1").select("doc_id", "text_key", "n", "key1", "key2")
-    groups = kept(entry_groups(index), "groups")
+    rows = kept(set_rows(keyed, k), "rows")
+    groups = kept(entry_groups(index_entries(keyed, k, percent, partitions(spark))), "groups")
 
     # round 1: a star per entry, and of its stars each set takes the one with the smallest centre
     centre = groups.filter("probes").groupBy("entry").agg(F.min("key1").alias("centre"))
