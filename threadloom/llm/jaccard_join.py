@@ -208,7 +208,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document.
+    """(doc_id, n_shingles, component_id, text_key) of every document; text_key is xxhash64 of the text.
 
     The words of a text are runs without ASCII white space, A-Z lower-cased; a text with fewer than
     `k` words is one shingle; a text without words (or null) has size 0 and its own doc_id as
@@ -263,7 +263,27 @@ def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
     found = kept(labelled.join(kept(lowest, "lowest"), "component", "left").select(
         "key1", "key2", F.coalesce("lowest", "low").alias("lowest")), "found")
     return rows.join(found, ["key1", "key2"], "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc_id")).alias("component_id"),
+        "text_key")
+
+
+def one_per_component(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+    """`docs` with one document of each component: that with the smallest doc_id, once if its row repeats.
+
+    A row without an id stays if it is linked to no row with an id; texts without words all stay.
+    """
+    linked = kept(linked_documents(docs, k, percent), "linked")
+    stay = linked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "text_key").agg(
+        F.count(F.lit(1)).alias("rows")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "rows")
+    stay = kept(stay, "stay")
+
+    def rows(which: DataFrame) -> DataFrame:
+        same = docs.doc_id.cast("long").eqNullSafe(which["_id"]) & (F.xxhash64(docs.text) == which["_key"])
+        return docs.join(which, same, "left_semi")
+
+    repeated = stay.filter("rows > 1 and _id is not null")
+    single = rows(stay.filter("rows = 1 or _id is null"))
+    return single if repeated.isEmpty() else single.unionByName(rows(repeated).dropDuplicates(["doc_id", "text"]))
 
 
 def shared_sets(keyed: DataFrame, rows: DataFrame, groups: DataFrame, k: int) -> DataFrame:

@@ -112,7 +112,7 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shingle count and the smallest document it is linked to."""
-    return jaccard_join.linked_documents(table(spark, sf_dir, "documents"))
+    return jaccard_join.linked_documents(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 @query

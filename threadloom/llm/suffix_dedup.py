@@ -443,7 +443,7 @@ def send_blocks(texts: DataFrame, shape: Shape, folders: list[str], ranges: int)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,length:long>>, kept_text string"
 
 
-def finished(texts: DataFrame, shape: Shape, folders: list[str], with_text: bool) -> DataFrame:
+def finished(texts: DataFrame, shape: Shape, folders: list[str], with_text: bool, carry: list[str]) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers = Answers(folders)
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
@@ -452,7 +452,7 @@ def finished(texts: DataFrame, shape: Shape, folders: list[str], with_text: bool
         for batch in batches:
             for piece in slices(batch, "text"):
                 rows = []
-                for row in piece.to_pylist():
+                for row in piece.select(["shard", "doc_id", "text_key", "text", "cells"]).to_pylist():
                     blocks, data = _replayed(row, shape, answers)[0], row["text"].encode()
                     gone = blocks.removed()
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
@@ -462,13 +462,16 @@ def finished(texts: DataFrame, shape: Shape, folders: list[str], with_text: bool
                                  [{"start": a, "length": n} for a, n in zip(start.tolist(), length.tolist())],
                                  left.decode("utf-8", "ignore") if with_text else None))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
+                    yield pa.RecordBatch.from_arrays([*columns, *(piece.column(c) for c in carry)], [*schema.names, *carry])
 
-    return texts.select("shard", "doc_id", "text_key", "text", "cells").mapInArrow(finish, RESULT)
+    own = texts.select("shard", "doc_id", "text_key", "text", "cells", *carry)
+    carried = "".join(f", {c} {own.schema[c].dataType.simpleString()}" for c in carry)
+    return own.mapInArrow(finish, RESULT + carried)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = True) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept_text) of every document.
+def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept_text) of every document, and its columns in `carry`.
 
     Texts are UTF-8 bytes; a null text is empty. Every byte covered by a string of `length` bytes that
     also starts anywhere else, in the same document or another, is removed; strings are judged on the
@@ -480,7 +483,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = True) -
         raise ValueError("length must be at least 4")
     spark, shape = docs.sparkSession, Shape(length)
     shards = ranges = partitions(spark)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn(
+    taken = {c: f"_carried{i}" for i, c in enumerate(carry)}  # names that cannot clash with ours
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
+                        *[F.col(c).alias(n) for c, n in taken.items()]).withColumn(
         "text_key", F.xxhash64("text")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(shards)).cast("int"))
 
     anchors = kept(anchor_table(keyed, shape, shards), "anchors")
@@ -510,10 +515,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = True) -
             "text": pa.array([t if c is not None or with_text else None for t, c in zip(text, got)], pa.string()),
             "cells": pa.array(got, pa.binary()),
             "n_bytes": pa.array([None if d is None else len(d) for d in data], pa.int64()),
-            "kept_sha256": pa.array([None if d is None else hashlib.sha256(d).hexdigest() for d in data], pa.string())})
+            "kept_sha256": pa.array([None if d is None else hashlib.sha256(d).hexdigest() for d in data], pa.string()),
+            **{n: left.column(n) for n in carried}})
 
-    schema = "shard int, doc_id long, text_key long, text string, cells binary, n_bytes long, kept_sha256 string"
-    texts = kept(keyed.select("shard", "doc_id", "text_key", "text").groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(
+    carried = list(taken.values())
+    schema = "shard int, doc_id long, text_key long, text string, cells binary, n_bytes long, kept_sha256 string" + "".join(
+        f", {n} {keyed.schema[n].dataType.simpleString()}" for n in carried)
+    texts = kept(keyed.select("shard", "doc_id", "text_key", "text", *carried).groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(
         match, schema), "texts")
     open_texts = texts.filter("cells is not null").select("shard", "doc_id", "text_key", "text", "cells")
     for step in range(1, depth_of_blocks(shape) + 1):
@@ -521,5 +529,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = True) -
         folders = [*folders, by_shard(block_answers(sent), shards, f"answers{step}")]
     clean = texts.filter("cells is null").select(
         "doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256",
-        F.array().cast("array<struct<start:long,length:long>>").alias("spans"), F.col("text").alias("kept_text"))
-    return finished(open_texts, shape, folders, with_text).unionByName(clean)
+        F.array().cast("array<struct<start:long,length:long>>").alias("spans"), F.col("text").alias("kept_text"), *carried)
+    done = finished(texts.filter("cells is not null"), shape, folders, with_text, carried).unionByName(clean)
+    own = [c.split()[0] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text")]
+    return done.select(*own, *[F.col(n).alias(c) for c, n in taken.items() if c not in own])
