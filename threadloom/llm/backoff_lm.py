@@ -102,8 +102,8 @@ def asked_counts(docs: DataFrame, order: int, shards: int, ranges: int) -> DataF
                 parts = [i for i in range(ranges) if edge[i + 1] > edge[i]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard] * len(parts), pa.int32()), pa.array([level] * len(parts), pa.int32()), pa.array(parts, pa.int32()),
-                     pa.array([planes(keys[edge[i]: edge[i + 1]]) for i in parts]),
-                     pa.array([planes(counts[edge[i]: edge[i + 1]]) for i in parts])], ["shard", "level", "part", "keys", "counts"])
+                     pa.array([planes(keys[edge[i]: edge[i + 1]]) for i in parts], pa.binary()),
+                     pa.array([planes(counts[edge[i]: edge[i + 1]]) for i in parts], pa.binary())], ["shard", "level", "part", "keys", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         level, part = table.column("level")[0].as_py(), table.column("part")[0].as_py()

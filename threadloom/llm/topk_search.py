@@ -133,7 +133,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, size: int = 40
     stated query set meets all rows in blocks: each pair of blocks has a key of its own, so work
     spreads evenly and no task holds more than one pair. A task keeps its k best per query over its
     pairs, and these few rows are merged by query. Repeated rows and ids are rows of their own; an
-    empty table gives no rows.
+    empty table gives no rows. Scores must fit 64 bits.
     """
     spark = vectors.sparkSession
     rows = kept(vectors.filter(F.col("id").isNotNull() & F.col("vector").isNotNull()).select(
