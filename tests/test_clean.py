@@ -157,12 +157,12 @@ def test_audit_finds_broken_files(spark, tmp_path):
     assert all(r["readable"] for r in got if "/empty/" in r["path"])
 
 
-def test_failed_batch_is_reported_and_the_rest_goes_on(spark):
+def test_failed_row_is_reported_and_the_rest_goes_on(spark):
     def fn(pdf):
         if (pdf["id"] == 3).any():
             raise RuntimeError("no")
         return pdf
 
     out = files.map_batches(spark.range(0, 10, 1, 1), fn, "id bigint", batch_rows=5).collect()
-    assert sorted(r["id"] for r in out if r["error"] is None) == [5, 6, 7, 8, 9]
-    assert [r["error"] for r in out if r["error"]] == ["RuntimeError: no"]
+    assert sorted(r["id"] for r in out if r["error"] is None) == [0, 1, 2, 4, 5, 6, 7, 8, 9]
+    assert [(r["id"], r["error"]) for r in out if r["error"]] == [(3, "RuntimeError: no")]

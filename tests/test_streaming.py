@@ -29,7 +29,7 @@ def test_stream_upsert_equals_batch_and_survives_replay(spark, tmp_path, rows):
     assert current() == sorted([w for w in want if w[0] != 2] + [(2, "new")])
 
 
-def test_feed_logs_a_failed_batch_and_goes_on(spark, tmp_path, caplog):
+def test_feed_keeps_the_rows_of_a_failed_batch_and_goes_on(spark, tmp_path, caplog):
     for i in range(3):
         spark.createDataFrame([(str(i),)], "value string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     failed = []
@@ -43,6 +43,7 @@ def test_feed_logs_a_failed_batch_and_goes_on(spark, tmp_path, caplog):
         inc.run_to_end(inc.read_files(spark, f"{tmp_path}/in", "value string"), inc.feed(prepare, f"{tmp_path}/out", failed), f"{tmp_path}/cp")
     assert sorted(r["value"] for r in spark.read.text(f"{tmp_path}/out").collect()) == ["0", "2"]
     assert len(failed) == 1
+    assert [r["value"] for r in spark.read.parquet(f"{tmp_path}/out-dead/batch={failed[0]:010d}").collect()] == ["1"]
 
 
 def test_resume_appends_and_keeps_what_is_there(spark, tmp_path):

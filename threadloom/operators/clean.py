@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.functions.text import strip_type_prefix
+from threadloom.runtime import stored
 
 
 def drop_removed_posts(posts: DataFrame, text: str = "selftext") -> DataFrame:
@@ -30,13 +31,14 @@ def tag_comments(comments: DataFrame) -> DataFrame:
 def join_parent_post(comments: DataFrame, posts: DataFrame) -> DataFrame:
     """Add the parent's title and body; '' when the parent is missing or was removed.
 
-    Ids are unique after the reduction, so each comment keeps one row. A post with a third
-    of all comments makes a hot key on the comment side only, which the adaptive skew join
-    splits; posts are broadcast only when the optimiser knows that they are small.
+    Ids are unique after the reduction, so each comment keeps one row. The reduced posts are
+    stored before the join: a post with a third of all comments is then a hot key on the
+    comment side only, which the adaptive skew join splits, and posts are broadcast only
+    when their size is known to be small.
     """
-    parents = posts.groupBy("id").agg(F.min(F.struct("title", "body")).alias("_p")).select(
+    parents = stored(posts.groupBy("id").agg(F.min(F.struct("title", "body")).alias("_p")).select(
         F.col("id").alias("_pid"), F.col("_p.title").alias("_title"), F.col("_p.body").alias("_body")
-    )
+    ), "parents")
     return (
         comments.withColumn("_key", strip_type_prefix(F.col("link_id")))
         .join(parents, F.col("_key") == F.col("_pid"), "left")
@@ -66,10 +68,11 @@ def repeated_bodies(bodies: DataFrame, body: str = "body", num: int = 25) -> Dat
 def drop_repeated_bodies(df: DataFrame, body: str = "body", num: int = 25, repeated: DataFrame | None = None) -> DataFrame:
     """Remove every row of a body seen more than `num` times.
 
-    Only repeated digests come back, and the anti join finds their rows without gathering a
-    hot body in one place. `repeated` passes digests that were counted elsewhere.
+    Only repeated digests come back. They are stored first: few ones are broadcast, and with many
+    the adaptive skew join can split the rows of a hot body. `repeated` passes stored digests that
+    were counted elsewhere.
     """
-    found = repeated_bodies(df, body, num) if repeated is None else repeated
+    found = stored(repeated_bodies(df, body, num), "repeated") if repeated is None else repeated
     return df.withColumn("_h", _digest(body)).join(found, "_h", "left_anti").drop("_h")
 
 
@@ -83,7 +86,7 @@ def fill_defaults(df: DataFrame, archived_compat: bool = True) -> DataFrame:
 def clean_threads(
     posts: DataFrame, comments: DataFrame, num: int = 25, archived_compat: bool = True
 ) -> DataFrame:
-    """The whole cleaning job as one lazy plan.
+    """The whole cleaning job.
 
     Repeats are counted on the bare bodies and dropped before the parents are joined: the join
     does not change a body, so it runs once and on fewer rows. A repeated post is still the
@@ -91,7 +94,7 @@ def clean_threads(
     """
     all_posts = tag_posts(drop_removed_posts(posts))
     all_comments = tag_comments(drop_empty_comments(comments))
-    repeated = repeated_bodies(all_comments.select("body").unionByName(all_posts.select("body")), num=num)
+    repeated = stored(repeated_bodies(all_comments.select("body").unionByName(all_posts.select("body")), num=num), "repeated")
     kept_posts, kept_comments = (drop_repeated_bodies(df, repeated=repeated) for df in (all_posts, all_comments))
     both = union_posts_comments(kept_posts, join_parent_post(kept_comments, all_posts))
     return fill_defaults(both, archived_compat)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from threadloom.functions import vectors as V
 from threadloom.operators.nearest import collapse_copies, label_centroids, neighbour_counts, similar_forest, standardise
-from threadloom.runtime import durable
+from threadloom.runtime import durable, stored
 
 MISC = -1  # cluster of items that belong nowhere
 
@@ -21,9 +21,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in `edges` (a, b); the component is its smallest id.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014) end after a number of
-    rounds that grows with the logarithm of the longest path. A hub is a hot key of the first
-    join only, where one row per key sits on the other side, so the adaptive skew join can
-    split it. Each round is checkpointed; the driver only learns whether another is needed.
+    rounds that grows with the logarithm of the longest path. A hub is a hot key of the joins; the
+    one row per key on their other side is stored first, so that the adaptive skew join can split
+    the hub. Each round is checkpointed; the driver only learns whether another is needed.
     """
     e = durable(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -38,9 +38,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     while not stars_only(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        low2 = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low2")
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         e = durable(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
@@ -62,14 +62,14 @@ def exemplars(members: DataFrame, group: str, vector: str = "v", euclid: bool =
     """
     mean = F.col("centroid")
     far = V.euclidean(F.col(vector), mean) if euclid else -V.dot(F.col(vector), mean)
-    ranked = members.join(label_centroids(members, group, vector), group).select(group, F.round(far, 9).alias("_far"), "id", vector)
+    ranked = members.join(stored(label_centroids(members, group, vector), "centroids"), group).select(group, F.round(far, 9).alias("_far"), "id", vector)
     best = ranked.groupBy(group).agg(F.min(F.struct("_far", "id", vector)).alias("_b"))
     return best.select(group, F.col("_b.id").alias("exemplar"), F.col(f"_b.{vector}").alias("_ev"))
 
 
 def assign_exemplar_distance(members: DataFrame, group: str, vector: str = "v", euclid: bool = False) -> DataFrame:
     """Members with their exemplar and the distance to it (1 - similarity, or Euclid)."""
-    joined = members.join(exemplars(members, group, vector, euclid), group)
+    joined = members.join(stored(exemplars(members, group, vector, euclid), "exemplars"), group)
     d = V.euclidean(F.col(vector), F.col("_ev")) if euclid else 1 - V.cosine(F.col(vector), F.col("_ev"))
     return joined.withColumn("distance", F.when(F.col("id") == F.col("exemplar"), F.lit(0.0)).otherwise(d)).drop("_ev")
 
@@ -87,22 +87,18 @@ def exemplar_clusters(items: DataFrame, threshold: float = 0.85, max_distance: f
     placed = assign_exemplar_distance(unit, "component").select("id", "exemplar", "distance")
     near = placed.filter(F.col("distance") <= cut + 1e-9)
     full = near.groupBy("exemplar").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("exemplar")
-    kept = near.join(full, "exemplar").select("id", F.col("exemplar").alias("cluster"), "distance")
+    kept = near.join(stored(full, "full"), "exemplar").select("id", F.col("exemplar").alias("cluster"), "distance")
     return items.select("id").join(kept, "id", "left").select(
         "id", F.coalesce("cluster", F.lit(MISC)).alias("cluster"), "distance")
 
 
-def density_clusters(items: DataFrame, eps: float, min_size: int | None = None, min_samples: int | None = None, vector: str = "v") -> DataFrame:
+def density_clusters(items: DataFrame, eps: float, min_size: int = 5, min_samples: int = 3, vector: str = "v") -> DataFrame:
     """(id, cluster, distance): components of dense items after standardising; noise is -1.
 
     An item is dense when at least `min_samples` others are within `eps`; dense items within
     `eps` of each other share a cluster (the cut at `eps` of a mutual-reachability hierarchy).
-    Defaults follow the size of the table: 2 and 1 under 500 rows, else 5 and 3.
+    The defaults hold at every size of the table; a caller may pass others.
     """
-    if min_size is None or min_samples is None:
-        small = items.count() < 500
-        min_size = min_size or (2 if small else 5)
-        min_samples = min_samples or (1 if small else 3)
     z = durable(standardise(items.select("id", F.col(vector).alias("v"))).select("id", "z"))
     reps, links = collapse_copies(z, "z")
     seen = neighbour_counts(reps, eps, "euclid", "z")
@@ -111,7 +107,7 @@ def density_clusters(items: DataFrame, eps: float, min_size: int | None = None,
     found = _groups_of(links.join(dense.select(F.col("id").alias("rep")), "rep", "left_semi"),
                        connected_components(similar_forest(dense, eps, "euclid", "z")))
     full = found.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_size).select("component")
-    members = z.join(found.join(full, "component", "left_semi"), "id")
+    members = z.join(found.join(stored(full, "full"), "component", "left_semi"), "id")
     placed = assign_exemplar_distance(members, "component", "z", euclid=True).select("id", F.col("component").alias("cluster"), "distance")
     return items.select("id").join(placed, "id", "left").select("id", F.coalesce("cluster", F.lit(MISC)).alias("cluster"), "distance")
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.functions.text import tokens
-from threadloom.runtime import spread
+from threadloom.runtime import spread, stored
 
 
 def pick_phrases(words: list[str], weight: dict[str, float], top: int, diversity: float, max_n: int) -> list[str]:
@@ -65,7 +65,7 @@ def keyphrases(docs: DataFrame, key: str, text: str, top: int = 5, diversity: fl
     total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
         "term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weights = seen.join(idf, "term").groupBy(key).agg(
+    weights = seen.join(stored(idf, "idf"), "term").groupBy(key).agg(
         F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idfs"))
     joined = toks.join(weights, key, "left")
     key_type = dict(docs.dtypes)[key]

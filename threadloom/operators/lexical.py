@@ -42,7 +42,7 @@ def query_counts(docs: DataFrame, key: str, fields: dict[str, Column], terms: Da
 def field_lengths(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """(field, n, avgdl): one pass, one row per field."""
     sizes = spread(docs).agg(
-        F.count(F.lit(1)).alias("n"), *[F.avg(F.size(toks)).alias(f) for f, toks in fields.items()]
+        F.count(F.lit(1)).alias("n"), *[F.avg(F.greatest(F.coalesce(F.size(toks), F.lit(0)), F.lit(0))).alias(f) for f, toks in fields.items()]
     )
     rows = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("avgdl")) for f in fields])
     return sizes.select("n", F.explode(rows).alias("_r")).select("_r.field", "n", "_r.avgdl")
@@ -54,6 +54,7 @@ def bm25_by_field(docs: DataFrame, key: str, fields: dict[str, Column], terms: D
     Every matching pair is a row, so use this for query sets too large for `bm25_hits`. Sums
     are rounded to twelve places, so copies of a text tie whatever order they were added in.
     """
+    terms = terms.select("qid", "term").distinct()  # a repeated term counts once
     counts = query_counts(docs, key, fields, terms)
     frequency = counts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     weights = frequency.join(field_lengths(docs, fields), "field").withColumn(
@@ -77,9 +78,9 @@ class QuerySet:
     query: np.ndarray
 
     @classmethod
-    def of(cls, terms: DataFrame, k: int = 1, max_rows: int = QUERY_TERMS) -> QuerySet | None:
+    def of(cls, terms: DataFrame, k: int = 1, max_rows: int | None = None) -> QuerySet | None:
         """The query set, or None when it is too large to travel or to keep k hits per query."""
-        rows = fetch_if_small(terms.select("qid", "term").distinct(), max_rows)
+        rows = fetch_if_small(terms.select("qid", "term").distinct(), QUERY_TERMS if max_rows is None else max_rows)
         if rows is None or len({r["qid"] for r in rows}) * k > KEPT:
             return None
         vocabulary, t = np.unique([r["term"] for r in rows] or np.empty(0, "U1"), return_inverse=True)
@@ -163,7 +164,7 @@ def _share_weight(_, term, tf, dl):
 
 def _search(docs: DataFrame, key: str, fields: dict[str, Column], queries: QuerySet, k: int, weigh, stats, weights, bonus: str | None) -> DataFrame:
     names = list(fields)
-    extra = [F.col(bonus).cast("double").alias("_bonus")] if bonus else []
+    extra = [F.coalesce(F.col(bonus).cast("double"), F.lit(0.0)).alias("_bonus")] if bonus else []
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(len(queries.qids), k)
@@ -199,27 +200,39 @@ def bm25_hits(docs: DataFrame, key: str, fields: dict[str, Column], terms: DataF
     A query with common words matches nearly every document, so (query, document) pairs are
     never rows: the queries travel to the tasks, a task counts and scores its own documents and
     emits its k best per query. The corpus is read twice (statistics, scores) and never
-    shuffled. `bonus` names a column added to the score of matching documents. Keys are bigint.
+    shuffled. `bonus` names a column added to the score of matching documents, 0 where it is null.
+    Keys are bigint. A query set too large to travel gives the same rows by a join.
     `prepared` shares the result of `prepare` between searches of one corpus.
     """
     queries, stats = prepared or prepare(docs, fields, terms, k)
     if queries is None:
         scored = bm25(docs, key, fields, terms, weights)
         if bonus:
-            scored = scored.join(docs.select(key, bonus), key).withColumn("score", F.col("score") + F.col(bonus)).drop(bonus)
-        return top_k_per_group(scored, ["qid"], [F.desc("score"), F.col(key)], k).drop("rn")
+            scored = scored.join(docs.select(key, F.coalesce(F.col(bonus).cast("double"), F.lit(0.0)).alias("_bonus")), key).withColumn(
+                "score", F.col("score") + F.col("_bonus"))
+        return top_k_per_group(_positive(scored, key, bool(bonus)), ["qid"], [F.desc("score"), F.col(key)], k).drop("rn")
     return _search(docs, key, fields, queries, k, _bm25_weight, stats, weights or {}, bonus)
 
 
+def _positive(scored: DataFrame, key: str, bonus: bool) -> DataFrame:
+    """Rows as the travelling way gives them: (qid, key, score), the text score above 0."""
+    text = F.col("score") - F.col("_bonus") if bonus else F.col("score")
+    return scored.filter(F.round(text, 12) > 0).select(F.col("qid").cast("bigint"), F.col(key).cast("bigint"), F.round("score", 12).alias("score") if not bonus else "score")
+
+
 def bm25_pairs(docs: DataFrame, key: str, fields: dict[str, Column], terms: DataFrame, pairs: DataFrame) -> DataFrame:
     """(qid, key, one BM25 column per field) for the given (qid, key) pairs only.
 
     Statistics count the whole corpus; then only documents of a pair are tokenised again, each
-    with the list of its own queries (no longer than the query set).
+    with the list of its own queries (no longer than the query set). A pair of a known query and
+    document without a common word is a row of zeros.
     """
     queries = QuerySet.of(terms)
     if queries is None:
-        return bm25_by_field(docs, key, fields, terms).join(pairs.select("qid", key), ["qid", key], "left_semi")
+        wanted = pairs.select(F.col("qid").cast("bigint").alias("qid"), F.col(key).cast("bigint").alias(key))
+        known = wanted.join(terms.select("qid").distinct(), "qid", "left_semi").join(docs.select(key), key, "left_semi")
+        return known.join(bm25_by_field(docs, key, fields, terms), ["qid", key], "left").select(
+            "qid", key, *[F.coalesce(n, F.lit(0.0)).alias(n) for n in fields])
     stats = corpus_stats(docs, fields, queries)
     names = list(fields)
     wanted = pairs.groupBy(F.col(key).alias("_key")).agg(F.collect_list("qid").alias("_qids"))
@@ -270,9 +283,10 @@ def fulltext_hits(docs: DataFrame, key: str, text: str, terms: DataFrame, k: int
     fields = {"text": tokens(F.col(text))}
     queries = QuerySet.of(terms, k)
     if queries is None:
+        terms = terms.select("qid", "term").distinct()
         scored = query_counts(docs, key, fields, terms).join(terms, "term").groupBy("qid", key).agg(
             F.round(F.sum("tf") / F.max("dl"), 12).alias("score"))
-        return top_k_per_group(scored, ["qid"], [F.desc("score"), F.col(key)], k).drop("rn")
+        return top_k_per_group(_positive(scored, key, False), ["qid"], [F.desc("score"), F.col(key)], k).drop("rn")
     return _search(docs, key, fields, queries, k, _share_weight, {}, {}, None)
 
 

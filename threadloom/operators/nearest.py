@@ -202,6 +202,7 @@ def nearest(
         raise ValueError("the coded search gives the k best by cosine and skips nothing")
     items = items.select(F.col("id").cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("v IS NOT NULL")
     queries = queries.select(F.col("qid").cast("bigint").alias("qid"), F.col("v").cast("array<double>").alias("v")).filter("v IS NOT NULL")
+    queries = queries.dropDuplicates(["qid"])  # a repeated query would fill its places with copies
     schema = "qid bigint, id bigint, score double"
     plan = (metric, k, threshold, skip_self, coded)
 

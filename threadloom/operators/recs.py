@@ -13,7 +13,7 @@ from threadloom.functions import vectors as V
 from threadloom.functions.text import md5_number
 from threadloom.operators.nearest import label_centroids, nearest
 from threadloom.operators.ranking import dense_index, sample_bernoulli, top_k_per_group, with_group_position
-from threadloom.runtime import durable
+from threadloom.runtime import durable, stored
 
 
 def parse_behaviors(df: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def not_in_history(impressions: DataFrame, history: DataFrame | None = None) ->
 def mixed_label_groups(impressions: DataFrame, group: str = "imp_id") -> DataFrame:
     """Impressions with at least one click and one non-click."""
     mixed = impressions.groupBy(group).agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo = 0 AND _hi > 0")
-    return impressions.join(mixed.select(group), group, "left_semi")
+    return impressions.join(stored(mixed.select(group), "mixed"), group, "left_semi")
 
 
 def click_counts(items: DataFrame, impressions: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def negative_sampling(impressions: DataFrame, k: int = 4, seed: int = 1, group:
     numbered = with_group_position(neg, [group], [mixed, F.col("item")], "_no").select(group, "item", (F.col("_no") - 1).alias("_no"))
     sizes = neg.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     start = md5_number(F.lit(seed), F.lit("start"), F.col(group), F.col("positive"))
-    drawn = pos.join(sizes, group).select(
+    drawn = pos.join(stored(sizes, "sizes"), group).select(
         group, "positive", "_n", start.alias("_s"), F.explode(F.sequence(F.lit(0), F.least(F.col("_n"), F.lit(k)).cast("int") - 1)).alias("_j")
     ).select(group, "positive", F.pmod(F.col("_s") + F.col("_j"), F.col("_n")).alias("_no"))
     negatives = drawn.join(numbered, [group, "_no"]).select(group, "positive", "item", F.lit(0).alias("label"))
@@ -130,20 +130,29 @@ def negative_sampling(impressions: DataFrame, k: int = 4, seed: int = 1, group:
 
 
 def training_pairs(impressions: DataFrame, features: DataFrame, prob: float = 1.0, seed: int = 1, k: int = 4) -> DataFrame:
-    """Labelled (user_id, item, features) rows of one epoch in a seeded random order."""
+    """Labelled (user_id, item, features) rows of one epoch; `md5_number` of a row's keys gives a seeded order."""
     chosen = sample_bernoulli(mixed_label_groups(impressions), "imp_id", prob, seed) if prob < 1 else mixed_label_groups(impressions)
     pairs = negative_sampling(chosen, k, seed).join(impressions.select("imp_id", "user_id").distinct(), "imp_id")
-    return pairs.join(features, "item").orderBy(md5_number(F.lit(seed), F.col("imp_id"), F.col("positive"), F.col("item")))
+    return pairs.join(features, "item")
 
 
-def train_factors(impressions: DataFrame, rank: int = 50, seed: int = 1, iterations: int = 10):
-    """Implicit-feedback factors of users and items from clicks."""
+def train_factors(impressions: DataFrame, rank: int = 50, seed: int = 1, iterations: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(id, v) of users and of items: implicit-feedback factors from clicks.
+
+    Ids of any size or type are numbered 0..n-1 first, as the solver takes 32-bit numbers, and
+    mapped back.
+    """
     from pyspark.ml.recommendation import ALS
 
     clicks = impressions.groupBy("user_id", "item").agg(F.sum("label").cast("float").alias("clicks")).filter("clicks > 0")
-    ints = clicks.select(F.col("user_id").cast("int").alias("user"), F.col("item").cast("int").alias("item"), "clicks")
+    users = stored(dense_index(clicks, "user_id", ["user_id"], "user"), "users")
+    items = stored(dense_index(clicks, "item", ["item"], "no"), "items")
+    ints = clicks.join(users, "user_id").join(items, "item").select(F.col("user").cast("int"), F.col("no").cast("int").alias("item"), "clicks")
     als = ALS(rank=rank, implicitPrefs=True, seed=seed, maxIter=iterations, userCol="user", itemCol="item", ratingCol="clicks", coldStartStrategy="drop")
-    return als.fit(ints)
+    model = als.fit(durable(ints))
+    factors = lambda df: df.select(F.col("id").alias("_no"), F.col("features").cast("array<double>").alias("v"))
+    return (factors(model.userFactors).join(users, F.col("_no") == F.col("user")).select(F.col("user_id").alias("id"), "v"),
+            factors(model.itemFactors).join(items, F.col("_no") == F.col("no")).select(F.col("item").alias("id"), "v"))
 
 
 def content_vectors(news: DataFrame, vectors: DataFrame, dims: int, buckets: int = 32) -> DataFrame:
@@ -171,11 +180,17 @@ def train_content_model(pairs: DataFrame, users: DataFrame, items: DataFrame, it
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
+    first = items.select(F.size("v").alias("n")).first()
+    width = first.n if first else 1
+
     def featurise(df: DataFrame) -> DataFrame:
         u = users.select(F.col("id").alias("user_id"), F.col("v").alias("_u"))
         i = items.select(F.col("id").alias("item"), F.col("v").alias("_i"))
+        # a user without clicks or an unknown item has the zero vector: the row is scored all the same
+        zero = F.array_repeat(F.lit(0.0), width)
+        known = df.join(u, "user_id", "left").join(i, "item", "left").withColumn("_u", F.coalesce("_u", zero)).withColumn("_i", F.coalesce("_i", zero))
         cross = F.zip_with("_u", "_i", lambda a, b: a * b)
-        return df.join(u, "user_id").join(i, "item").withColumn("features", array_to_vector(F.concat(cross, F.col("_i")))).drop("_u", "_i")
+        return known.withColumn("features", array_to_vector(F.concat(cross, F.col("_i")))).drop("_u", "_i")
 
     # read once per iteration, so it is computed once and kept on shared storage
     training = durable(featurise(pairs.withColumn("label", F.col("label").cast("double"))).select("features", "label"))

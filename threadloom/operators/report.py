@@ -34,12 +34,12 @@ def cluster_share(members: DataFrame, rejected: DataFrame | None = None, cluster
     return kept.select(cluster, "n_items", (100.0 * F.col("n_items") / total).alias("percentage"))
 
 
-def renormalise_share(clusters: DataFrame, share: str = "percentage", title: str = "cluster", keep: int = 13) -> DataFrame:
-    """Shares scaled to a total of 100 (one cluster alone keeps its own), best `keep` of them."""
+def renormalise_share(clusters: DataFrame, share: str = "percentage", title: str = "cluster", keep: int | None = None) -> DataFrame:
+    """Shares scaled to a total of 100 (one cluster alone keeps its own); all, or the best `keep` of them."""
     total = clusters.agg(F.sum(share).alias("s")).scalar()
     n = clusters.agg(F.count(F.lit(1)).alias("n")).scalar()
     scaled = clusters.withColumn(share, F.when(n > 1, 100.0 * F.col(share) / total).otherwise(F.col(share)))
-    return top_k(scaled, [F.desc(share), F.col(title)], keep)
+    return scaled if keep is None else top_k(scaled, [F.desc(share), F.col(title)], keep)
 
 
 def merge_groups(clusters: DataFrame, members: DataFrame, group: str, cluster: str = "cluster", share: str = "percentage"):

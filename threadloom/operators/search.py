@@ -35,12 +35,14 @@ def best_query_per_doc(hits: DataFrame, ascending: bool = False) -> DataFrame:
     return best.orderBy(F.asc("score") if ascending else F.desc("score"), "id")
 
 
-def hits_above(hits: DataFrame, cut: float, limit: int = 200_000, nearest_first: bool = True) -> DataFrame:
+def hits_above(hits: DataFrame, cut: float, limit: int | None = None, nearest_first: bool = True) -> DataFrame:
+    """Hits above the cut; `limit` keeps that many per query."""
+    found = hits.filter(F.col("score") > cut)
     order = F.desc("score") if nearest_first else F.asc("score")
-    return top_k(hits.filter(F.col("score") > cut), [order, F.col("id"), F.col("qid")], limit)
+    return found if limit is None else top_k_per_group(found, ["qid"], [order, F.col("id")], limit).drop("rn")
 
 
-def rerank_top(best: DataFrame, cut: float = 0.25, keep: int | None = 1000) -> DataFrame:
+def rerank_top(best: DataFrame, cut: float = 0.25, keep: int | None = None) -> DataFrame:
     kept, order = best.filter(F.col("score") > cut), [F.desc("score"), F.col("id")]
     return kept.orderBy(*order) if keep is None else top_k(kept, order, keep)
 
@@ -186,22 +188,33 @@ def hit_rows(hits: DataFrame, docs: DataFrame) -> DataFrame:
     ).orderBy(F.desc("relevance_score"), "id")
 
 
-def rerank_best_query(docs: DataFrame, queries: DataFrame, text: str, scorer, max_queries: int = 5) -> DataFrame:
+def rerank_best_query(docs: DataFrame, queries: DataFrame, text: str, scorer, max_queries: int | None = None,
+                      block: int = 1000) -> DataFrame:
     """Best (query, score) per document for a pluggable scorer; only scores above 0 count.
 
-    The first `max_queries` queries (a handful by contract) travel to every task. `scorer` gets
-    the query texts and a series of whole texts and returns one row of scores per text; a task
-    emits one row per document, never a row per pair.
+    Queries travel to every task in blocks of about `block`; `max_queries` takes the first ones only.
+    `scorer` gets the query texts and a series of whole texts and returns one row of scores per text;
+    a task emits one row per document and block, never a row per pair.
     """
+    queries = queries.select("qid", "query") if max_queries is None else queries.select("qid", "query").orderBy("qid").limit(max_queries)
+    blocks = queries.count() // block + 1
+    found = None
+    for b in range(blocks):
+        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
+        best = _best_of_block(docs, own, text, scorer)
+        found = best if found is None else found.unionByName(best)
+    return found if blocks == 1 else best_per_key(found, ["id"], "score", "qid", ["qid", "score"]).select("id", "qid", "score")
+
+
+def _best_of_block(docs: DataFrame, queries: DataFrame, text: str, scorer) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    rows = queries.orderBy("qid").limit(max_queries).collect()
-    wanted = [(r["qid"], r["query"]) for r in rows]
+    wanted = sorted((r["qid"], r["query"]) for r in queries.collect())
 
     def run(batches):
         for pdf in batches:
-            if not len(pdf):
+            if not len(pdf) or not wanted:
                 continue
             scores = np.asarray(scorer([q for _, q in wanted], pdf[text]), dtype="float64")
             pick = scores.argmax(axis=1)  # the first query wins a tie

@@ -198,9 +198,9 @@ def _(t):
 @query("train_mf")
 def _(t):
     """Five recommendations per user from implicit-feedback factors."""
-    model = recs.train_factors(t.impressions)
-    best = model.recommendForAllUsers(5).select(c("user").alias("user_id"), F.posexplode("recommendations").alias("place", "r"))
-    return best.select("user_id", "place", c("r.item").alias("item"), c("r.rating").cast("double").alias("score"))
+    users, items = recs.train_factors(t.impressions)
+    best = recs.top_n_for_user(users.withColumnRenamed("id", "qid"), items, 5)
+    return best.select(c("qid").alias("user_id"), c("id").alias("item"), "score")
 
 
 @query("train_content_model")

@@ -35,7 +35,7 @@ def brand_share(t):
     return report.cluster_share(m, m.select("cluster").distinct().filter("cluster = 'Brand#1'")), m
 
 
-@query("renormalise_share", views="PI", sql=f"WITH {SHARE} SELECT cluster, n_items, {R('100.0 * percentage / (SELECT sum(percentage) FROM SH)')} AS percentage FROM SH ORDER BY SH.percentage DESC, cluster LIMIT 13")
+@query("renormalise_share", views="PI", sql=f"WITH {SHARE} SELECT cluster, n_items, {R('100.0 * percentage / (SELECT sum(percentage) FROM SH)')} AS percentage FROM SH")
 def _(t):
     return rounded(report.renormalise_share(brand_share(t)[0]), "percentage")
 
@@ -138,9 +138,9 @@ EPS = 9.3
 @query("density_clusters", views="V", sql=f"""WITH RECURSIVE E AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM V), S AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM E GROUP BY i),
   Z AS (SELECT id, list((x - m) / s ORDER BY i) AS z FROM E JOIN S USING (i) GROUP BY id),
   NB AS (SELECT a.id AS a, b.id AS b FROM Z a JOIN Z b ON a.id <> b.id AND list_distance(a.z, b.z) <= {EPS}),
-  CO AS (SELECT a AS id FROM NB GROUP BY a HAVING count(*) >= (SELECT CASE WHEN count(*) < 500 THEN 1 ELSE 3 END FROM V)),
+  CO AS (SELECT a AS id FROM NB GROUP BY a HAVING count(*) >= 3),
   PR AS (SELECT a, b FROM NB WHERE a IN (FROM CO) AND b IN (FROM CO)), {cc('PR')},
-  MB AS (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM CC), BIG AS (SELECT id, component, n, z FROM MB JOIN Z USING (id) WHERE n >= (SELECT CASE WHEN count(*) < 500 THEN 2 ELSE 5 END FROM V)),
+  MB AS (SELECT *, count(*) OVER (PARTITION BY component) AS n FROM CC), BIG AS (SELECT id, component, n, z FROM MB JOIN Z USING (id) WHERE n >= 5),
   CE AS (SELECT component, list(m ORDER BY i) AS q FROM (SELECT component, i, avg(x) AS m FROM (SELECT component, unnest(z) AS x, generate_subscripts(z, 1) AS i FROM BIG) GROUP BY 1, 2) GROUP BY 1),
   EX AS (SELECT component, id AS exemplar, z AS ez FROM BIG JOIN CE USING (component) QUALIFY row_number() OVER (PARTITION BY component ORDER BY round(list_distance(z, q), 9), id) = 1)
   SELECT V.id, coalesce(component, -1) AS cluster, {R('CASE WHEN V.id = exemplar THEN 0 ELSE list_distance(z, ez) END')} AS distance FROM V LEFT JOIN (SELECT id, component, z, exemplar, ez FROM BIG JOIN EX USING (component)) b ON b.id = V.id""")
@@ -217,7 +217,7 @@ def _(t):
     return out
 
 
-@query("sink_report_json", views="PI", sql=f"""WITH {SHARE}, T13 AS (SELECT cluster, {R('100.0 * percentage / (SELECT sum(percentage) FROM SH)')} AS p FROM SH ORDER BY SH.percentage DESC, cluster LIMIT 13)
+@query("sink_report_json", views="PI", sql=f"""WITH {SHARE}, T13 AS (SELECT cluster, {R('100.0 * percentage / (SELECT sum(percentage) FROM SH)')} AS p FROM SH)
   SELECT 'Pain Points' AS part, row_number() OVER (ORDER BY p DESC, cluster) AS no, cluster AS name, p AS percentage, CAST(NULL AS BIGINT) AS n_ids FROM T13
   UNION ALL SELECT 'Personas', row_number() OVER (ORDER BY persona), persona, NULL, NULL FROM (SELECT DISTINCT persona FROM PI)
   UNION ALL SELECT 'Ids', page + 1, NULL, NULL, count(*) FROM (SELECT CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 300) AS BIGINT) AS page FROM documents) GROUP BY page""")

@@ -94,12 +94,12 @@ def _(t):
 ALLQ = "SELECT QV.qid, V.id, list_cosine_similarity(V.v, QV.v) AS s FROM V, QV"
 
 
-@query("similarity_threshold", views="V QV", sql=f"SELECT qid, id, {R('s')} AS score FROM ({ALLQ}) WHERE s > 0.3 ORDER BY s DESC LIMIT 200000")
+@query("similarity_threshold", views="V QV", sql=f"SELECT qid, id, {R('s')} AS score FROM ({ALLQ}) WHERE s > 0.3")
 def _(t):
     return rounded(search.hits_above(NN.nearest(t.vectors, t.query_vectors, threshold=0.3), 0.3), "score")
 
 
-@query("distance_threshold_fast", views="V QV", sql=f"SELECT qid, id, {R('1 - s')} AS distance FROM ({ALLQ}) WHERE 1 - s < 0.7 ORDER BY s DESC LIMIT 200000")
+@query("distance_threshold_fast", views="V QV", sql=f"SELECT qid, id, {R('1 - s')} AS distance FROM ({ALLQ}) WHERE 1 - s < 0.7")
 def _(t):
     near = NN.nearest(t.vectors, t.query_vectors, threshold=0.3)
     return search.hits_above(near, 0.3).select("qid", "id", r6(1 - c("score")).alias("distance"))
@@ -188,21 +188,19 @@ def phrases(t):
     return runs.select("qid", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))).alias("phrase")).distinct()
 
 
-def phrase_docs(t, limit=200_000):
-    found = lexical.phrase_hits(t.docs, "id", "body", phrases(t), [3], keep=("created_utc",))
-    return ranking.top_k(found, [F.desc("created_utc"), c("id"), c("phrase")], limit)
+def phrase_docs(t):
+    return lexical.phrase_hits(t.docs, "id", "body", phrases(t), [3], keep=("created_utc",))
 
 
-@query("phrase_filter", views="D", sql=f"WITH {PH} SELECT id, phrase, created_utc FROM HIT ORDER BY created_utc DESC, id, phrase LIMIT 200000")
+@query("phrase_filter", views="D", sql=f"WITH {PH} SELECT id, phrase, created_utc FROM HIT")
 def _(t):
     return phrase_docs(t).select("id", "phrase", "created_utc")
 
 
-@query("phrase_then_semantic", views="D V QV", sql=f"""WITH {PH}, L AS (SELECT * FROM HIT ORDER BY created_utc DESC, id, phrase LIMIT 200000)
+@query("phrase_then_semantic", views="D V QV", sql=f"""WITH {PH}, L AS (SELECT * FROM HIT)
   SELECT qid, id, {R('max(list_cosine_similarity(V.v, QV.v))')} AS score FROM L JOIN PH USING (phrase) JOIN V USING (id) JOIN QV USING (qid)
   WHERE list_cosine_similarity(V.v, QV.v) > 0.1 GROUP BY qid, id""")
 def _(t):
-    # the limit comes before the vector filter, as the order of the two changes the result
     pairs = phrase_docs(t).join(phrases(t), "phrase").select("qid", "id").distinct()
     scored = NN.pair_scores(pairs.join(t.vectors.select("id", "v"), "id").join(t.query_vectors.select("qid", c("v").alias("q")), "qid"), {"score": ("v", "q")})
     return rounded(search.hits_above(scored, 0.1), "score")
@@ -252,12 +250,11 @@ def _(t):
     return rounded(ranking.top_k(per_query, [F.desc("score"), c("id"), c("qid")], search.HITS), "score")
 
 
-@query("rerank_top", views="V QV", sql=f"""SELECT id, {R('s')} AS score FROM (SELECT id, max(s) AS s FROM ({ALLQ}) WHERE qid IN (SELECT qid FROM QV ORDER BY qid LIMIT 5) GROUP BY id)
+@query("rerank_top", views="V QV", sql=f"""SELECT id, {R('s')} AS score FROM (SELECT id, max(s) AS s FROM ({ALLQ}) GROUP BY id)
   WHERE s > 0.15 ORDER BY s DESC, id LIMIT 1000""")
 def _(t):
-    five = t.query_vectors.orderBy("qid").limit(5)  # the operator uses the first five queries only
-    best = search.best_query_per_doc(NN.nearest(t.vectors, five, threshold=0.0))
-    return rounded(search.rerank_top(best, 0.15).select("id", "score"), "score")
+    best = search.best_query_per_doc(NN.nearest(t.vectors, t.query_vectors, threshold=0.0))
+    return rounded(search.rerank_top(best, 0.15, keep=1000).select("id", "score"), "score")
 
 
 @query("rrf", views=f"{DVV} SC BM", sql=f"""WITH F1 AS (SELECT qid, id, bcos FROM SC QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ham DESC, id) <= 1000),
@@ -273,13 +270,13 @@ def _(t):
     return search.reciprocal_rank_fusion(pairs, ["t", "s"]).select("qid", "id", r6(c("rrf")).alias("score"))
 
 
-@query("two_phase_rank", views=f"{DVV} SC BMV", sql=f"""WITH S AS (SELECT qid, id, bcos, body + title AS t, row_number() OVER (PARTITION BY qid ORDER BY round(body + title, 12) DESC, id) AS rn FROM BW JOIN SC USING (qid, id) WHERE body + title > 0 QUALIFY rn <= 300)
-  SELECT qid, id, CASE WHEN rn <= 100 THEN 2 ELSE 1 END AS phase, {R('CASE WHEN rn <= 100 THEN bcos ELSE t END')} AS score FROM S""")
+@query("two_phase_rank", views=f"{DVV} SC BMV", sql=f"""WITH S AS (SELECT qid, id, bcos, body + title AS t, row_number() OVER (PARTITION BY qid ORDER BY round(body + title, 12) DESC, id) AS rn FROM BW JOIN SC USING (qid, id) WHERE body + title > 0 QUALIFY rn <= 5000)
+  SELECT qid, id, CASE WHEN rn <= 1000 THEN 2 ELSE 1 END AS phase, {R('CASE WHEN rn <= 1000 THEN bcos ELSE t END')} AS score FROM S""")
 def _(t):
     d, q, f = dv(t), t.query_vectors, lexical.document_fields()
-    cheap = lexical.bm25_hits(d, "id", {k: f[k] for k in ("title", "body")}, t.query_terms, k=300).withColumnRenamed("score", "cheap")
+    cheap = lexical.bm25_hits(d, "id", {k: f[k] for k in ("title", "body")}, t.query_terms, k=search.ANN_HITS).withColumnRenamed("score", "cheap")
     costly = lambda best: NN.pair_scores(best.join(d.select("id", "v"), "id").join(q.select("qid", c("v").alias("q")), "qid"), {"costly": ("v", "q")})
-    out = search.two_phase(cheap, "cheap", costly, depth=100)
+    out = search.two_phase(cheap, "cheap", costly)
     return rounded(out.select("qid", "id", "phase", "score"), "score")
 
 
@@ -324,12 +321,12 @@ def _(t):
 
 
 @query("union_candidates", views=BM_DV, sql="""SELECT DISTINCT qid, id FROM (SELECT qid, id FROM BW WHERE title > 0
-  UNION ALL (SELECT qid, id FROM SC QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ham DESC, id) <= 50)
-  UNION ALL (SELECT qid, id FROM SC QUALIFY row_number() OVER (PARTITION BY qid ORDER BY tcos DESC, id) <= 50))""")
+  UNION ALL (SELECT qid, id FROM SC QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ham DESC, id) <= 5000)
+  UNION ALL (SELECT qid, id FROM SC QUALIFY row_number() OVER (PARTITION BY qid ORDER BY tcos DESC, id) <= 5000))""")
 def _(t):
     d, q = dv(t), t.query_vectors
     text = lexical.text_matches(d, "id", {"title": X.tokens(c("title"))}, t.query_terms)
-    return search.union_candidates(text, NN.nearest(d, q, k=50, metric="hamming"), NN.nearest(d, q, k=50, vector="tv"))
+    return search.union_candidates(text, NN.nearest(d, q, k=search.ANN_HITS, metric="hamming"), NN.nearest(d, q, k=search.ANN_HITS, vector="tv"))
 
 
 @query("funnel_search", views=BM_DV, sql=f"SELECT qid, id, {R('tcos')} AS score FROM SC WHERE bcos > 0.05 AND tcos > 0 AND (qid, id) IN (SELECT (qid, id) FROM BW WHERE keywords > 0)")
@@ -340,10 +337,10 @@ def _(t):
 
 
 def rescoring(key, vector, first, second, **kw):
-    @query(key, views="D V QV DV QT SC", sql=f"""WITH F1 AS (SELECT * FROM SC QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {first} DESC, id) <= 200)
-      SELECT qid, id, {R(first)} AS first_phase, {R(f'1 / (2 - {second})')} AS score FROM F1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {second} DESC, id) <= 100""")
+    @query(key, views="D V QV DV QT SC", sql=f"""WITH F1 AS (SELECT * FROM SC QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {first} DESC, id) <= 1000)
+      SELECT qid, id, {R(first)} AS first_phase, {R(f'1 / (2 - {second})')} AS score FROM F1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY {second} DESC, id) <= 700""")
     def _(t):
-        return rounded(search.semantic_rescoring(dv(t), t.query_vectors, vector, depth=200, hits=100).select("qid", "id", "first_phase", "score"), "first_phase", "score")
+        return rounded(search.semantic_rescoring(dv(t), t.query_vectors, vector).select("qid", "id", "first_phase", "score"), "first_phase", "score")
 
 
 rescoring("semantic_rescoring", "v", "inv", "bcos")
@@ -351,13 +348,13 @@ rescoring("title_semantic_rescoring", "tv", "tinv", "tcos")
 
 SQ = "2 * atan({} / 8) / 3.14159"
 WC = f"""WCL AS (SELECT qid, id, ham, bcos, tcos, kcos, coalesce(title, 0) AS t, coalesce(body, 0) AS b, coalesce(keywords, 0) AS k
-    FROM (SELECT * FROM SC QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ham DESC, id) <= 300) LEFT JOIN BW USING (qid, id)),
+    FROM (SELECT * FROM SC QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ham DESC, id) <= 1000) LEFT JOIN BW USING (qid, id)),
   WC AS (SELECT *, 0.5 * (1 / (2 - bcos) + {SQ.format('b')}) + 0.3 * ({SQ.format('k')} + kcos) + 0.2 * ({SQ.format('t')} + tcos) AS s FROM WCL
-    QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 200)"""
+    QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 700)"""
 
 
 def weighted(t):
-    return search.weighted_closeness(dv(t), t.query_vectors, t.query_terms, depth=300, hits=200)
+    return search.weighted_closeness(dv(t), t.query_vectors, t.query_terms)
 
 
 @query("weighted_closeness", views=BM_DV, sql=f"WITH {WC} SELECT qid, id, {R('s')} AS score FROM WC")
@@ -385,15 +382,15 @@ def _(t):
 
 
 @query("hybrid_rrf", views=BM_DV, sql=f"""WITH F1 AS (SELECT qid, id, bcos, coalesce(title + body + keywords + community, 0) AS t
-    FROM (SELECT * FROM SC QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ham DESC, id) <= 300) LEFT JOIN BW USING (qid, id)),
+    FROM (SELECT * FROM SC QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ham DESC, id) <= 1000) LEFT JOIN BW USING (qid, id)),
   F2 AS (SELECT qid, id, 1 / (60 + row_number() OVER (PARTITION BY qid ORDER BY t DESC, id)) + 1 / (60 + row_number() OVER (PARTITION BY qid ORDER BY bcos DESC, id)) AS s FROM F1)
-  SELECT qid, id, {R('s')} AS score FROM F2 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 100""")
+  SELECT qid, id, {R('s')} AS score FROM F2 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 700""")
 def _(t):
-    return rounded(search.hybrid_rrf(dv(t), t.query_vectors, t.query_terms, depth=300, hits=100).select("qid", "id", "score"), "score")
+    return rounded(search.hybrid_rrf(dv(t), t.query_vectors, t.query_terms).select("qid", "id", "score"), "score")
 
 
 @query("rerank_best_query", views="D", sql=f"""WITH T AS (SELECT id, {tok("'Subreddit:' || community || ' Title:' || title || ' Post: ' || body")} AS w FROM D),
-  Q5 AS (SELECT item_id AS qid, list_distinct({tok('text')}) AS q FROM benchmark ORDER BY item_id LIMIT 5),
+  Q5 AS (SELECT item_id AS qid, list_distinct({tok('text')}) AS q FROM benchmark),
   S AS (SELECT id, qid, len(list_intersect(w, q)) / len(q) AS s FROM T, Q5)
   SELECT id, {R('max(s)')} AS score, min(qid) FILTER (s = m) AS qid FROM (SELECT *, max(s) OVER (PARTITION BY id) AS m FROM S) WHERE m > 0.25 GROUP BY id""")
 def _(t):

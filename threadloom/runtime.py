@@ -61,6 +61,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to shared storage and read back.
+
+    Used for the small side of a join whose other side may have a hot key: an aggregate on the join
+    key would sit between its shuffle and the join, and the adaptive skew join splits only inputs that
+    come straight from a shuffle. Read back, a small table is broadcast by its known size, and a large
+    one is shuffled alone.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fetch_if_small(df: DataFrame, max_rows: int) -> list | None:
     """Rows of `df` when there are at most `max_rows` of them, else None.
 

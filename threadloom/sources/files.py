@@ -44,7 +44,8 @@ def audit_files(spark: SparkSession, patterns: list[str], rows: int = 10) -> Dat
     """One row per file: can its first rows be read?
 
     Files are listed without their content and spread over tasks; each task opens the footer
-    and one small batch of its own files.
+    and one small batch of its own files. Store names are mapped to those the reader knows
+    (`s3a`, `s3n` to `s3`); a store that it cannot open at all is an error, not a broken file.
     """
     listed = spark.read.format("binaryFile").load(patterns).select("path", "length")
 
@@ -57,8 +58,9 @@ def audit_files(spark: SparkSession, patterns: list[str], rows: int = 10) -> Dat
         for pdf in batches:
             ok = []
             for path in pdf["path"]:
+                known = re.sub("^s3[an]://", "s3://", re.sub("^file:/+", "file:///", path))
+                system, inner = fs.FileSystem.from_uri(known)  # outside the try: not the file's fault
                 try:
-                    system, inner = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
                     with system.open_input_file(inner) as f:
                         next(pq.ParquetFile(f).iter_batches(batch_size=rows), None)
                     ok.append(True)
@@ -81,7 +83,8 @@ def write_parquet(
 def map_batches(
     df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, batch_rows: int = 10_000
 ) -> DataFrame:
-    """Run `fn` on batches of at most `batch_rows` rows; a failed batch gives one error row.
+    """Run `fn` on batches of at most `batch_rows` rows; a failed batch is run again row by row, and a
+    row that fails alone gives one error row with its own values where `schema` names its columns.
 
     Output is `schema` plus `error`; the size is cut inside the task, so the session's Arrow
     batch size does not have to be changed.
@@ -95,9 +98,19 @@ def map_batches(
                 try:
                     out = fn(part)[names].copy()
                     out["error"] = None
-                except Exception as e:  # the job goes on
-                    out = pd.DataFrame([{**dict.fromkeys(names), "error": f"{type(e).__name__}: {e}"}])
-                yield out
+                    yield out
+                    continue
+                except Exception:  # the job goes on, and only rows that fail alone are errors
+                    pass
+                for at in range(len(part)):
+                    one = part.iloc[at:at + 1]
+                    try:
+                        out = fn(one)[names].copy()
+                        out["error"] = None
+                    except Exception as e:
+                        own = {n: one[n].iloc[0] if n in one else None for n in names}
+                        out = pd.DataFrame([{**own, "error": f"{type(e).__name__}: {e}"}])
+                    yield out
 
     return df.mapInPandas(run, f"{schema}, error string")
 

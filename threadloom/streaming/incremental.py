@@ -90,15 +90,24 @@ def distinct_within(stream: DataFrame, key: str, ts: str, delay: str) -> DataFra
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def feed(prepare: Callable[[DataFrame], DataFrame], path: str, failed: list[int] | None = None) -> Callable[[DataFrame, int], None]:
-    """A batch writer that prepares lines and writes them; a batch that fails is logged and skipped."""
+def feed(prepare: Callable[[DataFrame], DataFrame], path: str, failed: list[int] | None = None, tries: int = 3,
+         dead_letters: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A batch writer that prepares lines and writes them.
+
+    A batch that fails `tries` times is not lost: its input rows go to `<dead_letters>/batch=<id>`
+    (default `<path>-dead`), from where they can be fed again. If they cannot be written either, the
+    stream stops before its checkpoint moves on.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        try:
-            prepare(batch).write.mode("overwrite").text(f"{path}/batch={batch_id:010d}")
-        except Exception:
-            log.exception("batch %s failed", batch_id)
-            if failed is not None:
-                failed.append(batch_id)
+        for attempt in range(tries):
+            try:
+                prepare(batch).write.mode("overwrite").text(f"{path}/batch={batch_id:010d}")
+                return
+            except Exception:
+                log.exception("batch %s failed, attempt %s", batch_id, attempt + 1)
+        batch.write.mode("overwrite").parquet(f"{dead_letters or path + '-dead'}/batch={batch_id:010d}")
+        if failed is not None:
+            failed.append(batch_id)
 
     return write
