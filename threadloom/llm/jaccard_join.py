@@ -185,25 +185,61 @@ def entry_groups(index: DataFrame) -> DataFrame:
     return groups.groupBy("entry", "key1").agg(F.max("probes").alias("probes"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set keys whose sets reach the threshold. `sets`: (key1, n, shingles)."""
+def bitmap(shingles: np.ndarray) -> bytes:
+    """One bit per shingle in 8 to 16 bits per shingle, by the low bits of its hash."""
+    size = 1 << max(6, (8 * len(shingles)).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def most_shared(x: bytes, y: bytes, n_x: int) -> int:
+    """No fewer than the shingles both sets share: each bit of x that y lacks is a shingle of x alone."""
+    x, y = (np.frombuffer(b, np.uint8) for b in (x, y))
+    while len(x) > len(y):  # folding halves keeps the low bits of the hash
+        x = x[: len(x) // 2] | x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2:]
+    return n_x - int(_ONES[x & ~y].sum())
+
+
+_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1).astype(np.int64)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) of set keys whose sets reach the threshold. `sets`: (key1, n, bits, shingles).
+
+    Sizes and bitmaps rule out most of the others; whole sets are compared for the rest.
+    """
+    def reaches(both: int, n_a: int, n_b: int) -> bool:
+        return 100 * both >= percent * (n_a + n_b - both)
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("na", "nb", "ba", "bb"))
+            keep = [reaches(min(most_shared(x, y, m), most_shared(y, x, n)), m, n) for m, n, x, y in zip(*columns)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in ("sa", "sb"))
             linked = []
-            for x, y in zip(a, b):
+            for x, y in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb"))):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+                linked.append(reaches(len(x) + len(y) - len(np.union1d(x, y)), len(x), len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    size = sets.select("key1", "n")
-    fit = pairs.join(size.select(F.col("key1").alias("a"), F.col("n").alias("na")), "a").join(
-        size.select(F.col("key1").alias("b"), F.col("n").alias("nb")), "b").filter(
-        100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    with_b = fit.join(sets.select(F.col("key1").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = with_b.join(sets.select(F.col("key1").alias("a"), F.col("shingles").alias("sa")), "a")
+    sizes = sets.select("key1", "n")
+    fit = pairs.join(sizes.select(F.col("key1").alias("a"), F.col("n").alias("na")), "a").join(
+        sizes.select(F.col("key1").alias("b"), F.col("n").alias("nb")), "b").filter(
+        100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    bits = sets.select("key1", "bits")
+    likely = fit.join(bits.select(F.col("key1").alias("b"), F.col("bits").alias("bb")), "b").join(
+        bits.select(F.col("key1").alias("a"), F.col("bits").alias("ba")), "a")
+    likely = kept(likely.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(sieve, "a long, b long"), f"likely-{name}")
+    used = kept(likely.select(F.explode(F.array("a", "b")).alias("key1")).distinct(), f"used-{name}")
+    whole = sets.select("key1", "shingles").join(used, "key1", "left_semi")
+    with_b = likely.join(whole.select(F.col("key1").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = with_b.join(whole.select(F.col("key1").alias("a"), F.col("shingles").alias("sa")), "a")
     return both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
@@ -227,7 +263,7 @@ def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
     pairs = kept(stars.groupBy("key1").agg(F.min("centre").alias("a")).select("a", F.col("key1").alias("b")), "stars")
 
     sets = kept(shared_sets(keyed, rows, groups, k), "sets")
-    links = kept(verified(pairs, sets, percent), "links")
+    links = kept(verified(pairs, sets, percent, "first"), "links")
     tested, step = pairs, 0
     while True:
         component = kept(connected_components(links), f"components{step}")
@@ -250,7 +286,7 @@ def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
         known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
         more = kept(more, f"pairs{step}")
-        links = kept(links.unionByName(verified(more, sets, percent)), f"links{step}")
+        links = kept(links.unionByName(verified(more, sets, percent, str(step))), f"links{step}")
         if step > 0:
             component = kept(connected_components(links), "components")
             break
@@ -287,7 +323,7 @@ def one_per_component(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFra
 
 
 def shared_sets(keyed: DataFrame, rows: DataFrame, groups: DataFrame, k: int) -> DataFrame:
-    """(key1, n, shingles) of the sets that share an entry with another: one document of each is read again."""
+    """(key1, n, bits, shingles) of the sets that share an entry with another: one document of each is read again."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,12 +331,16 @@ def shared_sets(keyed: DataFrame, rows: DataFrame, groups: DataFrame, k: int) ->
                 sets = [shingle_set(t, k) for t in piece.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([set_key(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["key1", "n", "shingles"])
+                     pa.array([bitmap(s) for s in sets], pa.binary()),
+                     pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["key1", "n", "bits", "shingles"])
 
     wanted = groups.select("key1").distinct()
     one = rows.filter("n > 0").groupBy("key1").agg(F.min("text_key").alias("text_key")).join(wanted, "key1", "left_semi")
     # copies of one text share its key: the lowest doc_id stands for them
-    low = rows.join(kept(one, "wanted"), ["key1", "text_key"], "left_semi").groupBy("text_key").agg(F.min("doc_id").alias("low"))
-    low = kept(low, "texts")
-    texts = keyed.join(low, (keyed.text_key == low.text_key) & (keyed.doc_id.eqNullSafe(low.low)), "left_semi").select("text")
-    return texts.mapInArrow(build, "key1 long, n long, shingles binary").dropDuplicates(["key1"])
+    copies = rows.join(kept(one, "wanted"), ["key1", "text_key"], "left_semi").groupBy("text_key", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    low = kept(copies.groupBy("text_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rows")).alias("low")).select(
+        F.col("text_key").alias("_key"), F.col("low.doc_id").alias("_id"), F.col("low.rows").alias("rows")), "texts")
+    same = (keyed.text_key == low["_key"]) & keyed.doc_id.eqNullSafe(low["_id"])
+    found = keyed.join(low, same, "left_semi").select("text").mapInArrow(build, "key1 long, n long, bits binary, shingles binary")
+    # only a row that repeats with its id is read twice
+    return found if low.filter("rows > 1").isEmpty() else found.dropDuplicates(["key1"])
