@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.functions import vectors as V
-from threadloom.operators.nearest import collapse_copies, label_centroids, neighbour_counts, similar_forest, standardise
+from threadloom.operators.nearest import collapse_copies, label_centroids, nearest, neighbour_counts, similar_forest, standardise
 from threadloom.runtime import durable, stored
 
 MISC = -1  # cluster of items that belong nowhere
@@ -112,6 +112,42 @@ def density_clusters(items: DataFrame, eps: float, min_size: int = 5, min_sample
     return items.select("id").join(placed, "id", "left").select("id", F.coalesce("cluster", F.lit(MISC)).alias("cluster"), "distance")
 
 
+def merge_average_linkage(clusters: DataFrame, max_distance: float, key: str = "cluster", vector: str = "v", euclid: bool = False) -> DataFrame:
+    """(key, group): average-linkage groups cut at `max_distance`; a group is named by its smallest key.
+
+    The mean similarity of two groups of unit vectors is the product of their mean vectors, so a group is
+    one row: its sum vector and its size. Every round finds each group's nearest other group and merges
+    those that name each other; average linkage is reducible, so this gives the groups of merging the
+    nearest pair one by one. Ties go to the smaller key. `euclid` takes the mean squared Euclid
+    distance of two groups, which follows from sizes, means and mean squared lengths, and its root.
+    """
+    unit = clusters.select(F.col(key).alias("id"), (F.col(vector) if euclid else V.l2_normalise(F.col(vector))).alias("s"), F.lit(1.0).alias("n"))
+    groups = stored(unit.withColumn("q", V.dot(F.col("s"), F.col("s"))), "groups")
+    of = stored(unit.select("id", F.col("id").alias("group")), "of")
+    while True:
+        # one vector per group whose inner product orders the others: its mean, with the mean square beside it
+        mean = F.transform("s", lambda x: x / F.col("n"))
+        square = F.array(F.col("q") / F.col("n")) if euclid else F.array().cast("array<double>")
+        items = groups.select("id", F.concat(mean, square).alias("v"))
+        asked = F.concat(F.transform(mean, lambda x: 2 * x), F.array(F.lit(-1.0))) if euclid else mean
+        near = nearest(items, groups.select(F.col("id").alias("qid"), asked.alias("v")), k=1, metric="dot", skip_self=True)
+        if euclid:  # mean squared distance: mean squares of both minus twice the product of means
+            near = near.join(groups.select(F.col("id").alias("qid"), (F.col("q") / F.col("n")).alias("_q")), "qid").withColumn(
+                "distance", F.sqrt(F.greatest(F.col("_q") - F.col("score"), F.lit(0.0))))
+        else:
+            near = near.withColumn("distance", 1 - F.col("score"))
+        near = stored(near.filter(F.col("distance") <= max_distance + 1e-9).select("qid", "id"), "near")
+        mutual = near.join(near.select(F.col("qid").alias("id"), F.col("id").alias("qid")), ["qid", "id"], "left_semi").filter("qid < id")
+        mutual = stored(mutual.select(F.col("qid").alias("into"), F.col("id").alias("gone")), "mutual")
+        if mutual.isEmpty():
+            return of.select(F.col("id").alias(key), "group")
+        named = groups.join(mutual, F.col("id") == F.col("gone"), "left").withColumn("id", F.coalesce("into", "id"))
+        two = named.groupBy("id").agg(F.collect_list("s").alias("_s"), F.sum("n").alias("n"), F.sum("q").alias("q"))  # two rows at most
+        total = F.when(F.size("_s") == 2, F.zip_with(F.col("_s")[0], F.get("_s", F.lit(1)), lambda a, b: a + b)).otherwise(F.col("_s")[0])
+        groups = stored(two.select("id", total.alias("s"), "n", "q"), "groups")
+        of = stored(of.join(mutual, F.col("group") == F.col("gone"), "left").select("id", F.coalesce("into", "group").alias("group")), "of")
+
+
 def merge_near_clusters(clusters: DataFrame, max_distance: float, key: str = "cluster", vector: str = "v") -> DataFrame:
     """(key, group): representatives within `max_distance` (1 - cosine) in a chain share a group."""
     reps = clusters.select(F.col(key).alias("id"), vector)

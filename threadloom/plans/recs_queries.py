@@ -203,6 +203,16 @@ def _(t):
     return best.select(c("qid").alias("user_id"), c("id").alias("item"), "score")
 
 
+@query("evaluate_factors")
+def _(t):
+    """Train on clicks before the last day, score the last day's impressions, evaluate per day."""
+    last = t.impressions.agg(F.max("day").alias("d"))
+    seen = t.impressions.join(last, c("day") < c("d"), "left_semi")
+    users, items = recs.train_factors(seen)
+    scored = recs.score_impressions(t.impressions, users, items).fillna(0.0, ["score"])  # cold users and items score 0
+    return recs.evaluate(scored, split="day")
+
+
 @query("train_content_model")
 def _(t):
     """Click probabilities of impressions from a content model trained on sampled pairs."""

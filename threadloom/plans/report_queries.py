@@ -155,6 +155,13 @@ def _(t):
     return CL.merge_near_clusters(reps, 0.85).select("cluster", c("group").alias("grp"))
 
 
+@query("merge_average_linkage")
+def _(t):
+    """Average-linkage groups of the label centroids; compared with pairwise merging in the tests."""
+    reps = NN.label_centroids(t.vectors, "label").select(c("label").cast("bigint").alias("cluster"), c("centroid").alias("v"))
+    return CL.merge_average_linkage(reps, 0.95).select("cluster", c("group").alias("grp"))
+
+
 EXEMPLAR = f"""{CENTROID}, EX AS (SELECT label, id AS exemplar, v AS ev FROM W QUALIFY row_number() OVER (PARTITION BY label ORDER BY round(-list_inner_product(v, q), 9), id) = 1)"""
 
 
