@@ -493,11 +493,13 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = True, c
     state = kept(anchors.groupBy("shard").applyInArrow(first_round(shape, ranges), ROUND), "round0")
     for step in range(1, ROUNDS + 1):
         sent = state.filter("part >= 0").select("shard", "part", "names", "counts")
+        if sent.isEmpty():  # every interval is closed
+            break
         answers = shared_names(sent, 2)
         state = kept(state.filter("part = -1").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
             next_round(ranges, step == ROUNDS), ROUND), f"round{step}")
 
-    cells = kept(anchors.groupBy("shard").cogroup(state.select("shard", "depth").groupBy("shard")).applyInArrow(
+    cells = kept(anchors.groupBy("shard").cogroup(state.filter("part = -1").select("shard", "depth").groupBy("shard")).applyInArrow(
         settle(shape, ranges), CELLS), "cells")
     sent = cells.filter("part >= 0").select("shard", "part", "names", "counts")
     folders = [by_shard(shared_names(sent, 1).withColumn("seconds", F.lit(None).cast("binary")), shards, "answers0")]
