@@ -13,9 +13,11 @@ too, which gives more allotment than needed, and each set spends the surplus by
 that is dearest: its smallest segments, whose content many other sets share. A pair is a candidate if
 one of both probes the entry. Candidates are verified on the whole sets.
 
-A group of near copies shares nearly all entries. Instead of all its pairs, each entry's group first
-gives a star around one set; once the verified links are merged, only entries whose sets are still
-in different components give further pairs, and those are all verified.
+A group of near copies shares nearly all entries. Instead of all its pairs, each set is first compared
+with one centre. Groups that then lie in one component are done. In each of the others all sets are
+compared with one centre, and sets that are not linked to it can only be linked to one another if they share
+a difference from it (`differences`): these shared differences are the groups of the next round. So the
+work follows the differences of near copies, not the square of their number, and no link is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from threadloom.llm.backoff_lm import ascii_lower, cuts, from_planes, planes
 from threadloom.llm.common import kept, mix, partitions, shingle_hashes, slices, word_hashes
@@ -243,6 +245,56 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Data
     return both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
+def centres(groups: DataFrame, name: str) -> DataFrame:
+    """(entry, centre, weight): per group the set that meets the most others over all its groups."""
+    size = kept(groups.groupBy("entry").agg(F.count(F.lit(1)).alias("size")), f"sizes-{name}")
+    weight = kept(groups.join(size, "entry").groupBy("key1").agg(F.sum("size").alias("weight")), f"weights-{name}")
+    best = groups.join(weight, "key1").groupBy("entry").agg(F.max(F.struct("weight", "key1")).alias("best"))
+    return kept(best.select("entry", F.col("best.key1").alias("centre"), F.col("best.weight").alias("weight")), f"centres-{name}")
+
+
+def mixed_groups(groups: DataFrame, component: DataFrame, step: int) -> DataFrame:
+    """The groups whose sets are in different components; a group with one component has nothing to find."""
+    label = groups.select("entry", "key1").join(component.withColumnRenamed("id", "key1"), "key1", "left").withColumn(
+        "component", F.coalesce("component", "key1"))
+    mixed = label.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return kept(label.join(kept(mixed.select("entry"), f"mixed{step}"), "entry", "left_semi"), f"open{step}")
+
+
+def differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked, elements) of each centre a and member b of its star.
+
+    Two members u, v of a star around c that are not both linked to c can only be linked if they share one of
+    their `elements`, so these name the groups of the next round:
+
+    - If less than the needed part r = percent * |u| of u lies in c, then u and v share at least r - |u & c|
+      of the shingles that c lacks; by the prefix principle the first |u| - r + 1 of those in hash order do.
+    - Else u and v must have a common difference from c: with none, u & v lies in u & c and the union of
+      both holds the union of u and c, so u and v are no more alike than u and c, which are not linked.
+    """
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, elements = [], []
+            for x, y in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb"))):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                own = np.setdiff1d(y, x, assume_unique=True)  # keeps the hash order
+                both = len(y) - len(own)
+                needed = -(-percent * len(y) // 100)
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+                if both < needed:
+                    elements.append(own[: len(y) - needed + 1].view(np.int64))
+                else:
+                    elements.append(np.concatenate([own, np.setdiff1d(x, y, assume_unique=True)]).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(elements, pa.list_(pa.int64()))],
+                ["a", "b", "linked", "elements"])
+
+    whole = sets.select("key1", "shingles")
+    with_b = star.join(whole.select(F.col("key1").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = with_b.join(whole.select(F.col("key1").alias("a"), F.col("shingles").alias("sa")), "a")
+    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, linked boolean, elements array<long>")
+
+
 def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_key) of every document; text_key is xxhash64 of the text.
 
@@ -255,42 +307,33 @@ def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     rows = kept(set_rows(keyed, k), "rows")
-    groups = kept(entry_groups(index_entries(keyed, k, percent, partitions(spark))), "groups")
-
-    # round 1: a star per entry, and of its stars each set takes the one with the smallest centre
-    centre = groups.filter("probes").groupBy("entry").agg(F.min("key1").alias("centre"))
-    stars = groups.join(kept(centre, "centres"), "entry").filter("key1 <> centre")
-    pairs = kept(stars.groupBy("key1").agg(F.min("centre").alias("a")).select("a", F.col("key1").alias("b")), "stars")
-
+    groups = kept(entry_groups(index_entries(keyed, k, percent, partitions(spark))).select("entry", "key1"), "groups")
     sets = kept(shared_sets(keyed, rows, groups, k), "sets")
-    links = kept(verified(pairs, sets, percent, "first"), "links")
-    tested, step = pairs, 0
+
+    # a first star per set: the centre, of those of its entries, that meets the most sets
+    pairs = groups.join(centres(groups, "first"), "entry").filter("key1 <> centre").groupBy("key1").agg(
+        F.max(F.struct("weight", "centre")).alias("best")).select(F.col("best.centre").alias("a"), F.col("key1").alias("b"))
+    links = kept(verified(kept(pairs, "stars"), sets, percent, "first"), "links")
+    step = 0
     while True:
         component = kept(connected_components(links), f"components{step}")
-        label = groups.join(component.withColumnRenamed("id", "key1"), "key1", "left").withColumn(
-            "component", F.coalesce("component", "key1"))
-        mixed = label.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        open_groups = kept(label.join(kept(mixed.select("entry"), f"mixed{step}"), "entry"), f"open{step}")
-        if open_groups.isEmpty():
+        groups = mixed_groups(groups, component, step)
+        if groups.isEmpty():
             break
-        if step == 0:
-            # another star, around the largest probing set: settles most of what one centre missed
-            far = kept(open_groups.filter("probes").groupBy("entry").agg(F.max("key1").alias("centre")), "far")
-            more = open_groups.join(far, "entry").filter("key1 <> centre").groupBy("key1").agg(
-                F.max("centre").alias("a")).select("a", F.col("key1").alias("b"))
-        else:
-            one = open_groups.select("entry", F.col("key1").alias("x"), F.col("component").alias("cx"), F.col("probes").alias("px"))
-            two = open_groups.select("entry", F.col("key1").alias("y"), F.col("component").alias("cy"), F.col("probes").alias("py"))
-            more = one.join(two, "entry").filter("x < y and cx <> cy and (px or py)").select(
-                F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-        known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
-        more = kept(more, f"pairs{step}")
-        links = kept(links.unionByName(verified(more, sets, percent, str(step))), f"links{step}")
-        if step > 0:
+        if step < 8:
+            star = kept(groups.join(centres(groups, str(step)), "entry").filter("key1 <> centre").select(
+                F.col("centre").alias("a"), F.col("key1").alias("b")).distinct(), f"star{step}")
+            told = kept(differences(star, sets, percent), f"told{step}")
+            links = kept(links.unionByName(told.filter("linked").select("a", "b")), f"links{step}")
+            groups = kept(told.select(F.col("b").alias("key1"), F.explode("elements").alias("e"), "a").select(
+                F.xxhash64("a", "e").alias("entry"), "key1").distinct(), f"groups{step}")
+        else:  # families nested deeper than that: all pairs of what is left
+            one, two = (groups.select("entry", F.col("key1").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
+            left = kept(one.join(two, "entry").filter("a < b and ca <> cb").select("a", "b").distinct(), "left")
+            links = kept(links.unionByName(verified(left, sets, percent, "left")), "links-left")
             component = kept(connected_components(links), "components")
             break
-        tested, step = tested.unionByName(more), step + 1
+        step += 1
 
     # smallest doc_id per set, then per component; hot sets are one row before the last join
     own = kept(rows.filter("n > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("low")), "own")
