@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
-from threadloom.operators import clean, cluster, lexical, nearest, recs
+from threadloom.operators import clean, cluster, keywords, lexical, nearest, ranking, recs
 
 
 @pytest.fixture
@@ -86,3 +86,25 @@ def test_hot_keys_are_split(spark, hot):
     assert "skew=true" in plan_of(recs.mixed_label_groups(shown))
     members = spark.createDataFrame([(k, i, [1.0, float(i % 5)]) for k, i, _ in rows], "component bigint, id bigint, v array<double>").repartition(8)
     assert "skew=true" in plan_of(cluster.assign_exemplar_distance(members, "component"))
+
+
+def test_levels_merge_to_the_same_rows(spark):
+    """Forty tasks of 25 rows each, merged three at a time, against one window."""
+    rows = spark.range(0, 1000, 1, 40).selectExpr("id % 3 AS qid", "id", "CAST(hash(id) % 50 AS DOUBLE) AS score")
+    order = [F.desc("score"), F.col("id")]
+    want = ranking.top_k_per_group(rows, ["qid"], order, 4).orderBy("qid", "rn").collect()
+    levels = ranking.merged_top_k(rows, 40, ["qid"], order, 4, fan_in=3)
+    assert levels.orderBy("qid", "rn").collect() == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert ranking.merged_top_k(rows, 40, ["qid"], order, 4, fan_in=3)._jdf.queryExecution().executedPlan().toString().count("Exchange") >= 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_phrases_do_not_depend_on_the_batch(spark):
+    docs = spark.createDataFrame([(i, f"red fox {'jumps' if i % 2 else 'sleeps'} near stone{i % 3} water") for i in range(12)], "id bigint, body string")
+    idf = keywords.word_weights(docs, "id", "body")
+    whole = {r.id: r.keywords for r in keywords.keyphrases(docs, "id", "body").collect()}
+    part = {r.id: r.keywords for r in keywords.keyphrases(docs.filter("id < 5"), "id", "body", idf=idf).collect()}
+    assert part == {i: whole[i] for i in range(5)}

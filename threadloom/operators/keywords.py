@@ -54,18 +54,28 @@ def pick_phrases(words: list[str], weight: dict[str, float], top: int, diversity
     return [" ".join(vocab[i] for i in cand[c] if i != pad) for c in chosen]
 
 
-def keyphrases(docs: DataFrame, key: str, text: str, top: int = 5, diversity: float = 0.5, max_n: int = 3) -> DataFrame:
+def word_weights(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, idf) over all documents. Store it and pass it to `keyphrases`, so that a batch of any size
+    gives a document the same phrases as the whole table."""
+    seen = spread(docs.select(key, text)).select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
+    total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
+        "term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+
+def keyphrases(docs: DataFrame, key: str, text: str, top: int = 5, diversity: float = 0.5, max_n: int = 3,
+               idf: DataFrame | None = None) -> DataFrame:
     """(key, keywords): key phrases per document; a document that fails gets an empty list.
 
+    `idf` holds weights counted elsewhere (`word_weights`); a word that it lacks is left out.
+
     Document frequencies are a partial aggregate. A document's own word weights come back to
     it as one map, no larger than the document; the greedy choice then runs per document.
     """
     toks = spread(docs.select(key, text)).select(key, tokens(F.col(text)).alias("words"))
     seen = toks.select(key, F.explode(F.array_distinct("words")).alias("term"))
-    total = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
-    idf = seen.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select(
-        "term", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weights = seen.join(stored(idf, "idf"), "term").groupBy(key).agg(
+    idf = stored(word_weights(docs, key, text), "idf") if idf is None else idf
+    weights = seen.join(idf, "term").groupBy(key).agg(
         F.collect_list("term").alias("terms"), F.collect_list("idf").alias("idfs"))
     joined = toks.join(weights, key, "left")
     key_type = dict(docs.dtypes)[key]

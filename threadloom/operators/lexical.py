@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from threadloom.constants import BM25_B, BM25_K1
 from threadloom.functions.text import bold_matches, tokens
 from threadloom.operators.nearest import KEPT, Best
-from threadloom.operators.ranking import top_k_per_group
-from threadloom.runtime import fetch_if_small, spread
+from threadloom.operators.ranking import merged_top_k, top_k_per_group
+from threadloom.runtime import fetch_if_small, splits, spread
 
 QUERY_TERMS = 200_000   # (query, term) rows that may travel to every task
 DOCS = 512              # documents scored at once inside a task
@@ -184,7 +184,7 @@ def _search(docs: DataFrame, key: str, fields: dict[str, Column], queries: Query
 
     source = spread(docs).select(F.col(key).cast("bigint").alias("id"), *[t.alias(f"_{n}") for n, t in fields.items()], *extra)
     found = source.mapInArrow(scan, "qid bigint, id bigint, score double")
-    return top_k_per_group(found, ["qid"], [F.desc("score"), F.col("id")], k).drop("rn").withColumnRenamed("id", key)
+    return merged_top_k(found, splits(docs), ["qid"], [F.desc("score"), F.col("id")], k).drop("rn").withColumnRenamed("id", key)
 
 
 def prepare(docs: DataFrame, fields: dict[str, Column], terms: DataFrame, k: int) -> tuple[QuerySet | None, dict[str, FieldStats]]:

@@ -22,8 +22,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from threadloom.operators.ranking import top_k_per_group
-from threadloom.runtime import fetch_if_small
+from threadloom.operators.ranking import merged_top_k
+from threadloom.runtime import fetch_if_small, splits
 
 MATRIX_ROWS = 4096    # queries that may travel as one matrix
 BLOCK_ROWS = 16_384   # rows per side of a tile; larger blocks mean fewer copies in the shuffle
@@ -226,15 +226,16 @@ def nearest(
             if best is not None:
                 yield best.rows(qids)
 
-        found = items.mapInArrow(scan, schema)
+        found, tasks = items.mapInArrow(scan, schema), splits(items)
     else:
         few = fetch_if_small(items, matrix_rows)
         if few is not None:
             return _items_travel(few, items, queries, plan, schema, skip)
         found = _tiles(items, queries, plan, schema, block_rows, skip)
+        tasks = max(1, splits(items) // 16)  # a tile reads blocks of many splits
     if k is None:
         return found
-    return top_k_per_group(found, ["qid"], [F.desc("score"), F.col("id")], k).drop("rn")
+    return merged_top_k(found, tasks, ["qid"], [F.desc("score"), F.col("id")], k).drop("rn")
 
 
 def _items_travel(few: list, items: DataFrame, queries: DataFrame, plan, schema: str, skip: DataFrame | None) -> DataFrame:

@@ -84,6 +84,18 @@ def top_k_per_group(
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
 
 
+def merged_top_k(found: DataFrame, tasks: int, group: list[str], order: list[Column], k: int, fan_in: int = 64) -> DataFrame:
+    """The k best per group from rows of which each of about `tasks` tasks has at most k per group.
+
+    Merged in levels: no task of a level gets more than about `fan_in * k` rows of a group.
+    """
+    while tasks > fan_in:
+        tasks = -(-tasks // fan_in)
+        way = F.pmod(F.spark_partition_id(), F.lit(tasks))
+        found = top_k_per_group(found.withColumn("_way", way), [*group, "_way"], order, k).drop("rn", "_way")
+    return top_k_per_group(found, group, order, k)
+
+
 def best_per_key(df: DataFrame, key: list[str], score: str, tie: str, keep: list[str]) -> DataFrame:
     """The row with the highest score per key, lowest `tie` first: one partial aggregate.
 

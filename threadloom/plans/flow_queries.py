@@ -10,7 +10,7 @@ from threadloom.operators import infer, keywords
 from threadloom.plans.registry import query
 from threadloom.plans.search_queries import R, r6
 from threadloom.plans.views import tok
-from threadloom.runtime import scratch_path
+from threadloom.runtime import scratch_path, stored as keep
 from threadloom.sources import files
 from threadloom.streaming import incremental as inc
 
@@ -134,9 +134,12 @@ def _(t):
     path = scratch_path(t.spark, "feed")
     t.docs.drop("keywords").repartition(3, "id").write.parquet(f"{path}/in")
 
+    usable = "body IS NOT NULL AND body <> '[removed]'"
+    idf = keep(keywords.word_weights(t.docs.filter(usable), "id", "body"), "idf")  # one table for every batch
+
     def prepare(batch):
-        kept = batch.filter("body IS NOT NULL AND body <> '[removed]'").persist()
-        phrases = keywords.keyphrases(kept.select("id", "body"), "id", "body")
+        kept = batch.filter(usable)
+        phrases = keywords.keyphrases(kept.select("id", "body"), "id", "body", idf=idf)
         return files.put_lines(keywords.attach_keywords(kept, phrases, "id"), "feed", "post", "id")
 
     stream = inc.read_files(t.spark, f"{path}/in", t.spark.read.parquet(f"{path}/in").schema, files_per_batch=2)

@@ -90,6 +90,12 @@ def _bytes(text: str) -> int:
     return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
 
 
+def splits(df: DataFrame) -> int:
+    """About how many tasks read `df`, by its estimated size."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size // _bytes(df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes")) + 1
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for heavy per-row work on an input too small to have a split per core.
 

@@ -26,16 +26,25 @@ def pull_windows(stored: DataFrame, communities: DataFrame, community: str, ts:
     )
 
 
+def _between(source: DataFrame, windows: DataFrame, ts: str, start: str, end: str) -> DataFrame:
+    """Rows inside the widest window of all communities: literals, so the bound reaches the scan."""
+    widest = windows.agg(F.min(start).alias("a"), F.max(end).alias("b")).first()
+    if widest.a is None or widest.b is None:
+        return source
+    kind = source.schema[ts].dataType
+    return source.filter(F.col(ts).between(F.lit(widest.a).cast(kind), F.lit(widest.b).cast(kind)))
+
+
 def pull_forward(source: DataFrame, windows: DataFrame, community: str, ts: str) -> DataFrame:
     """Rows newer than what is stored. The window table has one row per community."""
     w = windows.select(community, "forward_start", "forward_end")
-    return source.join(w, community).filter(F.col(ts).between(F.col("forward_start"), F.col("forward_end"))).drop("forward_start", "forward_end")
+    return _between(source, windows, ts, "forward_start", "forward_end").join(w, community).filter(F.col(ts).between(F.col("forward_start"), F.col("forward_end"))).drop("forward_start", "forward_end")
 
 
 def pull_backfill(source: DataFrame, windows: DataFrame, community: str, ts: str) -> DataFrame:
     """Rows older than what is stored."""
     w = windows.select(community, "back_start", "back_end")
-    return source.join(w, community).filter(F.col(ts).between(F.col("back_start"), F.col("back_end"))).drop("back_start", "back_end")
+    return _between(source, windows, ts, "back_start", "back_end").join(w, community).filter(F.col(ts).between(F.col("back_start"), F.col("back_end"))).drop("back_start", "back_end")
 
 
 def resume_append(source: DataFrame, path: str, ts: str, key: str) -> int:
