@@ -181,50 +181,69 @@ def interval_sizes(interval: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(interval, return_counts=True)
 
 
-def first_round(shape: Shape, ranges: int) -> Callable[[pa.Table], pa.Table]:
-    def start(table: pa.Table) -> pa.Table:
+def gram_names(ranges: int) -> Callable[[pa.Table], pa.Table]:
+    def name(table: pa.Table) -> pa.Table:
+        grams = np.concatenate([np.frombuffer(b, "<u8") for b in table.column("grams").to_pylist()])
+        return pa.Table.from_batches([name_rows(table.column("shard")[0].as_py(), ranges, *interval_sizes(grams))])
+
+    return name
+
+
+def first_round(ranges: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Build a shard's transform and keep the rows whose first phrase is repeated."""
+
+    def start(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _no_rounds()
         grams, gaps, doc = phrases(table)
         suffix, before, longer = transform(grams, gaps, doc)
-        return _round_table(table.column("shard")[0].as_py(), ranges, suffix, before, longer, grams[suffix], np.zeros(len(grams), np.uint8))
+        return _refined(table.column("shard")[0].as_py(), ranges, suffix, before, longer, grams[suffix],
+                        np.zeros(len(grams), np.uint8), answers, False)
 
     return start
 
 
 def next_round(ranges: int, final: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """Drop closed rows, count the round for the others, and step to the rows before them."""
-
     def refine(state: pa.Table, answers: pa.Table) -> pa.Table:
         if not state.num_rows:
-            return state.schema.empty_table()
+            return _no_rounds()
         r = state.to_pylist()[0]
-        rows, longer = np.frombuffer(r["rows"], "<i8"), np.frombuffer(r["longer"], "<i8")
-        before, interval = np.frombuffer(r["before"], "<u8"), np.frombuffer(r["interval"], "<u8")
-        depth = np.frombuffer(r["depth"], np.uint8).copy()
-        open_ = member(interval, np.sort(read_names(answers.column("names").to_pylist())))
-        depth[rows[open_]] += 1
-        # rows that may be open in the next round: one phrase before an open row, and open themselves
-        number = np.full(len(rows), -1, np.int64)
-        source = np.flatnonzero(open_ & (longer >= 0))
-        target = longer[source]
-        good = open_[target]
-        source, target = source[good], target[good]
-        renamed = np.zeros(len(rows), np.uint64)
-        renamed[target] = mix(before[source] * _STEP + interval[source])
-        alive = np.zeros(len(rows), bool)
-        alive[target] = True
-        number[alive] = np.arange(np.count_nonzero(alive))
-        onward = np.where(longer[alive] >= 0, number[longer[alive]], -1)
-        return _round_table(r["shard"], ranges, rows[alive], before[alive], onward, renamed[alive], depth, final)
+        return _refined(r["shard"], ranges, *(np.frombuffer(r[c], k) for c, k in (
+            ("rows", "<i4"), ("before", "<u8"), ("longer", "<i4"), ("interval", "<u8"))),
+            np.frombuffer(r["depth"], np.uint8).copy(), answers, final)
 
     return refine
 
 
+def _refined(shard, ranges, rows, before, longer, interval, depth, answers, final) -> pa.Table:
+    """Drop closed rows, count the round for the others, and step to the rows before them."""
+    open_ = member(interval, np.sort(read_names(answers.column("names").to_pylist())))
+    depth[rows[open_]] += 1
+    # rows that may be open in the next round: one phrase before an open row, and open themselves
+    source = np.flatnonzero(open_ & (longer >= 0))
+    target = longer[source]
+    good = open_[target]
+    source, target = source[good], target[good]
+    renamed = np.zeros(len(rows), np.uint64)
+    renamed[target] = mix(before[source] * _STEP + interval[source])
+    alive = np.zeros(len(rows), bool)
+    alive[target] = True
+    number = np.full(len(rows), -1, np.int64)
+    number[alive] = np.arange(np.count_nonzero(alive))
+    onward = np.where(longer[alive] >= 0, number[longer[alive]], -1)
+    return _round_table(shard, ranges, rows[alive], before[alive], onward, renamed[alive], depth, final)
+
+
+def _no_rounds() -> pa.Table:
+    return pa.schema([(c.split()[0], pa.int32() if c.endswith(" int") else pa.binary()) for c in ROUND.split(", ")]).empty_table()
+
+
 def _round_table(shard, ranges, rows, before, longer, interval, depth, final=False) -> pa.Table:
     blob = lambda a, kind: a.astype(kind).tobytes()
     names = [f.split()[0] for f in ROUND.split(", ")]
     types = [pa.int32(), pa.int32(), *[pa.binary()] * 8]
     state = pa.table([pa.array([x], t) for x, t in zip(
-        [shard, -1, None, None, None, blob(rows, "<i8"), blob(before, "<u8"), blob(longer, "<i8"), blob(interval, "<u8"), depth.tobytes()], types)], names)
+        [shard, -1, None, None, None, blob(rows, "<i4"), blob(before, "<u8"), blob(longer, "<i4"), blob(interval, "<u8"), depth.tobytes()], types)], names)
     if final or not len(interval):
         return state
     sent = pa.Table.from_batches([name_rows(shard, ranges, *interval_sizes(interval))])
@@ -489,14 +508,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, with_text: bool = True, c
         "text_key", F.xxhash64("text")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(shards)).cast("int"))
 
     anchors = kept(anchor_table(keyed, shape, shards), "anchors")
-    # rows of equal text and id stand side by side in their shard, whatever the order they arrive in
-    state = kept(anchors.groupBy("shard").applyInArrow(first_round(shape, ranges), ROUND), "round0")
-    for step in range(1, ROUNDS + 1):
+    sent = anchors.select("shard", "grams").groupBy("shard").applyInArrow(gram_names(ranges), _NAMES)
+    own = anchors.select("shard", "doc_id", "text_key", "place", "grams")
+    state = kept(own.groupBy("shard").cogroup(shared_names(sent, 2).groupBy("shard")).applyInArrow(first_round(ranges), ROUND), "round1")
+    for step in range(2, ROUNDS + 1):
         sent = state.filter("part >= 0").select("shard", "part", "names", "counts")
         if sent.isEmpty():  # every interval is closed
             break
-        answers = shared_names(sent, 2)
-        state = kept(state.filter("part = -1").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
+        state = kept(state.filter("part = -1").groupBy("shard").cogroup(shared_names(sent, 2).groupBy("shard")).applyInArrow(
             next_round(ranges, step == ROUNDS), ROUND), f"round{step}")
 
     cells = kept(anchors.groupBy("shard").cogroup(state.filter("part = -1").select("shard", "depth").groupBy("shard")).applyInArrow(
