@@ -7,7 +7,7 @@ from pyspark.sql import functions as F, types as T
 
 from threadloom import schemas
 from threadloom.functions import text as X
-from threadloom.operators import clean, ranking
+from threadloom.operators import clean, ranking, recs
 from threadloom.plans.registry import query
 from threadloom.plans.views import tok
 from threadloom.runtime import scratch_path, spread
@@ -124,6 +124,38 @@ def _(t):
     return files.scan_tsv(t.spark, path, schemas.NEWS_TSV).select("news_id", "category", "subcategory", "title", "title_entities")
 
 
+@query("scan_behaviors", views="I", sql="""SELECT imp_id AS impression_id, CAST(user_id AS VARCHAR) AS user_id, CAST(item AS VARCHAR) AS item, CAST(label AS INTEGER) AS label,
+  CAST(row_number() OVER (PARTITION BY imp_id ORDER BY item) - 1 AS INTEGER) AS pos FROM I""")
+def _(t):
+    """Click lists written as packed lines, read back with the 5-column schema and unpacked."""
+    path = scratch_path(t.spark, "behaviors")
+    cell = F.concat_ws("-", F.col("item").cast("string"), F.col("label").cast("string"))
+    lists = t.impressions.groupBy("imp_id", "user_id").agg(F.array_sort(F.collect_list(F.struct("item", cell.alias("cell")))).alias("cells"))
+    files.write_tsv(lists.select("imp_id", F.col("user_id").cast("string"), F.lit("11/15/2019 9:55:12 AM"), F.lit(""),
+                                 F.array_join("cells.cell", " ")), path)
+    lines = files.scan_tsv(t.spark, path, schemas.BEHAVIORS_TSV)
+    return recs.parse_behaviors(lines).select("impression_id", "user_id", "item", "label", "pos")
+
+
+@query("sink_user_vectors", views="V", sql="""SELECT '{"put": "id:user:user::' || id || '", "fields": {"user_id":"' || id || '", "embedding": {"values": ['
+    || array_to_string(list_transform(v, lambda x: printf('%.6f', x)), ',') || ']} }}' AS value FROM V""")
+def _(t):
+    path = scratch_path(t.spark, "users")
+    files.put_user_vector_lines(t.vectors, "id", "v").write.text(path)
+    return t.spark.read.text(path)
+
+
+@query("sink_category_ctr", views="I N", sql="""SELECT category, round(round(sum(label) / count(*), 12), 6) + 0.0 AS ctr FROM I JOIN N USING (item) GROUP BY category""")
+def _(t):
+    """The parent document with all categories' rates, written and read back cell by cell."""
+    path = scratch_path(t.spark, "ctr")
+    files.ctr_document(recs.ctr_by_category(t.impressions, t.news)).write.text(path)
+    cells = "array<struct<address:struct<category:string>,value:double>>"
+    body = F.from_json(F.get_json_object("value", "$.fields.ctrs.cells"), cells)
+    return t.spark.read.text(path).select(F.explode(body).alias("c")).select(
+        F.col("c.address.category").alias("category"), (F.round(F.round("c.value", 12), 6) + F.lit(0.0)).alias("ctr"))
+
+
 @query("tsv_vectors_roundtrip", views="V", sql="""SELECT CAST(id AS VARCHAR) AS id, CAST(len(v) AS BIGINT) AS dims,
   round(list_sum(list_transform(v, lambda x: round(x, 4))), 4) + 0.0 AS total FROM V""")
 def _(t):
