@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from threadloom.llm.common import slices
+from threadloom.llm.common import kept, slices
 
 UNKNOWN = "und"
 
@@ -139,12 +139,19 @@ def _gradients(net: ByteNet, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -
 
 
 def train(labelled: DataFrame, per_language: int = 400, most: int = 20_000, chars: int = 20_000, **settings) -> ByteNet | None:
-    """Fit on a bounded sample of (text, lang): the `per_language` rows of each language that come first
-    by a hash of the text, `most` rows in all, `chars` characters of each. None if there is no labelled text with a letter."""
-    usable = labelled.filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}"))
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    keys = usable.select("lang", "text").withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= per_language)
-    rows = keys.orderBy("_n", "lang").limit(most).select(F.substring("text", 1, chars).alias("text"), "lang").collect()
+    """Fit on a bounded sample of (text, lang): the `per_language` texts of each language that come first
+    by their hash, each text once, `most` texts in all, `chars` characters of each. None if there is no labelled
+    text with a letter. A share of the hashes that holds four times the wanted texts of a language goes
+    into the choice, so the rows that are moved do not grow with the table."""
+    usable = labelled.filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}")).select("lang", "text")
+    hashed = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    counts = kept(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    some = usable.join(counts, "lang").filter(hashed.cast("double") * F.col("n") < float(4 * per_language << 40)).select(
+        "lang", hashed.alias("_h"), F.substring("text", 1, chars).alias("text"))
+    once = some.groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    place = Window.partitionBy("lang").orderBy("_h")
+    chosen = once.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= per_language)
+    rows = chosen.orderBy("_n", "lang").limit(most).select("text", "lang").collect()
     return fit([r.text for r in rows], [r.lang for r in rows], **settings) if rows else None
 
 
@@ -155,8 +162,6 @@ def identify(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFr
     a text counts, whatever its length. Columns named lang_pred or score are replaced.
     """
     docs = docs.drop("lang_pred", "score")
-    if "_text" in docs.columns:
-        raise ValueError("a column _text is in the way")
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
