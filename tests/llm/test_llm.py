@@ -155,10 +155,11 @@ def near_copies(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_jaccard_near_copies(spark, seed):
+@pytest.mark.parametrize("seed, at_once", [(0, None), (1, None), (1, 0), (2, 0)])
+def test_jaccard_near_copies(spark, seed, at_once):
     rows = near_copies(seed)
-    got = jaccard_join.linked_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).orderBy("doc_id").collect()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = jaccard_join.linked_documents(frame, pairs_at_once=at_once).orderBy("doc_id").collect()
     assert [(r.n_shingles, r.component_id) for r in got] == brute_components(rows)
 
 

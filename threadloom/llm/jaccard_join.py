@@ -17,7 +17,8 @@ A group of near copies shares nearly all entries. Instead of all its pairs, each
 with one centre. Groups that then lie in one component are done. In each of the others all sets are
 compared with one centre, and sets that are not linked to it can only be linked to one another if they share
 a difference from it (`differences`): these shared differences are the groups of the next round. So the
-work follows the differences of near copies, not the square of their number, and no link is lost.
+work follows the differences of near copies, not the square of their number, and no link is lost. Once
+the open groups hold no more pairs than the index has shared entries, the pairs are compared.
 """
 
 from __future__ import annotations
@@ -295,14 +296,16 @@ def differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, linked boolean, elements array<long>")
 
 
-def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
+def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, pairs_at_once: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_key) of every document; text_key is xxhash64 of the text.
 
     The words of a text are runs without ASCII white space, A-Z lower-cased; a text with fewer than
     `k` words is one shingle; a text without words (or null) has size 0 and its own doc_id as
     component. Documents link when 100 * intersection >= percent * union of their sets;
     component_id is the smallest doc_id in reach. Null ids are kept and are no one's smallest;
-    repeated rows link like other copies; other columns are ignored.
+    repeated rows link like other copies; other columns are ignored. `pairs_at_once` is the number of open
+    pairs below which they are compared one by one (default: the number of shared entries); it
+    changes the work, not the result.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
@@ -314,20 +317,22 @@ def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFram
     pairs = groups.join(centres(groups, "first"), "entry").filter("key1 <> centre").groupBy("key1").agg(
         F.max(F.struct("weight", "centre")).alias("best")).select(F.col("best.centre").alias("a"), F.col("key1").alias("b"))
     links = kept(verified(kept(pairs, "stars"), sets, percent, "first"), "links")
-    step = 0
+    step, enough = 0, groups.count() if pairs_at_once is None else pairs_at_once
     while True:
         component = kept(connected_components(links), f"components{step}")
         groups = mixed_groups(groups, component, step)
-        if groups.isEmpty():
+        size = groups.groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+        pairs = size.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first().pairs
+        if pairs is None:
             break
-        if step < 8:
+        if pairs > enough:
             star = kept(groups.join(centres(groups, str(step)), "entry").filter("key1 <> centre").select(
                 F.col("centre").alias("a"), F.col("key1").alias("b")).distinct(), f"star{step}")
             told = kept(differences(star, sets, percent), f"told{step}")
             links = kept(links.unionByName(told.filter("linked").select("a", "b")), f"links{step}")
             groups = kept(told.select(F.col("b").alias("key1"), F.explode("elements").alias("e"), "a").select(
                 F.xxhash64("a", "e").alias("entry"), "key1").distinct(), f"groups{step}")
-        else:  # families nested deeper than that: all pairs of what is left
+        else:  # no more pairs than there were entries: all of them
             one, two = (groups.select("entry", F.col("key1").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
             left = kept(one.join(two, "entry").filter("a < b and ca <> cb").select("a", "b").distinct(), "left")
             links = kept(links.unionByName(verified(left, sets, percent, "left")), "links-left")
