@@ -159,7 +159,7 @@ def near_copies(seed):
 def test_jaccard_near_copies(spark, seed, at_once):
     rows = near_copies(seed)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = jaccard_join.linked_documents(frame, pairs_at_once=at_once).orderBy("doc_id").collect()
+    got = jaccard_join.linked_documents(frame, pairs_at_once=at_once, rounds=50).orderBy("doc_id").collect()
     assert [(r.n_shingles, r.component_id) for r in got] == brute_components(rows)
 
 

@@ -18,7 +18,8 @@ with one centre. Groups that then lie in one component are done. In each of the
 compared with one centre, and sets that are not linked to it can only be linked to one another if they share
 a difference from it (`differences`): these shared differences are the groups of the next round. So the
 work follows the differences of near copies, not the square of their number, and no link is lost. Once
-the open groups hold no more pairs than the index has shared entries, the pairs are compared.
+the open groups hold no more pairs than the index has shared entries, or after a few rounds, the pairs
+are compared.
 """
 
 from __future__ import annotations
@@ -262,6 +263,17 @@ def mixed_groups(groups: DataFrame, component: DataFrame, step: int) -> DataFram
     return kept(label.join(kept(mixed.select("entry"), f"mixed{step}"), "entry", "left_semi"), f"open{step}")
 
 
+def shared_differences(told: DataFrame, step: int) -> DataFrame:
+    """(entry, key1) of the differences from one centre that several of its members share; differences with the
+    same members are one group."""
+    each = kept(told.select(F.col("b").alias("key1"), F.explode("elements").alias("e"), "a").select(
+        F.xxhash64("a", "e").alias("e"), "key1").distinct(), f"elements{step}")
+    named = each.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key1")).alias("x"),
+                                  F.bit_xor(F.xxhash64("key1", F.lit(7))).alias("y")).filter("n > 1")
+    named = kept(named.select("e", F.xxhash64("n", "x", "y").alias("entry")), f"names{step}")
+    return kept(each.join(named, "e").select("entry", "key1").distinct(), f"groups{step}")
+
+
 def differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked, elements) of each centre a and member b of its star.
 
@@ -296,7 +308,7 @@ def differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, linked boolean, elements array<long>")
 
 
-def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, pairs_at_once: int | None = None) -> DataFrame:
+def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, pairs_at_once: int | None = None, rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_key) of every document; text_key is xxhash64 of the text.
 
     The words of a text are runs without ASCII white space, A-Z lower-cased; a text with fewer than
@@ -304,8 +316,8 @@ def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, pairs_at_on
     component. Documents link when 100 * intersection >= percent * union of their sets;
     component_id is the smallest doc_id in reach. Null ids are kept and are no one's smallest;
     repeated rows link like other copies; other columns are ignored. `pairs_at_once` is the number of open
-    pairs below which they are compared one by one (default: the number of shared entries); it
-    changes the work, not the result.
+    pairs below which they are compared one by one (default: the number of shared entries), `rounds`
+    the number of rounds after which they are in any case; both change the work, not the result.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
@@ -325,14 +337,13 @@ def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, pairs_at_on
         pairs = size.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first().pairs
         if pairs is None:
             break
-        if pairs > enough:
+        if pairs > enough and step < rounds:
             star = kept(groups.join(centres(groups, str(step)), "entry").filter("key1 <> centre").select(
                 F.col("centre").alias("a"), F.col("key1").alias("b")).distinct(), f"star{step}")
             told = kept(differences(star, sets, percent), f"told{step}")
             links = kept(links.unionByName(told.filter("linked").select("a", "b")), f"links{step}")
-            groups = kept(told.select(F.col("b").alias("key1"), F.explode("elements").alias("e"), "a").select(
-                F.xxhash64("a", "e").alias("entry"), "key1").distinct(), f"groups{step}")
-        else:  # no more pairs than there were entries: all of them
+            groups = shared_differences(told, step)
+        else:  # few pairs, or families nested deeper than that: all of them
             one, two = (groups.select("entry", F.col("key1").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
             left = kept(one.join(two, "entry").filter("a < b and ca <> cb").select("a", "b").distinct(), "left")
             links = kept(links.unionByName(verified(left, sets, percent, "left")), "links-left")
