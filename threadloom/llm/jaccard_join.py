@@ -240,19 +240,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Data
     likely = fit.join(bits.select(F.col("key1").alias("b"), F.col("bits").alias("bb")), "b").join(
         bits.select(F.col("key1").alias("a"), F.col("bits").alias("ba")), "a")
     likely = kept(likely.select("a", "b", "na", "nb", "ba", "bb").mapInArrow(sieve, "a long, b long"), f"likely-{name}")
-    used = kept(likely.select(F.explode(F.array("a", "b")).alias("key1")).distinct(), f"used-{name}")
+    used = few_files(likely.select(F.explode(F.array("a", "b")).alias("key1")).distinct(), f"used-{name}")
     whole = sets.select("key1", "shingles").join(used, "key1", "left_semi")
     with_b = likely.join(whole.select(F.col("key1").alias("b"), F.col("shingles").alias("sb")), "b")
     both = with_b.join(whole.select(F.col("key1").alias("a"), F.col("shingles").alias("sa")), "a")
     return both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
+def few_files(df: DataFrame, name: str) -> DataFrame:
+    """Stored like `kept`, in at most four files per core of the cluster: the tables of the rounds are small."""
+    return kept(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism), name)
+
+
 def centres(groups: DataFrame, name: str) -> DataFrame:
     """(entry, centre, weight): per group the set that meets the most others over all its groups."""
-    size = kept(groups.groupBy("entry").agg(F.count(F.lit(1)).alias("size")), f"sizes-{name}")
-    weight = kept(groups.join(size, "entry").groupBy("key1").agg(F.sum("size").alias("weight")), f"weights-{name}")
+    size = few_files(groups.groupBy("entry").agg(F.count(F.lit(1)).alias("size")), f"sizes-{name}")
+    weight = few_files(groups.join(size, "entry").groupBy("key1").agg(F.sum("size").alias("weight")), f"weights-{name}")
     best = groups.join(weight, "key1").groupBy("entry").agg(F.max(F.struct("weight", "key1")).alias("best"))
-    return kept(best.select("entry", F.col("best.key1").alias("centre"), F.col("best.weight").alias("weight")), f"centres-{name}")
+    return few_files(best.select("entry", F.col("best.key1").alias("centre"), F.col("best.weight").alias("weight")), f"centres-{name}")
 
 
 def mixed_groups(groups: DataFrame, component: DataFrame, step: int) -> DataFrame:
@@ -260,7 +265,7 @@ def mixed_groups(groups: DataFrame, component: DataFrame, step: int) -> DataFram
     label = groups.select("entry", "key1").join(component.withColumnRenamed("id", "key1"), "key1", "left").withColumn(
         "component", F.coalesce("component", "key1"))
     mixed = label.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    return kept(label.join(kept(mixed.select("entry"), f"mixed{step}"), "entry", "left_semi"), f"open{step}")
+    return few_files(label.join(few_files(mixed.select("entry"), f"mixed{step}"), "entry", "left_semi"), f"open{step}")
 
 
 def shared_differences(told: DataFrame, step: int) -> DataFrame:
@@ -270,7 +275,7 @@ def shared_differences(told: DataFrame, step: int) -> DataFrame:
         F.xxhash64("a", "e").alias("e"), "key1").distinct(), f"elements{step}")
     named = each.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key1")).alias("x"),
                                   F.bit_xor(F.xxhash64("key1", F.lit(7))).alias("y")).filter("n > 1")
-    named = kept(named.select("e", F.xxhash64("n", "x", "y").alias("entry")), f"names{step}")
+    named = few_files(named.select("e", F.xxhash64("n", "x", "y").alias("entry")), f"names{step}")
     return kept(each.join(named, "e").select("entry", "key1").distinct(), f"groups{step}")
 
 
@@ -331,17 +336,17 @@ def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, pairs_at_on
     links = kept(verified(kept(pairs, "stars"), sets, percent, "first"), "links")
     step, enough = 0, groups.count() if pairs_at_once is None else pairs_at_once
     while True:
-        component = kept(connected_components(links), f"components{step}")
+        component = few_files(connected_components(links), f"components{step}")
         groups = mixed_groups(groups, component, step)
         size = groups.groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
         pairs = size.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first().pairs
         if pairs is None:
             break
         if pairs > enough and step < rounds:
-            star = kept(groups.join(centres(groups, str(step)), "entry").filter("key1 <> centre").select(
+            star = few_files(groups.join(centres(groups, str(step)), "entry").filter("key1 <> centre").select(
                 F.col("centre").alias("a"), F.col("key1").alias("b")).distinct(), f"star{step}")
             told = kept(differences(star, sets, percent), f"told{step}")
-            links = kept(links.unionByName(told.filter("linked").select("a", "b")), f"links{step}")
+            links = few_files(links.unionByName(told.filter("linked").select("a", "b")), f"links{step}")
             groups = shared_differences(told, step)
         else:  # few pairs, or families nested deeper than that: all of them
             one, two = (groups.select("entry", F.col("key1").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
