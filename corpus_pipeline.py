@@ -21,8 +21,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by near-equal sets of shingles, the one with the smallest id."""
-    return jaccard_join.one_per_component(docs.select(COLUMNS))
+    """Of documents linked by a similarity of 0.8 or more of their five-word shingles, the one with the smallest id."""
+    return jaccard_join.one_per_component(docs.select(COLUMNS), 5, 80)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

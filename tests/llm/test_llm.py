@@ -549,6 +549,24 @@ def test_pipeline_against_brute_force(spark):
     check_packs(kept[-1].collect(), list(zip([d for d, _ in rows[4]], ids_of("byte_bpe_50k.json", [t for _, t in rows[4]]))), 2048)
 
 
+def test_pipeline_near_copies(spark):
+    """Copies with a similarity of 0.80 to 0.85 on five words, by added and by replaced words."""
+    rng = random.Random(11)
+    rows = []
+    for i, share in enumerate((0.18, 0.2, 0.22, 0.24, 0.3)):
+        text = numbered(rng, 400)
+        rows += [(10 * i, text), (10 * i + 1, text + " " + numbered(rng, int(400 * share)))]
+    words = numbered(rng, 1000).split()
+    rows.append((90, " ".join(words)))
+    for at in range(20, 1000, 46):
+        words[at] = "other"
+    rows += [(91, " ".join(words)), (92, numbered(rng, 300))]
+    want = [d for (d, _), (_, c) in zip(rows, brute_components(rows, 5, 80)) if d == c]
+    assert want == [0, 10, 20, 30, 40, 41, 90, 92]
+    frame = spark.createDataFrame([(d, t, "en", "web", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_each_group(spark, frame, SF).collect()) == want
+
+
 def test_pipeline_awkward_tables(spark, docs, tmp_path):
     (tmp_path / "in").mkdir()
     frame = docs.select("doc_id", "text", "lang", F.lit(None).cast("string").alias("source"), F.lit(1).cast("long").alias("n_chars"))
