@@ -385,6 +385,22 @@ def test_lm_beats_base(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_lm_query_order(spark):
+    """The registered query scores with contexts of up to two words."""
+    rows = [(d, t) for d, t, *_ in table("documents")]
+    held = [zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
+    want = {d: w for (d, _), w in zip(rows, brute_scores(rows, held, 3, (200.0, 20.0)))}
+    got = queries.QUERIES["op5_lm_score"](spark, SF).collect()
+    assert len(got) == len(rows) and all(r.score == pytest.approx(want[r.doc_id][-1], abs=1e-6) for r in got)
+
+
+def test_lm_small_shards(spark, docs):
+    one, many = (backoff_lm.score_texts(docs, in_fold(F.col("doc_id"), 7, 2), 3, shard_bytes=n).collect() for n in (1 << 30, 5000))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1:5], round(r[-1], 6))
+    for a, b in zip(sorted(map(tuple, one), key=key), sorted(map(tuple, many), key=key), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-8)
+
+
 # --- 6: top-k --------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("scale", [256, 1 << 28])

@@ -4,7 +4,7 @@ Words are hashed; a document ends with one end token. Documents are dealt into s
 sends its distinct n-grams, sorted and cut by ranges of their hash, with its training counts; the
 range's task adds the counts over all shards and answers each shard with the totals of just the
 n-grams it asked for. So a hot n-gram is one entry per shard, nothing is broadcast, and a shard's
-automaton is as large as its own text.
+automaton is as large as its own text; there are so many shards that this is about `shard_bytes`.
 
 Smoothing is Dirichlet: p(w | h) = (c(h w) + m p(w | h')) / (c(h) + m), with h' = h without its
 first word and the add-one unigram below. That is the same as a backoff automaton: a state per
@@ -210,16 +210,19 @@ class Automaton:
         return result
 
 
-def score_texts(docs: DataFrame, held_out: Column, order: int = 2, masses: tuple[float, ...] = (200.0, 20.0)) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, order: int = 2, masses: tuple[float, ...] = (200.0, 20.0),
+                shard_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     All rows that are not held out are learned from, all rows are scored. A null text is empty: its
     one token is the end. A null doc_id is kept; repeated rows count and are scored each; other
     columns are ignored; without any training row every word is unseen. `masses` has the
-    Dirichlet mass m for contexts of 1, 2, ... words.
+    Dirichlet mass m for contexts of 1, 2, ... words; `shard_bytes` changes the work, not the result.
     """
     spark = docs.sparkSession
-    shards = ranges = partitions(spark)
+    ranges = partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first().size or 0
+    shards = max(ranges, -(-size // shard_bytes))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"),
                         F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
     answers = kept(asked_counts(dealt.select("shard", "held_out", "text"), order, shards, ranges), "counts")

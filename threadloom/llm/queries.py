@@ -105,8 +105,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """log10 probability of every document under a model of six sevenths of them."""
-    return backoff_lm.score_texts(table(spark, sf_dir, "documents"), in_fold(F.col("doc_id"), 7, 2))
+    """log10 probability of every document under a model of order 3 of six sevenths of them."""
+    return backoff_lm.score_texts(table(spark, sf_dir, "documents"), in_fold(F.col("doc_id"), 7, 2), order=3)
 
 
 @query
