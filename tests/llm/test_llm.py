@@ -317,6 +317,29 @@ def test_language_awkward(spark, docs, empty):
     assert language_id.train(empty) is None and language_id.identify(empty, net).count() == 0
 
 
+def test_language_many_copies(spark):
+    """A text that fills most of the table takes no place of the other texts of its language."""
+    n, i = 60_000, F.col("id")
+    tables = [spark.range(n).select(F.lit("bb").alias("lang"), F.lit("zq zq zq").alias("text")),
+              spark.range(300).select(F.lit("bb").alias("lang"), F.concat(F.lit("bcd bcd bcd "), i.cast("string")).alias("text")),
+              spark.range(300).select(F.lit("aa").alias("lang"), F.concat(F.lit("eio eio eio "), i.cast("string")).alias("text")),
+              spark.range(3).select(F.lit("cc").alias("lang"), F.concat(F.lit("uxu uxu "), i.cast("string")).alias("text"))]
+    rows = tables[0].unionByName(tables[1]).unionByName(tables[2]).unionByName(tables[3])
+    net = language_id.train(rows, per_language=20, epochs=20)
+    assert net.languages == ["aa", "bb", "cc"]
+    found = language_id.identify(tables[1].unionByName(tables[2]), net)
+    assert found.filter("lang <> lang_pred").count() == 0
+    chosen = language_id.sample(rows, 20, 100, 128, 6, 7).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in chosen} == {"aa": 20, "bb": 20, "cc": 3}
+
+
+def test_language_whole_texts(spark):
+    """Windows come from the whole text, not from its first 20,000 characters."""
+    rows = spark.createDataFrame([("aa", "a" * 20_000 + "z" * 60_000)], "lang string, text string")
+    windows = [bytes(r.windows) for r in language_id.sample(rows, 20, 100, 128, 60, 7).collect()]
+    assert len(windows) == 1 and windows[0].count(b"z") > windows[0].count(b"a") > 0
+
+
 def test_language_gradients():
     net = language_id.fit(["abc abd"] * 3 + ["xyz xyw"] * 3, ["a"] * 3 + ["x"] * 3, window=8, embedding=3, widths=(1, 2), filters=2, epochs=0)
     x, of, _ = language_id.windows_of(["abc abd", "xyz xyw"], 8)

@@ -77,7 +77,6 @@ def fit(texts: list[str], labels: list[str], window: int = 128, embedding: int =
         filters: int = 16, epochs: int = 6, rate: float = 0.01, batch: int = 64, per_text: int = 6, seed: int = 7) -> ByteNet:
     """Train with Adam on at most `per_text` windows of each text; languages count alike."""
     rng = np.random.default_rng(seed)
-    languages = sorted(set(labels))
     x, of, used = windows_of(texts, window)
     order = rng.permutation(len(x))
     rank = np.empty(len(x), np.int64)  # place of a window among those of its text, in random order
@@ -85,7 +84,14 @@ def fit(texts: list[str], labels: list[str], window: int = 128, embedding: int =
     starts = np.searchsorted(of[grouped], np.arange(len(texts)))
     rank[grouped] = np.arange(len(x)) - starts[of[grouped]]
     chosen = np.flatnonzero(rank < per_text)
-    x, y = x[chosen], np.searchsorted(languages, np.asarray(labels))[of[chosen]]
+    return _fit(x[chosen], [labels[i] for i in of[chosen]], rng, embedding, widths, filters, epochs, rate, batch)
+
+
+def _fit(x: np.ndarray, labels: list[str], rng: np.random.Generator, embedding: int = 8, widths: tuple[int, ...] = (2, 3, 4),
+         filters: int = 16, epochs: int = 6, rate: float = 0.01, batch: int = 64) -> ByteNet:
+    """Train on all the given windows, each with its label."""
+    languages, window = sorted(set(labels)), x.shape[1]
+    y = np.searchsorted(languages, np.asarray(labels))
     weight = (len(y) / len(languages) / np.bincount(y, minlength=len(languages)).clip(1)).astype(np.float32)
     wide, n = max(widths), filters * len(widths)
     mask = np.zeros((wide, embedding, n), np.float32)
@@ -138,21 +144,55 @@ def _gradients(net: ByteNet, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -
     return {"embed": embed, "kernel": kernel, "bias": back.sum(axis=0), "out": hidden.T @ p, "out_bias": p.sum(axis=0)}
 
 
-def train(labelled: DataFrame, per_language: int = 400, most: int = 20_000, chars: int = 20_000, **settings) -> ByteNet | None:
-    """Fit on a bounded sample of (text, lang): the `per_language` texts of each language that come first
-    by their hash, each text once, `most` texts in all, `chars` characters of each. None if there is no labelled
-    text with a letter. A share of the hashes that holds four times the wanted texts of a language goes
-    into the choice, so the rows that are moved do not grow with the table."""
-    usable = labelled.filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}")).select("lang", "text")
-    hashed = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    counts = kept(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
-    some = usable.join(counts, "lang").filter(hashed.cast("double") * F.col("n") < float(4 * per_language << 40)).select(
-        "lang", hashed.alias("_h"), F.substring("text", 1, chars).alias("text"))
-    once = some.groupBy("lang", "_h").agg(F.min("text").alias("text"))
-    place = Window.partitionBy("lang").orderBy("_h")
-    chosen = once.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= per_language)
-    rows = chosen.orderBy("_n", "lang").limit(most).select("text", "lang").collect()
-    return fit([r.text for r in rows], [r.lang for r in rows], **settings) if rows else None
+def train(labelled: DataFrame, per_language: int = 400, most: int = 20_000, window: int = 128, per_text: int = 6, seed: int = 7,
+          **settings) -> ByteNet | None:
+    """Fit on a bounded sample of (text, lang), see `sample`. None if there is no labelled text with a letter."""
+    rows = sample(labelled, per_language, most, window, per_text, seed).orderBy("_h", "lang").collect()
+    if not rows:
+        return None
+    x = np.frombuffer(b"".join(bytes(r.windows) for r in rows), np.uint8).reshape(-1, window)
+    return _fit(x, [r.lang for r in rows for _ in range(len(r.windows) // window)], np.random.default_rng(seed), **settings)
+
+
+def sample(labelled: DataFrame, per_language: int, most: int, window: int, per_text: int, seed: int) -> DataFrame:
+    """(lang, _h, windows): of each language the `per_language` distinct texts that come first by their hash, or all if
+    it has fewer; `most` texts in all. `windows` has `per_text` windows drawn from the whole of a text.
+
+    A share of the hashes that should hold four times the wanted texts is ranked; it is taken of the distinct texts,
+    so copies do not shrink it, and it is widened if a language has too few. Texts are not moved, only their windows.
+    """
+    usable = labelled.filter("text is not null and lang is not null").filter(F.col("text").rlike(r"\p{L}")).select(
+        "lang", "text", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("_h"))
+    hashes = kept(usable.select("lang", "_h").distinct(), "hashes")
+    counts = kept(hashes.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    place, share = Window.partitionBy("lang").orderBy("_h"), 4
+    while True:
+        some = hashes.join(counts, "lang").filter(F.col("_h").cast("double") * F.col("n") < float(share * per_language << 40))
+        ranked = kept(some.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= per_language).select("lang", "_h", "_n"), "ranked")
+        found = ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("found"))
+        short = F.coalesce("found", F.lit(0)) < F.least("n", F.lit(per_language))
+        if counts.join(found, "lang", "left").filter(short).isEmpty():
+            break
+        share *= 16
+    last = kept(ranked.orderBy("_n", "lang").limit(most).groupBy("lang").agg(F.max("_h").alias("_last")), "last")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            rows = []
+            for lang, h, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "_h", "text"))):
+                if (lang, h) not in seen:
+                    seen.add((lang, h))
+                    data = text.lower().encode("utf-8", "replace")
+                    n = -(-len(data) // window)
+                    some = np.random.default_rng([seed, h]).choice(n, min(n, per_text), replace=False)
+                    rows.append((lang, h, b"".join(data[i * window: (i + 1) * window].ljust(window, b"\0") for i in sorted(some.tolist()))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.binary()))],
+                                                 ["lang", "_h", "windows"])
+
+    drawn = usable.join(last, "lang").filter("_h <= _last").select("lang", "_h", "text").mapInArrow(draw, "lang string, _h long, windows binary")
+    return drawn.groupBy("lang", "_h").agg(F.min("windows").alias("windows"))
 
 
 def identify(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFrame:
