@@ -562,6 +562,30 @@ def test_leaks(spark):
     assert decontam.find_leaks(docs.limit(0), bench).count() == 0 and decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def plain_words(text):
+    return [data[a:b].decode() for _, start, end, data in [decontam.words_of(text)] for a, b in zip(start, end)]
+
+
+def test_words_of_scripts():
+    assert plain_words("\u201cDon\u2019t\u201d\u00a0stop\u2014now\u2026 \u00abÉté\u00bb e\u0301t 12") == ["don", "t", "stop", "now", "été", "e\u0301t", "12"]
+    assert plain_words("我们，在ab家。日本のカ") == ["我", "们", "在", "ab", "家", "日", "本", "の", "カ"]
+    assert plain_words("ที่นี่ x") == ["ที่", "นี่", "x"] and plain_words("привет, мир") == ["привет", "мир"]
+    assert plain_words("") == plain_words("…\u3002") == [] and plain_words("a-b c") == ["a", "b", "c"]
+
+
+def test_leaks_typography(spark):
+    rng = random.Random(5)
+    filler = lambda n: " ".join(f"feld{rng.randrange(900)}" for _ in range(n))
+    chinese = lambda n: "".join(chr(0x4E00 + rng.randrange(1500)) for _ in range(n))
+    plain = [f"it's {w}" if i % 3 == 0 else w for i, w in enumerate(filler(20).split())]
+    items = [(1, " ".join(plain)), (2, chinese(30)), (3, filler(20))]
+    texts = [(1, filler(90) + " " + "\u00a0".join(f"\u201c{w}\u201d,".replace("'", "\u2019") for w in plain) + " " + filler(40)),
+             (2, chinese(300) + items[1][1] + chinese(200)), (3, chinese(500)), (4, filler(300)),
+             (5, filler(50) + " \u00ab" + "\u2014".join(items[2][1].split()) + "\u00bb")]
+    got = decontam.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.score) for r in got) == [(1, 1, 1.0), (2, 2, 1.0), (5, 3, 1.0)]
+
+
 # --- the pipeline -----------------------------------------------------------------------------------------------------
 
 def test_pipeline_against_brute_force(spark):

@@ -1,6 +1,7 @@
 """Benchmark decontamination: rare word n-grams seed alignments of training passages with test items.
 
-Words are runs of letters and digits, lower-cased, so case and punctuation do not hide a copy. At
+Words are runs of Unicode letters, marks and digits, lower-cased, so case and punctuation do not hide a
+copy; in scripts without spaces between words every character is a word, with the marks after it. At
 every place of an item the seed is the shortest n-gram that is rare: by the corpus frequencies of
 its words, all seeds together are expected to meet a document by chance at most `chance` times.
 Word frequencies, unlike those of the n-gram itself, stay low when a passage leaked many times.
@@ -13,8 +14,10 @@ not shuffled, and a document meets every block.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +26,49 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from threadloom.llm.common import Rolling, mix, ragged, slices
 
 _WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
+_WORD[[*range(48, 58), *range(97, 123)]] = True
+#: Thai, Lao, Tibetan, Myanmar, Khmer, Tai, Balinese, Javanese, Myanmar's extensions, kana, bopomofo, Han
+_UNSPACED = ((0x0E00, 0x0F00), (0x0F00, 0x1000), (0x1000, 0x10A0), (0x1780, 0x1800), (0x1950, 0x1AB0), (0x1B00, 0x1B80), (0xA980, 0xAA00),
+             (0xAA60, 0xAAE0), (0x3005, 0x3008), (0x3040, 0x3130), (0x31A0, 0x31C0), (0x31F0, 0x3200), (0x3400, 0x4DC0), (0x4E00, 0xA000),
+             (0xF900, 0xFB00), (0xFF66, 0xFFA0), (0x1B000, 0x1B170), (0x20000, 0x32000))
+_LETTER, _SINGLE, _MARK, _SINGLE_MARK = 1, 2, 3, 4
 _STEP = np.uint64(0xA24BAED4963EE407)
 _BITS = 23
 RESULT = "doc_id long, item_id long, score double, alignment long, item_words long, start_word long, end_word long, passage string"
 
 
+@cache
+def kinds() -> np.ndarray:
+    """By code point: 0 outside words, a letter or digit, one of a script without spaces, or a mark of either."""
+    table = np.zeros(0x110000, np.uint8)
+    of = {"L": _LETTER, "N": _LETTER, "M": _MARK}
+    for first, past in ((0, 0xD800), (0xF900, 0x32000), (0xE0100, 0xE01F0)):  # no letters, marks or digits elsewhere
+        table[first:past] = [of.get(unicodedata.category(chr(c))[0], 0) for c in range(first, past)]
+    for first, past in _UNSPACED:
+        part = table[first:past]
+        table[first:past] = np.where(part == _LETTER, _SINGLE, np.where(part == _MARK, _SINGLE_MARK, 0))
+    return table
+
+
 def words_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     """Hashes, byte starts and byte ends of the words of a lower-cased text, and its bytes."""
     data = (text or "").lower().encode("utf-8", "replace")
     if not data:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), data
-    inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = _WORD[np.frombuffer(data, np.uint8)]
-    start, end = np.flatnonzero(~inside[:-2] & inside[1:-1]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
+    if data.isascii():
+        inside = np.zeros(len(data) + 2, bool)
+        inside[1:-1] = _WORD[np.frombuffer(data, np.uint8)]
+        start, end = np.flatnonzero(~inside[:-2] & inside[1:-1]), np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
+    else:
+        code = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), "<u4")
+        kind = np.zeros(len(code) + 2, np.uint8)
+        kind[1:-1] = kinds()[code]
+        before, own = kind[:-2], kind[1:-1]
+        begins = np.append((own == _SINGLE) | ((own > 0) & (before == 0))
+                           | ((own == _LETTER) & ((before == _SINGLE) | (before == _SINGLE_MARK))), True)
+        at = np.zeros(len(code) + 1, np.int64)  # of each character, in bytes
+        np.cumsum(1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), out=at[1:])
+        start, end = at[:-1][begins[:-1]], at[1:][(own > 0) & (begins[1:] | (kind[2:] == 0))]
     return Rolling(data).span(start, end), start, end, data
 
 
@@ -196,6 +228,12 @@ def windows(items: Items, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return table[:, 0], table[:, 1], table[:, 2]
 
 
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [len(words_of(t)[0]) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], ["words"])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, shortest: int = 3, longest: int = 12,
                chance: float = 1.0, block_words: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, score, alignment, words of the item, start and end word, passage), a row per
@@ -209,7 +247,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, sh
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     usable = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
-    sizes = usable.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("words"), F.max(F.size(F.split("text", r"\s+"))).alias("most")).first()
+    sizes = usable.select("text").mapInArrow(_word_counts, "words long").agg(F.sum("words").alias("words")).first()
     blocks = int((sizes.words or 0) // block_words) + 1
     result = spark.createDataFrame([], RESULT)
     for b in range(blocks):
