@@ -586,6 +586,23 @@ def test_leaks_typography(spark):
     assert sorted((r.doc_id, r.item_id, r.score) for r in got) == [(1, 1, 1.0), (2, 2, 1.0), (5, 3, 1.0)]
 
 
+def test_leaks_common_words(spark):
+    """Verbatim copies of items of common words are found, beside many other items or few."""
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(12)]
+    filler = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    items = [(1, "c0 c1 c2 c3"), (2, "c4 c4 c4"), (3, " ".join(["c5", "c6"] * 10))]
+    texts = [(1, "c7 c8 c0 c1 c2 c3 c9"), (2, "c8 c4 c4 c4 c9"), (3, "c9 " + items[2][1] + " c10")]
+    texts += [(10 + i, filler(400)) for i in range(40)]
+    want = {(d, i) for d, t in texts for i, words in items if f" {words} " in f" {t} "}
+    assert want >= {(1, 1), (2, 2), (3, 3)}
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for more in (0, 3000):
+        bench = items + [(100 + i, f"rare{i} word{i} of{i} its{i} own{i}") for i in range(more)]
+        got = decontam.find_leaks(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()
+        assert {(r.doc_id, r.item_id) for r in got if r.score == 1} == want
+
+
 # --- the pipeline -----------------------------------------------------------------------------------------------------
 
 def test_pipeline_against_brute_force(spark):

@@ -3,7 +3,8 @@
 Words are runs of Unicode letters, marks and digits, lower-cased, so case and punctuation do not hide a
 copy; in scripts without spaces between words every character is a word, with the marks after it. At
 every place of an item the seed is the shortest n-gram that is rare: by the corpus frequencies of
-its words, all seeds together are expected to meet a document by chance at most `chance` times.
+its words, all seeds of the item are expected to meet a document by chance at most `chance` times. An
+item without a rare n-gram has its longest n-grams, or all of its words, as seeds.
 Word frequencies, unlike those of the n-gram itself, stay low when a passage leaked many times.
 Every place where a seed occurs in a document gives a window around it, and Smith-Waterman on
 words scores it: 1 a match, -1 a replaced, missing or extra word, divided by the item's words.
@@ -137,7 +138,8 @@ def corpus_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int,
 
 
 def choose_seeds(rows: list[tuple[int, str]], docs: DataFrame, shortest: int, longest: int, chance: float) -> Items | None:
-    """The shortest rare n-gram at every place of every item."""
+    """The shortest rare n-gram at every place of every item, whatever the other items; the longest ones of an item
+    without any."""
     parts = [words_of(text)[0] for _, text in rows]
     length = np.array([len(p) for p in parts], np.int64)
     if not length.sum():
@@ -146,9 +148,9 @@ def choose_seeds(rows: list[tuple[int, str]], docs: DataFrame, shortest: int, lo
     start = np.cumsum(length) - length
     seen, total, n_docs = corpus_counts(docs, words)
     # expected number of chance meetings per document of an n-gram: words per document * product of frequencies
-    log_p = np.log((seen + 1.0) / (total + len(words) + 1.0))
-    limit = np.log(chance / len(words))
+    log_p = np.log((seen + 1.0) / (total + 1.0))
     item = np.repeat(np.arange(len(rows)), length)
+    limit = np.log(chance / length[item])
     place = np.arange(len(words)) - start[item]
     left = length[item] - place
     grams = dict(gram_hashes(words, longest))
@@ -163,8 +165,12 @@ def choose_seeds(rows: list[tuple[int, str]], docs: DataFrame, shortest: int, lo
         at = np.flatnonzero(fit)
         if len(at):
             found.append((n, at))
-    if not found:
-        return None
+    common = np.bincount(item[done], minlength=len(rows))[item] == 0
+    most = np.minimum(longest, length[item])
+    for n in grams:
+        at = np.flatnonzero(common & (most == n) & (left >= n))
+        if len(at):
+            found.append((n, at))
     keys = np.concatenate([grams[n][at] for n, at in found])
     at = np.concatenate([at for _, at in found])
     seeds = Members(keys)
@@ -235,14 +241,14 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, shortest: int = 3, longest: int = 12,
-               chance: float = 1.0, block_words: int = 1_000_000) -> DataFrame:
+               chance: float = 0.005, block_words: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, score, alignment, words of the item, start and end word, passage), a row per
     document and item whose best alignment scores `threshold` or more.
 
     `docs` needs doc_id and text, `benchmark` item_id and text. Null texts have no words; null ids are
-    kept; repeated rows are reported each; an item whose words are all so common that even its longest
-    n-gram meets documents by chance has no seed and is not reported. Whole texts are searched. Other
-    columns are ignored; either table may be empty.
+    kept; repeated rows are reported each; an item of few and common words is reported wherever they stand
+    in a row. Whole texts are searched. Other columns are ignored; either table may be empty. `chance` holds
+    for one item, so a larger benchmark does not change what is found of it; 0.005 is 1 for 200 items.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
