@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm import backoff_lm, binary_tokens, decontam, host_graph, jaccard_join, language_id, packing, suffix_dedup, topk_search, warc
+from threadloom.llm import (backoff_lm, binary_tokens, decontam, exact_dedup, hard_negatives, host_graph, jaccard_join, language_id,
+                            packing, phrase_mining, suffix_dedup, topk_search, warc)
 from threadloom.llm.common import in_fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +128,52 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes that lie in a 400-byte string which also starts elsewhere."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400, with_text=False).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the equal document that stays, the size of its group and the digest of its text."""
+    return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_exact_dedup"] = """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
+FROM d WINDOW g AS (PARTITION BY text_sha256)
+"""
+
+
+@query
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of two to five words of each language, with their counts."""
+    return phrase_mining.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_phrases"] = phrase_mining.phrases_sql()
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each of the five best same-label rows of every anchor, three other-label rows that score nearly as high."""
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("long").alias("id"), changed.alias("label"),
+        topk_search.quantised(F.col("embedding")).alias("vector"), (F.col("vec_id") % 50 == 0).alias("is_anchor"))
+    return hard_negatives.hard_negatives(rows)
+
+
+ORACLES["op13_hard_negatives"] = """
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, [floor(256 * x::DOUBLE) for x in embedding] AS e,
+    CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+    AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+s AS (SELECT a.n, a.vec_id AS anchor_id, c.n AS other, c.vec_id, a.label = c.label AS same, list_inner_product(a.e, c.e)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.n <> c.n),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS nth FROM s WHERE same) WHERE nth <= 5),
+m AS (SELECT p.n, p.nth, p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.n, p.nth ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.n = p.n AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM m WHERE rank <= 3
+"""
