@@ -95,7 +95,7 @@ def test_copies_are_handled_once_and_all_get_their_cluster(spark):
     assert sorted((r["id"], r["weight"]) for r in reps.collect()) == [(0, 300), (300, 2), (302, 1)] and links.count() == 303
     got = {r["id"]: r["cluster"] for r in CL.exemplar_clusters(df).collect()}
     assert [got[i] for i in range(303)] == [0] * 300 + [300] * 2 + [CL.MISC]
-    dense = {r["id"]: r["cluster"] for r in CL.density_clusters(df, eps=0.1, min_size=2, min_samples=1).collect()}
+    dense = {r["id"]: r["cluster"] for r in CL.dense_components(df, eps=0.1, min_size=2, min_samples=1).collect()}
     assert [dense[i] for i in range(303)] == [0] * 300 + [300] * 2 + [CL.MISC]
 
 
@@ -117,11 +117,11 @@ def test_exemplar_clusters_default_threshold(spark):
     assert all(d <= 0.15 for c, d in got.values() if c != CL.MISC)
 
 
-def test_density_clusters_leave_noise(spark):
+def test_dense_components_leave_noise(spark):
     rng = np.random.default_rng(5)
     rows = list(rng.normal(0, 0.02, (6, 3))) + list(rng.normal(5, 0.02, (6, 3))) + [np.array([9.0, -9.0, 0.0])]
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "id bigint, v array<double>")
-    got = [r["cluster"] for r in sorted(CL.density_clusters(df, eps=0.5).collect(), key=lambda r: r["id"])]
+    got = [r["cluster"] for r in sorted(CL.dense_components(df, eps=0.5).collect(), key=lambda r: r["id"])]
     assert got == [0] * 6 + [6] * 6 + [-1]
 
 
@@ -196,12 +196,12 @@ def test_two_phase_keeps_the_rest_below(spark):
     assert got[5] == (2, -5.0) and got[4] == (2, -4.0) and got[3] == (1, 3.0) and got[0] == (1, 0.0) and not seen
 
 
-def test_rerank_scores_whole_texts_and_uses_five_queries(spark):
+def test_rerank_scores_whole_texts_with_all_queries_or_the_first_ones(spark):
     docs = spark.createDataFrame([(1, "x" * 5000 + " end"), (2, "none")], "id bigint, text string")
     queries = spark.createDataFrame([(i, "end" if i == 5 else "zzz") for i in range(7)], "qid bigint, query string")
     scorer = lambda qs, texts: [[float(q in x) for q in qs] for x in texts]
-    assert search.rerank_best_query(docs, queries, "text", scorer).collect() == []
-    got = search.rerank_best_query(docs, queries, "text", scorer, max_queries=6).collect()
+    assert search.rerank_best_query(docs, queries, "text", scorer, max_queries=5).collect() == []
+    got = search.rerank_best_query(docs, queries, "text", scorer).collect()
     assert [(r["id"], r["qid"], r["score"]) for r in got] == [(1, 5, 1.0)]
 
 

@@ -1,9 +1,9 @@
 """Grouping of similar items. Edges come from an exact similarity join, groups from components.
 
-Affinity propagation, density hierarchies and average linkage are replaced by definitions
-that scale: groups are connected components of the similarity graph, and the rules about
-exemplars, distances and sizes are applied to those. Equal vectors are handled once, and only
-as many edges are written as connectivity needs.
+`exemplar_clusters` takes its exemplars from sparse affinity propagation, `density_clusters` its
+groups from a density hierarchy; `component_clusters` and `dense_components` are the cheaper cuts of
+the same graphs: connected components with the same rules about distances and sizes. Equal vectors are
+handled once, and only as many edges are written as each method needs.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.functions import vectors as V
+from threadloom.operators import affinity, hierarchy
 from threadloom.operators.nearest import collapse_copies, label_centroids, nearest, neighbour_counts, similar_forest, standardise
 from threadloom.runtime import durable, stored
 
@@ -74,7 +75,43 @@ def assign_exemplar_distance(members: DataFrame, group: str, vector: str = "v",
     return joined.withColumn("distance", F.when(F.col("id") == F.col("exemplar"), F.lit(0.0)).otherwise(d)).drop("_ev")
 
 
-def exemplar_clusters(items: DataFrame, threshold: float = 0.85, max_distance: float | None = None, vector: str = "v") -> DataFrame:
+def _leave_misc(items: DataFrame, placed: DataFrame, cut: float) -> DataFrame:
+    """(id, cluster, distance) of all items: those of `placed` (id, exemplar, distance) within `cut`, if their
+    exemplar keeps more than one; all others are misc."""
+    near = placed.filter(F.col("distance") <= cut + 1e-9)
+    full = near.groupBy("exemplar").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("exemplar")
+    kept = near.join(stored(full, "full"), "exemplar").select("id", F.col("exemplar").alias("cluster"), "distance")
+    return items.select("id").join(kept, "id", "left").select(
+        "id", F.coalesce("cluster", F.lit(MISC)).alias("cluster"), "distance")
+
+
+def exemplar_clusters(items: DataFrame, threshold: float = 0.85, max_distance: float | None = None, vector: str = "v",
+                      neighbours: int = 64, preference: float | None = None, damping: float = 0.5, **solver) -> DataFrame:
+    """(id, cluster, distance): every item at its exemplar by affinity propagation, distance 1 - cosine.
+
+    Messages go along edges to an item's `neighbours` nearest others with cosine >= `threshold`, copies counting
+    as one item of their weight; then every item takes the most similar exemplar that reaches the threshold. Items further than `max_distance` (default 1 - threshold) from their
+    exemplar go to misc, as do clusters that are left with one member, items without a vector and those
+    whose vector has no length.
+    """
+    cut = (1 - threshold) if max_distance is None else max_distance
+    reps, links = collapse_copies(items.select("id", F.col(vector).alias("v")).filter(V.norm(F.col("v")) > 0))
+    reps = stored(reps, "reps")
+    edges = stored(affinity.similarities(reps, threshold, neighbours, preference), "similarities")
+    components = connected_components(edges.filter("i <> k").select(F.col("i").alias("a"), F.col("k").alias("b")))
+    found = stored(affinity.affinity_exemplars(edges, components, damping, **solver).withColumnRenamed("i", "rep"), "found")
+    orphans = stored(reps.join(edges.select(F.col("i").alias("id")).distinct(), "id", "left_semi").join(
+        found.select(F.col("rep").alias("id")), "id", "left_anti").select(F.col("id").alias("qid"), "v"), "orphans")
+    if not orphans.isEmpty():  # none of its neighbours is an exemplar: the nearest exemplar of the table
+        chosen = reps.join(found.filter("rep = k").select(F.col("rep").alias("id")), "id", "left_semi")
+        near = nearest(chosen, orphans, k=1).filter(F.col("score") >= threshold)
+        found = found.unionByName(near.select(F.col("qid").alias("rep"), F.col("id").alias("k"), "score"))
+    placed = links.join(found, "rep", "left").select("id", F.coalesce("k", "rep").alias("exemplar"),
+                                                     F.coalesce(1 - F.col("score"), F.lit(0.0)).alias("distance"))
+    return _leave_misc(items, placed, cut)
+
+
+def component_clusters(items: DataFrame, threshold: float = 0.85, max_distance: float | None = None, vector: str = "v") -> DataFrame:
     """(id, cluster, distance): groups of items at least `threshold` similar in a chain.
 
     Items further than `max_distance` (default 1 - threshold) from their exemplar go to misc, as
@@ -84,16 +121,31 @@ def exemplar_clusters(items: DataFrame, threshold: float = 0.85, max_distance: f
     reps, links = collapse_copies(items.select("id", F.col(vector).alias("v")))
     groups = _groups_of(links, connected_components(similar_forest(reps, threshold)))
     unit = items.select("id", V.l2_normalise(F.col(vector)).alias("v")).join(groups, "id")
-    placed = assign_exemplar_distance(unit, "component").select("id", "exemplar", "distance")
-    near = placed.filter(F.col("distance") <= cut + 1e-9)
-    full = near.groupBy("exemplar").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("exemplar")
-    kept = near.join(stored(full, "full"), "exemplar").select("id", F.col("exemplar").alias("cluster"), "distance")
-    return items.select("id").join(kept, "id", "left").select(
-        "id", F.coalesce("cluster", F.lit(MISC)).alias("cluster"), "distance")
+    return _leave_misc(items, assign_exemplar_distance(unit, "component").select("id", "exemplar", "distance"), cut)
+
+
+def density_clusters(items: DataFrame, min_size: int = 5, min_samples: int = 3, radius: float | None = None, vector: str = "v",
+                     **sizes) -> DataFrame:
+    """(id, cluster, distance): the most stable groups of a density hierarchy, after standardising; noise is -1.
+
+    A group has `min_size` items at least and is dense by the distance to the `min_samples`-th other item.
+    Groups of different densities are found side by side; the distance is that to the group's exemplar, the
+    member nearest to its mean. With a `radius` no group reaches over a wider gap, and rows that are far
+    apart never meet. The defaults hold at every size of the table.
+    """
+    z = durable(standardise(items.select("id", F.col(vector).alias("v")).filter("v IS NOT NULL")).select("id", "z"))
+    reps, links = collapse_copies(z, "z")
+    points = stored(hierarchy.core_distances(stored(reps, "reps"), min_samples), "points")
+    edges = {k: v for k, v in sizes.items() if k == "edges"}
+    tree = hierarchy.minimum_spanning_tree(points, radius, **sizes)
+    found = stored(hierarchy.condensed_clusters(points, tree, min_size, radius, **edges).withColumnRenamed("id", "rep"), "found")
+    members = z.join(links.join(found, "rep").select("id", "cluster"), "id")
+    placed = assign_exemplar_distance(members, "cluster", "z", euclid=True).select("id", "cluster", "distance")
+    return items.select("id").join(placed, "id", "left").select("id", F.coalesce("cluster", F.lit(MISC)).alias("cluster"), "distance")
 
 
-def density_clusters(items: DataFrame, eps: float, min_size: int = 5, min_samples: int = 3, vector: str = "v") -> DataFrame:
-    """(id, cluster, distance): components of dense items after standardising; noise is -1.
+def dense_components(items: DataFrame, eps: float, min_size: int = 5, min_samples: int = 3, vector: str = "v") -> DataFrame:
+    """(id, cluster, distance): one cut of the hierarchy, components of dense items after standardising; noise is -1.
 
     An item is dense when at least `min_samples` others are within `eps`; dense items within
     `eps` of each other share a cluster (the cut at `eps` of a mutual-reachability hierarchy).

@@ -7,8 +7,9 @@ shuffled. When both are many, a grid of (query block, item block) tiles is shuff
 tile does the same, so no task holds more than a block of each side. All ways are exact and
 a task emits its k best, never all pairs it looked at.
 
-`similar_pairs`, `similar_forest` and `neighbour_counts` are exact self joins under a
-similarity threshold, for the pairs themselves, for connectivity and for density.
+`similar_pairs`, `similar_forest`, `neighbour_counts` and `similar_neighbours` are exact self joins
+under a similarity threshold, for the pairs themselves, for connectivity, density and neighbourhoods.
+A partition by several pivots decides which rows can be near each other at all.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from threadloom.operators.ranking import merged_top_k
-from threadloom.runtime import fetch_if_small, splits
+from threadloom.operators.ranking import merged_top_k, top_k_per_group
+from threadloom.runtime import fetch_if_small, splits, stored
 
 MATRIX_ROWS = 4096    # queries that may travel as one matrix
 BLOCK_ROWS = 16_384   # rows per side of a tile; larger blocks mean fewer copies in the shuffle
 CELLS = 4_000_000     # scores held at once inside a task
 PAIRS = 200_000       # candidate pairs scored at once inside a task
+PIVOTS = 256          # cells of a self join at most
+PIVOT_SAMPLE = 4096   # rows from which pivots are chosen
 KEPT = 20_000_000     # best rows a task may hold for all its queries together
 
 
@@ -88,6 +91,12 @@ class Best:
         for j, part in zip(found, np.split(order, starts[1:])):
             self._merge(j, ids[part], scores[part])
 
+    def add_block(self, ids: np.ndarray, places: np.ndarray, scores: np.ndarray) -> None:
+        """A block of scores with one column per place; NaN is no score."""
+        hit = scores >= self.floor[places]
+        for c in np.flatnonzero(hit.any(axis=0)):
+            self._merge(places[c], ids[hit[:, c]], scores[hit[:, c], c])
+
     def _merge(self, j: int, i: np.ndarray, v: np.ndarray) -> None:
         keep = v >= self.floor[j]
         i, v = i[keep], v[keep]
@@ -304,6 +313,14 @@ def neighbour_counts(items: DataFrame, threshold: float, metric: str = "cosine",
     return parts.groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("n"))
 
 
+def similar_neighbours(items: DataFrame, threshold: float, k: int, metric: str = "cosine", vector: str = "v", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, other, score): each item's k nearest others above the threshold (Euclid: minus the distance),
+    lowest id on a tie. A tile emits k rows per item at most, so a crowd costs no more than its tiles."""
+    parts = _self_join(items, threshold, metric, vector, block_rows, "nearest", k)
+    return top_k_per_group(parts.select(F.col("a").alias("id"), F.col("b").alias("other"), "score"), ["id"],
+                           [F.desc("score"), F.col("other")], k).drop("rn")
+
+
 def collapse_copies(items: DataFrame, vector: str = "v") -> tuple[DataFrame, DataFrame]:
     """Equal vectors become one row: (id, vector, weight) with the lowest id, and (id, rep) links.
 
@@ -327,67 +344,128 @@ def _union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = labels[labels]
 
 
-def _self_join(items: DataFrame, threshold: float, metric: str, vector: str, block_rows: int, emit: str) -> DataFrame:
-    """Exact self join under a similarity threshold, in tiles of bounded size.
+def _far_apart(sample: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
+    """At most `count` centres of a bounded sample, by a few rounds of k-means from evenly taken rows."""
+    centres = np.unique(sample[np.linspace(0, len(sample) - 1, min(count, len(sample))).astype(int)], axis=0)
+    for _ in range(rounds if len(centres) > 1 else 0):
+        home = _squares(sample, centres).argmin(axis=1)
+        used, home = np.unique(home, return_inverse=True)
+        sums = np.zeros((len(used), sample.shape[1]))
+        np.add.at(sums, home, sample)
+        centres = np.unique(sums / np.bincount(home)[:, None], axis=0)
+    return centres
+
+
+def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T), 0.0)
+
 
-    Rows closer than r differ by at most r along any unit direction. So rows are put in cells
-    of width r along one direction and only a cell and its right neighbour are compared. A
-    crowded cell is cut into hashed blocks, and every pair of blocks is a tile of its own: no
-    task ever holds more than two blocks.
+def _metric_tiles(items: DataFrame, radius: float, metric: str, vector: str, block_rows: int, extra: str, kind: str) -> DataFrame:
+    """Rows copied to the tiles (cell, a, other, b) in which they meet all rows within `radius` of them.
+
+    Every row lives in the cell of its nearest pivot. Two rows of different cells that are within the radius
+    both lie within it of the plane half way between the two pivots, so a row is copied to the tiles of only those
+    cells whose plane is that near: the margin of the cell. A crowded cell is cut into hashed blocks, and
+    every pair of blocks is a tile of its own. Pivots come from a bounded sample and never change a result.
     """
-    radius = math.sqrt(max(0.0, 2 - 2 * threshold)) if metric == "cosine" else threshold
-    radius = max(radius, 1e-6) * (1 + 1e-9)
-    weight = F.col("weight") if "weight" in items.columns else F.lit(1)
     base = items.select(F.col("id").cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"),
-                        weight.cast("bigint").alias("weight")).filter("v IS NOT NULL")
-
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                        (F.col(extra) if extra in items.columns else F.lit(1)).cast(kind).alias(extra)).filter("v IS NOT NULL")
+    base = stored(base, "rows")
+    count = min(PIVOTS, base.count() // max(1, block_rows // 4))
+    pivots = np.zeros((1, 1))
+    if count > 1:
+        sample = np.array([r["v"] for r in base.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("v").collect()], "float64")
+        sample = _unit(sample) if metric == "cosine" else sample
+        pivots = _far_apart(sample[~np.isnan(sample).any(axis=1)], count)
+    apart = np.sqrt(_squares(pivots, pivots))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             m = _matrix(b.column(1))
             m = _unit(m) if metric == "cosine" else m
             fine = ~np.isnan(m).any(axis=1)
-            m, ids, w = m[fine], np.asarray(b.column(0))[fine], np.asarray(b.column(2))[fine]
-            side = np.random.default_rng(7).standard_normal(m.shape[1])
-            cell = np.floor(m @ (side / np.linalg.norm(side)) / radius).astype("int64")
+            m, rest = m[fine], b.filter(pa.array(fine))
+            home, near = np.zeros(len(m), "int64"), np.zeros((len(m), len(pivots)), bool)
+            if len(pivots) > 1:
+                square = _squares(m, pivots)
+                home = square.argmin(axis=1)
+                own = square[np.arange(len(m)), home]
+                # distance to the plane between both pivots, times twice their distance
+                if math.isinf(radius):
+                    near[:] = True
+                else:
+                    near = square - own[:, None] <= 2 * apart[home] * (radius * (1 + 1e-9) + 1e-9)
+                near[np.arange(len(m)), home] = False
+            rows, cells = np.nonzero(near)
             offsets = np.arange(0, m.size + 1, max(1, m.shape[1]), dtype="int32")
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(m.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), lists, pa.array(w), pa.array(cell)], ["id", "v", "weight", "cell"])
-
-    placed = base.mapInArrow(project, "id bigint, v array<double>, weight bigint, cell bigint")
-    # block counts per cell: at most 2/r cells for unit vectors
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("n"))
-    around = (
-        sizes.join(sizes.select((F.col("cell") + 1).alias("cell"), F.col("n").alias("n_prev")), "cell", "left")
-        .join(sizes.select((F.col("cell") - 1).alias("cell"), F.col("n").alias("n_next")), "cell", "left")
-    )
-    rows = placed.join(around, "cell").withColumn("s", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    upto = lambda n: F.sequence(F.lit(0), n - 1)
-    spot = lambda cell, a, same, b, right: F.struct(
-        cell.alias("cell"), a.alias("a"), F.lit(same).alias("same"), b.alias("b"), right.alias("right"))
-    s, cell = F.col("s"), F.col("cell")
-    own = F.transform(upto(F.col("n")), lambda j: spot(cell, F.least(s, j), True, F.greatest(s, j), s > j))
-    to_next = F.when(F.col("n_next").isNotNull(), F.transform(upto(F.coalesce("n_next", F.lit(1))), lambda j: spot(cell, s, False, j, F.lit(False))))
-    from_prev = F.when(F.col("n_prev").isNotNull(), F.transform(upto(F.coalesce("n_prev", F.lit(1))), lambda j: spot(cell - 1, j, False, s, F.lit(True))))
-    blank = F.slice(own, 1, 0)
-    spots = F.explode(F.concat(own, F.coalesce(to_next, blank), F.coalesce(from_prev, blank)))
-    spread = rows.select("id", "v", "weight", spots.alias("t")).select("id", "v", "weight", "t.*")
+            margin = pa.ListArray.from_arrays(pa.array(np.searchsorted(rows, np.arange(len(m) + 1)).astype("int32")), pa.array(cells.astype("int32")))
+            yield pa.RecordBatch.from_arrays([rest.column(0), lists, rest.column(2), pa.array(home.astype("int32")), margin],
+                                             ["id", "v", extra, "cell", "near"])
+
+    placed = base.mapInArrow(place, f"id bigint, v array<double>, {extra} {kind}, cell int, near array<int>")
+    full = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per pivot
+    blocks = F.array(*[F.lit(max(1, math.ceil(full.get(k, 0) / block_rows))) for k in range(len(pivots))])
+    cell, upto = F.col("cell"), lambda q: F.sequence(F.lit(0), F.get(blocks, q) - 1)
+    s = F.pmod(F.xxhash64("id"), F.get(blocks, cell)).cast("int")
+    spot = lambda c, a, o, b, right: F.struct(c.alias("cell"), a.alias("a"), o.alias("other"), b.alias("b"), right.alias("right"))
+    rows = placed.withColumn("s", s)
+    s = F.col("s")
+    own = F.transform(upto(cell), lambda j: spot(cell, F.least(s, j), cell, F.greatest(s, j), s > j))
+    margin = F.flatten(F.transform("near", lambda q: F.transform(upto(q), lambda j: F.when(
+        cell < q, spot(cell, s, q, j, F.lit(False))).otherwise(spot(q, j, cell, s, F.lit(True))))))
+    return rows.select("id", "v", extra, F.explode(F.concat(own, margin)).alias("t")).select("id", "v", extra, "t.*")
+
+
+def _radius(threshold: float, metric: str) -> float:
+    return math.sqrt(max(0.0, 2 - 2 * threshold)) if metric == "cosine" else threshold
+
+
+def compared_share(items: DataFrame, threshold: float, metric: str = "cosine", vector: str = "v", block_rows: int = BLOCK_ROWS) -> float:
+    """Share of all pairs of rows that the self joins look at; the rest is ruled out by the pivots."""
+    tiles = _metric_tiles(items, _radius(threshold, metric), metric, vector, block_rows, "weight", "bigint")
+    each = tiles.groupBy("cell", "a", "other", "b").agg(F.count_if("right").alias("r"), F.count(F.lit(1)).alias("n"))
+    whole = (F.col("cell") == F.col("other")) & (F.col("a") == F.col("b"))
+    looked = each.agg(F.sum(F.when(whole, F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("r") * (F.col("n") - F.col("r"))))).first()[0]
+    n = items.filter(F.col(vector).isNotNull()).count()
+    return float(looked or 0) / max(1.0, n * (n - 1) / 2)
+
+
+def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Places of both sides of a tile, and whether it is a block against itself."""
+    right = np.asarray(table.column("right").combine_chunks().cast(pa.int8())).astype(bool)
+    first = lambda c: table.column(c)[0].as_py()
+    whole = first("cell") == first("other") and first("a") == first("b")
+    every = np.arange(table.num_rows)
+    return (every, every, True) if whole else (every[~right], every[right], False)
+
+
+def _self_join(items: DataFrame, threshold: float, metric: str, vector: str, block_rows: int, emit: str, k: int = 0) -> DataFrame:
+    """Exact self join under a similarity threshold, in tiles of bounded size (see `_metric_tiles`)."""
+    spread = _metric_tiles(items, _radius(threshold, metric), metric, vector, block_rows, "weight", "bigint")
 
     def tile(table: pa.Table) -> pa.Table:
         column = lambda name: table.column(name).combine_chunks()
         ids, m, w = np.asarray(column("id")), _matrix(column("v")), np.asarray(column("weight"))
-        right = np.asarray(column("right").cast(pa.int8())).astype(bool)
-        whole = bool(table.column("same")[0].as_py()) and table.column("a")[0].as_py() == table.column("b")[0].as_py()
-        every = np.arange(len(ids))
-        left, other = (every, every) if whole else (every[~right], every[right])
-        labels, counts = every.copy(), np.zeros(len(ids), "int64")
+        left, other, whole = _sides(table)
+        labels, counts = np.arange(len(ids)), np.zeros(len(ids), "int64")
+        best = Best(len(ids), k) if emit == "nearest" else None
         a, b, v = [], [], []
         step = max(1, CELLS // max(1, len(other)))
         for at in range(0, len(left) if len(other) else 0, step):
             part = left[at:at + step]
             s_ = _scores(m[part], m[other], "dot" if metric == "cosine" else "euclid")
             hit = s_ >= threshold if metric == "cosine" else -s_ <= threshold
+            if best is not None:
+                if whole:
+                    hit &= ids[part][:, None] != ids[other][None, :]
+                found = np.where(hit, s_, np.nan)
+                best.add_block(ids[part], other, found)
+                if not whole:
+                    best.add_block(ids[other], part, found.T)
+                continue
             if whole:
                 hit &= ids[part][:, None] < ids[other][None, :]
             r, c = np.nonzero(hit)
@@ -399,8 +477,11 @@ def _self_join(items: DataFrame, threshold: float, metric: str, vector: str, blo
                 np.add.at(counts, y, w[x])
             else:
                 a.append(np.minimum(ids[x], ids[y])), b.append(np.maximum(ids[x], ids[y])), v.append(np.abs(s_[r, c]) if metric == "euclid" else s_[r, c])
+        if best is not None:
+            rows = best.rows(ids)
+            return pa.table({"a": rows.column(0), "b": rows.column(1), "score": rows.column(2)})
         if emit == "forest":
-            hung = np.flatnonzero(labels != every)
+            hung = np.flatnonzero(labels != np.arange(len(ids)))
             a, b = [ids[hung]], [ids[labels[hung]]]
         elif emit == "counts":
             some = np.flatnonzero(counts)
@@ -409,8 +490,8 @@ def _self_join(items: DataFrame, threshold: float, metric: str, vector: str, blo
         out = {"a": cat(a, "int64"), "b": cat(b, "int64")}
         return pa.table({**out, "score": cat(v, "float64")} if emit == "pairs" else out)
 
-    schema = "a bigint, b bigint, score double" if emit == "pairs" else "a bigint, b bigint"
-    return spread.groupBy("cell", "a", "same", "b").applyInArrow(tile, schema)
+    schema = "a bigint, b bigint, score double" if emit in ("pairs", "nearest") else "a bigint, b bigint"
+    return spread.groupBy("cell", "a", "other", "b").applyInArrow(tile, schema)
 
 
 def ann_candidates(items: DataFrame, queries: DataFrame, k: int = 5000, vector: str = "v", **sizes) -> DataFrame:
@@ -472,7 +553,7 @@ def column_stats(items: DataFrame, vector: str = "v") -> Column:
     """Struct of arrays (mean, population std, lo, hi), one value per component, as a scalar subquery."""
     x = array_to_vector(F.col(vector))
     metrics = Summarizer.metrics("mean", "variance", "min", "max", "count").summary(x)
-    s = items.agg(metrics.alias("s")).select("s.*")
+    s = items.groupBy(F.lit(True)).agg(metrics.alias("s")).select("s.*")  # no row for an empty table
     n = F.col("count")
     population = F.transform(vector_to_array("variance"), lambda v: F.sqrt(v * (n - 1) / n))
     return s.select(F.struct(

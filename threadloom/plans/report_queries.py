@@ -122,20 +122,32 @@ def cc(edges, start="a"):
     return f"RC(id, r) AS (SELECT DISTINCT a, a FROM {edges} UNION SELECT {edges}.b, RC.r FROM RC JOIN {edges} ON RC.id = {edges}.a), CC AS (SELECT id, min(r) AS component FROM RC GROUP BY id)"
 
 
-@query("exemplar_clusters", views="V", sql=f"""WITH RECURSIVE PR AS (SELECT a.id AS a, b.id AS b FROM V a JOIN V b ON a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.4), {cc('PR')},
+@query("exemplar_clusters")
+def _(t):
+    """Affinity propagation; compared with the dense algorithm in the tests."""
+    return rounded(CL.exemplar_clusters(t.vectors, threshold=0.4), "distance")
+
+
+@query("component_clusters", views="V", sql=f"""WITH RECURSIVE PR AS (SELECT a.id AS a, b.id AS b FROM V a JOIN V b ON a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.4), {cc('PR')},
   SIM AS (SELECT x.component, x.id, round(-avg(list_cosine_similarity(vx.v, vy.v)), 9) AS far FROM CC x JOIN CC y USING (component) JOIN V vx ON vx.id = x.id JOIN V vy ON vy.id = y.id GROUP BY 1, 2),
   EX AS (SELECT component, id AS exemplar FROM SIM QUALIFY row_number() OVER (PARTITION BY component ORDER BY far, id) = 1),
   DS AS (SELECT CC.id, exemplar, CASE WHEN CC.id = exemplar THEN 0 ELSE 1 - list_cosine_similarity(m.v, e.v) END AS d FROM CC JOIN EX USING (component) JOIN V m ON m.id = CC.id JOIN V e ON e.id = exemplar),
   NR AS (SELECT *, count(*) OVER (PARTITION BY exemplar) AS n FROM DS WHERE d <= 0.6 + 1e-9)
   SELECT V.id, CASE WHEN n > 1 THEN exemplar ELSE -1 END AS cluster, CASE WHEN n > 1 THEN {R('d')} END AS distance FROM V LEFT JOIN NR USING (id)""")
 def _(t):
-    return rounded(CL.exemplar_clusters(t.vectors, threshold=0.4), "distance")
+    return rounded(CL.component_clusters(t.vectors, threshold=0.4), "distance")
 
 
 EPS = 9.3
 
 
-@query("density_clusters", views="V", sql=f"""WITH RECURSIVE E AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM V), S AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM E GROUP BY i),
+@query("density_clusters")
+def _(t):
+    """The most stable groups of a density hierarchy; compared with a written-out hierarchy in the tests."""
+    return rounded(CL.density_clusters(t.vectors), "distance")
+
+
+@query("dense_components", views="V", sql=f"""WITH RECURSIVE E AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM V), S AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM E GROUP BY i),
   Z AS (SELECT id, list((x - m) / s ORDER BY i) AS z FROM E JOIN S USING (i) GROUP BY id),
   NB AS (SELECT a.id AS a, b.id AS b FROM Z a JOIN Z b ON a.id <> b.id AND list_distance(a.z, b.z) <= {EPS}),
   CO AS (SELECT a AS id FROM NB GROUP BY a HAVING count(*) >= 3),
@@ -145,7 +157,7 @@ EPS = 9.3
   EX AS (SELECT component, id AS exemplar, z AS ez FROM BIG JOIN CE USING (component) QUALIFY row_number() OVER (PARTITION BY component ORDER BY round(list_distance(z, q), 9), id) = 1)
   SELECT V.id, coalesce(component, -1) AS cluster, {R('CASE WHEN V.id = exemplar THEN 0 ELSE list_distance(z, ez) END')} AS distance FROM V LEFT JOIN (SELECT id, component, z, exemplar, ez FROM BIG JOIN EX USING (component)) b ON b.id = V.id""")
 def _(t):
-    return rounded(CL.density_clusters(t.vectors, EPS), "distance")
+    return rounded(CL.dense_components(t.vectors, EPS), "distance")
 
 
 @query("merge_near_clusters", views="V", sql=f"""WITH RECURSIVE {CENTROID}, PR AS (SELECT a.label AS a, b.label AS b FROM M a JOIN M b ON a.label <> b.label AND 1 - list_cosine_similarity(a.q, b.q) <= 0.85), {cc('PR')}
