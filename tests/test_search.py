@@ -256,3 +256,85 @@ def test_embedding_function_is_cut_not_scaled(spark):
     df = spark.createDataFrame([(1, "abc")], "id bigint, text string")
     got = infer.embed_column(df, "text", fn=lambda s: [[3.0, 4.0, 5.0] for _ in s], dims=2, prefix="query: ").first()
     assert got["v"] == [3.0, 4.0]
+
+
+def test_attached_keywords_are_the_phrases(spark):
+    texts = ["slow app slow login and the app crashes", "the login page", "", None, "one"]
+    docs = spark.createDataFrame([(i, f"t{i}", x) for i, x in enumerate(texts)], "id bigint, title string, body string")
+    found = keywords.keyphrases(docs.filter("body IS NOT NULL").select("id", "body"), "id", "body")
+    got = {r["id"]: r["keywords"] for r in keywords.attach_keywords(docs, found, "id").collect()}
+    toks = [x.split() for x in texts if x is not None]
+    idf = {w: np.log((1 + len(toks)) / (1 + sum(w in t for t in toks))) + 1 for t in toks for w in t}
+    assert got == {i: brute_phrases((x or "").split(), idf) for i, x in enumerate(texts)}
+
+
+def test_text_stats_count_whole_texts_as_python_does(spark):
+    import re
+
+    from threadloom.functions import text as X
+    texts = ["One two. Three!\n\nFour's end?", "café crème naïve word", "Привет мир. Да!", "\u3053\u3093", " \n\t ", "", None, "x\n \n\n12 34\n\ny.z", "--\n\na"]
+
+    def stats(x):
+        if x is None or not re.sub(r"[ \t\n\x0b\f\r]", "", x):
+            return None
+        parts = [p for p in re.split(r"\n[ \t\n\x0b\f\r]*\n", x) if re.search("[a-zA-Z]", p)]
+        kept = "\n\n".join(parts)
+        return len(re.findall(r"\b[a-zA-Z0-9']+\b", kept)), len(re.findall("[.!?]", kept)), len(parts)
+
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id int, text string")
+    got = {r["id"]: r["s"] and tuple(r["s"]) for r in df.select("id", X.text_stats(F.col("text")).alias("s")).collect()}
+    assert got == {i: stats(x) for i, x in enumerate(texts)}
+
+
+@pytest.fixture(scope="module")
+def half_embedded(spark):
+    """Documents of which every second one has no vector."""
+    words = ["alpha beta gamma", "alpha", "beta beta", "delta", "alpha beta", "gamma", "epsilon", "alpha alpha"]
+    v = lambda i: [float(np.cos(i)), float(np.sin(i)), 0.5]
+    rows = [(i, w, w, "c", v(i) if i % 2 == 0 else None) for i, w in enumerate(words)]
+    docs = spark.createDataFrame(rows, "id bigint, title string, body string, community string, v array<double>")
+    docs = docs.withColumn("keywords", F.split("title", " ")).withColumn("tv", F.reverse("v")).withColumn(
+        "kv", F.when(F.col("v").isNotNull(), F.array("v", "tv")))
+    queries = spark.createDataFrame([(1, v(0)), (2, v(3))], "qid bigint, v array<double>")
+    terms = spark.createDataFrame([(1, "alpha"), (2, "gamma"), (2, "beta")], "qid bigint, term string")
+    return docs, queries, terms
+
+
+def test_documents_without_a_vector_are_found_by_their_words(half_embedded):
+    docs, queries, terms = half_embedded
+    hits = search.weighted_closeness(docs, queries, terms).collect()
+    found = {(r["qid"], r["id"]): r for r in hits}
+    assert {i for q, i in found if q == 1} == {0, 2, 4, 6} | {1, 7}  # neighbours, and bare documents with the word
+    assert {i for q, i in found if q == 2} == {0, 2, 4, 6} | {5}
+    bare = found[1, 7]
+    assert bare["closeness_body"] == bare["cosine_title"] == bare["max_keyword_similarity"] == bare["first_phase"] == 0 and bare["score"] > 0
+    assert {(r["qid"], r["id"]) for r in search.hybrid_rrf(docs, queries, terms).collect()} == set(found)
+    assert [r["id"] for r in search.first_phase(docs, queries, terms, lexical.document_fields(), 5).filter("qid = 1").collect() if r["id"] % 2] == [7]
+
+
+def test_the_large_query_way_finds_the_same_documents(half_embedded, monkeypatch):
+    docs, queries, terms = half_embedded
+    want = sorted(map(tuple, search.first_phase(docs, queries, terms, lexical.document_fields(), 6).collect()))
+    monkeypatch.setattr(lexical, "QUERY_TERMS", 1)
+    assert sorted(map(tuple, search.first_phase(docs, queries, terms, lexical.document_fields(), 6).collect())) == want
+
+
+def test_funnel_and_nearest_query(half_embedded):
+    docs, queries, terms = half_embedded
+    f = lexical.document_fields()
+    got = {(r["qid"], r["id"]) for r in search.funnel_search(docs, queries, terms, {"body": f["body"]}, k=4, cut=-2.0).collect()}
+    assert got == {(1, 0), (1, 4), (2, 0), (2, 2), (2, 4)}
+    best = {r["id"]: r["qid"] for r in search.nearest_query(docs, queries, -2.0).collect()}
+    cos = lambda i, q: np.cos(i - (0 if q == 1 else 3)) + 0.25
+    assert best == {i: 1 if cos(i, 1) >= cos(i, 2) else 2 for i in (0, 2, 4, 6)}
+
+
+def test_rerank_in_shares_and_blocks_gives_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5}") for i in range(40)], "id bigint, text string")
+    queries = spark.createDataFrame([(i, f"w{i % 9}") for i in range(25)], "qid bigint, query string")
+    scorer = lambda qs, texts: [[float(q in x.split()) for q in qs] for x in texts]
+    run = lambda **o: sorted(map(tuple, search.rerank_best_query(docs, queries, "text", scorer, **o).collect()))
+    want = run()
+    assert want == [(i, min(i % 7, i % 5), 1.0) for i in range(40)] and run(block=3) == want
+    monkeypatch.setattr(search, "RERANK_QUERIES", 6)
+    assert run(block=2) == want

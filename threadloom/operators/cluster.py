@@ -200,7 +200,7 @@ def merge_average_linkage(clusters: DataFrame, max_distance: float, key: str = "
         of = stored(of.join(mutual, F.col("group") == F.col("gone"), "left").select("id", F.coalesce("into", "group").alias("group")), "of")
 
 
-def merge_near_clusters(clusters: DataFrame, max_distance: float, key: str = "cluster", vector: str = "v") -> DataFrame:
+def merge_near_components(clusters: DataFrame, max_distance: float, key: str = "cluster", vector: str = "v") -> DataFrame:
     """(key, group): representatives within `max_distance` (1 - cosine) in a chain share a group."""
     reps = clusters.select(F.col(key).alias("id"), vector)
     groups = connected_components(similar_forest(reps, 1 - max_distance, vector=vector))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from threadloom.constants import HYBRID_LEGS, LEG_WEIGHTS
 from threadloom.functions import vectors as V
 from threadloom.functions.text import squash
-from threadloom.operators.lexical import bm25_hits, bm25_pairs, document_fields, prepare
+from threadloom.operators.lexical import bm25_by_field, bm25_hits, bm25_pairs, document_fields, prepare
 from threadloom.operators.nearest import nearest, pair_scores
 from threadloom.operators.ranking import best_per_key, top_k, top_k_per_group
 from threadloom.runtime import spread
@@ -23,6 +23,7 @@ from threadloom.runtime import spread
 RERANK_DEPTH = 1000
 ANN_HITS = 5000
 HITS = 700
+RERANK_QUERIES = 100_000  # query texts that travel to a task at once
 LEG_HITS = 10_000   # rows a hybrid search fetches per leg and query
 
 
@@ -134,6 +135,50 @@ def funnel(first: DataFrame, *stages: DataFrame) -> DataFrame:
     return kept
 
 
+def funnel_search(docs: DataFrame, queries: DataFrame, terms: DataFrame, fields: dict[str, Column], k: int = 200, cut: float = 0.0) -> DataFrame:
+    """(qid, id, score): of the k nearest documents by body, those with a query word, of those the ones whose
+    title vector is above `cut`; only the pairs of a stage reach the next one."""
+    near = nearest(docs, queries, k=k).select("qid", "id")
+    words = bm25_pairs(docs, "id", fields, terms, near).filter(sum(F.col(f) for f in fields) > 0).select("qid", "id")
+    pairs = words.join(docs.select("id", "tv"), "id").join(queries.select("qid", F.col("v").alias("_q")), "qid")
+    return pair_scores(pairs, {"score": ("tv", "_q")}).filter(F.col("score") > cut).select("qid", "id", "score")
+
+
+def nearest_query(docs: DataFrame, queries: DataFrame, cut: float) -> DataFrame:
+    """(id, score, qid): each document's most similar query above `cut`, lowest qid on a tie. One row per
+    document is formed, not one per pair."""
+    asked = docs.select(F.col("id").alias("qid"), "v")
+    found = nearest(queries.select(F.col("qid").alias("id"), "v"), asked, k=1)
+    return found.filter(F.col("score") > cut).select(F.col("qid").alias("id"), "score", F.col("id").alias("qid"))
+
+
+def cosine_or_zero(pairs: DataFrame, docs: DataFrame, queries: DataFrame, name: str) -> DataFrame:
+    """(qid, id, name): cosine of document and query vector, 0 for a document without a vector."""
+    q = queries.select("qid", F.col("v").alias("_q"))
+    scored = pair_scores(pairs.join(docs.filter("v IS NOT NULL").select("id", "v"), "id").join(q, "qid"), {name: ("v", "_q")})
+    return pairs.join(scored.select("qid", "id", name), ["qid", "id"], "left").fillna(0.0, [name])
+
+
+def first_phase(docs: DataFrame, queries: DataFrame, terms: DataFrame, fields: dict[str, Column], depth: int) -> DataFrame:
+    """(qid, id, first_phase): the `depth` best documents of text OR sign-code neighbours.
+
+    They are ranked by sign-code closeness, which every document with a vector has, then by text score; a document
+    without a vector has closeness 0 and comes in by its words alone.
+    """
+    near = nearest(docs, queries, k=depth, metric="hamming").withColumnRenamed("score", "first_phase").withColumn("_text", F.lit(0.0))
+    bare = docs.filter("v IS NULL")
+    prepared = prepare(docs, fields, terms, depth)  # statistics of the whole corpus
+    if prepared[0] is None:
+        total = sum(F.col(f) for f in fields)
+        hits = bm25_by_field(docs, "id", fields, terms).select("qid", "id", F.round(total, 12).alias("score")).filter("score > 0")
+        hits = top_k_per_group(hits.join(bare.select("id"), "id", "left_semi"), ["qid"], [F.desc("score"), F.col("id")], depth).drop("rn")
+    else:
+        hits = bm25_hits(bare, "id", fields, terms, k=depth, prepared=prepared)
+    text = hits.join(queries.select("qid"), "qid", "left_semi").select("qid", "id", F.lit(0.0).alias("first_phase"), F.col("score").alias("_text"))
+    both = near.select("qid", "id", "first_phase", "_text").unionByName(text)
+    return top_k_per_group(both, ["qid"], [F.desc("first_phase"), F.desc("_text"), F.col("id")], depth).drop("rn", "_text")
+
+
 def semantic_rescoring(docs: DataFrame, queries: DataFrame, vector: str = "v", depth: int = RERANK_DEPTH, hits: int = HITS) -> DataFrame:
     """First phase: sign code times float query. Second phase: closeness of the float vectors."""
     first = nearest(docs, queries, k=depth, metric="signs", vector=vector).withColumnRenamed("score", "first_phase")
@@ -145,21 +190,22 @@ def semantic_rescoring(docs: DataFrame, queries: DataFrame, vector: str = "v", d
 def weighted_closeness(docs: DataFrame, queries: DataFrame, terms: DataFrame, depth: int = RERANK_DEPTH, hits: int = HITS) -> DataFrame:
     """Hits with every score part (match features).
 
-    The full candidate set is text OR sign-code neighbours OR title neighbours, ranked first by
-    sign-code closeness. Its `depth` best are always the `depth` nearest by sign code, as those
-    neighbours are a leg of their own; so only they are fetched and scored in full.
+    The candidate set is text OR sign-code neighbours (see `first_phase`). A document without a vector
+    counts 0 in every vector part.
     """
-    first = nearest(docs, queries, k=depth, metric="hamming").withColumnRenamed("score", "first_phase")
+    first = first_phase(docs, queries, terms, document_fields(), depth)
     parts = bm25_pairs(docs, "id", document_fields(), terms, first)
-    pairs = (
-        first.join(parts, ["qid", "id"], "left").fillna(0.0, ["title", "body", "keywords"])
-        .join(docs.select("id", "v", "tv", "kv"), "id").join(queries.select("qid", F.col("v").alias("_q")), "qid")
-    )
-    parts = pair_scores(pairs, {"_body": ("v", "_q"), "cosine_title": ("tv", "_q")}, best={"max_keyword_similarity": ("kv", "_q")})
+    pairs = first.join(parts, ["qid", "id"], "left").fillna(0.0, ["title", "body", "keywords"])
+    with_vector = pairs.join(docs.filter("v IS NOT NULL").select("id", "v", "tv", "kv"), "id").join(
+        queries.select("qid", F.col("v").alias("_q")), "qid")
+    scored = pair_scores(with_vector, {"_body": ("v", "_q"), "cosine_title": ("tv", "_q")}, best={"max_keyword_similarity": ("kv", "_q")})
+    scored = scored.withColumn("closeness_body", V.closeness(1 - F.col("_body"))).drop("_body")
+    bare = pairs.filter("first_phase = 0").withColumns({n: F.lit(0.0) for n in ("cosine_title", "max_keyword_similarity", "closeness_body")})
+    parts = scored.unionByName(bare)
     # fixed values: weights of the three fields
     scored = parts.select(
         "qid", "id", "first_phase", F.col("title").alias("bm25_title"), F.col("body").alias("bm25_body"), F.col("keywords").alias("bm25_keywords"),
-        V.closeness(1 - F.col("_body")).alias("closeness_body"), "cosine_title", "max_keyword_similarity",
+        "closeness_body", "cosine_title", "max_keyword_similarity",
     ).withColumn("score", 0.5 * (F.col("closeness_body") + squash(F.col("bm25_body")))
                  + 0.3 * (squash(F.col("bm25_keywords")) + F.coalesce("max_keyword_similarity", F.lit(0.0)))
                  + 0.2 * (squash(F.col("bm25_title")) + F.col("cosine_title")))
@@ -167,13 +213,14 @@ def weighted_closeness(docs: DataFrame, queries: DataFrame, terms: DataFrame, de
 
 
 def hybrid_rrf(docs: DataFrame, queries: DataFrame, terms: DataFrame, depth: int = RERANK_DEPTH, hits: int = HITS) -> DataFrame:
-    """Sign-code closeness first, then rank fusion of four-field BM25 and vector closeness."""
-    first = nearest(docs, queries, k=depth, metric="hamming").withColumnRenamed("score", "first_phase")
+    """Text OR sign-code neighbours first, then rank fusion of four-field BM25 and vector closeness (0 without a vector)."""
     fields = document_fields(with_community=True)
+    first = first_phase(docs, queries, terms, fields, depth)
     text = bm25_pairs(docs, "id", fields, terms, first).select("qid", "id", sum(F.col(f) for f in fields).alias("bm25sum"))
     pairs = first.join(text, ["qid", "id"], "left").fillna(0.0, ["bm25sum"])
-    pairs = pairs.join(docs.select("id", "v"), "id").join(queries.select("qid", F.col("v").alias("_q")), "qid")
-    scored = pair_scores(pairs, {"_cos": ("v", "_q")}).withColumn("closeness", V.closeness(1 - F.col("_cos"))).drop("_cos")
+    with_vector = pairs.join(docs.filter("v IS NOT NULL").select("id", "v"), "id").join(queries.select("qid", F.col("v").alias("_q")), "qid")
+    scored = pair_scores(with_vector, {"_cos": ("v", "_q")}).withColumn("closeness", V.closeness(1 - F.col("_cos"))).drop("_cos")
+    scored = scored.unionByName(pairs.filter("first_phase = 0").withColumn("closeness", F.lit(0.0)))
     fused = reciprocal_rank_fusion(scored, ["bm25sum", "closeness"]).withColumnRenamed("rrf", "score")
     return top_k_per_group(fused, ["qid"], [F.desc("score"), F.col("id")], hits).drop("rn")
 
@@ -192,34 +239,40 @@ def rerank_best_query(docs: DataFrame, queries: DataFrame, text: str, scorer, ma
                       block: int = 1000) -> DataFrame:
     """Best (query, score) per document for a pluggable scorer; only scores above 0 count.
 
-    Queries travel to every task in blocks of about `block`; `max_queries` takes the first ones only.
+    Queries travel to every task, which scores its texts against `block` of them at a time; the documents are scanned
+    once for every RERANK_QUERIES of them. `max_queries` takes the first ones only.
     `scorer` gets the query texts and a series of whole texts and returns one row of scores per text;
     a task emits one row per document and block, never a row per pair.
     """
     queries = queries.select("qid", "query") if max_queries is None else queries.select("qid", "query").orderBy("qid").limit(max_queries)
-    blocks = queries.count() // block + 1
+    shares = queries.count() // RERANK_QUERIES + 1
     found = None
-    for b in range(blocks):
-        own = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        best = _best_of_block(docs, own, text, scorer)
+    for b in range(shares):
+        own = queries if shares == 1 else queries.filter(F.pmod(F.xxhash64("qid"), F.lit(shares)) == b)
+        best = _best_of_share(docs, own, text, scorer, block)
         found = best if found is None else found.unionByName(best)
-    return found if blocks == 1 else best_per_key(found, ["id"], "score", "qid", ["qid", "score"]).select("id", "qid", "score")
+    return found if shares == 1 else best_per_key(found, ["id"], "score", "qid", ["qid", "score"]).select("id", "qid", "score")
 
 
-def _best_of_block(docs: DataFrame, queries: DataFrame, text: str, scorer) -> DataFrame:
+def _best_of_share(docs: DataFrame, queries: DataFrame, text: str, scorer, block: int) -> DataFrame:
     import numpy as np
     import pandas as pd
 
-    wanted = sorted((r["qid"], r["query"]) for r in queries.collect())
+    wanted = sorted((r["qid"], r["query"]) for r in queries.collect())  # RERANK_QUERIES rows or so
 
     def run(batches):
         for pdf in batches:
             if not len(pdf) or not wanted:
                 continue
-            scores = np.asarray(scorer([q for _, q in wanted], pdf[text]), dtype="float64")
-            pick = scores.argmax(axis=1)  # the first query wins a tie
-            best = scores[np.arange(len(pdf)), pick]
-            out = pd.DataFrame({"id": pdf["id"], "qid": np.array([k for k, _ in wanted], "int64")[pick], "score": best})
+            best, qid = np.zeros(len(pdf)), np.full(len(pdf), wanted[0][0], "int64")
+            for at in range(0, len(wanted), block):
+                part = wanted[at:at + block]
+                scores = np.asarray(scorer([q for _, q in part], pdf[text]), dtype="float64")
+                pick = scores.argmax(axis=1)  # the first query wins a tie
+                top = scores[np.arange(len(pdf)), pick]
+                higher = top > best
+                best[higher], qid[higher] = top[higher], np.array([k for k, _ in part], "int64")[pick][higher]
+            out = pd.DataFrame({"id": pdf["id"], "qid": qid, "score": best})
             yield out[out["score"] > 0]
 
     return spread(docs).select("id", text).mapInPandas(run, "id bigint, qid bigint, score double")

@@ -125,10 +125,9 @@ def _(t):
 
 
 @query("training_pairs", views="I N", sql=f"""WITH {NEG} SELECT imp_id, positive, item, label, CAST(split_part(imp_id, '_', 1) AS BIGINT) AS user_id, category
-  FROM SM JOIN N USING (item) WHERE imp_id IN (SELECT imp_id FROM I GROUP BY 1 HAVING min(label) = 0 AND max(label) > 0)
-  AND CAST('0x' || substr(md5('1|' || imp_id), 1, 8) AS BIGINT) < CAST(0.5 * 4294967296 AS BIGINT)""")
+  FROM SM JOIN N USING (item) WHERE imp_id IN (SELECT imp_id FROM I GROUP BY 1 HAVING min(label) = 0 AND max(label) > 0)""")
 def _(t):
-    return recs.training_pairs(t.impressions, t.news.select("item", "category"), prob=0.5).select("imp_id", "positive", "item", "label", "user_id", "category")
+    return recs.training_pairs(t.impressions, t.news.select("item", "category")).select("imp_id", "positive", "item", "label", "user_id", "category")
 
 
 @query("position_discount", views="I V", sql=f"WITH {RK} SELECT imp_id, item, pos, {R('1 / pos')} AS reciprocal, {R('1 / log2(pos + 1)')} AS log_discount FROM RK")

@@ -160,11 +160,18 @@ def _(t):
     return rounded(CL.dense_components(t.vectors, EPS), "distance")
 
 
-@query("merge_near_clusters", views="V", sql=f"""WITH RECURSIVE {CENTROID}, PR AS (SELECT a.label AS a, b.label AS b FROM M a JOIN M b ON a.label <> b.label AND 1 - list_cosine_similarity(a.q, b.q) <= 0.85), {cc('PR')}
+@query("merge_near_clusters")
+def _(t):
+    """Average linkage by 1 - cosine; compared with pairwise merging in the tests."""
+    reps = NN.label_centroids(t.vectors, "label").select(c("label").cast("bigint").alias("cluster"), c("centroid").alias("v"))
+    return CL.merge_average_linkage(reps, 0.85).select("cluster", c("group").alias("grp"))
+
+
+@query("merge_near_components", views="V", sql=f"""WITH RECURSIVE {CENTROID}, PR AS (SELECT a.label AS a, b.label AS b FROM M a JOIN M b ON a.label <> b.label AND 1 - list_cosine_similarity(a.q, b.q) <= 0.85), {cc('PR')}
   SELECT CAST(label AS BIGINT) AS cluster, CAST(coalesce(component, label) AS BIGINT) AS grp FROM M LEFT JOIN CC ON id = label""")
 def _(t):
     reps = NN.label_centroids(t.vectors, "label").select(c("label").cast("bigint").alias("cluster"), c("centroid").alias("v"))
-    return CL.merge_near_clusters(reps, 0.85).select("cluster", c("group").alias("grp"))
+    return CL.merge_near_components(reps, 0.85).select("cluster", c("group").alias("grp"))
 
 
 @query("merge_average_linkage")

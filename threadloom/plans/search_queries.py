@@ -12,7 +12,7 @@ from threadloom.functions import text as X, vectors as V
 from threadloom.operators import lexical, nearest as NN, ranking, search
 from threadloom.plans.registry import query
 from threadloom.plans.views import DIMS, rotate, tok
-from threadloom.runtime import spread
+from threadloom.runtime import spread, stored
 
 c = F.col
 
@@ -38,7 +38,7 @@ CENTROID = """M AS (SELECT label, list(m ORDER BY i) AS q FROM (SELECT label, i,
 
 def with_centroid(t):
     """Each vector next to the mean vector of its label."""
-    return t.vectors.join(NN.label_centroids(t.vectors, "label"), "label")
+    return t.vectors.join(stored(NN.label_centroids(t.vectors, "label"), "centroids"), "label")
 
 
 def pairwise(key, columns, sql):
@@ -207,12 +207,14 @@ def _(t):
 
 
 @query("filtered_hybrid", views="D V QV QT BM", sql=f"""SELECT DISTINCT qid, id FROM (
-    SELECT qid, id FROM BW JOIN D USING (id) WHERE D.community = 'src7' AND BW.title + BW.body > 0
+    (SELECT qid, id FROM BW JOIN D USING (id) WHERE D.community = 'src7' AND BW.title + BW.body > 0
+      QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(BW.title + BW.body, 12) DESC, id) <= 5000)
     UNION ALL SELECT qid, id FROM ({ALLQ}) WHERE s > 0.25 AND id IN (SELECT id FROM D))""")
 def _(t):
     f = lexical.document_fields()
-    here = t.docs.filter(c("community") == "src7")
-    wanted = lexical.text_matches(here, "id", {k: f[k] for k in ("title", "body")}, t.query_terms)
+    f = {k: f[k] for k in ("title", "body")}
+    prepared = lexical.prepare(t.docs, f, t.query_terms, search.ANN_HITS)  # statistics of all documents
+    wanted = lexical.bm25_hits(t.docs.filter(c("community") == "src7"), "id", f, t.query_terms, k=search.ANN_HITS, prepared=prepared)
     near = NN.nearest(t.vectors, t.query_vectors, threshold=0.25).join(t.docs.select("id"), "id", "left_semi")
     return search.union_candidates(wanted, near)
 
@@ -234,14 +236,14 @@ def dv(t):
 
 @query("best_query_per_doc", views="V QV", sql=f"SELECT id, {R('max(s)')} AS score, arg_max(qid, s) AS qid FROM ({ALLQ}) WHERE s > 0.1 GROUP BY id")
 def _(t):
-    return rounded(search.best_query_per_doc(NN.nearest(t.vectors, t.query_vectors, threshold=0.1)), "score").select("id", "score", "qid")
+    return rounded(search.nearest_query(t.vectors, t.query_vectors, 0.1), "score")
 
 
 @query("sort_asc_quirk", views="V QV", sql=f"""SELECT id, {R('s')} AS score, row_number() OVER (ORDER BY round(s, 6), id) AS place
   FROM (SELECT id, max(s) AS s FROM ({ALLQ}) WHERE s > 0.1 GROUP BY id)""")
 def _(t):
-    worst_first = search.best_query_per_doc(NN.nearest(t.vectors, t.query_vectors, threshold=0.1), ascending=True)
-    return ranking.with_row_index(rounded(worst_first, "score"), [F.asc("score"), c("id")], "place").select("id", "score", "place")
+    best = rounded(search.nearest_query(t.vectors, t.query_vectors, 0.1), "score")
+    return ranking.with_row_index(best, [F.asc("score"), c("id")], "place").select("id", "score", "place")
 
 
 @query("topk_by_score", views="V QV", sql=f"SELECT qid, id, {R('s')} AS score FROM ({ALLQ}) ORDER BY s DESC, id, qid LIMIT 700")
@@ -253,7 +255,7 @@ def _(t):
 @query("rerank_top", views="V QV", sql=f"""SELECT id, {R('s')} AS score FROM (SELECT id, max(s) AS s FROM ({ALLQ}) GROUP BY id)
   WHERE s > 0.15 ORDER BY s DESC, id LIMIT 1000""")
 def _(t):
-    best = search.best_query_per_doc(NN.nearest(t.vectors, t.query_vectors, threshold=0.0))
+    best = search.nearest_query(t.vectors, t.query_vectors, 0.0)
     return rounded(search.rerank_top(best, 0.15, keep=1000).select("id", "score"), "score")
 
 
@@ -270,13 +272,13 @@ def _(t):
     return search.reciprocal_rank_fusion(pairs, ["t", "s"]).select("qid", "id", r6(c("rrf")).alias("score"))
 
 
-@query("two_phase_rank", views=f"{DVV} SC BMV", sql=f"""WITH S AS (SELECT qid, id, bcos, body + title AS t, row_number() OVER (PARTITION BY qid ORDER BY round(body + title, 12) DESC, id) AS rn FROM BW JOIN SC USING (qid, id) WHERE body + title > 0 QUALIFY rn <= 5000)
+@query("two_phase_rank", views=f"{DVV} SC BM", sql=f"""WITH S AS (SELECT qid, id, coalesce(bcos, 0) AS bcos, body + title AS t, row_number() OVER (PARTITION BY qid ORDER BY round(body + title, 12) DESC, id) AS rn
+    FROM BW LEFT JOIN SC USING (qid, id) WHERE body + title > 0 QUALIFY rn <= 5000)
   SELECT qid, id, CASE WHEN rn <= 1000 THEN 2 ELSE 1 END AS phase, {R('CASE WHEN rn <= 1000 THEN bcos ELSE t END')} AS score FROM S""")
 def _(t):
-    d, q, f = dv(t), t.query_vectors, lexical.document_fields()
+    d, f = dv(t), lexical.document_fields()
     cheap = lexical.bm25_hits(d, "id", {k: f[k] for k in ("title", "body")}, t.query_terms, k=search.ANN_HITS).withColumnRenamed("score", "cheap")
-    costly = lambda best: NN.pair_scores(best.join(d.select("id", "v"), "id").join(q.select("qid", c("v").alias("q")), "qid"), {"costly": ("v", "q")})
-    out = search.two_phase(cheap, "cheap", costly)
+    out = search.two_phase(cheap, "cheap", lambda best: search.cosine_or_zero(best, d, t.query_vectors, "costly"))
     return rounded(out.select("qid", "id", "phase", "score"), "score")
 
 
@@ -289,13 +291,12 @@ def mm(leg_v, leg_t, alpha, name):
 # the reference distances select nothing on random vectors, so the legs are widened here
 WIDE = {"keywords": (0.6, 0.9), "body": (0.9, 0.85), "title": (0.7, 0.9)}
 LEGS_SQL = ", ".join([
-    mm("SELECT qid, id, bcos AS s FROM SC WHERE bcos > 0.15", "SELECT qid, id, 3 * body + 2 * title + community AS s FROM BW WHERE body + title + community > 0 AND id IN (SELECT id FROM DV)", 0.9, "LB"),
-    mm("SELECT qid, id, k1 AS s FROM K1", "SELECT qid, id, keywords AS s FROM BW WHERE keywords > 0 AND id IN (SELECT id FROM DV)", 0.6, "LK"),
-    mm("SELECT qid, id, tcos AS s FROM SC WHERE tcos > 0.1", "SELECT qid, id, title AS s FROM BW WHERE title > 0 AND id IN (SELECT id FROM DV)", 0.7, "LT"),
+    mm("SELECT qid, id, bcos AS s FROM SC WHERE bcos > 0.15", "SELECT qid, id, 3 * body + 2 * title + community AS s FROM BW WHERE body + title + community > 0", 0.9, "LB"),
+    mm("SELECT qid, id, k1 AS s FROM K1", "SELECT qid, id, keywords AS s FROM BW WHERE keywords > 0", 0.6, "LK"),
+    mm("SELECT qid, id, tcos AS s FROM SC WHERE tcos > 0.1", "SELECT qid, id, title AS s FROM BW WHERE title > 0", 0.7, "LT"),
 ])
 K1 = "K1 AS (SELECT qid, id, list_cosine_similarity(DV.kv[1], QV.v) AS k1 FROM DV, QV WHERE list_cosine_similarity(DV.kv[1], QV.v) > 0.1)"
-# BM25 over the documents that have vectors, for searches whose corpus is DV
-BM_DV = f"{DVV} SC BMV"
+BM_DV = f"{DVV} SC BM"
 
 
 @query("minmax_fusion", views=BM_DV, sql=f"""WITH {mm("SELECT qid, id, bcos AS s FROM SC WHERE bcos > 0.15",
@@ -312,28 +313,30 @@ def _(t):
     return rounded(search.three_leg_search(d, t.query_vectors, t.query_terms, WIDE).select("qid", "id", "score"), "score")
 
 
-@query("three_way_intersect", views=f"{DVV} SC", sql=f"""SELECT qid, id, {R('(9 * bcos + 2 * k + tcos) / 12')} AS score FROM
-  (SELECT SC.*, list_cosine_similarity(DV.kv[1], QV.v) AS k FROM SC JOIN DV USING (id) JOIN QV USING (qid)) WHERE bcos > 0.05 AND tcos > 0.05 AND k > 0.05""")
+@query("three_way_intersect", views=f"{DVV} SC", sql=f"""WITH S3 AS (SELECT SC.*, list_cosine_similarity(DV.kv[1], QV.v) AS k FROM SC JOIN DV USING (id) JOIN QV USING (qid)),
+  TOP AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bcos, 12) DESC, id) AS p1, row_number() OVER (PARTITION BY qid ORDER BY round(tcos, 12) DESC, id) AS p2,
+    row_number() OVER (PARTITION BY qid ORDER BY round(k, 12) DESC, id) AS p3 FROM S3)
+  SELECT qid, id, {R('(9 * bcos + 2 * k + tcos) / 12')} AS score FROM TOP WHERE p1 <= 700 AND p2 <= 700 AND p3 <= 700""")
 def _(t):
     d, q = dv(t).withColumn("kw", c("kv")[0]), t.query_vectors
-    legs = [NN.nearest(d, q, threshold=0.05, vector=v) for v in ("v", "kw", "tv")]
+    legs = [NN.nearest(d, q, k=search.HITS, vector=v) for v in ("v", "kw", "tv")]
     return rounded(search.three_way_intersect(*legs, ["qid", "id"]).select("qid", "id", "score"), "score")
 
 
-@query("union_candidates", views=BM_DV, sql="""SELECT DISTINCT qid, id FROM (SELECT qid, id FROM BW WHERE title > 0
+@query("union_candidates", views=BM_DV, sql="""SELECT DISTINCT qid, id FROM ((SELECT qid, id FROM BW WHERE title > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY title DESC, id) <= 5000)
   UNION ALL (SELECT qid, id FROM SC QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ham DESC, id) <= 5000)
   UNION ALL (SELECT qid, id FROM SC QUALIFY row_number() OVER (PARTITION BY qid ORDER BY tcos DESC, id) <= 5000))""")
 def _(t):
     d, q = dv(t), t.query_vectors
-    text = lexical.text_matches(d, "id", {"title": X.tokens(c("title"))}, t.query_terms)
+    text = lexical.bm25_hits(d, "id", {"title": X.tokens(c("title"))}, t.query_terms, k=search.ANN_HITS)
     return search.union_candidates(text, NN.nearest(d, q, k=search.ANN_HITS, metric="hamming"), NN.nearest(d, q, k=search.ANN_HITS, vector="tv"))
 
 
-@query("funnel_search", views=BM_DV, sql=f"SELECT qid, id, {R('tcos')} AS score FROM SC WHERE bcos > 0.05 AND tcos > 0 AND (qid, id) IN (SELECT (qid, id) FROM BW WHERE keywords > 0)")
+@query("funnel_search", views=BM_DV, sql=f"""WITH N1 AS (SELECT qid, id, tcos FROM SC QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(bcos, 12) DESC, id) <= 200)
+  SELECT qid, id, {R('tcos')} AS score FROM N1 JOIN BW USING (qid, id) WHERE body + keywords > 0 AND tcos > 0""")
 def _(t):
-    d, q = dv(t), t.query_vectors
-    words = lexical.text_matches(d, "id", {"keywords": c("keywords")}, t.query_terms)
-    return rounded(search.funnel(NN.nearest(d, q, threshold=0.05), words, NN.nearest(d, q, threshold=0.0, vector="tv")), "score")
+    f = lexical.document_fields()
+    return rounded(search.funnel_search(dv(t), t.query_vectors, t.query_terms, {k: f[k] for k in ("body", "keywords")}), "score")
 
 
 def rescoring(key, vector, first, second, **kw):
@@ -347,9 +350,16 @@ rescoring("semantic_rescoring", "v", "inv", "bcos")
 rescoring("title_semantic_rescoring", "tv", "tinv", "tcos")
 
 SQ = "2 * atan({} / 8) / 3.14159"
-WC = f"""WCL AS (SELECT qid, id, ham, bcos, tcos, kcos, coalesce(title, 0) AS t, coalesce(body, 0) AS b, coalesce(keywords, 0) AS k
-    FROM (SELECT * FROM SC QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ham DESC, id) <= 1000) LEFT JOIN BW USING (qid, id)),
-  WC AS (SELECT *, 0.5 * (1 / (2 - bcos) + {SQ.format('b')}) + 0.3 * ({SQ.format('k')} + kcos) + 0.2 * ({SQ.format('t')} + tcos) AS s FROM WCL
+def first_phase_sql(text):
+    """Text OR sign-code neighbours; documents without a vector come in by their words, with vector parts of 0."""
+    return f"""(SELECT * FROM (SELECT qid, id, ham, 1 / (2 - bcos) AS cb, tcos, kcos, 0 AS tx FROM SC
+      UNION ALL SELECT qid, id, 0, 0, 0, 0, round({text}, 12) FROM BW WHERE id NOT IN (SELECT id FROM DV) AND qid IN (SELECT qid FROM QV) AND {text} > 0)
+    QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ham DESC, tx DESC, id) <= 1000)"""
+
+
+WC = f"""WCL AS (SELECT qid, id, ham, cb, tcos, kcos, coalesce(title, 0) AS t, coalesce(body, 0) AS b, coalesce(keywords, 0) AS k
+    FROM {first_phase_sql('title + body + keywords')} LEFT JOIN BW USING (qid, id)),
+  WC AS (SELECT *, 0.5 * (cb + {SQ.format('b')}) + 0.3 * ({SQ.format('k')} + kcos) + 0.2 * ({SQ.format('t')} + tcos) AS s FROM WCL
     QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 700)"""
 
 
@@ -363,27 +373,27 @@ def _(t):
 
 
 @query("match_features", views=BM_DV, sql=f"""WITH {WC} SELECT qid, id, {R('ham')} AS first_phase, {R('t')} AS bm25_title, {R('b')} AS bm25_body, {R('k')} AS bm25_keywords,
-  {R('1 / (2 - bcos)')} AS closeness_body, {R('tcos')} AS cosine_title, {R('kcos')} AS max_keyword_similarity, {R('s')} AS score FROM WC""")
+  {R('cb')} AS closeness_body, {R('tcos')} AS cosine_title, {R('kcos')} AS max_keyword_similarity, {R('s')} AS score FROM WC""")
 def _(t):
     parts = ["first_phase", "bm25_title", "bm25_body", "bm25_keywords", "closeness_body", "cosine_title", "max_keyword_similarity", "score"]
     return rounded(weighted(t).select("qid", "id", *parts), *parts)
 
 
-@query("multi_query_search", views=BM_DV, sql=f"WITH {WC} SELECT id, {R('max(s)')} AS score, arg_max(qid, s) AS qid FROM WC GROUP BY id")
+@query("multi_query_search", views=BM_DV, sql=f"WITH {WC} SELECT id, {R('s')} AS score, qid FROM WC QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(s, 12) DESC, qid) = 1")
 def _(t):
     return rounded(search.best_query_per_doc(weighted(t).select("qid", "id", "score")).select("id", "score", "qid"), "score")
 
 
 @query("hit_projection", views=BM_DV, sql=f"""WITH {WC} SELECT id, {R('max(s)')} AS relevance_score, any_value(title) AS title, any_value(author) AS author, any_value(community) AS subreddit_name,
-  any_value(permalink) AS permalink, any_value(strftime(make_timestamp(created_utc * 1000000), '%Y-%m-%d %H:%M:%S')) AS created_utc FROM (SELECT qid, id, s FROM WC) JOIN DV USING (id) GROUP BY id""")
+  any_value(permalink) AS permalink, any_value(strftime(make_timestamp(created_utc * 1000000), '%Y-%m-%d %H:%M:%S')) AS created_utc FROM (SELECT qid, id, s FROM WC) JOIN D USING (id) GROUP BY id""")
 def _(t):
     rows = search.hit_rows(weighted(t).select("qid", "id", "score"), t.docs)
     return rounded(rows.select("id", "relevance_score", "title", "author", "subreddit_name", "permalink", "created_utc"), "relevance_score")
 
 
-@query("hybrid_rrf", views=BM_DV, sql=f"""WITH F1 AS (SELECT qid, id, bcos, coalesce(title + body + keywords + community, 0) AS t
-    FROM (SELECT * FROM SC QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ham DESC, id) <= 1000) LEFT JOIN BW USING (qid, id)),
-  F2 AS (SELECT qid, id, 1 / (60 + row_number() OVER (PARTITION BY qid ORDER BY t DESC, id)) + 1 / (60 + row_number() OVER (PARTITION BY qid ORDER BY bcos DESC, id)) AS s FROM F1)
+@query("hybrid_rrf", views=BM_DV, sql=f"""WITH F1 AS (SELECT qid, id, cb, coalesce(title + body + keywords + community, 0) AS t
+    FROM {first_phase_sql('title + body + keywords + community')} LEFT JOIN BW USING (qid, id)),
+  F2 AS (SELECT qid, id, 1 / (60 + row_number() OVER (PARTITION BY qid ORDER BY t DESC, id)) + 1 / (60 + row_number() OVER (PARTITION BY qid ORDER BY cb DESC, id)) AS s FROM F1)
   SELECT qid, id, {R('s')} AS score FROM F2 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 700""")
 def _(t):
     return rounded(search.hybrid_rrf(dv(t), t.query_vectors, t.query_terms).select("qid", "id", "score"), "score")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadloom.functions import text as X
 from threadloom.functions.vectors import as_double
+from threadloom.runtime import stored
 
 EPOCH = 1704067200  # start of the made-up timeline of conversations and documents
 DIMS = 64           # width of the given vectors
@@ -101,9 +102,10 @@ class Tables:
 
     @cached_property
     def doc_vectors(self) -> DataFrame:
-        """Documents with body, title and keyword vectors."""
-        return self.docs.join(self.vectors, "id").withColumn("tv", F.reverse("v")).withColumn(
-            "kv", F.array(rotate(F.col("v"), 16), rotate(F.col("v"), 32)))
+        """All documents with body, title and keyword vectors, null for those without one; written once,
+        as every leg of a hybrid search reads them."""
+        kv = F.when(F.col("v").isNotNull(), F.array(rotate(F.col("v"), 16), rotate(F.col("v"), 32)))
+        return stored(self.docs.join(self.vectors, "id", "left").withColumn("tv", F.reverse("v")).withColumn("kv", kv), "docs")
 
     @cached_property
     def impressions(self) -> DataFrame:
@@ -203,5 +205,3 @@ SQL_VIEWS = {
           greatest(list_cosine_similarity(DV.kv[1], QV.v), list_cosine_similarity(DV.kv[2], QV.v)) AS kcos
           FROM DV, QV)""",
 }
-# the same scores over the documents that have vectors
-SQL_VIEWS["BMV"] = SQL_VIEWS["BM"].replace("FROM D\n", "FROM DV\n").replace("FROM D)", "FROM DV)")
