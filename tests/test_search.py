@@ -50,7 +50,7 @@ def test_coded_search_finds_exactly_the_items_sharing_a_byte(spark, sizes):
     qs, qdf = vectors(spark, 20, seed=5)
     a, b = np.packbits(items > 0, axis=1), np.packbits(qs > 0, axis=1)
     want = {(q, i) for q in range(20) for i in range(120) if (a[i] == b[q]).any()}
-    got = NN.ann_candidates(idf, qdf.withColumnRenamed("id", "qid"), k=200, **sizes).collect()
+    got = NN.sign_code_candidates(idf, qdf.withColumnRenamed("id", "qid"), k=200, **sizes).collect()
     assert {(r["qid"], r["id"]) for r in got} == want and len(got) == len(want)
 
 
@@ -60,7 +60,7 @@ def test_recall_of_the_coded_search_on_clustered_vectors(spark):
     items = np.repeat(centres, 20, axis=0) + 0.2 * rng.standard_normal((400, 64))
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(items)], "id bigint, v array<double>")
     q = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(centres)], "qid bigint, v array<double>")
-    exact, approx = ({(r["qid"], r["id"]) for r in f.collect()} for f in (NN.nearest(df, q, k=10), NN.ann_candidates(df, q, k=10)))
+    exact, approx = ({(r["qid"], r["id"]) for r in f.collect()} for f in (NN.nearest(df, q, k=10), NN.sign_code_candidates(df, q, k=10)))
     assert len(exact & approx) / len(exact) > 0.95
 
 

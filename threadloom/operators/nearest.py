@@ -494,7 +494,7 @@ def _self_join(items: DataFrame, threshold: float, metric: str, vector: str, blo
     return spread.groupBy("cell", "a", "other", "b").applyInArrow(tile, schema)
 
 
-def ann_candidates(items: DataFrame, queries: DataFrame, k: int = 5000, vector: str = "v", **sizes) -> DataFrame:
+def sign_code_candidates(items: DataFrame, queries: DataFrame, k: int = 5000, vector: str = "v", **sizes) -> DataFrame:
     """Approximate nearest neighbours: items sharing at least one byte of sign code with a query,
     scored exactly, k best per query.
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from threadloom.functions import text as X, vectors as V
-from threadloom.operators import lexical, nearest as NN, ranking, search
+from threadloom.operators import lexical, nearest as NN, planes, ranking, search
 from threadloom.plans.registry import query
 from threadloom.plans.views import DIMS, rotate, tok
 from threadloom.runtime import spread, stored
@@ -124,11 +124,17 @@ def _(t):
     return rounded(NN.similar_pairs(t.vectors, 0.3), "score")
 
 
-@query("ann_candidates", views="V QV", sql=f"""WITH B AS (SELECT V.id, QV.qid, list_cosine_similarity(V.v, QV.v) AS s, len(list_filter(range(8), lambda b:
+@query("ann_candidates")
+def _(t):
+    """The best of the probed bands; a test measures the recall against the exact search."""
+    return rounded(planes.ann_candidates(t.vectors, t.query_vectors), "score")
+
+
+@query("sign_code_candidates", views="V QV", sql=f"""WITH B AS (SELECT V.id, QV.qid, list_cosine_similarity(V.v, QV.v) AS s, len(list_filter(range(8), lambda b:
       len(list_filter(range(8), lambda i: (V.v[b * 8 + i + 1] > 0) <> (QV.v[b * 8 + i + 1] > 0))) = 0)) AS shared FROM V, QV)
   SELECT qid, id, {R('s')} AS score FROM B WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 5000""")
 def _(t):
-    return rounded(NN.ann_candidates(t.vectors, t.query_vectors), "score")
+    return rounded(NN.sign_code_candidates(t.vectors, t.query_vectors), "score")
 
 
 @query("maxsim_keywords", views="V", sql=f"""WITH {CENTROID} SELECT label, {R('max(s)')} AS best, {R('avg(s)')} AS mean, arg_max(id, s) AS closest
