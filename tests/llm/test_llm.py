@@ -155,14 +155,44 @@ def near_copies(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("seed, at_once", [(0, None), (1, None), (1, 0), (2, 0)])
-def test_jaccard_near_copies(spark, seed, at_once):
+@pytest.mark.parametrize("seed, each, block", [(0, 64, 2048), (1, 64, 2048), (1, 1, 2048), (2, 1, 4)])
+def test_jaccard_near_copies(spark, seed, each, block):
     rows = near_copies(seed)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = jaccard_join.linked_documents(frame, pairs_at_once=at_once, rounds=50).orderBy("doc_id").collect()
+    got = jaccard_join.linked_documents(frame, each=each, block=block).orderBy("doc_id").collect()
     assert [(r.n_shingles, r.component_id) for r in got] == brute_components(rows)
 
 
+def test_jaccard_crowd_around_no_centre(spark):
+    """A chain of copies, each linked to its neighbours only, and documents that share a passage but do not link."""
+    rng = random.Random(5)
+    words, rows = numbered(rng, 60).split(), []
+    for i in range(90):
+        words = list(words)
+        words[(7 * i) % 60] = f"step{i}"
+        rows.append(" ".join(words))
+    passage = numbered(rng, 40)
+    rows += [passage + " " + numbered(rng, 12 + i % 5) for i in range(80)]
+    rows = list(enumerate(rows))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for percent, each, block in ((85, 64, 2048), (60, 2, 8), (75, 1, 16)):
+        got = jaccard_join.linked_documents(frame, 4, percent, each, block).orderBy("doc_id").collect()
+        assert [(r.n_shingles, r.component_id) for r in got] == brute_components(rows, 4, percent)
+
+
+def test_bitmap_bounds_hold():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (1, 5, 40, 41, 300, 700, 710)]
+    n, maps = np.array([len(x) for x in sets]), [jaccard_join.bitmap(x) for x in sets]
+    bound = jaccard_join.most_shared_of_all(maps, maps, n, n)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            exact = len(np.intersect1d(x, y))
+            single = min(jaccard_join.most_shared(maps[i], maps[j], n[i]), jaccard_join.most_shared(maps[j], maps[i], n[j]))
+            assert exact <= bound[i, j] == single
+
+
 def test_jaccard_awkward(docs, empty):
     rows = [(r[0], r[1]) for r in awkward()]
     key = lambda r: tuple((x is None, x) for x in r)
@@ -615,7 +645,7 @@ def test_pipeline_against_brute_force(spark):
         assert frame.columns == corpus_pipeline.COLUMNS
     rows = [sorted((r.doc_id, r.text) for r in frame.collect()) for frame in kept[:-1]]
     assert rows[1] == rows[0]  # every given text has a language
-    assert rows[2] == [r for r, (_, c) in zip(rows[1], brute_components(rows[1])) if r[0] == c]
+    assert rows[2] == [r for r, (_, c) in zip(rows[1], brute_components(rows[1], 5, 80)) if r[0] == c]
     cut = {d: (n, sha) for (d, _), (_, n, _, sha) in zip(rows[2], brute_repeats([t for _, t in rows[2]], 400))}
     for d, t in rows[3]:
         assert cut[d][0] == 0 or t

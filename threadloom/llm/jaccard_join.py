@@ -13,13 +13,12 @@ too, which gives more allotment than needed, and each set spends the surplus by
 that is dearest: its smallest segments, whose content many other sets share. A pair is a candidate if
 one of both probes the entry. Candidates are verified on the whole sets.
 
-A group of near copies shares nearly all entries. Instead of all its pairs, each set is first compared
-with one centre. Groups that then lie in one component are done. In each of the others all sets are
-compared with one centre, and sets that are not linked to it can only be linked to one another if they share
-a difference from it (`differences`): these shared differences are the groups of the next round. So the
-work follows the differences of near copies, not the square of their number, and no link is lost. Once
-the open groups hold no more pairs than the index has shared entries, or after a few rounds, the pairs
-are compared.
+A group of near copies shares nearly all entries. Each set is first compared with one centre, the set it
+meets that meets the most others; groups that then lie in one component are done. In each of the others
+the probing members meet all members where the group is, in tiles of two blocks at most: sizes and
+bitmaps rule out nearly all pairs at once, as matrix products, and only pairs that may reach the threshold leave
+the task. Of many such pairs between the same two components the likeliest go first, and the next ones follow in a
+further round if those two are still apart, so a family is not written out pair by pair and no link is lost.
 """
 
 from __future__ import annotations
@@ -261,100 +260,156 @@ def centres(groups: DataFrame, name: str) -> DataFrame:
 
 
 def mixed_groups(groups: DataFrame, component: DataFrame, step: int) -> DataFrame:
-    """The groups whose sets are in different components; a group with one component has nothing to find."""
-    label = groups.select("entry", "key1").join(component.withColumnRenamed("id", "key1"), "key1", "left").withColumn(
-        "component", F.coalesce("component", "key1"))
+    """(entry, key1, probes, component) of the groups whose sets are in different components; a group with one
+    component has nothing to find."""
+    label = groups.join(component.withColumnRenamed("id", "key1"), "key1", "left").withColumn("component", F.coalesce("component", "key1"))
     mixed = label.groupBy("entry").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     return few_files(label.join(few_files(mixed.select("entry"), f"mixed{step}"), "entry", "left_semi"), f"open{step}")
 
 
-def shared_differences(told: DataFrame, step: int) -> DataFrame:
-    """(entry, key1) of the differences from one centre that several of its members share; differences with the
-    same members are one group."""
-    each = kept(told.select(F.col("b").alias("key1"), F.explode("elements").alias("e"), "a").select(
-        F.xxhash64("a", "e").alias("e"), "key1").distinct(), f"elements{step}")
-    named = each.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key1")).alias("x"),
-                                  F.bit_xor(F.xxhash64("key1", F.lit(7))).alias("y")).filter("n > 1")
-    named = few_files(named.select("e", F.xxhash64("n", "x", "y").alias("entry")), f"names{step}")
-    return kept(each.join(named, "e").select("entry", "key1").distinct(), f"groups{step}")
-
-
-def differences(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked, elements) of each centre a and member b of its star.
-
-    Two members u, v of a star around c that are not both linked to c can only be linked if they share one of
-    their `elements`, so these name the groups of the next round:
-
-    - If less than the needed part r = percent * |u| of u lies in c, then u and v share at least r - |u & c|
-      of the shingles that c lacks; by the prefix principle the first |u| - r + 1 of those in hash order do.
-    - Else u and v must have a common difference from c: with none, u & v lies in u & c and the union of
-      both holds the union of u and c, so u and v are no more alike than u and c, which are not linked.
+def folded(maps: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps folded to `size` bytes each, as rows."""
+    rows = np.zeros((len(maps), size), np.uint8)
+    for i, m in enumerate(maps):
+        rows[i] = np.bitwise_or.reduce(np.frombuffer(m, np.uint8).reshape(-1, size), axis=0)
+    return rows
+
+
+def most_shared_of_all(rows: list[bytes], columns: list[bytes], n_rows: np.ndarray, n_columns: np.ndarray) -> np.ndarray:
+    """`most_shared` of every row with every column, the smaller of both directions."""
+    out = np.zeros((len(rows), len(columns)), np.int64)
+    size_r, size_c = np.array([len(b) for b in rows]), np.array([len(b) for b in columns])
+    for x in np.unique(size_r):
+        for y in np.unique(size_c):
+            r, c, size = np.flatnonzero(size_r == x), np.flatnonzero(size_c == y), min(x, y)
+            a, b = folded([rows[i] for i in r], size), folded([columns[i] for i in c], size)
+            both = np.zeros((len(r), len(c)), np.float32)
+            for at in range(0, size, 512):  # counts stay below 2**24, so they are exact
+                both += np.unpackbits(a[:, at: at + 512], axis=1).astype(np.float32) @ np.unpackbits(b[:, at: at + 512], axis=1).astype(np.float32).T
+            both = both.astype(np.int64)
+            alone_r, alone_c = _ONES[a].sum(axis=1)[:, None] - both, _ONES[b].sum(axis=1)[None, :] - both
+            out[np.ix_(r, c)] = np.minimum(n_rows[r][:, None] - alone_r, n_columns[c][None, :] - alone_c)
+    return out
+
+
+def likely_pairs(key: np.ndarray, probes: np.ndarray, component: np.ndarray, n: np.ndarray, bits: list[bytes], right: np.ndarray | None,
+                 percent: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """(a, b, more): pairs of one tile that one side probes, that lie in different components and may reach the threshold.
+
+    Between two components only the pairs of rank `first` to `last` (excluded) by their bound are given; `more` tells of others.
+    `right` marks the second block of a tile of two, whose pairs lie across.
     """
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, columns = (np.flatnonzero(~right), np.flatnonzero(right)) if right is not None else (np.flatnonzero(probes), np.arange(len(key)))
+    ask = probes[rows][:, None] | probes[columns]
+    if right is None:  # both members of a pair may probe: once is enough
+        ask &= ~probes[columns] | (rows[:, None] < columns)
+    small, large = np.minimum(n[rows][:, None], n[columns]), np.maximum(n[rows][:, None], n[columns])
+    ask &= (component[rows][:, None] != component[columns]) & (100 * small >= percent * large)
+    if not ask.any():
+        return key[:0], key[:0], False
+    r, c = np.nonzero(ask)
+    if len(r) <= 24:
+        both = np.array([min(most_shared(bits[rows[i]], bits[columns[j]], n[rows[i]]), most_shared(bits[columns[j]], bits[rows[i]], n[columns[j]]))
+                         for i, j in zip(r, c)], np.int64)
+    else:
+        some_r, some_c = np.unique(r), np.unique(c)
+        table = most_shared_of_all([bits[i] for i in rows[some_r]], [bits[j] for j in columns[some_c]], n[rows[some_r]], n[columns[some_c]])
+        both = table[np.searchsorted(some_r, r), np.searchsorted(some_c, c)]
+    x, y = rows[r], columns[c]
+    union = n[x] + n[y] - both
+    good = 100 * both >= percent * union
+    x, y, share = x[good], y[good], (both / np.maximum(union, 1))[good]
+    if not len(x):
+        return key[:0], key[:0], False
+    one, two = np.minimum(component[x], component[y]), np.maximum(component[x], component[y])
+    order = np.lexsort((key[y], key[x], -share, two, one))
+    x, y, one, two = x[order], y[order], one[order], two[order]
+    start = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
+    rank = np.arange(len(x)) - np.flatnonzero(start)[np.cumsum(start) - 1]
+    now = (rank >= first) & (rank < last)
+    return np.minimum(key[x], key[y])[now], np.maximum(key[x], key[y])[now], bool((rank >= last).any())
+
+
+def sieved(members: DataFrame, sets: DataFrame, percent: int, first: int, last: int, block: int) -> DataFrame:
+    """(a, b, more): likely pairs of open groups; a row with `more` names a group (a) that has further ones."""
+    size = members.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
+    size = few_files(size.select("entry", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")), f"hot{first}")
+    own = F.pmod(F.xxhash64("key1"), F.col("blocks")).cast("int")
+    placed = members.join(size, "entry", "left").fillna(1, ["blocks"]).withColumn("own", own)
+    tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
+        F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), (F.col("own") > j).alias("right")))
+    spread = placed.select("entry", "key1", "probes", "component", F.explode(tiles).alias("t")).join(
+        sets.select("key1", "n", "bits"), "key1").select("entry", "t.i", "t.j", "t.right", "key1", "probes", "component", "n", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def solve(table: pa.Table) -> pa.RecordBatch:
+            col = {c: table.column(c).to_numpy() for c in ("entry", "i", "j", "right", "key1", "probes", "component", "n")}
+            bits = table.column("bits").to_pylist()
+            edge = np.flatnonzero(np.concatenate([[True], (np.diff(col["entry"]) != 0) | (np.diff(col["i"]) != 0) | (np.diff(col["j"]) != 0), [True]]))
+            a, b, again = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            for s, e in zip(edge[:-1], edge[1:]):
+                right = col["right"][s:e] if col["i"][s] != col["j"][s] else None
+                x, y, more = likely_pairs(col["key1"][s:e], col["probes"][s:e], col["component"][s:e], col["n"][s:e], bits[s:e], right, percent, first, last)
+                a.append(x), b.append(y)
+                if more:
+                    again.append(col["entry"][s])
+            a, b = np.concatenate([*a, np.array(again, np.int64)]), np.concatenate([*b, np.zeros(len(again), np.int64)])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= len(a) - len(again))], ["a", "b", "more"])
+
         for batch in batches:
-            linked, elements = [], []
-            for x, y in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb"))):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                own = np.setdiff1d(y, x, assume_unique=True)  # keeps the hash order
-                both = len(y) - len(own)
-                needed = -(-percent * len(y) // 100)
-                linked.append(100 * both >= percent * (len(x) + len(y) - both))
-                if both < needed:
-                    elements.append(own[: len(y) - needed + 1].view(np.int64))
-                else:
-                    elements.append(np.concatenate([own, np.setdiff1d(x, y, assume_unique=True)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_()), pa.array(elements, pa.list_(pa.int64()))],
-                ["a", "b", "linked", "elements"])
-
-    whole = sets.select("key1", "shingles")
-    with_b = star.join(whole.select(F.col("key1").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = with_b.join(whole.select(F.col("key1").alias("a"), F.col("shingles").alias("sa")), "a")
-    return both.select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long, linked boolean, elements array<long>")
+            if batch.num_rows:
+                held.append(batch)
+            if sum(h.nbytes for h in held) > 1 << 25:
+                table = pa.Table.from_batches(held)
+                e, i, j = (table.column(c).to_numpy() for c in ("entry", "i", "j"))
+                open_tile = (e == e[-1]) & (i == i[-1]) & (j == j[-1])  # may go on in the next batch
+                whole = int(len(e) - open_tile.sum())
+                if whole:
+                    yield solve(table.slice(0, whole))
+                held = table.slice(whole).to_batches()
+        if held:
+            yield solve(pa.Table.from_batches(held))
 
+    dealt = spread.repartition(partitions(members.sparkSession), "entry", "i", "j").sortWithinPartitions("entry", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long, more boolean")
 
-def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, pairs_at_once: int | None = None, rounds: int = 3) -> DataFrame:
+
+def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, each: int = 64, block: int = 2048) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_key) of every document; text_key is xxhash64 of the text.
 
     The words of a text are runs without ASCII white space, A-Z lower-cased; a text with fewer than
     `k` words is one shingle; a text without words (or null) has size 0 and its own doc_id as
     component. Documents link when 100 * intersection >= percent * union of their sets;
     component_id is the smallest doc_id in reach. Null ids are kept and are no one's smallest;
-    repeated rows link like other copies; other columns are ignored. `pairs_at_once` is the number of open
-    pairs below which they are compared one by one (default: the number of shared entries), `rounds`
-    the number of rounds after which they are in any case; both change the work, not the result.
+    repeated rows link like other copies; other columns are ignored. `each` is the number of pairs between two
+    components that a tile gives in the first round, `block` the sets on one side of a tile; both
+    change the work, not the result.
     """
     spark = docs.sparkSession
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     rows = kept(set_rows(keyed, k), "rows")
-    groups = kept(entry_groups(index_entries(keyed, k, percent, partitions(spark))).select("entry", "key1"), "groups")
+    groups = kept(entry_groups(index_entries(keyed, k, percent, partitions(spark))), "groups")
     sets = kept(shared_sets(keyed, rows, groups, k), "sets")
 
     # a first star per set: the centre, of those of its entries, that meets the most sets
     pairs = groups.join(centres(groups, "first"), "entry").filter("key1 <> centre").groupBy("key1").agg(
         F.max(F.struct("weight", "centre")).alias("best")).select(F.col("best.centre").alias("a"), F.col("key1").alias("b"))
     links = kept(verified(kept(pairs, "stars"), sets, percent, "first"), "links")
-    step, enough = 0, groups.count() if pairs_at_once is None else pairs_at_once
+    component = few_files(connected_components(links), "components")
+    first, last, step = 0, each, 0
     while True:
+        members = mixed_groups(groups, component, step)
+        found = few_files(sieved(members, sets, percent, first, last, block), f"sieved{step}")
+        pairs = found.filter("NOT more").select("a", "b").distinct()
+        links = few_files(links.unionByName(verified(few_files(pairs, f"likely{step}"), sets, percent, str(step))), f"links{step}")
         component = few_files(connected_components(links), f"components{step}")
-        groups = mixed_groups(groups, component, step)
-        size = groups.groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
-        pairs = size.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first().pairs
-        if pairs is None:
-            break
-        if pairs > enough and step < rounds:
-            star = few_files(groups.join(centres(groups, str(step)), "entry").filter("key1 <> centre").select(
-                F.col("centre").alias("a"), F.col("key1").alias("b")).distinct(), f"star{step}")
-            told = kept(differences(star, sets, percent), f"told{step}")
-            links = few_files(links.unionByName(told.filter("linked").select("a", "b")), f"links{step}")
-            groups = shared_differences(told, step)
-        else:  # few pairs, or families nested deeper than that: all of them
-            one, two = (groups.select("entry", F.col("key1").alias(n), F.col("component").alias(f"c{n}")) for n in "ab")
-            left = kept(one.join(two, "entry").filter("a < b and ca <> cb").select("a", "b").distinct(), "left")
-            links = kept(links.unionByName(verified(left, sets, percent, "left")), "links-left")
-            component = kept(connected_components(links), "components")
+        again = few_files(found.filter("more").select(F.col("a").alias("entry")).distinct(), f"again{step}")
+        if again.isEmpty():
             break
-        step += 1
+        groups = few_files(groups.join(again, "entry", "left_semi"), f"groups{step}")
+        first, last, step = last, 4 * last, step + 1
 
     # smallest doc_id per set, then per component; hot sets are one row before the last join
     own = kept(rows.filter("n > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("low")), "own")
