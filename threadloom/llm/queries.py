@@ -127,7 +127,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes that lie in a 400-byte string which also starts elsewhere."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), 400, with_text=False).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), "spans")
 
 
 @query
