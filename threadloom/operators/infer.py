@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import time
 from collections.abc import Callable, Iterator
 
@@ -11,8 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.functions.text import tokens
-from threadloom.runtime import spread
 from threadloom.operators.extract import pain_point_filter, pain_points_of, persona_filter, personas_of
+from threadloom.runtime import commit_text, has_file, make_dir, spread
 
 
 def hashed_terms(dims: int) -> Callable[[pd.Series], list[np.ndarray]]:
@@ -51,18 +52,8 @@ def embed_column(
     return spread(df).withColumn(out, embed(tokens(source) if default else source))
 
 
-def batch_infer(
-    df: DataFrame, key: str, text: str, fn: Callable[[list[str]], list[str]], key_type: str = "bigint",
-    batch_rows: int = 32, attempts: int = 3, pause: float = 0.0, concurrency: int | None = None,
-) -> DataFrame:
-    """Run `fn` on lists of texts; rows of a list that still fails after `attempts` get an error.
-
-    A failing list is then tried row by row, so one bad row does not cost its neighbours.
-    At most `concurrency` calls run at once when given; otherwise one per core.
-    """
-    if concurrency:
-        df = df.select(key, text).repartition(concurrency)
-
+def _asker(key: str, text: str, fn: Callable[[list[str]], list[str]], batch_rows: int, attempts: int, pause: float):
+    """Answers of one list of rows: the list at once, else row by row."""
     def attempt(texts: list[str]):
         last = ""
         for n in range(attempts):
@@ -77,23 +68,75 @@ def batch_infer(
                     time.sleep(pause * (n + 1))
         return None, last
 
+    def ask(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        got, error = attempt(part[text].tolist())
+        if got is not None:
+            yield pd.DataFrame({key: part[key], "ok": True, "result": got, "error": None})
+            return
+        rows = []
+        for k, value in zip(part[key], part[text]):
+            one, error = attempt([value])
+            rows.append((k, one is not None, one[0] if one else "", error))
+        yield pd.DataFrame(rows, columns=[key, "ok", "result", "error"])
+
+    return ask
+
+
+def batch_infer(
+    df: DataFrame, key: str, text: str, fn: Callable[[list[str]], list[str]], key_type: str = "bigint",
+    batch_rows: int = 32, attempts: int = 3, pause: float = 0.0, concurrency: int | None = None,
+) -> DataFrame:
+    """Run `fn` on lists of texts; rows of a list that still fails after `attempts` get an error.
+
+    A failing list is then tried row by row, so one bad row does not cost its neighbours.
+    At most `concurrency` calls run at once when given; otherwise one per core.
+    """
+    if concurrency:
+        df = df.select(key, text).coalesce(concurrency)
+    ask = _asker(key, text, fn, batch_rows, attempts, pause)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for start in range(0, len(pdf), batch_rows):
-                part = pdf.iloc[start:start + batch_rows]
-                got, error = attempt(part[text].tolist())
-                if got is not None:
-                    yield pd.DataFrame({key: part[key], "ok": True, "result": got, "error": None})
-                    continue
-                rows = []
-                for k, value in zip(part[key], part[text]):
-                    one, error = attempt([value])
-                    rows.append((k, one is not None, one[0] if one else "", error))
-                yield pd.DataFrame(rows, columns=[key, "ok", "result", "error"])
+                yield from ask(pdf.iloc[start:start + batch_rows])
 
     return df.select(key, text).mapInPandas(run, f"{key} {key_type}, ok boolean, result string, error string")
 
 
+def infer_with_ledger(
+    df: DataFrame, key: str, text: str, fn: Callable[[list[str]], list[str]], path: str, key_type: str = "bigint",
+    batch_rows: int = 32, attempts: int = 3, pause: float = 0.0, concurrency: int | None = None,
+) -> DataFrame:
+    """`batch_infer` whose answers are committed under `path`, list by list, as they come.
+
+    A list's answers are one file, written under a temporary name and renamed. A restart asks only for keys without
+    an answer; a task that runs again (a lost executor) finds the files of its lists and does not ask for them again.
+    `concurrency` bounds the calls in flight by merging input splits, without shuffling the table. Keys must be
+    unique; a key with an error counts as answered.
+    """
+    spark = df.sparkSession
+    fields = f"{key} {key_type}, ok boolean, result string, error string"
+    make_dir(path)
+    done = spark.read.schema(fields).option("pathGlobFilter", "*.json").json(path)
+    missing = df.select(key, text).join(done.select(F.col(key)), key, "left_anti")
+    if concurrency:
+        missing = missing.coalesce(concurrency)
+    ask = _asker(key, text, fn, batch_rows, attempts, pause)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for start in range(0, len(pdf), batch_rows):
+                part = pdf.iloc[start:start + batch_rows]
+                name = hashlib.md5("|".join(map(str, part[key])).encode()).hexdigest() + ".json"
+                if not has_file(path, name):
+                    commit_text(path, name, "".join(json.dumps({k: (v.item() if hasattr(v, "item") else v) for k, v in r.items()}) + "\n"
+                                                    for got in ask(part) for r in got.to_dict("records")))
+                yield pd.DataFrame({"n": [len(part)]})
+
+    missing.mapInPandas(run, "n bigint").agg(F.sum("n")).collect()
+    return spark.read.schema(fields).option("pathGlobFilter", "*.json").json(path)
+
+
 def structured_extract(
     df: DataFrame, key: str, text: str, fn: Callable[[list[str]], list[str]], known: DataFrame,
     kind: str = "pain_points", key_type: str = "bigint",

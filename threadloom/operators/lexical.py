@@ -278,9 +278,10 @@ def bm25(docs: DataFrame, key: str, fields: dict[str, Column], terms: DataFrame,
     return bm25_by_field(docs, key, fields, terms).select("qid", key, total.alias("score"))
 
 
-def fulltext_hits(docs: DataFrame, key: str, text: str, terms: DataFrame, k: int = 10_000) -> DataFrame:
-    """(qid, key, score): occurrences of any query term per token of the document, k best."""
-    fields = {"text": tokens(F.col(text))}
+def fulltext_hits(docs: DataFrame, key: str, text: str, terms: DataFrame, k: int = 10_000, toks: Column | None = None) -> DataFrame:
+    """(qid, key, score): occurrences of any query term per token of the document, k best. `toks` replaces the
+    plain tokens of `text`."""
+    fields = {"text": tokens(F.col(text)) if toks is None else toks}
     queries = QuerySet.of(terms, k)
     if queries is None:
         terms = terms.select("qid", "term").distinct()

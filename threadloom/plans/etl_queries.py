@@ -12,6 +12,7 @@ from threadloom.plans.registry import query
 from threadloom.plans.views import tok
 from threadloom.runtime import scratch_path, spread
 from threadloom.sources import files
+from threadloom.sources.buckets import BucketTable
 
 KEPT = """KP AS (SELECT * REPLACE (selftext AS selftext) FROM P WHERE selftext <> '[removed]' AND selftext IS NOT NULL),
   KC AS (SELECT C.*, coalesce(KP.title, '') AS title, coalesce(KP.selftext, '') AS parent_post
@@ -175,7 +176,9 @@ def _(t):
     new = t.orders.select((F.col("o_custkey") + 100).alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"),
                           F.col("o_orderpriority").alias("c_mktsegment"))
     old = t.customer.select("c_custkey", "c_acctbal", "c_mktsegment", "c_name")
-    return clean.upsert_by_key(old, new, "c_custkey", ["c_acctbal", "c_mktsegment"])
+    table = BucketTable(t.spark, scratch_path(t.spark, "customers"), "c_custkey", buckets=16).create(old)
+    table.upsert(new, ["c_acctbal", "c_mktsegment"])
+    return table.rows().select(old.columns)
 
 
 @query("deterministic_uuid", sql="""SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-'

@@ -12,6 +12,7 @@ from threadloom.plans.search_queries import R, r6
 from threadloom.plans.views import tok
 from threadloom.runtime import scratch_path, stored as keep
 from threadloom.sources import files
+from threadloom.sources.buckets import BucketTable
 from threadloom.streaming import incremental as inc
 
 c = F.col
@@ -47,7 +48,7 @@ def _(t):
             raise ValueError("refused")
         return [str(len(x)) for x in texts]
 
-    return infer.batch_infer(t.documents, "doc_id", "text", measure)
+    return infer.infer_with_ledger(t.documents, "doc_id", "text", measure, scratch_path(t.spark, "ledger"))
 
 
 @query("structured_extract", sql="""SELECT doc_id, CAST(length(text) AS VARCHAR) AS post_id, 'pain' AS kind FROM documents WHERE length(text) > 500 AND length(text) IN (SELECT doc_id FROM documents)
@@ -124,8 +125,9 @@ def _(t):
     path = scratch_path(t.spark, "upsert")
     t.events.repartition(3, "event_id").write.parquet(f"{path}/in")
     stream = inc.read_files(t.spark, f"{path}/in", t.events.schema)
-    inc.run_to_end(stream, inc.upsert_log(f"{path}/log"), f"{path}/checkpoint")
-    return inc.current_rows(t.spark, f"{path}/log", "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
+    table = BucketTable(t.spark, f"{path}/table", "user_id")
+    inc.run_to_end(stream, inc.upsert_newest(table, ["ts", "event_id"]), f"{path}/checkpoint")
+    return table.rows().select("user_id", "event_id", "event_type", "value")
 
 
 @query("micro_batch_feed", views="D", sql="SELECT 'id:feed:post::' || id AS put, title, body, author FROM D WHERE body IS NOT NULL AND body <> '[removed]'")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from threadloom.functions import text as X, vectors as V
-from threadloom.operators import lexical, nearest as NN, planes, ranking, search
+from threadloom.operators import lexical, nearest as NN, planes, ranking, search, stems
 from threadloom.plans.registry import query
 from threadloom.plans.views import DIMS, rotate, tok
 from threadloom.runtime import spread, stored
@@ -203,6 +203,19 @@ def _(t):
     return phrase_docs(t).select("id", "phrase", "created_utc")
 
 
+@query("phrase_filter_english")
+def _(t):
+    """Phrases over English word forms; a test compares with written-out code."""
+    table = stems.token_table(t.docs, "id", "body", keep=("created_utc",))
+    return stems.stem_phrase_hits(table, "id", phrases(t), keep=("created_utc",)).select("id", "phrase", "created_utc")
+
+
+@query("fulltext_rank_english")
+def _(t):
+    table = stems.token_table(t.docs, "id", "body")
+    return rounded(stems.stem_rank(table, "id", t.benchmark.select(c("item_id").alias("qid"), "text")), "score")
+
+
 @query("phrase_then_semantic", views="D V QV", sql=f"""WITH {PH}, L AS (SELECT * FROM HIT)
   SELECT qid, id, {R('max(list_cosine_similarity(V.v, QV.v))')} AS score FROM L JOIN PH USING (phrase) JOIN V USING (id) JOIN QV USING (qid)
   WHERE list_cosine_similarity(V.v, QV.v) > 0.1 GROUP BY qid, id""")

@@ -74,6 +74,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _store(path: str):
+    """File system and path inside it, for small files that tasks write to shared storage themselves."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def make_dir(path: str) -> None:
+    fs, base = _store(path)
+    fs.create_dir(base, recursive=True)
+
+
+def has_file(folder: str, name: str) -> bool:
+    fs, base = _store(folder)
+    return fs.get_file_info(f"{base}/{name}").is_file
+
+
+def commit_text(folder: str, name: str, text: str) -> None:
+    """Whole or not at all: written under a temporary name, then renamed."""
+    fs, base = _store(folder)
+    temporary = f"{base}/_{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(temporary) as out:
+        out.write(text.encode())
+    fs.move(temporary, f"{base}/{name}")
+
+
 def fetch_if_small(df: DataFrame, max_rows: int) -> list | None:
     """Rows of `df` when there are at most `max_rows` of them, else None.
 

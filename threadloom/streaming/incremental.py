@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from threadloom.sources.buckets import BucketTable
+
 log = logging.getLogger("threadloom")
 
 
@@ -81,6 +83,16 @@ def upsert_log(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+def upsert_newest(table: BucketTable, order: list[str]) -> Callable[[DataFrame, int], None]:
+    """A batch writer that keeps the newest row of every key in a bucketed table: only the buckets that really
+    change are rewritten, so no read merges batches and a replayed batch writes nothing."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        table.keep_newest(batch, order)
+
+    return write
+
+
 def current_rows(spark: SparkSession, path: str, key: str, order: list[str]) -> DataFrame:
     """The last version of every key: by `order`, then by batch. One partial aggregate."""
     rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
