@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page_id, so a shard holds a range of ids and the same table always
-gives the same shards. A shard rolls to the next file when the compressed size is reached, every
+Records are range-sorted by page_id, then digest of the payload, url and reference. Shards are cut at exact
+ranks in this order, not at sampled bounds, so the same table and number of shards always give the same
+files, byte for byte, however the table is partitioned. A shard rolls to the next file when the compressed size is reached, every
 record is a gzip member of its own, and headers and digests are made anew from the payload. Files
 are written under temporary names and renamed; the manifest, written last, lists the whole ones.
 """
@@ -9,6 +10,7 @@ are written under temporary names and renamed; the manifest, written last, lists
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import posixpath
 import uuid
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadloom.llm.common import kept, make_folder, partitions, slices, store
+from threadloom.operators.ranking import with_row_index
 
 MANIFEST = "file string, n_records long, n_bytes long, first_id long, last_id long"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string"
@@ -76,23 +79,36 @@ def member(data: bytes, level: int = 6) -> bytes:
     return packer.compress(data) + packer.flush()
 
 
+KEY = ["page_id", "digest", "url", "refers_to"]
+
+
+def shard_bounds(keys: DataFrame, shards: int) -> list[tuple]:
+    """The first key of every shard but the first: exact ranks, at most `shards` rows. Equal keys stay together."""
+    ranked = kept(with_row_index(keys.select(KEY), [F.col(c) for c in KEY], "rank", start=0), "ranks")
+    step = max(1, -(-ranked.count() // shards))
+    return [_order(*r) for r in ranked.filter((F.col("rank") % step == 0) & (F.col("rank") > 0)).orderBy("rank").select(KEY).collect()]
+
+
+def _order(page_id: int | None, digest: str, url: str | None, refers_to: int | None) -> tuple:
+    """A key that Python orders as Spark does: nulls first."""
+    return tuple((v is not None, v if v is not None else 0) for v in (page_id, digest, url, refers_to))
+
+
 def write_warc(pages: DataFrame, roll: int = 64 << 20, shards: int | None = None,
                date: str = "2024-01-01T00:00:00Z") -> tuple[str, DataFrame]:
     """Write marked pages (page_id, url, html, refers_to); returns the folder and its manifest.
 
-    A null html is an empty payload, a null url leaves its header out, a null id sorts first; other
-    columns are ignored; an empty table gives an empty manifest.
+    A null html is an empty payload, a null url leaves its header out, nulls sort first; rows that repeat an id are
+    ordered by payload digest, url and reference, so one id may fill several shards; rows equal in all of these
+    lie in one shard; other columns are ignored; an empty table gives an empty manifest.
     """
     spark = pages.sparkSession
     folder = make_folder(spark, "warc")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
         fs, base = store(folder)
         out = name = temporary = None
-        number, rows = 0, []
+        shard, number, rows = None, 0, []
 
         def close():
             nonlocal out
@@ -104,10 +120,12 @@ def write_warc(pages: DataFrame, roll: int = 64 << 20, shards: int | None = None
             for piece in slices(batch, "html"):
                 for r in piece.to_pylist():
                     data = member(record(r["page_id"], r["url"], (r["html"] or "").encode(), r["refers_to"], date))
-                    if out is not None and rows[-1]["n_bytes"] + len(data) > roll:
+                    if out is not None and (r["shard"] != shard or rows[-1]["n_bytes"] + len(data) > roll):
                         close()
                     if out is None:
-                        name = f"shard-{part:06d}-{number:05d}.warc.gz"
+                        number = number if r["shard"] == shard else 0
+                        shard = r["shard"]
+                        name = f"shard-{shard:06d}-{number:05d}.warc.gz"
                         temporary = posixpath.join(base, f"_temporary-{name}-{uuid.uuid4().hex}")
                         out = fs.open_output_stream(temporary, compression=None)
                         rows.append({"file": name, "n_records": 0, "n_bytes": 0, "first_id": r["page_id"], "last_id": None})
@@ -123,8 +141,18 @@ def write_warc(pages: DataFrame, roll: int = 64 << 20, shards: int | None = None
             yield pa.RecordBatch.from_pylist(rows, pa.schema([
                 ("file", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())]))
 
-    ordered = pages.select("page_id", "url", "html", "refers_to").repartitionByRange(
-        shards or partitions(spark), "page_id").sortWithinPartitions("page_id", "url", "refers_to")
+    shards = shards or partitions(spark)
+    keyed = pages.select("page_id", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), "url", "refers_to", "html")
+    bounds = shard_bounds(keyed, shards)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in KEY))
+            shard = pa.array([bisect.bisect_right(bounds, _order(*k)) for k in keys], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, shard], [*batch.schema.names, "shard"])
+
+    placed = keyed.mapInArrow(place, "page_id long, digest string, url string, refers_to long, html string, shard int")
+    ordered = placed.repartition(shards, "shard").sortWithinPartitions("shard", *KEY)
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest.parquet")
     return folder, spark.read.schema(MANIFEST).parquet(f"{folder}/manifest.parquet")
 
