@@ -19,6 +19,7 @@ from threadloom.llm.common import kept, partitions, ragged
 
 BLOCK = "block long, rows binary, ids binary, matrix binary, n long"
 EXACT = 2.0 ** 53
+LIMIT = (1 << 63) - 1
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -95,7 +96,7 @@ def search_block(best: Best, queries: np.ndarray, query_rows: np.ndarray, cands:
         for q in range(queries.shape[1]):
             scores = (queries[:, q].astype(object)[:, None] * cands.astype(object)).sum(axis=0) if dims else np.zeros(len(ids), object)
             own = cand_rows != query_rows[q]
-            best.offer(q, scores[own].astype(np.int64), ids[own])
+            best.offer(q, np.clip(scores[own], -LIMIT, LIMIT).astype(np.int64), ids[own])
         return
     qs, cs = queries.astype(float), cands.astype(float)
     cuts = list(range(0, dims, step)) or [0]
@@ -133,7 +134,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, size: int = 40
     stated query set meets all rows in blocks: each pair of blocks has a key of its own, so work
     spreads evenly and no task holds more than one pair. A task keeps its k best per query over its
     pairs, and these few rows are merged by query. Repeated rows and ids are rows of their own; an
-    empty table gives no rows. Scores must fit 64 bits.
+    empty table gives no rows. Scores beyond 64 bits count as the largest (smallest) 64-bit number.
     """
     spark = vectors.sparkSession
     rows = kept(vectors.filter(F.col("id").isNotNull() & F.col("vector").isNotNull()).select(
