@@ -111,6 +111,19 @@ class Items:
     count: np.ndarray
     item: np.ndarray
     place: np.ndarray
+    pairs: Members  # short n-grams that count when two of an item lie on one diagonal
+    pair_first: np.ndarray
+    pair_count: np.ndarray
+    pair_item: np.ndarray
+    pair_place: np.ndarray
+    pair_words: int
+
+
+def _grouped(keys: np.ndarray) -> tuple[Members, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, and of each the first place and number in the sorted order, which comes last."""
+    members, order = Members(keys), np.argsort(keys, kind="stable")
+    first = np.searchsorted(keys[order], members.keys)
+    return members, first, np.diff(np.append(first, len(keys))), order
 
 
 def corpus_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int, int]:
@@ -139,7 +152,12 @@ def corpus_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int,
 
 def choose_seeds(rows: list[tuple[int, str]], docs: DataFrame, shortest: int, longest: int, chance: float) -> Items | None:
     """The shortest rare n-gram at every place of every item, whatever the other items; the longest ones of an item
-    without any."""
+    without any.
+
+    An item of common words has rare n-grams that are longer than what an edited copy leaves intact. If less than half of
+    its places have a seed of `shortest` words, all its n-grams of that length are seeds too, in pairs: two
+    of them must lie on one diagonal.
+    """
     parts = [words_of(text)[0] for _, text in rows]
     length = np.array([len(p) for p in parts], np.int64)
     if not length.sum():
@@ -171,13 +189,32 @@ def choose_seeds(rows: list[tuple[int, str]], docs: DataFrame, shortest: int, lo
         at = np.flatnonzero(common & (most == n) & (left >= n))
         if len(at):
             found.append((n, at))
+    short = np.zeros(len(words), bool)
+    for n, at in found:
+        short[at] |= n <= shortest
+    few = 2 * np.bincount(item[short], minlength=len(rows)) < length
+    paired = np.flatnonzero((few & (length >= 2 * shortest))[item] & (left >= shortest)) if shortest in grams else np.zeros(0, np.int64)
+    pairs, pair_first, pair_count, pair_order = _grouped(grams[shortest][paired] if len(paired) else np.zeros(0, np.uint64))
     keys = np.concatenate([grams[n][at] for n, at in found])
     at = np.concatenate([at for _, at in found])
-    seeds = Members(keys)
-    order = np.argsort(keys, kind="stable")
-    first = np.searchsorted(keys[order], seeds.keys)
-    count = np.diff(np.append(first, len(keys)))
-    return Items([i for i, _ in rows], words, start, length, seeds, [n for n, _ in found], first, count, item[at[order]], place[at[order]])
+    seeds, first, count, order = _grouped(keys)
+    return Items([i for i, _ in rows], words, start, length, seeds, [n for n, _ in found], first, count, item[at[order]], place[at[order]],
+                 pairs, pair_first, pair_count, item[paired[pair_order]], place[paired[pair_order]], shortest)
+
+
+def on_one_diagonal(item: np.ndarray, begin: np.ndarray, place: np.ndarray, words: int) -> np.ndarray:
+    """Which hits have another of their item, at another place, whose begin differs by two words at most (insertions
+    and deletions in between): both then share a cell of one of two grids of width four."""
+    good = np.zeros(len(item), bool)
+    for shift in (0, 2):
+        cell, part = (begin + shift) // 4, place // words
+        order = np.lexsort((part, cell, item))
+        i, c, p = item[order], cell[order], part[order]
+        new = np.append(True, (i[1:] != i[:-1]) | (c[1:] != c[:-1]))
+        group = np.cumsum(new) - 1
+        other = np.append(False, (p[1:] != p[:-1]) & ~new[1:])
+        good[order[(np.bincount(group, other) > 0)[group]]] = True
+    return good
 
 
 def align(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -210,8 +247,11 @@ def windows(items: Items, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     """(item, first, last) of the passages around seeds; overlapping ones of an item are joined up to
     three times its length."""
     at, which = [], []
+    short, pair = np.zeros(0, np.int64), np.zeros(0, np.int64)
     wanted = set(items.seed_lengths)
-    for n, key in gram_hashes(words, max(wanted)):
+    for n, key in gram_hashes(words, max(items.pair_words, *wanted)):
+        if n == items.pair_words and len(items.pairs.keys):
+            short, pair = items.pairs.find(key)
         if n in wanted:
             place, index = items.seeds.find(key)
             at.append(place)
@@ -220,6 +260,11 @@ def windows(items: Items, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     rows = ragged(items.first[which], items.count[which])
     item = items.item[rows]
     begin = np.repeat(at, items.count[which]) - items.place[rows]
+    if len(short):
+        rows = ragged(items.pair_first[pair], items.pair_count[pair])
+        begin_of = np.repeat(short, items.pair_count[pair]) - items.pair_place[rows]
+        both = on_one_diagonal(items.pair_item[rows], begin_of, items.pair_place[rows], items.pair_words)
+        item, begin = np.append(item, items.pair_item[rows][both]), np.append(begin, begin_of[both])
     size = items.length[item]
     slack = 3 + size // 4
     first, last = np.maximum(0, begin - slack), np.minimum(len(words), begin + size + slack)
