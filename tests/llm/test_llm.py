@@ -370,6 +370,34 @@ def test_language_whole_texts(spark):
     assert len(windows) == 1 and windows[0].count(b"z") > windows[0].count(b"a") > 0
 
 
+def test_language_against_a_plain_forward_pass(spark, docs):
+    """Every prediction by loops over bytes, filters and windows."""
+    net = language_id.train(spark.read.parquet(f"{SF}/documents.parquet"), epochs=1)
+    filters, e, widest = net.kernel.shape[1], net.embed.shape[1], net.widest
+
+    def forward(text):
+        if not text or not any(map(str.isalpha, text)):
+            return "und", 0.0
+        data = text.lower().encode("utf-8", "replace")
+        total = np.zeros(len(net.languages))
+        for at in range(0, len(data), net.window):
+            part = data[at: at + net.window]
+            vectors = [net.embed[b].astype(float) for b in part.ljust(net.window, b"\0")] + [net.embed[0].astype(float)] * (widest - 1)
+            hidden = [max(0.0, max(sum(float(vectors[p + k] @ net.kernel[k * e: (k + 1) * e, f]) for k in range(widest)) for p in range(net.window)) + net.bias[f])
+                      for f in range(filters)]
+            logits = np.array(hidden) @ net.out.astype(float) + net.out_bias
+            p = np.exp(logits - logits.max())
+            total += p / p.sum() * len(part)
+        mean = total / len(data)
+        return net.languages[int(mean.argmax())], float(mean.max())
+
+    some = [r for r in awkward() if r[1] is None or len(r[1]) < 700]
+    got = {r.sequence_id: (r.lang_pred, r.score) for r in language_id.identify(docs, net).collect()}
+    for r in some:
+        lang, score = forward(r[1])
+        assert got[r[5]][0] == lang and abs(got[r[5]][1] - score) < 1e-4
+
+
 def test_language_gradients():
     net = language_id.fit(["abc abd"] * 3 + ["xyz xyw"] * 3, ["a"] * 3 + ["x"] * 3, window=8, embedding=3, widths=(1, 2), filters=2, epochs=0)
     x, of, _ = language_id.windows_of(["abc abd", "xyz xyw"], 8)
@@ -471,6 +499,10 @@ def test_topk_against_brute_force(spark, scale):
             scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for c, (j, w) in enumerate(usable) if c != q)
             want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scores[:5])]
     assert sorted(map(tuple, got.collect())) == sorted(want)
+    huge = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e300, -1.0]), (2, [-1e300, 5.0]), (3, [0.5, 0.5])], "id long, v array<double>").select(
+        "id", topk_search.quantised(F.col("v")).alias("vector"))
+    big = (1 << 63) - 1  # scores beyond 64 bits count as the largest number
+    assert [tuple(r) for r in topk_search.exact_top_k(huge, F.col("id") == 0).orderBy("rank").collect()] == [(0, 1, 1, big), (0, 2, 3, big), (0, 3, 2, -big)]
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "id long, v array<double>").select("id", topk_search.quantised(F.col("v")).alias("vector"))
     assert [tuple(r) for r in topk_search.exact_top_k(few, F.col("id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]
     assert topk_search.exact_top_k(few.limit(0), F.col("id") % 50 == 0).count() == 0
@@ -535,11 +567,27 @@ def test_warc_round_trip(spark):
                    for r in got), key=str) == sorted(want, key=str)
     again, _ = warc.write_warc(warc.mark_revisits(frame), roll=3000, shards=3)
     listed = lambda f: sorted((r.file, r.n_bytes, r.first_id, r.last_id) for r in spark.read.parquet(f"{f}/manifest.parquet").collect())
-    assert len(listed(folder)) == len(listed(again))
+    assert listed(folder) == listed(again)
+    other, _ = warc.write_warc(warc.mark_revisits(frame.repartition(7, "url")), roll=3000, shards=3)
+    content = lambda f: {r.file: open(f"{f}/{r.file}".removeprefix("file:"), "rb").read() for r in spark.read.parquet(f"{f}/manifest.parquet").collect()}
+    assert content(folder) == content(again) == content(other) and len(content(folder)) >= 3
     nothing, manifest = warc.write_warc(warc.mark_revisits(frame.limit(0)))
     assert manifest.count() == 0 and warc.read_warc(spark, nothing).count() == 0
 
 
+def test_warc_shards_are_the_same_bytes_for_any_partitioning(spark):
+    """A third of all rows share one id, with payloads of their own."""
+    rows = [(i if i % 3 else 5, f"http://h{i % 9}/{i}", f"page {i} " * (i % 40)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    content = []
+    for parts in (2, 9):
+        folder, manifest = warc.write_warc(warc.mark_revisits(frame.repartition(parts)), shards=8)
+        listed = manifest.collect()
+        assert sum(r.n_records for r in listed) == 3000 and max(r.n_records for r in listed) <= 375  # the hot id is cut as well
+        content.append({r.file: open(f"{folder}/{r.file}".removeprefix("file:"), "rb").read() for r in listed})
+    assert content[0] == content[1]
+
+
 # --- 10: decontamination -------------------------------------------------------------------------------------------
 
 def plain_alignment(a, b):
@@ -603,6 +651,32 @@ def test_words_of_scripts():
     assert plain_words("") == plain_words("…\u3002") == [] and plain_words("a-b c") == ["a", "b", "c"]
 
 
+@pytest.mark.parametrize("size, vocabulary, every", [(20, 300, 4), (20, 300, 5), (25, 5000, 4), (40, 120, 4), (14, 300, 5)])
+def test_leaks_recall_against_all_alignments(spark, size, vocabulary, every):
+    """Edited copies of items of common words: what is found against every document aligned with every item."""
+    rng = np.random.default_rng(size + every)
+    weights = 1 / np.arange(1, vocabulary + 1)
+    draw = lambda n: [f"w{i}" for i in rng.choice(vocabulary, n, p=weights / weights.sum())]
+    items = [draw(size) for _ in range(60)]
+    texts = [draw(rng.integers(20, 120)) for _ in range(150)]
+    for item in items:
+        copy = [f"new{rng.integers(999)}" if k % every == every - 1 else w for k, w in enumerate(item)]
+        texts.append(draw(30) + copy + draw(30))
+    frames = (spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(x)], f"{n} long, text string") for x, n in ((texts, "doc_id"), (items, "item_id")))
+    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(*frames).collect()}
+    word_ids = collections.defaultdict(lambda: len(word_ids) + 2)
+    want, wide = set(), max(map(len, texts))
+    right = np.ones((len(texts), wide), np.uint64)
+    for d, t in enumerate(texts):
+        right[d, : len(t)] = [word_ids[w] for w in t]
+    for i, item in enumerate(items):
+        left = np.tile(np.array([word_ids[w] for w in item], np.uint64), (len(texts), 1))
+        score = decontam.align(left, right)[0]
+        want |= {(int(d), i) for d in np.flatnonzero(score / size >= 0.4)}
+    assert {(150 + i, i) for i in range(60)} <= want and got <= want
+    assert len({(150 + i, i) for i in range(60)} & got) >= 57 and len(got) / len(want) >= 0.9
+
+
 def test_leaks_typography(spark):
     rng = random.Random(5)
     filler = lambda n: " ".join(f"feld{rng.randrange(900)}" for _ in range(n))
