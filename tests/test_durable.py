@@ -81,3 +81,43 @@ def test_ledger_keeps_errors_and_neighbours(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c")], "id bigint, text string").coalesce(1)
     got = {r["id"]: (r["ok"], r["result"], r["error"]) for r in infer.infer_with_ledger(df, "id", "text", fn, str(tmp_path / "l"), attempts=1).collect()}
     assert got == {1: (True, "A", None), 2: (False, "", "ValueError: no"), 3: (True, "C", None)}
+
+
+def test_a_report_goes_on_after_its_last_whole_stage(spark, tmp_path):
+    from threadloom.operators import flow
+    from threadloom.plans.report_queries import overlap_scores, plain_answers
+
+    rows = [(i, f"{i} topic{i % 5} alpha beta", f"{'slow login page crashes ' * 6}word{i % 3}", "c", [float(i % 4), 1.0, float(i % 3)] if i % 2 else None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "id bigint, title string, body string, community string, v array<double>")
+    docs = docs.withColumn("keywords", F.split("title", " ")).withColumn("tv", F.reverse("v")).withColumn("kv", F.when(F.col("v").isNotNull(), F.array("v")))
+    queries = spark.createDataFrame([(1, "slow login"), (2, "beta")], "qid bigint, query string")
+    vectors = spark.createDataFrame([(1, [1.0, 1.0, 0.0]), (2, [0.0, 1.0, 2.0])], "qid bigint, v array<double>")
+    terms = spark.createDataFrame([(1, "slow"), (1, "login"), (2, "beta")], "qid bigint, term string")
+    log = str(tmp_path / "calls")
+
+    def go(extract):
+        run = flow.StagedRun(spark, str(tmp_path / "run"))
+        lines = flow.report_request(run, docs, queries, vectors, terms, overlap_scores, extract, threshold=0.5, embed={"dims": 32})
+        return run.ran, sorted(map(tuple, lines.collect()))
+
+    def counted(fail):
+        def extract(texts):
+            with open(log, "a") as f:
+                f.write("call\n")
+            if fail:
+                os._exit(1)
+            return plain_answers(texts)
+        return extract
+
+    with pytest.raises(Exception):
+        go(counted(True))
+    assert (tmp_path / "run" / "reranked" / "_SUCCESS").exists() and not (tmp_path / "run" / "answers" / "_SUCCESS").exists()
+    ran, lines = go(counted(False))
+    assert "candidates" not in ran and "reranked" not in ran and ran[0] == "answers" and ran[-1] == "result"
+    parts = {p for p, _, _ in lines}
+    assert "Pain Points" in parts and "Ids" in parts
+    calls = len(open(log).readlines())
+    assert go(counted(True)) == ([], lines) and len(open(log).readlines()) == calls  # nothing left to do, nothing asked
+    import shutil
+    shutil.rmtree(tmp_path / "run" / "result")
+    assert go(counted(True)) == (["result"], lines)

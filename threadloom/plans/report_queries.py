@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X, vectors as V
-from threadloom.operators import cluster as CL, nearest as NN, report
+from threadloom.operators import cluster as CL, flow, nearest as NN, report
 from threadloom.plans.registry import query
-from threadloom.plans.search_queries import CENTROID, R, r6, rounded, with_centroid
+from threadloom.plans.search_queries import CENTROID, R, WC, r6, rounded, with_centroid
+from threadloom.plans.views import tok
+from threadloom.runtime import scratch_path
 
 c = F.col
 
@@ -248,8 +250,6 @@ def _(t):
   UNION ALL SELECT 'Personas', row_number() OVER (ORDER BY persona), persona, NULL, NULL FROM (SELECT DISTINCT persona FROM PI)
   UNION ALL SELECT 'Ids', page + 1, NULL, NULL, count(*) FROM (SELECT CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / 300) AS BIGINT) AS page FROM documents) GROUP BY page""")
 def _(t):
-    from threadloom.runtime import scratch_path
-
     pains = report.renormalise_share(brand_share(t)[0]).select("cluster", r6(c("percentage")).alias("percentage"))
     personas = t.orders.select(c("o_orderpriority").alias("persona")).distinct()
     lines = report.report_lines(pains, personas, t.documents.select(c("doc_id").alias("id")), page_size=300)
@@ -259,3 +259,45 @@ def _(t):
     name = F.coalesce(F.get_json_object("value", "$.cluster"), F.get_json_object("value", "$.persona"))
     ids = F.when(c("part") == "Ids", F.json_array_length("value").cast("bigint"))
     return back.select("part", "no", name.alias("name"), F.get_json_object("value", "$.percentage").cast("double").alias("percentage"), ids.alias("n_ids"))
+
+
+def overlap_scores(queries, texts):
+    """Share of a query's distinct words that the text holds."""
+    wanted, held = [set(q.split()) for q in queries], [set(x.split()) for x in texts]
+    return [[len(w & h) / len(w) if w else 0.0 for w in wanted] for h in held]
+
+
+def plain_answers(texts):
+    """The offline extractor: the first words of a text are its pain point, its longest one names the persona."""
+    import json
+
+    out = []
+    for x in texts:
+        words = x.lower().split()
+        head, name = " ".join(words[:4]), max(words, key=lambda w: (len(w), w), default="")
+        out.append(json.dumps({
+            "pain_points": [{"post_id": words[0] if words else "", "title": head, "description": " ".join(words[4:8]), "quote": head, "persona": name[:1],
+                             "issue_emotion": "Anger", "is_quote_relevant": True, "issue_topic": {"name": name, "match_space_topic": len(words) > 20}}],
+            "personas": [{"post_id": words[0] if words else "", "title": name, "description": head, "quote": head, "is_quote_relevant": len(words) % 2 == 0}]}))
+    return out
+
+
+@query("report_request", views="D V QV DV QT SC BM", sql=f"""WITH {WC}, CAND AS (SELECT DISTINCT id FROM WC),
+  T AS (SELECT id, {tok("id || ' ' || title || ' ' || body")} AS w FROM D WHERE id IN (FROM CAND)), Q AS (SELECT item_id AS qid, list_distinct({tok('text')}) AS q FROM benchmark),
+  RR AS (SELECT id, any_value(w) AS w FROM T, Q WHERE len(list_intersect(w, q)) / len(q) > 0.25 GROUP BY id)
+  SELECT 'candidates' AS stage, count(*) AS n_rows FROM CAND UNION ALL SELECT 'reranked', count(*) FROM RR UNION ALL SELECT 'answers', count(*) FROM RR
+  UNION ALL SELECT 'pain_points', count(*) FILTER (len(w) > 20) FROM RR UNION ALL SELECT 'personas', count(*) FILTER (len(w) % 2 = 0) FROM RR
+  UNION ALL SELECT 'ids_in_result', count(*) FROM RR""")
+def _(t):
+    """The whole flow from queries to the result document; the rows of its stages, and the ids its document lists."""
+    words = lambda text: F.array_join(X.tokens(text), " ")
+    # texts as words, the first of which is the id, so that the offline extractor can name its source
+    docs = t.doc_vectors.withColumn("title", F.concat_ws(" ", c("id").cast("string"), words(c("title")))).withColumn("body", words(c("body")))
+    queries = t.benchmark.select(c("item_id").alias("qid"), words(c("text")).alias("query"))
+    run = flow.StagedRun(t.spark, scratch_path(t.spark, "report"))
+    lines = flow.report_request(run, docs, queries, t.query_vectors, t.query_terms, overlap_scores, plain_answers, threshold=0.6, embed={"dims": 64})
+    done = lambda name: t.spark.read.parquet(f"{run.path}/{name}").agg(F.lit(name).alias("stage"), F.count(F.lit(1)).alias("n_rows"))
+    out = lines.filter("part = 'Ids'").agg(F.lit("ids_in_result").alias("stage"), F.coalesce(F.sum(F.json_array_length("value")), F.lit(0)).cast("bigint").alias("n_rows"))
+    for name in ("candidates", "reranked", "answers", "pain_points", "personas"):
+        out = out.unionByName(done(name))
+    return out

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threadloom.operators.clean import upsert_by_key
-from threadloom.runtime import stored
+from threadloom.runtime import exists, stored
 
 BUCKET = "bucket"
 
@@ -65,13 +65,9 @@ class BucketTable:
             return best.select(self.key, *[F.col(f"_r.{c}").alias(c) for c in [*order, *others]])
 
         new = last(new)
-        if not self.exists():
+        if not exists(self.spark, self.path):
             self.create(new)
             return list(range(self.buckets))
         old = self.rows().select(F.col(self.key).alias("_k"), F.struct(*[F.col(c) for c in [*order, *others]]).alias("_o"))
         changed = new.join(old, (F.col(self.key) == F.col("_k")) & (F.col("_o") >= F.struct(*order, *others)), "left_anti")
         return self._merge(changed, lambda old, new: last(old.select(new.columns).unionByName(new)))
-
-    def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
