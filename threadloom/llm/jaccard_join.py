@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from threadloom.llm.backoff_lm import ascii_lower, cuts, from_planes, planes
 from threadloom.llm.common import kept, mix, partitions, shingle_hashes, slices, word_hashes
+from threadloom.llm.phrase_mining import name_filter, read_filter
 from threadloom.operators.cluster import connected_components
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -189,8 +190,8 @@ def entry_groups(index: DataFrame) -> DataFrame:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """One bit per shingle in 8 to 16 bits per shingle, by the low bits of its hash."""
-    size = 1 << max(6, (8 * len(shingles)).bit_length())
+    """One bit per shingle in 4 to 8 bits per shingle, by the low bits of its hash."""
+    size = 1 << max(6, (4 * len(shingles)).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
@@ -459,7 +460,14 @@ def shared_sets(keyed: DataFrame, rows: DataFrame, groups: DataFrame, k: int) ->
     copies = rows.join(kept(one, "wanted"), ["key1", "text_key"], "left_semi").groupBy("text_key", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
     low = kept(copies.groupBy("text_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rows")).alias("low")).select(
         F.col("text_key").alias("_key"), F.col("low.doc_id").alias("_id"), F.col("low.rows").alias("rows")), "texts")
-    same = (keyed.text_key == low["_key"]) & keyed.doc_id.eqNullSafe(low["_id"])
-    found = keyed.join(low, same, "left_semi").select("text").mapInArrow(build, "key1 long, n long, bits binary, shingles binary")
+    held = name_filter(low.select(F.col("_key").alias("name")))
+
+    def wanted_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # nearly all texts that are not wanted stay out of the join's exchange
+            yield batch.filter(pa.array(read_filter(held).holds(np.asarray(batch.column("text_key")).astype(np.int64).view(np.uint64))))
+
+    near = keyed.mapInArrow(wanted_texts, keyed.schema)
+    same = (near.text_key == low["_key"]) & near.doc_id.eqNullSafe(low["_id"])
+    found = near.join(low, same, "left_semi").select("text").mapInArrow(build, "key1 long, n long, bits binary, shingles binary")
     # only a row that repeats with its id is read twice
     return found if low.filter("rows > 1").isEmpty() else found.dropDuplicates(["key1"])

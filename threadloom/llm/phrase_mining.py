@@ -186,9 +186,6 @@ class Filter:
     def __init__(self, words: np.ndarray, bits: int):
         self.words, self.mask = words, np.uint64(bits - 1)
 
-    def __contains__(self, names):  # pragma: no cover - use holds
-        raise TypeError("use holds")
-
     def holds(self, names: np.ndarray) -> np.ndarray:
         out = np.ones(len(names), bool)
         for shift in (0, 28):
