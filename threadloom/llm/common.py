@@ -128,7 +128,7 @@ class ChunkTokenizer:
     it never changes a result. Strings of special tokens inside a text are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 400_000):
         import json
 
         from tokenizers import Tokenizer
