@@ -362,7 +362,7 @@ def sieved(members: DataFrame, sets: DataFrame, percent: int, first: int, last:
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-            if sum(h.nbytes for h in held) > 1 << 25:
+            if sum(h.nbytes for h in held) > 1 << 24:
                 table = pa.Table.from_batches(held)
                 e, i, j = (table.column(c).to_numpy() for c in ("entry", "i", "j"))
                 open_tile = (e == e[-1]) & (i == i[-1]) & (j == j[-1])  # may go on in the next batch
@@ -377,7 +377,7 @@ def sieved(members: DataFrame, sets: DataFrame, percent: int, first: int, last:
     return dealt.mapInArrow(run, "a long, b long, more boolean")
 
 
-def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, each: int = 64, block: int = 2048) -> DataFrame:
+def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, each: int = 64, block: int = 768) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_key) of every document; text_key is xxhash64 of the text.
 
     The words of a text are runs without ASCII white space, A-Z lower-cased; a text with fewer than
