@@ -455,6 +455,21 @@ def test_lm_awkward(spark, docs, order):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-8)
 
 
+@pytest.mark.parametrize("words", [4, 60])
+def test_lm_a_shard_per_document(spark, words):
+    """N-grams that one shard alone holds or learned, beside those that many share; copies; all counts are exact."""
+    rng = np.random.default_rng(words)
+    rows = [(i, " ".join(f"w{w}" for w in rng.integers(0, words, rng.integers(0, 12)))) for i in range(60)]
+    rows += [(100 + i, t) for i, t in rows[:10]]
+    held = [zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = backoff_lm.score_texts(frame, in_fold(F.col("doc_id"), 7, 2), 3, (5.0, 2.0), shard_bytes=1).collect()
+    want = {d: w for (d, _), w in zip(rows, brute_scores(rows, held, 3, (5.0, 2.0)))}
+    assert len(got) == len(rows)
+    for r in got:
+        assert tuple(r)[2:5] == want[r.doc_id][:3] and tuple(r)[5:] == pytest.approx(want[r.doc_id][3:], abs=1e-8)
+
+
 def test_lm_without_training(spark, docs, empty):
     got = backoff_lm.score_texts(docs.limit(5), F.lit(True)).collect()
     assert len(got) == 5 and all(r.train_tokens == 0 and r.n_known == 0 and r.score == 0 for r in got)

@@ -1,10 +1,13 @@
 """Scoring with a weighted backoff automaton learned from the corpus.
 
-Words are hashed; a document ends with one end token. Documents are dealt into shards. Every shard
-sends its distinct n-grams, sorted and cut by ranges of their hash, with its training counts; the
-range's task adds the counts over all shards and answers each shard with the totals of just the
-n-grams it asked for. So a hot n-gram is one entry per shard, nothing is broadcast, and a shard's
-automaton is as large as its own text; there are so many shards that this is about `shard_bytes`.
+Words are hashed; a document ends with one end token. Every task cuts its documents into shards of
+about `shard_bytes` of text and stores their words once, as codes, on shared storage. Counts are then
+exchanged level by level: a shard sends distinct n-grams, sorted and cut by ranges of their hash,
+with its training counts; the range's task adds the counts over all shards and answers each shard
+with the totals of just the n-grams it asked for. The answer 0 says that the shard's own count is the total:
+no other shard holds the n-gram, or nobody learned it. The same is then true of every longer n-gram around
+it, so those are neither sent nor asked for, by any shard that has them. A hot n-gram is one entry per
+shard, nothing is broadcast, and a shard's automaton is as large as its own text.
 
 Smoothing is Dirichlet: p(w | h) = (c(h w) + m p(w | h')) / (c(h) + m), with h' = h without its
 first word and the add-one unigram below. That is the same as a backoff automaton: a state per
@@ -15,6 +18,8 @@ documents of a shard run side by side.
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threadloom.llm.common import kept, mix, partitions, word_hashes
+from threadloom.llm.common import commit_file, kept, make_folder, mix, partitions, slices, store, word_hashes
 
 END = np.uint64(0xE0D0F0C0B0A09080)  # stands for the end of a document
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -81,47 +86,130 @@ def cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(edges, np.uint64)), [len(keys)]]).astype(np.int64)
 
 
-def asked_counts(docs: DataFrame, order: int, shards: int, ranges: int) -> DataFrame:
-    """(shard, level, part, totals): training counts of every n-gram a shard holds, in sorted order of
-    its part; shard -1 carries (count sum, distinct keys) of the unigrams of each part."""
+def stored_shards(docs: DataFrame, shard_bytes: int, folder: str) -> DataFrame:
+    """(shard): names of the files in `folder` that hold the words of some documents of (doc_id, held_out, text) each.
+
+    A task that is run again writes files of its own; only those of the attempt that counts are named.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, held, tokens, size = [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            words, codes = np.unique(np.concatenate([t.words for t in tokens]), return_inverse=True)
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())),
+                 pa.array([np.concatenate([t.length for t in tokens]).tobytes()], pa.binary()),
+                 pa.array([words.tobytes()], pa.binary()), pa.array([planes(codes.astype("<u4"))], pa.binary())],
+                ["doc_id", "held_out", "length", "words", "codes"])
+
+            def put(out) -> None:
+                with pa.ipc.new_stream(out, row.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_batch(row)
+
+            name = uuid.uuid4().hex
+            commit_file(folder, name, put)
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["shard"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: dict[int, tuple[list, list]] = {}
         for batch in batches:
-            for shard, held, text in zip(*(batch.column(c).to_pylist() for c in ("shard", "held_out", "text"))):
-                own = texts.setdefault(shard, ([], []))
-                own[0].append(text)
-                own[1].append(not held)
-        for shard, (own, learn) in texts.items():
-            tokens = read_tokens(own)
-            weight = np.repeat(np.array(learn, np.int64), tokens.length)
-            for level, (key, whole) in enumerate(ngrams(tokens, order)):
-                keys, at = np.unique(key[whole], return_inverse=True)
-                counts = np.bincount(at, weight[whole], len(keys)).astype("<u4")
-                edge = cuts(keys, ranges)
-                parts = [i for i in range(ranges) if edge[i + 1] > edge[i]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([shard] * len(parts), pa.int32()), pa.array([level] * len(parts), pa.int32()), pa.array(parts, pa.int32()),
-                     pa.array([planes(keys[edge[i]: edge[i + 1]]) for i in parts], pa.binary()),
-                     pa.array([planes(counts[edge[i]: edge[i + 1]]) for i in parts], pa.binary())], ["shard", "level", "part", "keys", "counts"])
+            for piece in slices(batch, "text", min(shard_bytes, 1 << 20)):
+                texts = piece.column("text").to_pylist()
+                ids += piece.column("doc_id").to_pylist()
+                held += piece.column("held_out").to_pylist()
+                tokens.append(read_tokens(texts))
+                size += sum(len(t or "") for t in texts)
+                if size >= shard_bytes:
+                    yield flush()
+                    ids, held, tokens, size = [], [], [], 0
+        if ids:
+            yield flush()
+
+    return docs.mapInArrow(write, "shard string")
+
+
+def read_shard(folder: str, name: str) -> tuple[pa.Array, np.ndarray, Tokens]:
+    """Ids, held-out marks and words of the documents of a stored shard."""
+    fs, base = store(folder)
+    with fs.open_input_stream(posixpath.join(base, name)) as f:
+        row = pa.ipc.open_stream(f).read_all()
+    ids, held = (row.column(c).combine_chunks().flatten() for c in ("doc_id", "held_out"))
+    length, words = (np.frombuffer(row.column(c)[0].as_py(), kind) for c, kind in (("length", "<i8"), ("words", "<u8")))
+    return ids, held.to_numpy(False).astype(bool), Tokens(words[from_planes(row.column("codes")[0].as_py(), "<u4")], length)
+
+
+def levels(tokens: Tokens, learn: np.ndarray, order: int, answers: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(keys, own counts, asked, totals) of each answered level and (keys, own counts, asked) of the next one.
+
+    `asked` marks the n-grams both of whose shorter parts have an answer above 0; the total of any other is the own count.
+    """
+    weight = np.repeat(learn.astype(np.int64), tokens.length)
+    alive = np.ones(len(tokens.words), bool)  # by the end of the n-gram
+    for level, (key, whole) in enumerate(ngrams(tokens, order)):
+        ends = np.flatnonzero(whole)
+        keys, at = np.unique(key[ends], return_inverse=True)
+        counts = np.bincount(at, weight[ends], len(keys)).astype(np.int64)
+        asked = np.ones(len(keys), bool)
+        if level:
+            asked[at] = alive[ends] & alive[ends - 1]  # all places of an n-gram have the same parts
+        if level == len(answers):
+            yield keys, counts, asked
+            return
+        answer = np.zeros(len(keys), np.int64)
+        answer[asked] = answers[level]
+        yield keys, counts, asked, np.where(answer > 0, answer, counts)
+        alive = np.zeros(len(key), bool)
+        alive[ends] = answer[at] > 0
+
+
+def by_level(table: pa.Table, n: int) -> list[np.ndarray]:
+    """The answers of a shard for its first n levels, each in the order of its asked keys."""
+    found: list[list[tuple[int, bytes]]] = [[] for _ in range(n)]
+    for level, part, totals in zip(*(table.column(c).to_pylist() for c in ("level", "part", "totals"))):
+        found[level].append((part, totals))
+    return [np.concatenate([np.zeros(0, np.int64), *(from_planes(b, "<u8").astype(np.int64) for _, b in sorted(f))]) for f in found]
+
+
+def answered(shards: DataFrame, answers: DataFrame, folder: str, level: int, ranges: int) -> DataFrame:
+    """(shard, level, part, totals): for the n-grams that a shard asks for at `level`, in sorted order of their part, the
+    training count of all shards, or 0 where only this shard holds it; at level 0 the shard '' carries (sum of
+    counts, distinct keys learned) of each part."""
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        name = left.column("shard")[0].as_py()
+        _, held, tokens = read_shard(folder, name)
+        *_, (keys, counts, asked) = levels(tokens, ~held, level + 1, by_level(right, level))
+        keys, counts = keys[asked], counts[asked].astype("<u4")
+        edge = cuts(keys, ranges)
+        parts = [i for i in range(ranges) if edge[i + 1] > edge[i]]
+        return pa.table({"shard": pa.array([name] * len(parts), pa.string()), "part": pa.array(parts, pa.int32()),
+                         "keys": pa.array([planes(keys[edge[i]: edge[i + 1]]) for i in parts], pa.binary()),
+                         "counts": pa.array([planes(counts[edge[i]: edge[i + 1]]) for i in parts], pa.binary())})
 
     def add(table: pa.Table) -> pa.Table:
-        level, part = table.column("level")[0].as_py(), table.column("part")[0].as_py()
         keys = [from_planes(k, "<u8") for k in table.column("keys").to_pylist()]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.concatenate([from_planes(c, "<u4") for c in table.column("counts").to_pylist()])
         total = np.bincount(at, counts, len(every)).astype("<u8")
-        shards, answers = table.column("shard").to_pylist(), []
-        for own in np.split(at, np.cumsum([len(k) for k in keys])[:-1]):
-            answers.append(planes(total[own]))
+        answer = np.where(np.bincount(at) > 1, total, 0).astype("<u8")
+        names = table.column("shard").to_pylist()
+        rows = [planes(answer[own]) for own in np.split(at, np.cumsum([len(k) for k in keys])[:-1])]
         if level == 0:
-            shards, answers = [*shards, -1], [*answers, planes(np.array([total.sum(), np.count_nonzero(total)], "<u8"))]
-        n = len(shards)
-        return pa.table({"shard": pa.array(shards, pa.int32()), "level": pa.array([level] * n, pa.int32()),
-                         "part": pa.array([part] * n, pa.int32()), "totals": pa.array(answers, pa.binary())})
+            names, rows = [*names, ""], [*rows, planes(np.array([total.sum(), np.count_nonzero(total)], "<u8"))]
+        n = len(names)
+        return pa.table({"shard": pa.array(names, pa.string()), "level": pa.array([level] * n, pa.int32()),
+                         "part": pa.array([table.column("part")[0].as_py()] * n, pa.int32()), "totals": pa.array(rows, pa.binary())})
+
+    sent = with_answers(shards, answers).applyInArrow(send, "shard string, part int, keys binary, counts binary")
+    return sent.groupBy("part").applyInArrow(add, _ANSWERS)
+
+
+_ANSWERS = "shard string, level int, part int, totals binary"
+
 
-    sent = docs.repartition(shards, "shard").mapInArrow(count, "shard int, level int, part int, keys binary, counts binary")
-    return sent.groupBy("level", "part").applyInArrow(add, "shard int, level int, part int, totals binary")
+def with_answers(shards: DataFrame, answers: DataFrame):
+    """Shards and their answers, cogrouped; dealt over a fixed number of tasks, as a name says nothing of a shard's size."""
+    n = partitions(shards.sparkSession)
+    return shards.repartition(n, "shard").groupBy("shard").cogroup(
+        answers.filter("shard <> ''").repartition(n, "shard").groupBy("shard"))
 
 
 class Automaton:
@@ -220,29 +308,25 @@ def score_texts(docs: DataFrame, held_out: Column, order: int = 2, masses: tuple
     Dirichlet mass m for contexts of 1, 2, ... words; `shard_bytes` changes the work, not the result.
     """
     spark = docs.sparkSession
-    ranges = partitions(spark)
-    size = docs.agg(F.sum(F.octet_length("text")).alias("size")).first().size or 0
-    shards = max(ranges, -(-size // shard_bytes))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"),
-                        F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int").alias("shard"))
-    answers = kept(asked_counts(dealt.select("shard", "held_out", "text"), order, shards, ranges), "counts")
-    sums = [from_planes(r.totals, "<u8") for r in answers.filter("shard = -1").select("totals").collect()]  # a row per range
+    ranges, folder = partitions(spark), make_folder(spark, "shards")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    shards = kept(stored_shards(rows, shard_bytes, folder), "shard-names")
+    answers = spark.createDataFrame([], _ANSWERS)
+    for level in range(order):
+        answers = answers.unionByName(kept(answered(shards, answers, folder, level, ranges), f"counts{level}"))
+    sums = [from_planes(r.totals, "<u8") for r in answers.filter("shard = ''").select("totals").collect()]  # a row per range
     n_train, vocabulary = (int(sum(s[i] for s in sums)) for i in (0, 1))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        tokens = read_tokens(left.column("text").to_pylist())
-        found: dict[int, list[tuple[int, bytes]]] = {level: [] for level in range(order)}
-        for level, part, totals in zip(*(right.column(c).to_pylist() for c in ("level", "part", "totals"))):
-            found[level].append((part, totals))
-        counts = [np.concatenate([np.zeros(0, np.int64), *(from_planes(b, "<u8").astype(np.int64) for _, b in sorted(found[level]))])
-                  for level in range(order)]
+        ids, held, tokens = read_shard(folder, left.column("shard")[0].as_py())
+        counts = [totals for *_, totals in levels(tokens, ~held, order, by_level(right, order))]
         model = Automaton(tokens, counts, list(masses), n_train, vocabulary)
         doc = np.repeat(np.arange(len(tokens.length)), tokens.length)
         n = len(tokens.length)
         base = np.bincount(doc, np.log10(model.unigram)[model.word], n)
         known = np.bincount(doc, model.count[model.word] > 0, n).astype(np.int64)
-        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": tokens.length,
+        return pa.table({"doc_id": ids, "held_out": pa.array(held), "n_tokens": tokens.length,
                          "n_known": known, "train_tokens": np.full(n, n_train), "base_score": base, "score": model.score(tokens)})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("shard").cogroup(answers.filter("shard >= 0").groupBy("shard")).applyInArrow(score, schema)
+    return with_answers(shards, answers).applyInArrow(score, schema)
