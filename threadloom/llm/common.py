@@ -128,7 +128,7 @@ class ChunkTokenizer:
     it never changes a result. Strings of special tokens inside a text are ordinary text.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 200_000):
         import json
 
         from tokenizers import Tokenizer
@@ -248,6 +248,12 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa
             yield batch.slice(a, b - a)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; at their end Arrow gives its unused memory back, as the Python worker stays for the tasks of other stages."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threadloom.llm.common import Rolling, mix, ragged, slices
+from threadloom.llm.common import Rolling, mix, ragged, released, slices
 
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(97, 123)]] = True
@@ -132,7 +132,7 @@ def corpus_counts(docs: DataFrame, words: np.ndarray) -> tuple[np.ndarray, int,
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, total, rows = np.zeros(len(members.keys), np.int64), 0, 0
-        for batch in batches:
+        for batch in released(batches):
             for text in batch.column("text").to_pylist():
                 hashes = words_of(text)[0]
                 _, index = members.find(hashes)
@@ -280,7 +280,7 @@ def windows(items: Items, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in released(batches):
         counts = [len(words_of(t)[0]) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(counts, pa.int64())], ["words"])
 
@@ -311,7 +311,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.4, sh
 
 def _search(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for piece in slices(batch, "text"):
                 docs = [(i, *words_of(t)) for i, t in zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist())]
                 found = [(d, *w) for d, doc in enumerate(docs) for w in zip(*(x.tolist() for x in windows(items, doc[1])))]

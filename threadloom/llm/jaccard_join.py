@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.llm.backoff_lm import ascii_lower, cuts, from_planes, planes
-from threadloom.llm.common import kept, mix, partitions, shingle_hashes, slices, word_hashes
+from threadloom.llm.common import kept, mix, partitions, released, shingle_hashes, slices, word_hashes
 from threadloom.llm.phrase_mining import name_filter, read_filter
 from threadloom.operators.cluster import connected_components
 
@@ -103,7 +103,7 @@ def set_rows(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, text_key, n, key1, key2): size and identity of every document's set."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             rows = []
             for text in batch.column("text").to_pylist():
                 shingles = shingle_set(text, k)
@@ -139,7 +139,7 @@ def index_entries(docs: DataFrame, k: int, percent: int, ranges: int, at_once: i
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 3))],
                                               ["part", "entries", "owners", "sets"])
 
-        for batch in batches:
+        for batch in released(batches):
             for text in batch.column("text").to_pylist():
                 shingles = shingle_set(text, k)
                 key = set_key(shingles)
@@ -219,13 +219,13 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Data
         return 100 * both >= percent * (n_a + n_b - both)
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             columns = (batch.column(c).to_pylist() for c in ("na", "nb", "ba", "bb"))
             keep = [reaches(min(most_shared(x, y, m), most_shared(y, x, n)), m, n) for m, n, x, y in zip(*columns)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             linked = []
             for x, y in zip(*(batch.column(c).to_pylist() for c in ("sa", "sb"))):
                 x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
@@ -359,7 +359,7 @@ def sieved(members: DataFrame, sets: DataFrame, percent: int, first: int, last:
             a, b = np.concatenate([*a, np.array(again, np.int64)]), np.concatenate([*b, np.zeros(len(again), np.int64)])
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.arange(len(a)) >= len(a) - len(again))], ["a", "b", "more"])
 
-        for batch in batches:
+        for batch in released(batches):
             if batch.num_rows:
                 held.append(batch)
             if sum(h.nbytes for h in held) > 1 << 24:
@@ -446,7 +446,7 @@ def shared_sets(keyed: DataFrame, rows: DataFrame, groups: DataFrame, k: int) ->
     """(key1, n, bits, shingles) of the sets that share an entry with another: one document of each is read again."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for piece in slices(batch, "text"):
                 sets = [shingle_set(t, k) for t in piece.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
@@ -463,7 +463,7 @@ def shared_sets(keyed: DataFrame, rows: DataFrame, groups: DataFrame, k: int) ->
     held = name_filter(low.select(F.col("_key").alias("name")))
 
     def wanted_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # nearly all texts that are not wanted stay out of the join's exchange
+        for batch in released(batches):  # nearly all texts that are not wanted stay out of the join's exchange
             yield batch.filter(pa.array(read_filter(held).holds(np.asarray(batch.column("text_key")).astype(np.int64).view(np.uint64))))
 
     near = keyed.mapInArrow(wanted_texts, keyed.schema)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from threadloom.llm.common import kept, slices
+from threadloom.llm.common import kept, released, slices
 
 UNKNOWN = "und"
 
@@ -178,7 +178,7 @@ def sample(labelled: DataFrame, per_language: int, most: int, window: int, per_t
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
-        for batch in batches:
+        for batch in released(batches):
             rows = []
             for lang, h, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "_h", "text"))):
                 if (lang, h) not in seen:
@@ -205,7 +205,7 @@ def identify(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFr
     schema = docs.select("*", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, text, 1 << 18):
                 texts = part.column(text).to_pylist()
                 found = [UNKNOWN] * len(texts)

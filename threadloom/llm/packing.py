@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from threadloom.llm.common import kept, slices, tokenizer
+from threadloom.llm.common import kept, released, slices, tokenizer
 from threadloom.operators.ranking import with_group_position
 
 PIECES = "doc_id long, text_key long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -32,7 +32,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1,
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(path)
-        for batch in batches:
+        for batch in released(batches):
             for part in slices(batch, "text"):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 rows = []

@@ -37,7 +37,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
 from threadloom.llm.backoff_lm import cuts, from_planes, planes
-from threadloom.llm.common import Rolling, kept, mix, partitions, slices, store
+from threadloom.llm.common import Rolling, kept, mix, partitions, released, slices, store
 from threadloom.runtime import scratch_path
 
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -128,7 +128,7 @@ def anchor_table(docs: DataFrame, shape: Shape, shards: int) -> DataFrame:
     """(shard, doc_id, text_key, n, place, first, grams) of every text that is long enough."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for piece in slices(batch, "text"):
                 rows = []
                 for doc, text in zip(piece.select(["shard", "doc_id", "text_key"]).to_pylist(), piece.column("text").to_pylist()):
@@ -441,7 +441,7 @@ def send_blocks(texts: DataFrame, shape: Shape, folders: list[str], ranges: int)
             new = np.flatnonzero(np.append(True, (core[1:] != core[:-1]) | (span[1:] != span[:-1])))
             return name_rows(shard, ranges, core[new], np.diff(np.append(new, len(core))), span[new])
 
-        for batch in batches:
+        for batch in released(batches):
             for piece in slices(batch, "text"):
                 for row in piece.to_pylist():
                     blocks, unique = _replayed(row, shape, answers)
@@ -468,7 +468,7 @@ def finished(texts: DataFrame, shape: Shape, folders: list[str], with_text: bool
         spans_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
         schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                             ("kept_sha256", pa.string()), ("spans", spans_type), ("kept_text", pa.string())])
-        for batch in batches:
+        for batch in released(batches):
             for piece in slices(batch, "text"):
                 rows = []
                 for row in piece.select(["shard", "doc_id", "text_key", "text", "cells"]).to_pylist():
