@@ -258,10 +258,10 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Written to shared storage and read back: lineage ends here and sizes are known to the planner."""
+def kept(df: DataFrame, name: str, **options) -> DataFrame:
+    """Written to shared storage and read back: lineage ends here and sizes are known to the planner. `options` are the writer's."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -35,6 +35,10 @@ from threadloom.llm.phrase_mining import name_filter, read_filter
 from threadloom.operators.cluster import connected_components
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
+#: How sets are stored. They are hashes, which do not compress, and may take a megabyte each. Readers and codecs hold whole
+#: pages and column chunks outside the heap, so these are small, measured at every row and not compressed.
+_WIDE = {"compression": "uncompressed", "parquet.block.size": str(8 << 20), "parquet.block.size.row.check.min": "1",
+         "parquet.block.size.row.check.max": "16", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "16"}
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -392,7 +396,7 @@ def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, each: int =
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     rows = kept(set_rows(keyed, k), "rows")
     groups = kept(entry_groups(index_entries(keyed, k, percent, partitions(spark))), "groups")
-    sets = kept(shared_sets(keyed, rows, groups, k), "sets")
+    sets = kept(shared_sets(keyed, rows, groups, k), "sets", **_WIDE)
 
     # a first star per set: the centre, of those of its entries, that meets the most sets
     pairs = groups.join(centres(groups, "first"), "entry").filter("key1 <> centre").groupBy("key1").agg(
