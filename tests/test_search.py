@@ -338,3 +338,23 @@ def test_rerank_in_shares_and_blocks_gives_the_same(spark, monkeypatch):
     assert want == [(i, min(i % 7, i % 5), 1.0) for i in range(40)] and run(block=3) == want
     monkeypatch.setattr(search, "RERANK_QUERIES", 6)
     assert run(block=2) == want
+
+
+def test_text_matches_have_no_limit(half_embedded, monkeypatch):
+    docs, _, terms = half_embedded
+    more = docs.crossJoin(docs.sparkSession.range(700).withColumnRenamed("id", "n")).withColumn("id", F.col("n") * 8 + F.col("id"))
+    fields = {"title": lexical.document_fields()["title"]}
+    want = sorted([(1, n * 8 + i) for n in range(700) for i in (0, 1, 4, 7)] + [(2, n * 8 + i) for n in range(700) for i in (0, 2, 4, 5)])
+    found = lexical.text_matches(more, "id", fields, terms)
+    assert "Join" not in found.select("qid")._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    assert sorted(map(tuple, found.collect())) == want
+    monkeypatch.setattr(lexical, "QUERY_TERMS", 1)
+    assert sorted(map(tuple, lexical.text_matches(more, "id", fields, terms).collect())) == want
+
+
+def test_union_candidates_takes_every_text_match():
+    """More documents than the 5000 nearest that a vector leg may bring."""
+    from threadloom.plans import registry, search_queries  # noqa: F401
+    sql = registry.ORACLES["union_candidates"]
+    text = sql[sql.index("BW WHERE title > 0"):].split("UNION ALL")[0]
+    assert "QUALIFY" not in text and "LIMIT" not in text
