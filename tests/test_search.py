@@ -358,3 +358,12 @@ def test_union_candidates_takes_every_text_match():
     sql = registry.ORACLES["union_candidates"]
     text = sql[sql.index("BW WHERE title > 0"):].split("UNION ALL")[0]
     assert "QUALIFY" not in text and "LIMIT" not in text
+
+
+def test_funnel_takes_every_body_hit(half_embedded):
+    docs, queries, terms = half_embedded
+    more = docs.crossJoin(docs.sparkSession.range(300).withColumnRenamed("id", "n")).withColumn("id", F.col("n") * 8 + F.col("id"))
+    got = {(r["qid"], r["id"]) for r in search.funnel_search(more, queries, terms, {"body": lexical.document_fields()["body"]}, cut=-2.0).collect()}
+    cos = lambda i, q: np.cos(i - (0 if q == 1 else 3)) + 0.25
+    asked = {1: (0, 4), 2: (0, 2, 4)}  # those with a vector and a query word
+    assert got == {(q, n * 8 + i) for q, ids in asked.items() for i in ids if cos(i, q) > 0 for n in range(300)} and len(got) > 2 * 200
