@@ -295,3 +295,19 @@ def test_pivots_rule_out_most_pairs_of_separate_groups(spark):
     assert high < 0.35 and abs(low - 1) < 1e-9
     want = {(r["a"], r["b"]) for r in NN.similar_pairs(df, 0.95, block_rows=4096).select("a", "b").collect()}
     assert {(r["a"], r["b"]) for r in NN.similar_pairs(df, 0.95, block_rows=32).select("a", "b").collect()} == want
+
+
+def test_large_components_move_sums_not_edges(spark):
+    """One component over several blocks gives the exemplars of the solver inside a task, and a round writes no edges."""
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal((500, 6))
+    ids = spark.createDataFrame([(i, i * 7 - 900) for i in range(500)], "id bigint, new bigint")
+    df = frame(spark, m).join(ids, "id").select(F.col("new").alias("id"), "v")
+    reps = NN.collapse_copies(df)[0].cache()
+    edges = affinity.similarities(reps, 0.5, 24).cache()
+    parts = CL.connected_components(edges.filter("i <> k").select(F.col("i").alias("a"), F.col("k").alias("b"))).cache()
+    want = sorted(map(tuple, affinity.affinity_exemplars(edges, parts).select("i", "k").collect()))
+    got = sorted(map(tuple, affinity.affinity_exemplars(edges, parts, local_edges=10, block_edges=700).select("i", "k").collect()))
+    assert got == want and 1 < len({k for _, k in want}) < 250
+    block = affinity.Block(*(np.array(c) for c in zip(*[(1, 1, -1.0, 1), (1, 2, -0.1, 1), (1, 3, -0.2, 1)])), 1, 0.5).respond()
+    assert [len(total) for _, (_, total) in block.sums(0)] == [3]  # a number per item, whatever the edges
