@@ -311,3 +311,14 @@ def test_large_components_move_sums_not_edges(spark):
     assert got == want and 1 < len({k for _, k in want}) < 250
     block = affinity.Block(*(np.array(c) for c in zip(*[(1, 1, -1.0, 1), (1, 2, -0.1, 1), (1, 3, -0.2, 1)])), 1, 0.5).respond()
     assert [len(total) for _, (_, total) in block.sums(0)] == [3]  # a number per item, whatever the edges
+
+
+def test_pivots_that_rule_out_little_are_not_used(spark):
+    """Random directions: a row is copied to the few blocks of one cell, not to every cell."""
+    m = np.random.default_rng(6).standard_normal((3000, 24))
+    df = frame(spark, m).withColumn("weight", F.lit(1))
+    tiles = NN._metric_tiles(df, NN._radius(0.3, "cosine"), "cosine", "v", 256, "weight", "bigint", 1024)
+    assert tiles.count() <= 3000 * NN.FEW_BLOCKS and tiles.filter("cell > 0").isEmpty()
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(unit @ unit.T >= 0.6, 1))
+    assert {(r["a"], r["b"]) for r in NN.similar_pairs(df, 0.6, block_rows=64).collect()} == set(zip(a.tolist(), b.tolist()))
