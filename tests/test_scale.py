@@ -108,3 +108,19 @@ def test_phrases_do_not_depend_on_the_batch(spark):
     whole = {r.id: r.keywords for r in keywords.keyphrases(docs, "id", "body").collect()}
     part = {r.id: r.keywords for r in keywords.keyphrases(docs.filter("id < 5"), "id", "body", idf=idf).collect()}
     assert part == {i: whole[i] for i in range(5)}
+
+
+def test_keyphrases_ask_once_per_block_for_a_words_weight(spark, monkeypatch):
+    """Documents that share their words send them once per block, and rows of a key keep their own phrases."""
+    rows = [(i % 50, f"alpha beta gamma delta w{i % 7}") for i in range(200)] + [(None, "alpha beta"), (60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "id bigint, body string").coalesce(1)
+    blocks = []
+    real = keywords.stored
+    monkeypatch.setattr(keywords, "stored", lambda df, name: blocks.append(real(df, name)) or blocks[-1])
+    monkeypatch.setattr(keywords, "spread", lambda df: df)
+    got = keywords.keyphrases(docs, "id", "body").collect()
+    assert len(got) == 203
+    assert all(r.keywords == [] for r in got if r.id is None or r.id >= 60) and all(len(r.keywords) == 5 for r in got if r.id is not None and r.id < 60)
+    assert blocks[0].select("_block").distinct().count() == 1
+    plan = keywords.keyphrases(docs, "id", "body")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "_block" in plan  # no list of words per document is shuffled
