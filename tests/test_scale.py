@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
-from threadloom.operators import clean, cluster, keywords, lexical, nearest, ranking, recs
+from threadloom.operators import clean, cluster, keywords, lexical, nearest, ranking, recs, search
 
 
 @pytest.fixture
@@ -124,3 +124,37 @@ def test_keyphrases_ask_once_per_block_for_a_words_weight(spark, monkeypatch):
     assert blocks[0].select("_block").distinct().count() == 1
     plan = keywords.keyphrases(docs, "id", "body")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "_block" in plan  # no list of words per document is shuffled
+
+
+def test_python_workers_get_small_batches_and_work_on_small_pieces(spark, tmp_path):
+    """Whole texts go to Python workers in batches of bounded bytes; lists are looked up in bounded pieces."""
+    import pyarrow as pa
+
+    from threadloom.plans.views import Tables
+
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text")).coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    got = Tables(spark, str(tmp_path)).documents.coalesce(1).mapInArrow(sizes, "n bigint").collect()
+    assert sum(r.n for r in got) > 32 << 20 and max(r.n for r in got) < 10 << 20
+
+    lists = pa.array([["a"] * 100_000, None, ["b"] * 200_000, [], ["c"] * 600_000] + [["d"]] * 1000)
+    pieces = list(lexical._pieces(pa.RecordBatch.from_arrays([lists], ["t"]), range(1)))
+    assert sum(p.num_rows for p in pieces) == len(lists) and pa.concat_arrays([p.column(0) for p in pieces]) == lists
+    assert all(p.num_rows <= lexical.DOCS for p in pieces)
+    assert all(p.num_rows == 1 or len(p.column(0).flatten()) <= lexical.TOKENS for p in pieces)
+
+
+def test_a_scorer_gets_few_texts_at_once(spark):
+    docs = spark.range(1300).select("id", F.lit("a b").alias("text")).coalesce(1)
+    queries = spark.createDataFrame([(1, "a")], "qid bigint, query string")
+
+    def scorer(asked, texts):
+        assert list(texts.index) == list(range(len(texts))) and len(texts) <= 512
+        return [[1.0] * len(asked) for _ in texts]
+
+    assert search.rerank_best_query(docs, queries, "text", scorer).count() == 1300
