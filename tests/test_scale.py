@@ -158,3 +158,18 @@ def test_a_scorer_gets_few_texts_at_once(spark):
         return [[1.0] * len(asked) for _ in texts]
 
     assert search.rerank_best_query(docs, queries, "text", scorer).count() == 1300
+
+
+def test_report_tables_count_ids_in_bounded_shares(spark, tmp_path):
+    from threadloom.plans import load
+
+    rows = {"documents": ("doc_id bigint, text string, lang string, source string, n_chars bigint", [(1, "A b.", "en", "s", 4)]),
+            "labels": ("doc_id bigint, quality int, toxic int", [(1, 1, 0)]),
+            "orders": ("o_orderkey bigint, o_orderpriority string", [(1, "1-URGENT"), (2, "5-LOW")]),
+            "part": ("p_partkey bigint, p_brand string", [(1, "B")]),
+            "lineitem": ("l_orderkey bigint, l_linenumber int, l_partkey bigint, l_extendedprice double", [(1, 1, 1, 2.0), (1, 1, 1, 2.0), (2, 1, 1, 3.0)])}
+    for name, (schema, data) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = load().spark_queries()["report_to_tables"](spark, str(tmp_path))
+    assert {r.tab: (r.n_rows, r.n_ids, r.orphans) for r in out.collect()}["pain_points"] == (2, 1, 0)
+    assert "RepartitionByExpression [id" in out._jdf.queryExecution().optimizedPlan().toString()
