@@ -779,3 +779,18 @@ def test_pipeline_awkward_tables(spark, docs, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_have_rows(spark, name):
     assert len(queries.QUERIES[name](spark, SF).take(1)) == 1
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_are_spelled_once_and_frequent_ones_stay(name):
+    chunks = ChunkTokenizer(public_tokenizers.path(name), limit=60)
+    spelled = []
+    add = chunks._add_words
+    chunks._add_words = lambda keys: (spelled.extend(keys), add(keys))
+    texts = ["a ofte ofte, ofte. ofte;\nofte"]
+    texts += [f"a ofte {' '.join(''.join(chr(97 + (i * 7 + j) % 26) for j in range(5)) for i in range(k, k + 25))} ofte," for k in range(0, 250, 25)]
+    for text in texts:
+        assert list(chunks.encode([text])[0]) == chunks.tokenizer.encode(text, add_special_tokens=False).ids
+    lead = chunks.lead
+    assert spelled.count("ofte") == 1 and spelled.count(lead + "ofte") == 1  # whatever marks follow, and when the cache was full
+    assert len(chunks.index) < 120

@@ -79,7 +79,7 @@ def write_records(docs: DataFrame, path: str, end_id: int = 1, files: int | None
         def body(out):
             nonlocal tokens, at
             for batch in batches:
-                for piece in slices(batch, "text"):
+                for piece in slices(batch, "text", 4 << 20):
                     texts = [t or "" for t in piece.column("text").to_pylist()]
                     frames = []
                     for doc_id, ids in zip(piece.column("doc_id").to_pylist(), encoder.encode(texts)):

@@ -33,7 +33,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(path)
         for batch in released(batches):
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 rows = []
                 for doc_id, text, ids in zip(part.column("doc_id").to_pylist(), texts, encoder.encode(texts)):
