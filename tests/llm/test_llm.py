@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -794,3 +795,15 @@ def test_words_are_spelled_once_and_frequent_ones_stay(name):
     lead = chunks.lead
     assert spelled.count("ofte") == 1 and spelled.count(lead + "ofte") == 1  # whatever marks follow, and when the cache was full
     assert len(chunks.index) < 120
+
+
+def test_automaton_needs_few_bytes_a_token():
+    words = np.append(np.random.default_rng(4).integers(1, 60_000, 200_000).astype(np.uint64), backoff_lm.END)
+    tokens = backoff_lm.Tokens(words, np.array([len(words)]))
+    counts = [np.unique(key[whole], return_counts=True)[1] for key, whole in backoff_lm.ngrams(tokens, 3)]
+    tracemalloc.start()
+    model = backoff_lm.Automaton(tokens, counts, [200.0, 20.0], len(words), len(counts[0]))
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 200 * len(words) and held < 75 * len(words), (peak / len(words), held / len(words))
+    assert np.isfinite(model.score(tokens)).all()
