@@ -12,6 +12,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -797,6 +798,19 @@ def test_words_are_spelled_once_and_frequent_ones_stay(name):
     assert len(chunks.index) < 120
 
 
+def test_groups_of_the_join_carry_small_bitmaps(spark):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 30, 700, 5000)]
+    for x in sets:
+        few, bits = jaccard_join.bitmap(x, 1), jaccard_join.bitmap(x)
+        assert len(few) <= max(8, len(x) // 4 + 1) and len(few) < max(9, len(bits))
+        assert jaccard_join.folded([bits], len(few)).tobytes() == few
+    rows = pa.table({"key1": np.arange(4), "n": [len(x) for x in sets], "few_bits": [jaccard_join.bitmap(x, 1) for x in sets]})
+    members = pa.table({"entry": [1, 1, 1, 1], "key1": np.arange(4), "probes": [True] * 4, "component": np.arange(4)})
+    out = jaccard_join.sieved(spark.createDataFrame(members), spark.createDataFrame(rows), 85, 0, 64, 768)  # needs no other bitmap
+    assert out.filter("NOT more").count() == 0  # sizes rule out all pairs
+
+
 def test_automaton_needs_few_bytes_a_token():
     words = np.append(np.random.default_rng(4).integers(1, 60_000, 200_000).astype(np.uint64), backoff_lm.END)
     tokens = backoff_lm.Tokens(words, np.array([len(words)]))

@@ -193,12 +193,12 @@ def entry_groups(index: DataFrame) -> DataFrame:
     return groups.groupBy("entry", "key1").agg(F.max("probes").alias("probes"))
 
 
-def bitmap(shingles: np.ndarray) -> bytes:
-    """One bit per shingle in 4 to 8 bits per shingle, by the low bits of its hash."""
-    size = 1 << max(6, (4 * len(shingles)).bit_length())
+def bitmap(shingles: np.ndarray, room: int = 4) -> bytes:
+    """One bit per shingle in `room` to twice as many bits per shingle, by the low bits of its hash."""
+    size = 1 << max(6, (room * len(shingles)).bit_length())
     bits = np.zeros(size, np.uint8)
     bits[(shingles & np.uint64(size - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).tobytes()
+    return np.packbits(bits).tobytes()  # folded in halves, it is that of less room
 
 
 def most_shared(x: bytes, y: bytes, n_x: int) -> int:
@@ -215,7 +215,7 @@ _ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) of set keys whose sets reach the threshold. `sets`: (key1, n, bits, shingles).
+    """The pairs (a, b) of set keys whose sets reach the threshold. `sets`: (key1, n, bits, few_bits, shingles).
 
     Sizes and bitmaps rule out most of the others; whole sets are compared for the rest.
     """
@@ -336,7 +336,10 @@ def likely_pairs(key: np.ndarray, probes: np.ndarray, component: np.ndarray, n:
 
 
 def sieved(members: DataFrame, sets: DataFrame, percent: int, first: int, last: int, block: int) -> DataFrame:
-    """(a, b, more): likely pairs of open groups; a row with `more` names a group (a) that has further ones."""
+    """(a, b, more): likely pairs of open groups; a row with `more` names a group (a) that has further ones.
+
+    A set goes to all its open groups, so it takes the small bitmap along; `verified` has the large ones.
+    """
     size = members.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
     size = few_files(size.select("entry", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")), f"hot{first}")
     own = F.pmod(F.xxhash64("key1"), F.col("blocks")).cast("int")
@@ -344,7 +347,8 @@ def sieved(members: DataFrame, sets: DataFrame, percent: int, first: int, last:
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
         F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), (F.col("own") > j).alias("right")))
     spread = placed.select("entry", "key1", "probes", "component", F.explode(tiles).alias("t")).join(
-        sets.select("key1", "n", "bits"), "key1").select("entry", "t.i", "t.j", "t.right", "key1", "probes", "component", "n", "bits")
+        sets.select("key1", "n", F.col("few_bits").alias("bits")), "key1").select(
+        "entry", "t.i", "t.j", "t.right", "key1", "probes", "component", "n", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -447,7 +451,7 @@ def one_per_component(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFra
 
 
 def shared_sets(keyed: DataFrame, rows: DataFrame, groups: DataFrame, k: int) -> DataFrame:
-    """(key1, n, bits, shingles) of the sets that share an entry with another: one document of each is read again."""
+    """(key1, n, bits, few_bits, shingles) of the sets that share an entry with another: one document of each is read again."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in released(batches):
@@ -455,8 +459,8 @@ def shared_sets(keyed: DataFrame, rows: DataFrame, groups: DataFrame, k: int) ->
                 sets = [shingle_set(t, k) for t in piece.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([set_key(s)[0] for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([bitmap(s) for s in sets], pa.binary()),
-                     pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["key1", "n", "bits", "shingles"])
+                     pa.array([bitmap(s) for s in sets], pa.binary()), pa.array([bitmap(s, 1) for s in sets], pa.binary()),
+                     pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["key1", "n", "bits", "few_bits", "shingles"])
 
     wanted = groups.select("key1").distinct()
     one = rows.filter("n > 0").groupBy("key1").agg(F.min("text_key").alias("text_key")).join(wanted, "key1", "left_semi")
@@ -472,6 +476,6 @@ def shared_sets(keyed: DataFrame, rows: DataFrame, groups: DataFrame, k: int) ->
 
     near = keyed.mapInArrow(wanted_texts, keyed.schema)
     same = (near.text_key == low["_key"]) & near.doc_id.eqNullSafe(low["_id"])
-    found = near.join(low, same, "left_semi").select("text").mapInArrow(build, "key1 long, n long, bits binary, shingles binary")
+    found = near.join(low, same, "left_semi").select("text").mapInArrow(build, "key1 long, n long, bits binary, few_bits binary, shingles binary")
     # only a row that repeats with its id is read twice
     return found if low.filter("rows > 1").isEmpty() else found.dropDuplicates(["key1"])
