@@ -821,3 +821,34 @@ def test_automaton_needs_few_bytes_a_token():
     tracemalloc.stop()
     assert peak < 200 * len(words) and held < 75 * len(words), (peak / len(words), held / len(words))
     assert np.isfinite(model.score(tokens)).all()
+
+
+def test_tiles_give_no_more_pairs_than_members(spark):
+    """Sets that all may link, each a component of its own: a tile gives a forest of them, not all pairs."""
+    pool = np.unique(np.random.default_rng(6).integers(0, 1 << 63, 420).astype(np.uint64))
+    sets = [np.delete(pool, np.arange(i, i + 4)) for i in range(400)]
+    rows = pa.table({"key1": np.arange(400), "n": [len(x) for x in sets], "few_bits": [jaccard_join.bitmap(x, 1) for x in sets],
+                     "bits": [jaccard_join.bitmap(x) for x in sets]})
+    members = pa.table({"entry": [1] * 400, "key1": np.arange(400), "probes": [True] * 400, "component": np.arange(400)})
+    frames = spark.createDataFrame(members), spark.createDataFrame(rows)
+    for step, pairs in ((0, 0), (1, 400), (2, 800)):  # small bitmaps leave all pairs: the group is looked at again with larger ones
+        out = jaccard_join.sieved(*frames, 85, step, max(1, step), 768).toPandas()
+        assert out.more.sum() == 1 and len(out) == pairs + 1
+        found = out[~out.more].drop_duplicates(["a", "b"])
+        assert len(found) == pairs and (not pairs or set(found.a) | set(found.b) == set(range(400)))
+
+
+def test_forest_joins_what_its_edges_join():
+    rng = np.random.default_rng(8)
+    for n, m in ((2, 1), (5, 9), (60, 400), (300, 290)):
+        one, two = rng.integers(0, n, (2, m))
+        one, two = one[one != two], two[one != two]
+        parent, want = list(range(n)), []
+
+        def root(x):
+            return x if parent[x] == x else root(parent[x])
+
+        for x, y in zip(one.tolist(), two.tolist()):  # Kruskal
+            want.append(root(x) != root(y))
+            parent[root(x)] = root(y)
+        assert jaccard_join.forest(one, two).tolist() == want

@@ -17,8 +17,10 @@ A group of near copies shares nearly all entries. Each set is first compared wit
 meets that meets the most others; groups that then lie in one component are done. In each of the others
 the probing members meet all members where the group is, in tiles of two blocks at most: sizes and
 bitmaps rule out nearly all pairs at once, as matrix products, and only pairs that may reach the threshold leave
-the task. Of many such pairs between the same two components the likeliest go first, and the next ones follow in a
-further round if those two are still apart, so a family is not written out pair by pair and no link is lost.
+the task. A tile gives no more pairs than `each` times its members. Where small bitmaps leave more, it gives none and
+larger ones are sent to that group in the next round; where those leave more, it first gives the likeliest pairs
+that would join its components to one another, a forest, and in every further round four times as many pairs of those still
+apart. So the pairs grow with the members of a group, not with their square, and no link is lost.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from threadloom.llm.backoff_lm import ascii_lower, cuts, from_planes, planes
 from threadloom.llm.common import kept, mix, partitions, released, shingle_hashes, slices, word_hashes
 from threadloom.llm.phrase_mining import name_filter, read_filter
 from threadloom.operators.cluster import connected_components
+from threadloom.runtime import ARROW_BYTES
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 #: How sets are stored. They are hashes, which do not compress, and may take a megabyte each. Readers and codecs hold whole
@@ -297,12 +300,39 @@ def most_shared_of_all(rows: list[bytes], columns: list[bytes], n_rows: np.ndarr
     return out
 
 
+def forest(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which of the edges (one, two) make a spanning forest; earlier edges go first."""
+    nodes, at = np.unique(np.concatenate([one, two]), return_inverse=True)
+    u, v = at[: len(one)], at[len(one):]
+    edge, taken = np.arange(len(u)), np.zeros(len(u), bool)
+    while len(u):
+        best = np.full(len(nodes), len(taken))
+        np.minimum.at(best, u, edge)
+        np.minimum.at(best, v, edge)
+        mine = (best[u] == edge) | (best[v] == edge)  # the first edge of either end
+        taken[edge[mine]] = True
+        label = np.arange(len(nodes))
+        a, b = u[mine], v[mine]
+        while True:  # trees of chosen edges get one label
+            low = np.minimum(label[a], label[b])
+            if (label[a] == label[b]).all():
+                break
+            np.minimum.at(label, label[a], low)
+            np.minimum.at(label, label[b], low)
+            while (label[label] != label).any():
+                label = label[label]
+        u, v = label[u], label[v]
+        apart = u != v
+        u, v, edge = u[apart], v[apart], edge[apart]
+    return taken
+
+
 def likely_pairs(key: np.ndarray, probes: np.ndarray, component: np.ndarray, n: np.ndarray, bits: list[bytes], right: np.ndarray | None,
-                 percent: int, first: int, last: int) -> tuple[np.ndarray, np.ndarray, bool]:
+                 percent: int, most: int, some: bool = True) -> tuple[np.ndarray, np.ndarray, bool]:
     """(a, b, more): pairs of one tile that one side probes, that lie in different components and may reach the threshold.
 
-    Between two components only the pairs of rank `first` to `last` (excluded) by their bound are given; `more` tells of others.
-    `right` marks the second block of a tile of two, whose pairs lie across.
+    If there are more than `most`, these are chosen, none unless `some`: first a forest of the likeliest, then the likeliest between
+    any two components; `more` tells of others. `right` marks the second block of a tile of two, whose pairs lie across.
     """
     rows, columns = (np.flatnonzero(~right), np.flatnonzero(right)) if right is not None else (np.flatnonzero(probes), np.arange(len(key)))
     ask = probes[rows][:, None] | probes[columns]
@@ -324,30 +354,38 @@ def likely_pairs(key: np.ndarray, probes: np.ndarray, component: np.ndarray, n:
     union = n[x] + n[y] - both
     good = 100 * both >= percent * union
     x, y, share = x[good], y[good], (both / np.maximum(union, 1))[good]
-    if not len(x):
-        return key[:0], key[:0], False
-    one, two = np.minimum(component[x], component[y]), np.maximum(component[x], component[y])
-    order = np.lexsort((key[y], key[x], -share, two, one))
-    x, y, one, two = x[order], y[order], one[order], two[order]
-    start = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
-    rank = np.arange(len(x)) - np.flatnonzero(start)[np.cumsum(start) - 1]
-    now = (rank >= first) & (rank < last)
-    return np.minimum(key[x], key[y])[now], np.maximum(key[x], key[y])[now], bool((rank >= last).any())
-
-
-def sieved(members: DataFrame, sets: DataFrame, percent: int, first: int, last: int, block: int) -> DataFrame:
-    """(a, b, more): likely pairs of open groups; a row with `more` names a group (a) that has further ones.
-
-    A set goes to all its open groups, so it takes the small bitmap along; `verified` has the large ones.
+    more = len(x) > most
+    if more and not some:
+        return key[:0], key[:0], True
+    if more:
+        order = np.lexsort((key[y], key[x], -share))
+        x, y = x[order], y[order]
+        one, two = np.minimum(component[x], component[y]), np.maximum(component[x], component[y])
+        by_two = np.lexsort((two, one))  # stable: the likeliest pair of two components stays first
+        start = np.append(True, (np.diff(one[by_two]) != 0) | (np.diff(two[by_two]) != 0))
+        rank = np.empty(len(x), np.int64)
+        rank[by_two] = np.arange(len(x)) - np.flatnonzero(start)[np.cumsum(start) - 1]
+        now = np.lexsort((rank, ~forest(one, two)))[:most]
+        x, y = x[now], y[now]
+    return np.minimum(key[x], key[y]), np.maximum(key[x], key[y]), more
+
+
+def sieved(members: DataFrame, sets: DataFrame, percent: int, step: int, each: int, block: int) -> DataFrame:
+    """(a, b, more): likely pairs of open groups, at most `each` per member of a tile; a row with `more` names a group (a)
+    that has further ones.
+
+    A set goes to all its open groups, so in the first round (`step` 0) it takes the small bitmap along, and later, to the groups
+    that are left, the large one if that has at most 16 kB.
     """
     size = members.groupBy("entry").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block)
-    size = few_files(size.select("entry", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")), f"hot{first}")
+    size = few_files(size.select("entry", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")), f"hot{step}")
     own = F.pmod(F.xxhash64("key1"), F.col("blocks")).cast("int")
     placed = members.join(size, "entry", "left").fillna(1, ["blocks"]).withColumn("own", own)
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(
         F.least("own", j).alias("i"), F.greatest("own", j).alias("j"), (F.col("own") > j).alias("right")))
     spread = placed.select("entry", "key1", "probes", "component", F.explode(tiles).alias("t")).join(
-        sets.select("key1", "n", F.col("few_bits").alias("bits")), "key1").select(
+        sets.select("key1", "n", (F.when(F.col("n") < 1 << 14, F.col("bits")).otherwise(F.col("few_bits")) if step else F.col("few_bits")).alias("bits")),
+        "key1").select(
         "entry", "t.i", "t.j", "t.right", "key1", "probes", "component", "n", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +398,8 @@ def sieved(members: DataFrame, sets: DataFrame, percent: int, first: int, last:
             a, b, again = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for s, e in zip(edge[:-1], edge[1:]):
                 right = col["right"][s:e] if col["i"][s] != col["j"][s] else None
-                x, y, more = likely_pairs(col["key1"][s:e], col["probes"][s:e], col["component"][s:e], col["n"][s:e], bits[s:e], right, percent, first, last)
+                x, y, more = likely_pairs(col["key1"][s:e], col["probes"][s:e], col["component"][s:e], col["n"][s:e], bits[s:e], right, percent,
+                                          each * int(e - s), step > 0)
                 a.append(x), b.append(y)
                 if more:
                     again.append(col["entry"][s])
@@ -385,18 +424,19 @@ def sieved(members: DataFrame, sets: DataFrame, percent: int, first: int, last:
     return dealt.mapInArrow(run, "a long, b long, more boolean")
 
 
-def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, each: int = 64, block: int = 768) -> DataFrame:
+def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, each: int = 1, block: int = 768) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_key) of every document; text_key is xxhash64 of the text.
 
     The words of a text are runs without ASCII white space, A-Z lower-cased; a text with fewer than
     `k` words is one shingle; a text without words (or null) has size 0 and its own doc_id as
     component. Documents link when 100 * intersection >= percent * union of their sets;
     component_id is the smallest doc_id in reach. Null ids are kept and are no one's smallest;
-    repeated rows link like other copies; other columns are ignored. `each` is the number of pairs between two
-    components that a tile gives in the first round, `block` the sets on one side of a tile; both
+    repeated rows link like other copies; other columns are ignored. `each` is the number of pairs per member
+    that a tile gives at most in the first round, `block` the sets on one side of a tile; both
     change the work, not the result.
     """
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)  # texts and whole sets go to Python workers
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     rows = kept(set_rows(keyed, k), "rows")
     groups = kept(entry_groups(index_entries(keyed, k, percent, partitions(spark))), "groups")
@@ -407,18 +447,21 @@ def linked_documents(docs: DataFrame, k: int = 4, percent: int = 85, each: int =
         F.max(F.struct("weight", "centre")).alias("best")).select(F.col("best.centre").alias("a"), F.col("key1").alias("b"))
     links = kept(verified(kept(pairs, "stars"), sets, percent, "first"), "links")
     component = few_files(connected_components(links), "components")
-    first, last, step = 0, each, 0
+    tested, step = None, 0
     while True:
         members = mixed_groups(groups, component, step)
-        found = few_files(sieved(members, sets, percent, first, last, block), f"sieved{step}")
+        found = few_files(sieved(members, sets, percent, step, each * 4 ** max(0, step - 1), block), f"sieved{step}")
         pairs = found.filter("NOT more").select("a", "b").distinct()
-        links = few_files(links.unionByName(verified(few_files(pairs, f"likely{step}"), sets, percent, str(step))), f"links{step}")
-        component = few_files(connected_components(links), f"components{step}")
+        pairs = few_files(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"likely{step}")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if not pairs.isEmpty():
+            links = few_files(links.unionByName(verified(pairs, sets, percent, str(step))), f"links{step}")
+            component = few_files(connected_components(links), f"components{step}")
         again = few_files(found.filter("more").select(F.col("a").alias("entry")).distinct(), f"again{step}")
         if again.isEmpty():
             break
         groups = few_files(groups.join(again, "entry", "left_semi"), f"groups{step}")
-        first, last, step = last, 4 * last, step + 1
+        step += 1
 
     # smallest doc_id per set, then per component; hot sets are one row before the last join
     own = kept(rows.filter("n > 0").groupBy("key1", "key2").agg(F.min("doc_id").alias("low")), "own")
