@@ -852,3 +852,19 @@ def test_forest_joins_what_its_edges_join():
             want.append(root(x) != root(y))
             parent[root(x)] = root(y)
         assert jaccard_join.forest(one, two).tolist() == want
+
+def test_long_documents_are_scored_in_pieces():
+    """A piece starts in the state its document has there, and the longest document makes no step of its own."""
+    rng = np.random.default_rng(9)
+    length = np.array([3000, 1, 2, 700, 40, 513, 1])
+    words = rng.zipf(1.5, length.sum()).astype(np.uint64)
+    words[np.cumsum(length) - 1] = backoff_lm.END
+    tokens = backoff_lm.Tokens(words, length)
+    for order, masses in ((1, []), (2, [200.0]), (3, [200.0, 20.0])):
+        learned = np.repeat(np.arange(len(length)) % 3 > 0, length)  # the first document is held out
+        counts = [np.bincount(np.unique(key[whole], return_inverse=True)[1], learned[whole]).astype(np.int64)
+                  for key, whole in backoff_lm.ngrams(tokens, order)]
+        model = backoff_lm.Automaton(tokens, counts, masses, int(learned.sum()), len(counts[0]))
+        whole = model.score(tokens, piece=1 << 20)
+        for piece in (1, 2, 7, 512):
+            assert np.allclose(model.score(tokens, piece), whole, rtol=1e-12)
