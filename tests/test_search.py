@@ -367,3 +367,36 @@ def test_funnel_takes_every_body_hit(half_embedded):
     cos = lambda i, q: np.cos(i - (0 if q == 1 else 3)) + 0.25
     asked = {1: (0, 4), 2: (0, 2, 4)}  # those with a vector and a query word
     assert got == {(q, n * 8 + i) for q, ids in asked.items() for i in ids if cos(i, q) > 0 for n in range(300)} and len(got) > 2 * 200
+
+
+def test_filtered_hybrid_keeps_every_document_with_a_query_word(spark, tmp_path):
+    """More matches of one community than the 5000 that the text leg once kept; the twin in DuckDB agrees."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    n = 5200
+    rows = [(i, f"Alpha {i}. common beta", "en", "src7", 20) for i in range(n)] + [(n, "common", "en", "src1", 6), (n + 1, "none", "en", "src7", 4)]
+    tables = {"documents": (rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"),
+              "benchmark": ([(1, "common"), (2, "beta 7")], "item_id bigint, text string"),
+              "embeddings": ([(i, [0.0] * i + [1.0] + [0.0] * (63 - i), 0) for i in range(3)], "vec_id bigint, embedding array<float>, label int")}
+    for name, (data, schema) in tables.items():
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {tuple(r) for r in entry.queries()["filtered_hybrid"](spark, str(tmp_path)).collect()}
+    assert got == {(q, i) for q in (1, 2) for i in range(n)}
+    con = duckdb.connect()
+    for name in tables:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert set(con.execute(entry.oracle_sql()["filtered_hybrid"]).fetchall()) == got
+
+
+def test_all_bm25_hits_are_the_same_by_both_ways(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b" if i % 3 else "a c c") for i in range(40)], "id bigint, body string")
+    terms = spark.createDataFrame([(1, "a"), (2, "c"), (2, "b"), (3, "z")], "qid bigint, term string")
+    fields = {"body": lexical.tokens(F.col("body"))}
+    run = lambda: {(r["qid"], r["id"]): r["score"] for r in lexical.bm25_hits(docs, "id", fields, terms, k=None).collect()}
+    fast = run()
+    assert set(fast) == {(q, i) for q in (1, 2) for i in range(40)}
+    monkeypatch.setattr(lexical, "QUERY_TERMS", 1)
+    slow = run()
+    assert set(slow) == set(fast) and all(abs(slow[k] - fast[k]) < 1e-9 for k in fast)
