@@ -1,8 +1,10 @@
 """Density clusters from a whole hierarchy (Campello, Moulavi and Sander 2013).
 
-Core distances and the tiles of a self join give each tile's minimum spanning forest under mutual
-reachability; the union of these forests holds the minimum spanning tree of all pairs, which Boruvka
-rounds find. Its edges are then merged by weight in bands: a task takes one band of bounded size with the
+Boruvka rounds find the minimum spanning tree under mutual reachability. A point's nearest neighbours are listed
+once, which also gives its core distance; a component whose least listed edge is shorter than what its points' lists leave out needs no
+other pair. For the others tasks stream blocks of all points, and only pairs of different components that are nearer than the
+component's least edge so far are measured. No pair and no copy of a point is ever written.
+The tree's edges are then merged by weight in bands: a task takes one band of bounded size with the
 components it touches, so the hierarchy never stands in one place. Clusters are those of greatest
 stability, leaves and inner ones alike, so groups of several densities are found at once.
 
@@ -11,26 +13,37 @@ All orders are total (weight rounded to nine places, then both ids), so there is
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from threadloom.operators.nearest import _matrix, _metric_tiles, _sides, _squares, nearest
+from threadloom.operators import blocks as B
+from threadloom.operators.nearest import _union
 from threadloom.operators.ranking import with_row_index
 from threadloom.runtime import stored
 
-TREE_BLOCK = 1024        # rows per side of a tile: its pairs are sorted at once
+LISTED = 8               # nearest neighbours listed of a point, at least
 EDGES = 2_000_000        # edges that one task may hold
 NEAREST = 1e-9           # the smallest weight; copies are this far apart
 PLACES = 9
+PAD = 1e-8               # more than weights lose by their rounding
+
 
+def listed_neighbours(reps: DataFrame, least: int, vector: str = "z") -> DataFrame:
+    """(id, other, score, raw): each point's nearest others, at least `least` and LISTED of them where there are so many."""
+    kept = B.write_blocks(reps, float("inf"), "euclid", vector, "weight", "bigint")
+    return stored(B.neighbours(kept, max(least, LISTED), float("inf")), "listed")
 
-def core_distances(reps: DataFrame, min_samples: int, vector: str = "z") -> DataFrame:
+
+def core_distances(reps: DataFrame, min_samples: int, vector: str = "z", near: DataFrame | None = None) -> DataFrame:
     """(id, z, weight, core): the distance to the `min_samples`-th other item, copies counted; with fewer others
-    than that, to the farthest of the nearest ones."""
-    near = nearest(reps, reps.select(F.col("id").alias("qid"), F.col(vector).alias("v")), k=max(1, min_samples), metric="euclid", skip_self=True, vector=vector)
+    than that, to the farthest of the nearest ones. `near` is the result of `listed_neighbours`, if known."""
+    near = listed_neighbours(reps, min_samples, vector) if near is None else near
+    near = near.select(F.col("id").alias("qid"), F.col("other").alias("id"), "score")
     near = near.join(reps.select("id", F.col("weight").alias("w")), "id")
-    upto = Window.partitionBy("qid").orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)  # min_samples rows
+    upto = Window.partitionBy("qid").orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)  # a few rows
     steps = near.withColumn("n", F.sum("w").over(upto)).join(reps.select(F.col("id").alias("qid"), (F.col("weight") - 1).alias("own")), "qid")
     reached = F.col("n") + F.col("own") >= min_samples
     core = steps.groupBy("qid").agg(F.coalesce(F.min(F.when(reached, -F.col("score"))), F.max(-F.col("score"))).alias("core"))
@@ -39,114 +52,224 @@ def core_distances(reps: DataFrame, min_samples: int, vector: str = "z") -> Data
                          F.when(F.col("weight") > min_samples, 0.0).otherwise(F.coalesce("core", F.lit(0.0))).alias("core"))
 
 
-def spanning_forest(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Places of the edges of the minimum spanning forest in the order (w, a, b); ids need not be dense."""
+def _weights(d: np.ndarray, core: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Mutual reachability; every way to a pair's weight is this one, so that it is the same wherever the pair is met."""
+    return np.maximum(np.round(np.maximum(np.maximum(d, core), other), PLACES), NEAREST)
+
+
+def minimum_spanning_tree(points: DataFrame, radius: float | None = None, block_rows: int = B.ROWS, edges: int = EDGES,
+                          near: DataFrame | None = None) -> DataFrame:
+    """(a, b, w): the minimum spanning tree of (id, z, core) under mutual reachability, a < b.
+
+    Without a `radius` every pair counts; with one, edges beyond it are left out (a forest), and the pivots
+    rule out most blocks. `near` is the result of `listed_neighbours`, if known.
+    """
+    points = points.select("id", "z", "core")
+    kept = B.write_blocks(points, float("inf") if radius is None else radius, "euclid", "z", "core", "double", block_rows)
+    near = listed_neighbours(points, LISTED) if near is None else near
+    left, bounds = _listed_edges(points, near, radius)
+    labels = points.select("id", F.col("id").alias("comp"))
+    tree, left, bounds, labels = _contracted(left, bounds, labels, edges)
+    while True:
+        ends = left.select(F.col("x").alias("comp"), "w").unionByName(left.select(F.col("y").alias("comp"), "w"))
+        floors = ends.groupBy("comp").agg(F.min("w").alias("floor"))
+        limit = F.lit(float("inf") if radius is None else float(radius))
+        held = stored(labels.join(floors, "comp", "left").select("id", F.col("comp").alias("label"), F.coalesce("floor", limit).alias("floor")), "labels")
+        if held.select("label").distinct().count() < 2:
+            break
+        found = _leaving(kept, B.write_labels(kept, held, {"label": "int64", "floor": "float64"}), radius)
+        order = F.struct("w", "a", "b", "x", "y")
+        picked = stored(found.groupBy("c").agg(F.min(order).alias("e")).select("e.*").distinct(), "picked")
+        if picked.isEmpty():
+            break
+        tree = tree.unionByName(picked.select("a", "b", "w"))
+        left, bounds, labels = _merged(picked, left, bounds, labels, edges)
+    return stored(tree, "tree")
+
+
+def _listed_edges(points: DataFrame, near: DataFrame, radius: float | None) -> tuple[DataFrame, DataFrame]:
+    """Listed edges (a, b, w, x, y) between components x and y, points at first, and for each component (c, bound) what the
+    edges of its points that are not listed weigh at least."""
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i, j, d, core, other = (np.asarray(c) for c in b.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (np.minimum(i, j), np.maximum(i, j), _weights(d, core, other), i, np.round(d, PLACES))],
+                                             ["a", "b", "w", "id", "d"])
+
+    both = near.join(points.select("id", "core"), "id").join(points.select(F.col("id").alias("other"), F.col("core").alias("_core")), "other")
+    weighed = stored(both.select("id", "other", "raw", "core", "_core").mapInArrow(weigh, "a bigint, b bigint, w double, id bigint, d double"), "weighed")
+    left = weighed.select("a", "b", "w", F.col("a").alias("x"), F.col("b").alias("y")).distinct()
+    left = stored(left if radius is None else left.filter(F.col("w") <= radius), "left")
+    ends = weighed.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d"))
+    most = F.lit(ends.agg(F.max("n")).first()[0] or 0)  # a shorter list holds all others
+    whole = F.lit(float("inf"))
+    bounds = points.select("id").join(ends, "id", "left").select(F.col("id").alias("c"), F.when(F.col("n") == most, F.col("d")).otherwise(whole).alias("bound"))
+    return left, stored(bounds, "bounds")
+
+
+def _union_of(table: pa.Table) -> pa.Table:
+    names, at = np.unique(np.concatenate([table.column(c).to_numpy() for c in ("a", "b")]), return_inverse=True)
+    n = table.num_rows
+    return pa.table({"id": names, "component": names[_union(np.arange(len(names)), at[:n], at[n:])]})
+
+
+def _components(links: DataFrame, edges: int) -> DataFrame:
+    """(id, component) of links (a, b): in one task when there are few, by rounds otherwise."""
+    from threadloom.operators.cluster import connected_components
+
+    if links.count() > edges:
+        return connected_components(links)
+    return links.groupBy(F.lit(0).alias("g")).applyInArrow(_union_of, "id bigint, component bigint")
+
+
+def _merged(picked: DataFrame, left: DataFrame, bounds: DataFrame, labels: DataFrame, edges: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Listed edges, bounds and labels after the components of the picked edges are one."""
+    to = stored(_components(picked.select(F.col("x").alias("a"), F.col("y").alias("b")), edges), "merged")
+    return _moved(to, left, bounds, labels)
+
+
+def _moved(to: DataFrame, left: DataFrame, bounds: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def renamed(df: DataFrame, name: str) -> DataFrame:
+        moved = df.join(to.select(F.col("id").alias(name), F.col("component").alias("_to")), name, "left")
+        return moved.withColumn(name, F.coalesce("_to", name)).drop("_to")
+
+    left = renamed(renamed(left, "x"), "y").filter("x <> y").select("a", "b", "w", "x", "y")
+    bounds = renamed(bounds, "c").groupBy("c").agg(F.min("bound").alias("bound"))
+    return stored(left, "left"), stored(bounds, "bounds"), stored(renamed(labels, "comp").select("id", "comp"), "labels")
+
+
+def _certain(left: pa.Table, bounds: pa.Table) -> pa.Table:
+    """All rounds of certain picks over edges that one task holds: picked edges (kind 0: a, b, w) and merged components (kind 1: a into b)."""
+    a, b, w, x, y = (left.column(c).to_numpy() for c in ("a", "b", "w", "x", "y"))
+    names, at = np.unique(np.concatenate([bounds.column("c").to_numpy(), x, y]), return_inverse=True)
+    n, m = bounds.num_rows, len(x)
+    own = np.full(len(names), np.inf)
+    own[at[:n]] = bounds.column("bound").to_numpy()
     order = np.lexsort((b, a, w))
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)][order], ends[len(a):][order]
-    label = np.arange(len(nodes))
-    rank = np.arange(len(order))
-    chosen = []
+    x, y, w_ = at[n:n + m][order], at[n + m:][order], w[order]
+    label, rank, chosen = np.arange(len(names)), np.arange(m), []
     while len(rank):
         u, v = label[x[rank]], label[y[rank]]
-        apart = u != v
-        rank, u, v = rank[apart], u[apart], v[apart]
-        if not len(rank):
-            break
-        first = np.full(len(nodes), len(order))
+        open_ = u != v
+        rank, u, v = rank[open_], u[open_], v[open_]
+        first, bound = np.full(len(names), m), np.full(len(names), np.inf)
         np.minimum.at(first, u, rank)
         np.minimum.at(first, v, rank)
-        pick = np.unique(first[first < len(order)])
+        np.minimum.at(bound, label, own)
+        some = np.flatnonzero(first < m)
+        pick = np.unique(first[some[w_[first[some]] < bound[some]]])
+        if not len(pick):
+            break
         chosen.append(pick)
-        p, q = label[x[pick]], label[y[pick]]
-        parent = np.arange(len(nodes))
-        while True:  # the picked edges form trees: merge their labels
-            m, n = parent[p], parent[q]
-            if (m == n).all():
-                break
-            np.minimum.at(parent, np.maximum(m, n), np.minimum(m, n))
-            while not np.array_equal(parent[parent], parent):
-                parent = parent[parent]
-        label = parent[label]
-    return np.sort(order[np.concatenate(chosen)]) if chosen else np.zeros(0, np.int64)
-
-
-def _forest_of_tile(table: pa.Table) -> pa.Table:
-    column = lambda name: table.column(name).combine_chunks()
-    ids, z, core = np.asarray(column("id")), _matrix(column("v")), np.asarray(column("core"))
-    left, other, whole = _sides(table)
-    if not len(left) or not len(other):
-        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "w": pa.array([], pa.float64())})
-    # plain differences, row by row: a matrix product would make a pair's distance depend on its tile
-    distance = np.stack([np.sqrt(((z[other] - z[i]) ** 2).sum(axis=1)) for i in left])
-    w = np.round(np.maximum(np.maximum(distance, core[left][:, None]), core[other][None, :]), PLACES)
-    r, c = np.nonzero(ids[left][:, None] < ids[other][None, :]) if whole else np.indices(w.shape).reshape(2, -1)
-    x, y, w = ids[left][r], ids[other][c], np.maximum(w[r, c], NEAREST)
-    a, b = np.minimum(x, y), np.maximum(x, y)
-    some = spanning_forest(a, b, w)
-    return pa.table({"a": pa.array(a[some]), "b": pa.array(b[some]), "w": pa.array(w[some])})
-
-
-def _forest_of_edges(table: pa.Table) -> pa.Table:
-    a, b, w = (table.column(c).to_numpy() for c in ("a", "b", "w"))
-    some = spanning_forest(a, b, w)
-    return table.select(["a", "b", "w"]).take(pa.array(some))
-
-
-def minimum_spanning_tree(points: DataFrame, radius: float | None = None, block_rows: int = TREE_BLOCK, edges: int = EDGES) -> DataFrame:
-    """(a, b, w): the minimum spanning tree of (id, z, core) under mutual reachability, a < b.
+        label = _union(label, x[pick], y[pick])
+    pick = order[np.unique(np.concatenate(chosen))] if chosen else np.empty(0, "int64")
+    hung = np.flatnonzero(label != np.arange(len(names)))
+    return pa.table({"kind": np.repeat([0, 1], [len(pick), len(hung)]), "a": np.concatenate([a[pick], names[hung]]),
+                     "b": np.concatenate([b[pick], names[label[hung]]]), "w": np.concatenate([w[pick], np.zeros(len(hung))])})
+
 
-    Without a `radius` every pair counts; with one, edges beyond it may be missing (a forest), and the pivots
-    rule out most tiles. Tile forests are thinned in groups, as often as that helps; while more than `edges`
-    are left, a Boruvka round over the table picks every component's least edge and contracts.
+def _contracted(left: DataFrame, bounds: DataFrame, labels: DataFrame, edges: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The tree's edges that the lists alone prove, and listed edges, bounds and labels of the components they leave.
+
+    A component's least listed edge is its least edge of all if it is lighter than its bound. Rounds over the tables go on while more
+    than `edges` edges are left; one task does the rest.
     """
-    tiles = _metric_tiles(points, float("inf") if radius is None else radius, "euclid", "z", block_rows, "core", "double")
-    left = stored(tiles.groupBy("cell", "a", "other", "b").applyInArrow(_forest_of_tile, "a bigint, b bigint, w double"), "forests")
-    if radius is not None:
-        left = left.filter(F.col("w") <= radius)
+    tree = left.select("a", "b", "w").limit(0)
     n = left.count()
-    while n > edges:  # a group of edges loses all that close a circle inside it
-        groups = 2 * n // edges + 1
-        thin = left.withColumn("g", F.pmod(F.xxhash64(F.least("a", "b")), F.lit(groups))).groupBy("g").applyInArrow(_forest_of_edges, "a bigint, b bigint, w double")
-        left = stored(thin, "thinned")
-        before, n = n, left.count()
-        if n > 0.7 * before:
-            break
-    tree = None
-    if n > edges:
-        tree, left = _boruvka(left, edges)
-    rest = left.select("a", "b", "w", *(["x", "y"] if "x" in left.columns else [])).groupBy(F.lit(0).alias("g"))
-    if "x" in left.columns:
-        last = rest.applyInArrow(_contracted, "a bigint, b bigint, w double")
-        return stored(tree.unionByName(last), "tree")
-    return stored(rest.applyInArrow(_forest_of_edges, "a bigint, b bigint, w double"), "tree")
-
-
-def _contracted(table: pa.Table) -> pa.Table:
-    """The forest between contracted components x, y; equal pairs keep their least edge by (w, a, b)."""
-    column = {c: table.column(c).to_numpy() for c in ("a", "b", "w", "x", "y")}
-    order = np.lexsort((column["b"], column["a"], column["w"]))
-    x, y = column["x"][order], column["y"][order]
-    some = order[spanning_forest(x, y, np.arange(len(order)).astype(float))]
-    return table.select(["a", "b", "w"]).take(pa.array(some))
-
-
-def _boruvka(left: DataFrame, edges: int) -> tuple[DataFrame, DataFrame]:
-    """Picked edges, and what is left between components (a, b, w, x, y), at most `edges` rows."""
-    from threadloom.operators.cluster import connected_components
-
-    left, tree = left.withColumn("x", F.col("a")).withColumn("y", F.col("b")), None
-    while left.count() > edges:
+    while n > edges:
         order = F.struct("w", "a", "b", "x", "y")
         ends = left.select(F.col("x").alias("c"), order.alias("e")).unionByName(left.select(F.col("y").alias("c"), order.alias("e")))
-        picked = stored(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct(), "picked")
-        tree = picked.select("a", "b", "w") if tree is None else tree.unionByName(picked.select("a", "b", "w"))
-        merged = stored(connected_components(picked.select(F.col("x").alias("a"), F.col("y").alias("b"))), "merged")
-        for end in ("x", "y"):
-            left = left.join(merged.select(F.col("id").alias(end), F.col("component").alias("_to")), end, "left").withColumn(
-                end, F.coalesce("_to", end)).drop("_to")
-        left = stored(left.filter("x <> y").select("a", "b", "w", "x", "y"), "left")
-    return tree, left
+        least = ends.groupBy("c").agg(F.min("e").alias("e")).join(bounds, "c").filter(F.col("e.w") < F.col("bound"))
+        picked = stored(least.select("e.*").distinct(), "picked")
+        if picked.isEmpty():
+            return tree, left, bounds, labels
+        tree = tree.unionByName(picked.select("a", "b", "w"))
+        left, bounds, labels = _merged(picked, left, bounds, labels, edges)
+        n = left.count()
+    if bounds.count() > edges:
+        return tree, left, bounds, labels
+    one = F.lit(0).alias("g")
+    done = stored(left.groupBy(one).cogroup(bounds.groupBy(one)).applyInArrow(_certain, "kind bigint, a bigint, b bigint, w double"), "certain")
+    tree = tree.unionByName(done.filter("kind = 0").select("a", "b", "w"))
+    left, bounds, labels = _moved(done.filter("kind = 1").select(F.col("a").alias("id"), F.col("b").alias("component")), left, bounds, labels)
+    return tree, left, bounds, labels
+
+
+def _leaving(kept: B.Blocks, folder: str, radius: float | None) -> DataFrame:
+    """(c, w, a, b, x, y): per task the least edge (w, a, b) from each component c it met to another; x and y are the components of a and b.
+
+    `folder` has the components of all points and, for each, the weight of an edge that leaves it (a limit for what is measured).
+    """
+    limit = np.inf if radius is None else radius
+
+    def solve(i: int) -> Iterator[pa.RecordBatch]:
+        a, one = kept.load(i), B.read_labels(folder, i)
+        mine, floor = one["label"], one["floor"]
+        out: list[tuple[np.ndarray, ...]] = []
+        for j in kept.met(i, range(0, kept.half() + 1)):
+            two = one if j == i else B.read_labels(folder, j)
+            theirs = two["label"]
+            if len(mine) and (mine == mine[0]).all() and (theirs == mine[0]).all():
+                continue
+            b = a if j == i else kept.load(j)
+            kind, err = B._kind(a, b)
+            names, at = np.unique(np.concatenate([mine, theirs]), return_inverse=True)
+            p, q = at[: len(mine)], at[len(mine):]
+            least = np.full(len(names), limit)
+            np.minimum.at(least, p, floor)
+            np.minimum.at(least, q, two["floor"])
+            left, right = a.left(kind), b.right(kind)
+            rows, columns = np.flatnonzero(a.near_to(kept.cell[j])), np.flatnonzero(b.near_to(kept.cell[i]))
+            start, size = 0, B.FEW_ROWS
+            while start < len(columns):  # pieces grow, as the first ones lower the limits
+                piece = columns[start:start + size]
+                for r, c in B.apart(mine[rows], theirs[piece]) if len(rows) else []:
+                    r, c = rows[r], piece[c]
+
+                    def low(part: slice) -> np.ndarray:
+                        return np.minimum(B.lowest(-least[p[r[part]]], "euclid")[:, None], B.lowest(-least[q[c]], "euclid")[None, :]) - err
+
+                    for x, y, product in B._hits(left[r], right[:, c], low):
+                        x, y = r[x], c[y]
+                        keep = (p[x] != q[y])
+                        x, y, product = x[keep], y[keep], product[keep]
+                        if len(x) > B.PAIRS:  # the nearest pair of each component gives a limit for the others
+                            for ends in (p[x], q[y]):
+                                order = np.lexsort((-product, ends))
+                                top = order[np.flatnonzero(np.r_[True, np.diff(ends[order]) != 0])]
+                                w = _weights(B.measured(a, x[top], b, y[top]), a.w[x[top]], b.w[y[top]])
+                                np.minimum.at(least, ends[top], w)
+                            far = np.maximum(least[p[x]], least[q[y]])
+                            keep = (product >= B.lowest(-far, "euclid") - err) & (a.w[x] <= far + PAD) & (b.w[y] <= far + PAD)
+                            x, y = x[keep], y[keep]
+                        w = _weights(B.measured(a, x, b, y), a.w[x], b.w[y])
+                        keep = (w <= np.maximum(least[p[x]], least[q[y]]))
+                        x, y, w = x[keep], y[keep], w[keep]
+                        if len(x):
+                            i_, j_ = a.ids[x], b.ids[y]
+                            swap = i_ > j_
+                            edge = (w, np.where(swap, j_, i_), np.where(swap, i_, j_), np.where(swap, theirs[y], mine[x]), np.where(swap, mine[x], theirs[y]))
+                            ends = np.concatenate([p[x], q[y]])
+                            some = _least(ends, *(np.tile(v, 2) for v in edge))
+                            some = tuple(v[some[1] <= least[some[0]]] for v in some)
+                            np.minimum.at(least, some[0], some[1])
+                            out.append((names[some[0]], *some[1:]))
+                start, size = start + size, min(B.ROWS, 4 * size)
+            floor = least[p]
+            if sum(len(o[0]) for o in out) > B.CELLS // 4:
+                out = [_least(*(np.concatenate(v) for v in zip(*out)))]
+        if out:
+            some = _least(*(np.concatenate(v) for v in zip(*out)))
+            yield from B._batches(dict(zip(("c", "w", "a", "b", "x", "y"), some)))
+
+    return kept.run(solve, "c bigint, w double, a bigint, b bigint, x bigint, y bigint")
+
+
+def _least(c: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The least edge (w, a, b) of each c."""
+    order = np.lexsort((b, a, w, c))
+    first = order[np.flatnonzero(np.r_[True, np.diff(c[order]) != 0])] if len(c) else order
+    return tuple(v[first] for v in (c, w, a, b, x, y))
 
 
 class Merger:
